@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.substrings import op4_substring_dedup
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
 
 QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
