@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pulsegrid.llm.substrings import op4_substring_dedup
+from pulsegrid.llm.compression import op2_quality_classifier
+from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
+from pulsegrid.llm.substrings import op4_substring_dedup
+from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_url_filters": op7_url_filters,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_quality_rules": OP1_SQL,
+    "op7_url_filters": OP7_SQL,
+}
