@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 from pulsegrid.llm.compression import op2_quality_classifier
+from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
 from pulsegrid.llm.substrings import op4_substring_dedup
+from pulsegrid.llm.surrogates import op9_pii_surrogates
 from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_url_filters": op7_url_filters,
+    "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_url_filters": OP7_SQL,
 }
