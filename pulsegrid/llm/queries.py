@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.avi import op6_media_avi
 from pulsegrid.llm.compression import op2_quality_classifier
 from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_media_avi": op6_media_avi,
     "op7_url_filters": op7_url_filters,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
