@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulsegrid.llm.avi import op6_media_avi
 from pulsegrid.llm.compression import op2_quality_classifier
+from pulsegrid.llm.mixing import op3_mixing
 from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
@@ -14,6 +15,7 @@ from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_mixing": op3_mixing,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_media_avi": op6_media_avi,
