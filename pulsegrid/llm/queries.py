@@ -10,6 +10,7 @@ from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
 from pulsegrid.llm.substrings import op4_substring_dedup
 from pulsegrid.llm.surrogates import op9_pii_surrogates
+from pulsegrid.llm.tokenfile import op8_token_binary
 from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_media_avi": op6_media_avi,
     "op7_url_filters": op7_url_filters,
+    "op8_token_binary": op8_token_binary,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
