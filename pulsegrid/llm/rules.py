@@ -69,15 +69,15 @@ def base_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ).withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
 
 
-def order_rules(features: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS, runs: int = RUNS) -> list[tuple[Rule, float, float]]:
+def order_rules(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS, runs: int = RUNS) -> list[tuple[Rule, float, float]]:
     """(rule, seconds, rejected share) by rejections per second, best first, from a random sample of about `rows` rows.
 
     The order settles only how much work the cascade does, never a verdict. An empty table leaves the given order.
     """
-    total = features.count()
+    total = docs.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = features.sample(False, min(1.0, rows / total), 7).limit(2 * rows).persist()
+    sample = base_features(docs.sample(False, min(1.0, rows / total), 7)).persist()
     try:
         n = max(1, sample.count())
 
@@ -107,9 +107,8 @@ def quality_rules(docs: DataFrame, rules=RULES, rows: int = SAMPLE_ROWS) -> Data
 
     Null and blank texts have no words and fail the base rule. Repeated rows and ids are judged one by one.
     """
-    features = base_features(docs)
-    ordered = [r for r, _, _ in order_rules(features, rules, rows)]
-    return features.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(ordered))).drop("text")
+    ordered = [r for r, _, _ in order_rules(docs, rules, rows)]
+    return base_features(docs).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(cascade(ordered))).drop("text")
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:
