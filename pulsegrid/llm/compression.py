@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,7 +63,8 @@ class Scorer:
 
 def _logistic(x: np.ndarray, y: np.ndarray, counts: dict[int, int], ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Newton's steps for a logistic model; each class weighs as its count in the whole labelled table."""
-    w, total = np.zeros(x.shape[1]), sum(counts.values())
+    scale = np.maximum(1e-9, x.std(axis=0) + (np.arange(x.shape[1]) == x.shape[1] - 1))
+    x, w, total = x / scale, np.zeros(x.shape[1]), sum(counts.values())
     each = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) * len(y) / total
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -72,7 +74,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, counts: dict[int, int], ridge: float
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w
+    return w / scale
 
 
 def _content(texts: list[bytes], size: int) -> bytes:
@@ -81,18 +83,18 @@ def _content(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(t[:share] for t in texts)[-size:]
 
 
-def fit(labelled: DataFrame, rows: int = ROWS_PER_CLASS) -> CompressionModel:
-    """Fits on labelled (text, label 0 or 1): half the sampled rows make the dictionaries, the other half calibrates.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> CompressionModel:
+    """Fits on docs (doc_id, text) of labels (doc_id, label 0 or 1): half the sampled rows make the dictionaries, the other half calibrates.
 
-    At most `rows` rows of each class, chosen by a hash of their text, and TEXT_BYTES of each come to the
-    driver. With a class missing, the score is the share of the other; rows with a null label are left out.
+    At most `rows` rows of each class, chosen by a hash of doc_id, and TEXT_BYTES of each come to the driver.
+    With a class missing, the score is the share of the other; rows with another or null label are left out.
     """
-    chosen = labelled.where("label IN (0, 1)").select("label", F.xxhash64("text").alias("h"), F.substring("text", 1, TEXT_BYTES).alias("text"))
-    counts = {r[0]: r[1] for r in labelled.where("label IN (0, 1)").groupBy("label").count().collect()}
-    by: dict[int, list[bytes]] = {}
-    for label in (0, 1):
-        top = chosen.where(F.col("label") == label).orderBy("h", "text").limit(rows)
-        by[label] = [x for r in top.select("text").collect() if (x := encode(r[0]))]
+    counts = {r[0]: r[1] for r in labels.where("label IN (0, 1)").groupBy("label").count().collect()}
+    chosen = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "label") for k in (0, 1)]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids
+    got = docs.select("doc_id", F.substring("text", 1, TEXT_BYTES).alias("text")).join(chosen, "doc_id").collect()
+    got = sorted((r["label"], x) for r in got if (x := encode(r["text"])))
+    by = {k: sorted((x for label, x in got if label == k), key=zlib.crc32) for k in (0, 1)}
     halves = {k: (v[0::2], v[1::2]) for k, v in by.items()}
     if not (halves[0][1] and halves[1][1]):
         sure = 4.0 if len(by[1]) >= len(by[0]) else -4.0
@@ -126,7 +128,7 @@ def fit_quality(spark, sf_dir: str) -> CompressionModel:
     """A model of labels.quality from the rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
-    return fit(labels.join(docs, "doc_id"))
+    return fit(docs, labels)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
