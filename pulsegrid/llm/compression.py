@@ -106,17 +106,24 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Compr
     return CompressionModel(model.good, model.bad, tuple(_logistic(x, y, counts).tolist()))
 
 
-def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """doc_id and score (0 to 1) of every row of docs (doc_id, text). Null and empty texts get the score of no bytes."""
+def score_column(docs: DataFrame, model: CompressionModel) -> DataFrame:
+    """docs (text and others) and score, 0 to 1; a column score of docs is replaced. Null and empty texts get the score of no bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: 2 * DICT_BYTES at most
+    docs = docs.drop("score")
+    at, names = docs.columns.index("text"), [*docs.columns, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value.scorer()
         for batch in batches:
-            out = [scorer.score(x.as_py()) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+            out = [scorer.score(x.as_py()) for x in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=names)
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+def score(docs: DataFrame, model: CompressionModel) -> DataFrame:
+    """doc_id and score of every row of docs (doc_id, text)."""
+    return score_column(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", "score")
 
 
 def held_out() -> F.Column:
