@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from fractions import Fraction
 from functools import lru_cache
 
 import numpy as np
@@ -124,21 +125,35 @@ def resample_grid(rate_hz: float, target_hz: float, radius: int = 8, edge: str =
     return ratio, 0.5 * min(1.0, ratio)
 
 
+def _weights(d: np.ndarray, cutoff: float, radius: int) -> np.ndarray:
+    w = (0.54 + 0.46 * np.cos(np.pi * d / radius)) * 2 * cutoff * np.sinc(2 * cutoff * d)
+    return np.where(np.abs(d) > radius, 0.0, w)
+
+
 def resample(x: np.ndarray, rate_hz: float, target_hz: float, radius: int = 8, edge: str = "reflect") -> np.ndarray:
-    """Weighted means under a Hamming-windowed sinc of `radius` input samples, at any ratio."""
+    """Weighted means under a Hamming-windowed sinc of `radius` input samples, at any ratio.
+
+    Where the rates are in a ratio of small whole numbers, the weights repeat after as many outputs, and are computed once.
+    """
     ratio, cutoff = resample_grid(rate_hz, target_hz, radius, edge)
     n = len(x)
-    at = np.arange(max(0, math.ceil(n * ratio - 1e-9))) / ratio
-    centre = np.floor(at).astype(np.int64)
-    total, weights = np.zeros(len(at)), np.zeros(len(at))
+    count = max(0, math.ceil(n * ratio - 1e-9))
+    if not count:
+        return np.empty(0)
+    at = np.arange(count) / ratio
+    period = Fraction(target_hz / rate_hz).limit_denominator(100_000)
+    repeats = period.numerator if abs(float(period) - ratio) <= 1e-15 * ratio and period.numerator < count else count
+    centre = np.floor(at + 1e-9 * (repeats < count)).astype(np.int64)
+    part = (at - centre)[:repeats]
+    wide = x[np.clip(np.arange(-radius - 1, n + radius + 2), 0, n - 1)] if edge == "zero" else reflected(x, np.arange(-radius - 1, n + radius + 2))
+    if edge == "zero":
+        wide[: radius + 1] = wide[radius + 1 + n :] = 0.0
+    total, weights = np.zeros(count), np.zeros(repeats)
     for off in range(-radius, radius + 1):
-        k = centre + off
-        d = at - k
-        w = np.where(np.abs(d) > radius, 0.0, (0.54 + 0.46 * np.cos(np.pi * d / radius)) * 2 * cutoff * np.sinc(2 * cutoff * d))
-        source = np.where((k >= 0) & (k < n), x[np.clip(k, 0, n - 1)], 0.0) if edge == "zero" else reflected(x, k)
-        total += source * w
+        w = _weights(part - off, cutoff, radius)
         weights += w
-    return total / weights
+        total += np.resize(w, count) * wide[centre + (off + radius + 1)]
+    return total / np.resize(weights, count)
 
 
 def analyse(x: np.ndarray, name: str = "db4") -> tuple[np.ndarray, np.ndarray]:
