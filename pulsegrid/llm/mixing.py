@@ -154,26 +154,36 @@ def _rate(steps: list[np.ndarray]) -> F.Column:
 def fit_rates(soft: DataFrame, targets: np.ndarray, most: int = MOST_STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     """(steps, totals): steps of projected gradient on soft (n_tokens, p) toward the domains' token totals.
 
-    Minimises (A r - T)' G (A r - T) / 2 over rates r >= 0 from r = 1, where A has each document's expected
-    tokens by domain and G is the inverse of A A', so that the gradient's Lipschitz constant is 1 and a step
-    of 1 is right at any size. A step is a vector of a number for each domain; only sums of documents reach
-    the driver, and a document's rate is found again from its own row and the steps.
+    Minimises |A r - T|^2, in a metric, over rates r >= 0 from r = 1, where A has each document's expected tokens
+    by domain. A step moves along the gradient in the metric of the inverse of A A' over the documents that are not
+    held at 0, for which a step of 1 is exact; where such a step didn't shorten the error, the next one takes all
+    documents' A A', for which a step of 1 never lengthens it. A step is a vector of a number for each domain; only
+    sums over documents reach the driver, and a document's rate is found again from its own row and the steps.
     """
     k = len(targets)
     own = [F.col("p")[i] * F.col("n_tokens") for i in range(k)]
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = soft.agg(*[F.sum(own[i] * own[j]) for i, j in pairs], *[F.sum(x) for x in own]).first()
-    gram = np.zeros((k, k))
-    for (i, j), v in zip(pairs, row, strict=False):
-        gram[i, j] = gram[j, i] = v or 0.0
-    totals = np.array([v or 0.0 for v in row[len(pairs) :]])
-    inverse, steps = np.linalg.pinv(gram, rcond=1e-9), []
+
+    def measure() -> tuple[np.ndarray, np.ndarray]:
+        free = F.when(F.col("r") > 0, 1.0).otherwise(0.0)
+        sums = [F.sum(free * own[i] * own[j]) for i, j in pairs] + [F.sum(F.col("r") * x) for x in own]
+        row = [v or 0.0 for v in soft.withColumn("r", _rate(steps)).agg(*sums).first()]
+        gram = np.zeros((k, k))
+        for (i, j), v in zip(pairs, row, strict=False):
+            gram[i, j] = gram[j, i] = v
+        return gram, np.array(row[len(pairs) :])
+
+    steps: list[np.ndarray] = []
+    gram, totals = measure()
+    whole, least = np.linalg.pinv(gram, rcond=1e-9), np.inf
     for _ in range(most):
-        if np.abs(totals - targets).max() <= TOLERANCE * max(1.0, targets.sum()):
+        error = np.abs(totals - targets).max()
+        if error <= TOLERANCE * max(1.0, targets.sum()):
             break
-        steps.append(inverse @ (totals - targets))
-        row = soft.withColumn("r", _rate(steps)).agg(*[F.sum(F.col("r") * x) for x in own]).first()
-        totals = np.array([v or 0.0 for v in row])
+        metric = np.linalg.pinv(gram, rcond=1e-9) if error < least else whole
+        least = min(least, error)
+        steps.append(metric @ (totals - targets))
+        gram, totals = measure()
     return steps, totals
 
 
