@@ -5,12 +5,10 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(ROOT), os.environ.get("PYTHONPATH")]))
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -34,22 +32,9 @@ def spark():
 def duck():
     import duckdb
 
+    from helpers import SF
+
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
-
-
-def rows_of(frame) -> list[tuple]:
-    """Rows of a pandas frame by sorted column names, as comparable text."""
-    import math
-
-    def text(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
-            return ""
-        if isinstance(v, (bool, str)):
-            return str(v)
-        return f"{float(v):.6f}" if hasattr(v, "__float__") else str(v)
-
-    names = sorted(frame.columns)
-    return sorted(tuple(text(v) for v in row) for row in frame[names].astype(object).itertuples(index=False))

@@ -1,7 +1,7 @@
 """Every registered query of the signal engine against its SQL."""
 
 import pytest
-from conftest import SF, rows_of
+from helpers import SF, rows_of
 
 from pulsegrid.plans.queries import ORACLES, QUERIES
 
