@@ -16,9 +16,8 @@ from pulsegrid.llm.components import connected_components
 
 #: Differing bits of two fingerprints that are linked.
 DISTANCE = 4
-#: A fingerprint's blocks; EQUAL of them are untouched by DISTANCE differing bits, so each linked pair shares EQUAL blocks.
-WIDTHS = (9, 9, 9, 9, 9, 9, 10)
-EQUAL = len(WIDTHS) - DISTANCE
+#: A fingerprint is cut into DISTANCE + EQUAL blocks. Differing bits spoil DISTANCE of them at most, so a linked pair shares EQUAL.
+EQUAL = 3
 #: Members of a block that one task compares at once; larger blocks are compared as pairs of parts, in many tasks.
 PART = 4096
 
@@ -53,12 +52,10 @@ def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     return keyed_text(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def masks() -> list[int]:
-    """One mask for each way to choose EQUAL blocks, as signed longs."""
-    at, blocks = 0, []
-    for width in WIDTHS:
-        blocks.append(((1 << width) - 1) << at)
-        at += width
+def masks(distance: int = DISTANCE) -> list[int]:
+    """One mask for each way to choose EQUAL of the blocks, as signed longs."""
+    edges = [64 * i // (distance + EQUAL) for i in range(distance + EQUAL + 1)]
+    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
     return [x - (1 << 64) if (x := sum(c)) >> 63 else x for c in combinations(blocks, EQUAL)]
 
 
@@ -147,7 +144,7 @@ def block_links(fps: DataFrame, distance: int = DISTANCE, part: int = PART) -> D
     """Links (a, b) whose components are those of "at most `distance` bits differ" over distinct fingerprints fps (fp)."""
     spark, schema = fps.sparkSession, "kind byte, a long, b long, g long, k long, part int"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ways = F.array(*[F.struct(F.lit(i).cast("long").alias("g"), F.lit(m).alias("m")) for i, m in enumerate(masks())])
+    ways = F.array(*[F.struct(F.lit(i).cast("long").alias("g"), F.lit(m).alias("m")) for i, m in enumerate(masks(distance))])
     rows = fps.select("fp", F.explode(ways).alias("w")).select(F.col("w.g").alias("g"), F.col("fp").bitwiseAND(F.col("w.m")).alias("k"), "fp")
     rows = rows.repartition(n, "g", "k").sortWithinPartitions("g", "k")
     found = materialise(rows.mapInArrow(_links_of_sorted(distance, part), schema), "blocks")
@@ -163,7 +160,7 @@ def block_links(fps: DataFrame, distance: int = DISTANCE, part: int = PART) -> D
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable by links, itself included) of every row of docs.
 
     Equal fingerprints are one node, so exact copies never meet in pairs. Rows without words (null,
@@ -172,18 +169,20 @@ def near_duplicates(docs: DataFrame, size: int = 4) -> DataFrame:
     """
     fps = materialise(fingerprints(docs, size), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    comps = connected_components(block_links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
+    comps = connected_components(block_links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     nodes = nodes.join(comps, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     nodes = nodes.join(least, "root").select("fp", "component_id")
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 4) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id (rows with a null id stay); columns as in docs."""
-    drop = near_duplicates(docs, size).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(drop, "doc_id", "left_anti")
-    return kept.select(*docs.columns)
+def keep_first(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
+    """One document for each component, that with the smallest doc_id; columns as in docs.
+
+    Rows with a null id stay, and repeated rows of an id that stays do too.
+    """
+    drop = near_duplicates(docs, size, distance).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -244,12 +244,14 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     docs = docs.drop("n_entities")
     mentions = materialise(keyed_text(docs).select("doc_id", "text", "th").mapInArrow(_mentions, "doc_id long, th long, kind string, canon string"), "mentions")
     redrawn = materialise(assign(mentions.select("kind", "canon").distinct(), key), "redrawn")
-    by_doc = mentions.join(redrawn, ["kind", "canon"]).groupBy(F.col("doc_id").alias("pg_id"), F.col("th").alias("pg_th")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("pg_again"))
+    by_doc = mentions.join(redrawn, ["kind", "canon"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("again"))
     by_doc = materialise(by_doc, "redrawn-docs")
-    joined = docs.join(by_doc, docs["doc_id"].cast("long").eqNullSafe(by_doc["pg_id"]) & (F.xxhash64(docs["text"]) == by_doc["pg_th"]), "left").drop("pg_id", "pg_th")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(by_doc["doc_id"]) & (F.xxhash64("doc.text") == by_doc["th"])
     names = list(docs.columns)
-    at = names.index("text")
-    schema = joined.drop("pg_again").schema.add("n_entities", "long")
+    at, extra = names.index("text"), "again" + "_" * sum(map(len, names))  # a name that no column has
+    joined = rows.join(by_doc, same, "left").select("doc.*", F.col("again").alias(extra))
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_entities")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
