@@ -207,7 +207,7 @@ def bucket_of(i: Column, start: Column, end: Column, buckets: int) -> Column:
     return F.when(inside, F.floor(((i - start + 1) * buckets - 1) / F.nullif(end - start, F.lit(0)))).cast("int")
 
 
-def envelope(long: DataFrame, keys: list[str], buckets: int, start: Column | None = None, end: Column | None = None, bounds: DataFrame | None = None) -> DataFrame:
+def envelope(long: DataFrame, keys: list[str], buckets: int, bounds: DataFrame | None = None) -> DataFrame:
     """(keys, bucket, min, max, populated): every bucket of every key; those without samples are (0, 0, false).
 
     The window is [0, n) of each key, or the columns win_start and win_end of bounds (keys, win_start, win_end).
@@ -223,6 +223,11 @@ def envelope(long: DataFrame, keys: list[str], buckets: int, start: Column | Non
     return spine.join(found, [*keys, "bucket"], "left").select(*keys, "bucket", F.coalesce("lo", zero).alias("min"), F.coalesce("hi", zero).alias("max"), F.col("lo").isNotNull().alias("populated"))
 
 
+def coefficient_envelope(bands: DataFrame, keys: list[str], ranges: DataFrame, buckets: int) -> DataFrame:
+    """The envelope of one band in long form (keys, i, x) over the coefficient ranges (keys, win_start, win_end) that a view reaches."""
+    return envelope(bands, keys, buckets, ranges)
+
+
 def amplitude_bounds(columns: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, min, max) over populated buckets; (0, 0) where none is."""
     full = lambda c: F.when(F.col("populated"), F.col(c))

@@ -84,9 +84,9 @@ def outcomes(channels: DataFrame, config: dict, metadata: dict, scorer: Scorer =
         signals = signals.withColumn("data", filter_column(F.col("data"), spec, float(rate)))
     keys = ["record_id", "subject_id", "channel_index", "channel_name"]
     windows = segment(signals, keys, window["windowLengthSamples"], window["strideSamples"], window["remainderPolicy"])
-    ranked = interpret(scorer(F.col("data")), out["classLabels"], out["semantics"], out["activation"])
+    ranked = interpret(F.col("scores"), out["classLabels"], out["semantics"], out["activation"])
     label = (labeller or sign_labeller(*out["classLabels"][:2]))(F.col("data"))
-    rows = windows.withColumn("top", F.get(ranked, F.lit(0))).withColumn("true_label", label)
+    rows = windows.withColumn("scores", scorer(F.col("data"))).withColumn("top", F.get(ranked, F.lit(0))).withColumn("true_label", label)
     return rows.select(window_id(F.col("record_id"), F.col("channel_index"), F.col("start")).alias("window_id"), *keys, F.col("start").alias("start_sample"), F.col("length").alias("length_samples"), "true_label", F.col("top.label").alias("predicted_label"), F.col("top.score").alias("predicted_score"), F.col("top.semantics").alias("semantics"))
 
 
@@ -122,6 +122,7 @@ class Experiment:
 
 
 def run_experiment(channels: DataFrame, config: dict, metadata: dict = documents.PROBE, scorer: Scorer = probe_scores, labeller: Labeller | None = None) -> Experiment:
+    config = documents.snapshot(config)
     return Experiment(config, metadata["output"]["classLabels"], outcomes(channels, config, metadata, scorer, labeller))
 
 
@@ -138,7 +139,7 @@ def score_view(channels: DataFrame, metadata: dict, start_sec: float, duration_s
     wrong = F.raise_error(F.concat(F.lit(f"[model-compatibility-failure] the model wants {want} samples, the view has "), (F.col("w.end") - F.col("w.start")).cast("string"))).cast("array<double>")
     data = F.when(F.col("w.end") - F.col("w.start") == want, F.slice("data", (F.col("w.start") + 1).cast("int"), F.lit(want))).otherwise(wrong)
     out = metadata["output"]
-    return rows.withColumn("data", data).select("record_id", "channel_name", F.col("w.start").alias("start_sample"), F.col("w.end").alias("end_sample"), interpret(scorer(F.col("data")), out["classLabels"], out["semantics"], out["activation"]).alias("predictions"))
+    return rows.withColumn("data", data).withColumn("scores", scorer(F.col("data"))).select("record_id", "channel_name", F.col("w.start").alias("start_sample"), F.col("w.end").alias("end_sample"), interpret(F.col("scores"), out["classLabels"], out["semantics"], out["activation"]).alias("predictions"))
 
 
 def probe_configuration() -> dict:

@@ -199,6 +199,13 @@ def assert_configuration(c: object) -> None:
         raise SignalError("invalid-input", "invalid experiment configuration.", "; ".join(problems), {"problems": problems})
 
 
+def snapshot(c: dict) -> dict:
+    """A copy of a configuration that later changes don't reach, without absent (None) keys."""
+    if isinstance(c, dict):
+        return {k: snapshot(v) for k, v in c.items() if v is not None}
+    return [snapshot(v) for v in c] if isinstance(c, (list, tuple)) else c
+
+
 def experiment_id(c: dict) -> str:
     parts = [selection_name(c["selection"]), c["channelName"], f"{c['model']['modelId']}@{c['model']['modelVersion']}", window_name(c["window"]), f"gt:{c['evaluation']['id']}"]
     chosen = (c.get("preprocessing") or {}).get("filter")

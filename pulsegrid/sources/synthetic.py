@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.errors import SignalError
+from pulsegrid.functions.kernels import wavelet
 from pulsegrid.functions.timeaxis import round_half_up
 
 #: The default record.
@@ -158,6 +160,25 @@ def canonical_signals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, kind string, sample_rate_hz double, length int, data array<double>")
 
 
-def write_fixtures(spark: SparkSession, folder: str, overwrite: bool = False) -> None:
-    """The canonical signals as JSON lines; an existing folder is kept unless overwrite is set."""
-    canonical_signals(spark).coalesce(1).write.mode("overwrite" if overwrite else "ignore").json(folder)
+def wavelet_bank(spark: SparkSession) -> DataFrame:
+    """The db4 filter bank with its invariants, one row."""
+    bank = wavelet("db4")
+    lo, hi = np.array(bank["dec_lo"]), np.array(bank["dec_hi"])
+    row = ("db4", 4, len(lo), *(list(bank[k]) for k in ("dec_lo", "dec_hi", "rec_lo", "rec_hi")), float(lo.sum()), float((lo * lo).sum()), float(hi.sum()), float((hi * hi).sum()))
+    taps = ", ".join(f"{k} array<double>" for k in ("dec_lo", "dec_hi", "rec_lo", "rec_hi"))
+    sums = ", ".join(f"{k} double" for k in ("sum_dec_lo", "sum_squares_dec_lo", "sum_dec_hi", "sum_squares_dec_hi"))
+    return spark.createDataFrame([row], f"wavelet string, order int, tap_count int, {taps}, {sums}")
+
+
+def write_fixtures(spark: SparkSession, folder: str, overwrite: bool = False) -> dict[str, bool]:
+    """The canonical signals and the wavelet bank as JSON below folder, and whether each was written; existing ones stay unless overwrite is set."""
+    written = {}
+    for name, table in (("signals", canonical_signals(spark)), ("wavelet", wavelet_bank(spark))):
+        try:
+            table.coalesce(1).write.mode("overwrite" if overwrite else "error").json(f"{folder}/{name}")
+            written[name] = True
+        except AnalysisException as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+            written[name] = False
+    return written
