@@ -41,19 +41,36 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Memo(dict):
-    """A dict that fills itself by make(key) and starts anew at `most` entries, so that it never outgrows a worker."""
+    """A dict that fills itself by make(key). At `most` entries it becomes the older generation of two, of which
+    entries come back when they are asked for again: it never outgrows a worker, and frequent keys stay."""
 
-    def __init__(self, make, most: int = 400_000):
+    def __init__(self, make, most: int = 250_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """make() of this worker's process, once for each key: tasks that follow find its tables filled."""
+    if key not in _KEPT:
+        if len(_KEPT) >= 4:
+            _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def encode(text: str | None) -> bytes:
     """UTF-8; null is empty, a lone surrogate becomes '?'."""
     return b"" if text is None else text.encode("utf-8", "replace")

@@ -7,21 +7,23 @@ import zlib
 import numpy as np
 
 #: Tokens of a block, and blocks that are coded in step.
-BLOCK, LANES = 4096, 2048
+BLOCK, LANES = 2048, 4096
 #: Slots of the order-1 and order-2 tables of a block; steps between refreshes of the order-0 frequencies.
-SLOTS, REFRESH = 2048, 256
+SLOTS, REFRESH = 1024, 256
 #: Ids are below this: 256 groups of 256.
 MOST_ID = 1 << 16
 
 # The probability of an id mixes three predictions: the id that last followed the last two ids, the id
 # that last followed the last one, and an order-0 frequency. How much of 1024 each of them gets is
-# learned, in each block anew, for each pair of their recent successes. Order-0: the id's group of 256
-# by an adaptive table of 1024, its place in the group evenly. One coding step an id, of 2**28 in all.
+# learned, in each block anew, for each pair of their recent successes: an average that forgets. Order-0:
+# the id's group of 256 by an adaptive table of 1024, its place in the group evenly. One coding step an
+# id, of 2**28 in all.
 _MIX_BITS, _GROUP_BITS = 10, 10
 _LOW_BITS = _GROUP_BITS + 8
 _TOTAL_BITS = _MIX_BITS + _LOW_BITS
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
 _NONE = MOST_ID - 1  # the prediction of an empty slot; the id itself can still be coded as order-0
+_SURE, _FORGET = 16, 5  # bits of a mixing weight, and of how fast it forgets
 _U = np.uint64
 
 
@@ -30,79 +32,95 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.n = lanes
-        self.lane = np.arange(lanes)
-        self.slot, self.group = self.lane * SLOTS, self.lane * 256
+        lane = np.arange(lanes)
+        self.slot, self.group, self.spread, self.context = lane * SLOTS, lane * 256, lane * 257, lane * 32
         self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.order1 = np.full(lanes * SLOTS, _NONE << 2, np.int32)
         self.order2 = np.full(lanes * SLOTS, _NONE << 2, np.int32)
-        self.wins = np.empty((lanes * 32, 3), np.int32)
-        self.wins[:] = (1, 1, 2)
-        self.context = self.lane * 32
-        self.seen = np.ones((lanes, 256), np.int64)
+        self.sure2 = np.full(lanes * 32, 1 << _SURE - 2, np.int32)
+        self.sure1 = np.full(lanes * 32, 1 << _SURE - 2, np.int32)
+        self.seen = np.ones(lanes * 256, np.int64)
         self.steps = 0
         self.refresh()
 
     def refresh(self) -> None:
         up = np.zeros((self.n, 257), np.int64)
-        np.cumsum(self.seen, axis=1, out=up[:, 1:])
+        np.cumsum(self.seen.reshape(self.n, 256), axis=1, out=up[:, 1:])
         spare = (1 << _GROUP_BITS) - 256
-        self.starts = np.ascontiguousarray((up * spare // up[:, -1:] + np.arange(257)).astype(np.int64))
-        self.sizes = np.diff(self.starts, axis=1)
+        self.starts = (up * spare // up[:, -1:] + np.arange(257)).ravel()
         self.inverse = None
 
     def predict(self) -> None:
         self.i1 = self.slot + ((self.last * 40503 >> 5) & (SLOTS - 1))
-        self.i2 = self.slot + ((self.last * 40503 + self.before * 30011 * 7 >> 4) & (SLOTS - 1))
-        e1, e2 = self.order1[self.i1], self.order2[self.i2]
+        self.i2 = self.slot + ((self.last * 40503 + self.before * 210077 >> 4) & (SLOTS - 1))
+        e1, e2 = self.order1.take(self.i1), self.order2.take(self.i2)
         self.id1, self.id2, self.c1, self.c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        self.at = self.context + self.c2 * 8 + self.c1 * 2 + (self.id1 == self.id2)
-        w = self.wins[self.at]
-        spare = ((1 << _MIX_BITS) - 3) * w[:, :2] // w.sum(axis=1)[:, None]
-        self.f2, self.f1 = spare[:, 0].astype(np.int64) + 1, spare[:, 1].astype(np.int64) + 1
-        self.both = self.f2 + self.f1
+        self.at = self.context + ((self.c2 << 3) + (self.c1 << 1) + (self.id1 == self.id2))
+        self.s2, self.s1 = self.sure2.take(self.at), self.sure1.take(self.at)
+        self.f2 = (self.s2.astype(np.int64) * ((1 << _MIX_BITS) - 3) >> _SURE) + 1
+        self.both = self.f2 + (self.s1 * ((1 << _MIX_BITS) - 2 - self.f2) >> _SURE) + 1
         self.rest = (1 << _MIX_BITS) - self.both
 
-    def update(self, ids: np.ndarray, won: np.ndarray) -> None:
-        """won: 0 if order 2 had the id, 1 if order 1 had, else 2."""
-        self.wins[self.at, won] += 4
-        for table, i, predicted, c in ((self.order1, self.i1, self.id1, self.c1), (self.order2, self.i2, self.id2, self.c2)):
-            table[i] = ids << 2 | np.where(predicted == ids, np.minimum(c + 1, 3), 0)
-        self.seen.reshape(-1)[self.group + (ids >> 8)] += np.where(won == 2, 8, 0)
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        self.sure2[self.at] = self.s2 + ((hit2.astype(np.int32) << _SURE) - self.s2 >> _FORGET)
+        self.sure1[self.at] = np.where(hit2, self.s1, self.s1 + ((hit1.astype(np.int32) << _SURE) - self.s1 >> _FORGET))
+        entry = (ids << 2).astype(np.int32)
+        self.order1[self.i1] = entry + (self.id1 == ids) * np.minimum(self.c1 + 1, 3)
+        self.order2[self.i2] = entry + hit2 * np.minimum(self.c2 + 1, 3)
+        self.seen[self.group + (ids >> 8)] += ~(hit2 | hit1) * 8
         self.before, self.last = self.last, ids
         self.steps += 1
         if self.steps % REFRESH == 0:
             self.refresh()
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, won) of ids within 2**_TOTAL_BITS."""
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, size, order 2 had it, only order 1 had it) of ids within 2**_TOTAL_BITS."""
         hit2 = self.id2 == ids
         hit1 = (self.id1 == ids) & ~hit2
-        group = ids >> 8
-        size = self.sizes[self.lane, group]
-        start = (self.both << _LOW_BITS) + ((self.starts[self.lane, group] << 8) + (ids & 255) * size) * self.rest
-        start = np.where(hit2, 0, np.where(hit1, self.f2 << _LOW_BITS, start))
-        size = np.where(hit2, self.f2 << _LOW_BITS, np.where(hit1, self.f1 << _LOW_BITS, size * self.rest))
-        return start.astype(_U), size.astype(_U), np.where(hit2, 0, np.where(hit1, 1, 2))
+        at = self.spread + (ids >> 8)
+        first = self.starts.take(at)
+        size = self.starts.take(at + 1) - first
+        start = (self.both << _LOW_BITS) + ((first << 8) + (ids & 255) * size) * self.rest
+        size *= self.rest
+        if (i := np.flatnonzero(hit2)).size:
+            start[i], size[i] = 0, self.f2[i] << _LOW_BITS
+        if (i := np.flatnonzero(hit1)).size:
+            start[i], size[i] = self.f2[i] << _LOW_BITS, (self.both[i] - self.f2[i]) << _LOW_BITS
+        return start.view(_U), size.view(_U), hit2, hit1
 
     def find(self, v: np.ndarray) -> np.ndarray:
         """The ids whose intervals have v."""
         if self.inverse is None:
-            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), self.sizes.ravel()).reshape(self.n, 1 << _GROUP_BITS)
+            sizes = np.diff(self.starts.reshape(self.n, 257), axis=1)
+            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), sizes.ravel())
+            self.cell = np.arange(self.n) << _GROUP_BITS
         mixed = v >> _LOW_BITS
-        low = np.maximum(0, v - (self.both << _LOW_BITS)) // self.rest
-        group = self.inverse[self.lane, np.minimum(low >> 8, (1 << _GROUP_BITS) - 1)].astype(np.int64)
-        own = (group << 8) + np.minimum(255, np.maximum(0, low - (self.starts[self.lane, group] << 8)) // self.sizes[self.lane, group])
-        return np.where(mixed < self.f2, self.id2, np.where(mixed < self.both, self.id1, own)).astype(np.int64)
-
-
-def _loose(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+        low = np.maximum(0, v - (self.both << _LOW_BITS))
+        low = (low / self.rest).astype(np.int64)  # exact: both are below 2**28
+        group = self.inverse.take(self.cell + np.minimum(low >> 8, (1 << _GROUP_BITS) - 1)).astype(np.int64)
+        at = self.spread + group
+        first = self.starts.take(at)
+        ids = (group << 8) + np.minimum(255, (np.maximum(0, low - (first << 8)) / (self.starts.take(at + 1) - first)).astype(np.int64))
+        guessed = np.flatnonzero(mixed < self.both)
+        if guessed.size:
+            ids[guessed] = np.where(mixed[guessed] < self.f2[guessed], self.id2[guessed], self.id1[guessed])
+        return ids
+
+
+def _loose(low: np.ndarray, size: np.ndarray, among: np.ndarray | None) -> np.ndarray:
     """Lanes whose leading 16 bits are settled, or whose range got small (it is then cut at the next boundary)."""
-    settled = (low ^ (low + size)) < _TOP
-    small = ~settled & (size <= _BOTTOM)
-    if small.any():
-        size[small] = (_U(0) - low[small]) & _BOTTOM
-        settled |= small
-    return np.flatnonzero(settled)
+    if among is not None:
+        low_of, size_of = low[among], size[among]
+    else:
+        low_of, size_of = low, size
+    settled = (low_of ^ (low_of + size_of)) < _TOP
+    small = np.flatnonzero(~settled & (size_of <= _BOTTOM))
+    if small.size:
+        where = small if among is None else among[small]
+        size[where] = (_U(0) - low[where]) & _BOTTOM
+        settled[small] = True
+    found = np.flatnonzero(settled)
+    return found if among is None else among[found]
 
 
 def _encode_lanes(ids: np.ndarray) -> list[bytes]:
@@ -112,16 +130,18 @@ def _encode_lanes(ids: np.ndarray) -> list[bytes]:
     columns = np.ascontiguousarray(ids.T.astype(np.int64))
     for t in range(steps):
         model.predict()
-        start, part, won = model.interval(columns[t])
+        start, part, hit2, hit1 = model.interval(columns[t])
         r = size >> _U(_TOTAL_BITS)
         low += start * r
         size = part * r
-        while (i := _loose(low, size)).size:
-            out[i, used[i]] = low[i] >> _U(48)
-            used[i] += 1
-            low[i] <<= _U(16)
-            size[i] <<= _U(16)
-        model.update(columns[t], won)
+        i = None
+        while (i := _loose(low, size, i)).size:
+            top, at = low[i], used[i]
+            out[i, at] = top >> _U(48)
+            used[i] = at + 1
+            low[i] = top << _U(16)
+            size[i] = size[i] << _U(16)
+        model.update(columns[t], hit2, hit1)
     for _ in range(4):
         out[np.arange(lanes), used] = low >> _U(48)
         used += 1
@@ -144,15 +164,17 @@ def _decode_lanes(blobs: list[bytes], steps: int) -> np.ndarray:
         r = size >> _U(_TOTAL_BITS)
         v = np.minimum((code - low) // r, _U((1 << _TOTAL_BITS) - 1)).astype(np.int64)
         ids[t] = model.find(v)
-        start, part, won = model.interval(ids[t])
+        start, part, hit2, hit1 = model.interval(ids[t])
         low += start * r
         size = part * r
-        while (i := _loose(low, size)).size:
-            code[i] = code[i] << _U(16) | words[i, np.minimum(used[i], longest + 7)].astype(_U)
-            used[i] += 1
-            low[i] <<= _U(16)
-            size[i] <<= _U(16)
-        model.update(ids[t], won)
+        i = None
+        while (i := _loose(low, size, i)).size:
+            at = used[i]
+            code[i] = code[i] << _U(16) | words[i, np.minimum(at, longest + 7)].astype(_U)
+            used[i] = at + 1
+            low[i] = low[i] << _U(16)
+            size[i] = size[i] << _U(16)
+        model.update(ids[t], hit2, hit1)
     return ids.T
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import Memo, shared_dir
+from pulsegrid.llm.common import Memo, kept, shared_dir
 from pulsegrid.llm.rangecoder import BLOCK, decode_blocks, encode_blocks
 
 #: The id that ends a document.
@@ -27,28 +27,37 @@ MAGIC = b"PGTOKEN1"
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of a file, about: what a task holds before it writes.
 FILE_TOKENS = 16_000_000
-#: Distinct cuts that a worker remembers.
-MOST_CUTS = 500_000
+#: Distinct cuts that a worker remembers, in each of two generations.
+MOST_CUTS = 300_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from U+0100."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
 
 
 class TextCoder:
-    """ids of a text, as the tokenizers library has them; each distinct cut of the text is encoded by the library once."""
+    """ids of a text, as the tokenizers library has them; the library's model merges each distinct cut of the text once."""
 
     def __init__(self, tokenizer: str):
         self.library = Tokenizer.from_str(tokenizer)
+        self.model, self.letters = self.library.model, byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cuts = regex.compile(CUTS).findall
-        self.memo = Memo(self._ids, MOST_CUTS)
+        self.memo = Memo(self._merged, MOST_CUTS)
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _merged(self, cut: str) -> bytes:
+        written = cut.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """Packed little-endian ids; null is empty. A text with the string of a special token goes to the library whole."""
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return self._ids(text)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.memo.__getitem__, self.cuts(text)))
 
 
@@ -105,7 +114,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     dealt = keyed.repartitionByRange(files, "doc_id", "th").sortWithinPartitions("doc_id", "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = TextCoder(shared.value), np.array([END], "<u4").tobytes()
+        coder, end = kept(("text", hash(shared.value)), lambda: TextCoder(shared.value)), np.array([END], "<u4").tobytes()
         context = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
         keys, rows, held, number = [], [], 0, 0
