@@ -8,7 +8,7 @@ from pulsegrid.llm.mixing import op3_mixing
 from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
-from pulsegrid.llm.substrings import op4_substring_dedup
+from pulsegrid.llm.substrings import OP4_SQL, op4_substring_dedup
 from pulsegrid.llm.surrogates import op9_pii_surrogates
 from pulsegrid.llm.tokenfile import op8_token_binary
 from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op5_sentencepiece": op5_sentencepiece,
+    "op4_substring_dedup": OP4_SQL,
     "op7_url_filters": OP7_SQL,
 }

@@ -37,13 +37,13 @@ _NAME = "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True))
 DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("private_key", "-", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----")),
     ("email", "@", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")),
-    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}(?P<v>[^\s\"',;<>]{6,200})")),
+    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,200})")),
     ("access_key", "_-AG", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[0-9A-Z]{16})\b|\b(?:gh[pousr]_|sk-|xox[bp]-)(?P<w>[A-Za-z0-9-]{16,200})")),
     ("iban", "", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("ip", ".", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("phone", "+(-. ", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
     ("national_id", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("card", "", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])")),
+    ("card", "", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")),
     ("name", "", re.compile(rf"(?<!\w)(?P<t>{_NAME})\.? (?P<v>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)")),
 )
 _DIGIT = re.compile("[0-9]")
@@ -59,14 +59,19 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     for kind, signs, pattern in DETECTORS:
         if kind in _NEEDS_DIGIT and not digit or signs and not any(c in text for c in signs) or kind == "name" and not _TITLE.search(text):
             continue
+        own = []
         for m in pattern.finditer(text):
             groups = m.groupdict()
             g = next((k for k in ("v", "w") if groups.get(k) is not None), 0)
-            s, e = m.span(g)
-            if kind == "iban" and not _iban_valid(m[0]):
-                continue
-            if all(e <= a or s >= b for a, b, _ in found):
-                found.append((s, e, f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
+            if kind != "iban" or _iban_valid(m[0]):
+                own.append((*m.span(g), f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
+        if own:  # what one type has claimed, the next ones don't see
+            found += own
+            at, parts = 0, []
+            for s, e, _ in own:
+                parts += [text[at:s], "\0" * (e - s)]
+                at = e
+            text = "".join([*parts, text[at:]])
     return sorted(found)
 
 

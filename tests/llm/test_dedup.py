@@ -38,6 +38,10 @@ def test_repeated_windows_of_documents(spark):
     assert sorted(got, key=str) == brute_cut(rows, 35) and any(r[2] for r in got)
 
 
+def test_repeated_windows_match_sql(spark, duck):
+    assert rows_of(substrings.op4_substring_dedup(spark, SF).toPandas()) == rows_of(duck.execute(substrings.OP4_SQL).df())
+
+
 def test_repeats_within_a_text_and_short_windows(spark):
     rows = [(1, "a b c a b c"), (2, "x y z"), (3, "a b")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -61,7 +65,7 @@ def test_sketch_never_underestimates():
     assert all((c[idx[:700]] >= 2).all() for c, idx in zip(counts, substrings._counters(h1, h2, 20), strict=True))
 
 
-def reference_fingerprint(text):
+def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     if not words:
         return 0
@@ -71,7 +75,7 @@ def reference_fingerprint(text):
 
 
 def brute_components(rows, distance=4):
-    fp = [reference_fingerprint(t) for _, t in rows]
+    fp = [plain_fingerprint(t) for _, t in rows]
     parent = list(range(len(rows)))
 
     def find(i):

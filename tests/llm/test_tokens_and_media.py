@@ -249,6 +249,13 @@ def test_surrogates_keep_type_format_and_coreference():
     assert surrogates.replace(SAMPLE, KEY)[0] == out != surrogates.replace(SAMPLE, b"other")[0]
 
 
+def test_secrets_in_quotes_and_numbers_side_by_side():
+    text = 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" 4451718024887799 25.102.19.31 4111111111111111 +1 (314) 555-6532 4663622617512349'
+    out, found = surrogates.replace(text, KEY)
+    assert [k for _, _, k in found] == ["secret", "card", "ip", "card", "phone", "card"]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" \d{16} \d+\.\d+\.\d+\.\d+ \d{16} \+1 \(\d{3}\) \d{3}-\d{4} \d{16}', out)
+
+
 def test_clean_text_is_left_alone():
     for t in (None, "", "Plain words, 3.14 and 2024-01-01; section 1.2.3.4.5 @home = fine", "Mr. and Mrs. were out"):
         assert surrogates.replace(t, KEY) == (t, [])
