@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Memo
+from pulsegrid.llm.common import Memo, kept
 
 #: The sign that stands for a space, and the runs that a best path can be cut into where no piece has it after another character.
 SPACE = "▁"
@@ -96,12 +96,16 @@ def model_proto(path: str | None = None) -> bytes:
         return f.read()
 
 
+def _coder(proto: bytes) -> PieceCoder:
+    return kept(("pieces", hash(proto)), lambda: PieceCoder(proto))
+
+
 def encode_docs(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens and ids (array<int>) of every row of docs (doc_id, text); null and empty texts have no ids."""
     shared = docs.sparkSession.sparkContext.broadcast(model_proto(model_path))  # a model file: under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(shared.value)
+        coder = _coder(shared.value)
         for batch in batches:
             for part in _slices(batch):
                 rows = [coder.encode(x.as_py()) for x in part.column(1)]
@@ -122,7 +126,7 @@ def decode_docs(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(model_proto(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(shared.value)
+        coder = _coder(shared.value)
         for batch in batches:
             out = [coder.decode(x.values.to_numpy() if x.is_valid else []) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
@@ -136,7 +140,7 @@ def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(model_proto())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder(shared.value)
+        coder = _coder(shared.value)
         for batch in batches:
             rows = []
             for x in batch.column(1):
