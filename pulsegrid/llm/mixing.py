@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.common import encode, materialise
 
 #: Labelled rows that are fitted on, of each domain at most, and characters of each that are used.
-ROWS_PER_DOMAIN, TEXT_CHARS = 1500, 16_384
+ROWS_PER_DOMAIN, TEXT_CHARS = 1500, 8_192
 #: Words that may be features, and the least G-squared that makes one (0.9999 of chance words stay below 15).
-MOST_WORDS, LEAST_G2 = 2000, 20.0
+MOST_WORDS, LEAST_G2 = 400, 20.0
 #: Steps of projected gradient, and the relative error of the totals at which they end.
 MOST_STEPS, TOLERANCE = 60, 1e-4
 
@@ -208,9 +208,10 @@ def copies(rate: F.Column, *key: str) -> F.Column:
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """docs, each row as often as its rate says; columns as in docs."""
-    n = mixed.select(F.col("doc_id").alias("mx_id"), F.col("th").alias("mx_th"), copies(F.col("rate"), "doc_id", "th").alias("mx_n")).dropDuplicates(["mx_id", "mx_th"])
-    same = docs["doc_id"].cast("long").eqNullSafe(n["mx_id"]) & (F.xxhash64(docs["text"]) == n["mx_th"])
-    return docs.join(n, same).withColumn("mx_i", F.explode(F.expr("array_repeat(0, mx_n)"))).select(*docs.columns)
+    n = mixed.select(F.col("doc_id").alias("id"), "th", copies(F.col("rate"), "doc_id", "th").alias("n")).dropDuplicates(["id", "th"])
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    same = F.col("doc.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64("doc.text") == F.col("th"))
+    return rows.join(n, same).select("doc", F.explode(F.expr("array_repeat(0, n)")).alias("i")).select("doc.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
