@@ -170,9 +170,11 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
     fps = materialise(fingerprints(docs, size), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comps = connected_components(block_links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
-    nodes = nodes.join(comps, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
-    least = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "component_id")
+    members = materialise(nodes.join(comps, "fp").select("fp", "root", "first_id"), "members")
+    # a table of its own, so that a component of very many fingerprints can be split in the join
+    least = materialise(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    named = members.join(least, "root").select("fp", "component_id")
+    nodes = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
