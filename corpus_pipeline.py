@@ -32,7 +32,7 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rates say: the expected tokens of each domain meet the target weights."""
-    mixed = mixing.mix(docs, mixing.label_model(spark, sf_dir), mixing.TARGETS)
+    mixed = mixing.mix(docs, mixing.label_model(spark, sf_dir), mixing.AFTER_QUALITY)
     return mixing.take(docs, mixed)
 
 

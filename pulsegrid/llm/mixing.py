@@ -22,6 +22,8 @@ MOST_STEPS, TOLERANCE = 60, 1e-4
 
 #: The registered mixture: domains of the labels table and their share of the tokens.
 TARGETS = {"clean": 0.93, "toxic": 0.02, "low": 0.05}
+#: The mixture of the pipeline, whose input has little low-quality text left: near what is there, but for toxic text.
+AFTER_QUALITY = {"clean": 0.97, "toxic": 0.02, "low": 0.01}
 
 _UPPER = bytes(i for i in range(256) if not 65 <= i <= 90)
 _SIGNS = bytes(i for i in range(256) if i not in b"#*$%&|<>!@{}[]=")

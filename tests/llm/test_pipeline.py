@@ -24,7 +24,7 @@ def test_stages_take_effect(spark):
     want = {r.doc_id: surrogates.replace(r.text, surrogates.DEMO_KEY)[0] for r in a.collect()}
     assert {r.doc_id: r.text for r in b.collect()} == want and all(r.n_chars == len(r.text) for r in b.collect())
     a, b = before["mixing to target weights"]
-    n = {r.doc_id: r.n for r in mixing.mix(a, mixing.label_model(spark, SF), mixing.TARGETS).select("doc_id", mixing.copies(mixing.F.col("rate"), "doc_id", "th").alias("n")).collect()}
+    n = {r.doc_id: r.n for r in mixing.mix(a, mixing.label_model(spark, SF), mixing.AFTER_QUALITY).select("doc_id", mixing.copies(mixing.F.col("rate"), "doc_id", "th").alias("n")).collect()}
     got = [r.doc_id for r in b.collect()]
     assert {i: got.count(i) for i in set(got)} == {i: k for i, k in n.items() if k}
     a, b = before["sentencepiece"]
