@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Memo, encode, keyed_text, materialise
+from pulsegrid.llm.common import encode, materialise
 
 #: Words of a window.
 WINDOW = 35
@@ -46,7 +46,7 @@ class Windows:
     """128-bit fingerprints of all windows of a word list, by rolling polynomials modulo 2**64."""
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.memo, self.room = window, Memo(xxhash.xxh3_64_intdigest), 0
+        self.window, self.room = window, 0
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         n, k = len(words), self.window
@@ -55,7 +55,7 @@ class Windows:
         if n > self.room:
             self.room = max(4096, 2 * n)
             self.tables = [_powers(b, self.room) for b in (_B1, _B2)]
-        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, n)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
         out = []
         for x, (up, down) in zip((h, _mix(h ^ np.uint64(_B2))), self.tables, strict=True):
             total = np.zeros(n + 1, np.uint64)
@@ -171,7 +171,7 @@ def _candidates(window: int, shared):
                 at = np.flatnonzero(sketch.repeated(h1, h2))
                 if at.size:
                     ids = pa.nulls(at.size, pa.int64()) if doc_id is None else pa.array(np.full(at.size, doc_id, np.int64))
-                    for out, x in zip(rows, (pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), ids, pa.array(np.full(at.size, th, np.int64)), pa.array(at.astype(np.int32))), strict=True):
+                    for out, x in zip(rows, (pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), ids, pa.array(np.full(at.size, th, np.int32)), pa.array(at.astype(np.int32))), strict=True):
                         out.append(x)
                     held += at.size
                 if held > 200_000:
@@ -223,10 +223,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool =
     are copies of each other and lose all words that windows cover; null ids are kept as they are.
     """
     spark = docs.sparkSession
-    keyed = keyed_text(docs)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))  # th tells rows of one id apart
     shared = spark.sparkContext.broadcast(build_sketch(keyed, window))
-    found = keyed.mapInArrow(_candidates(window, shared), "h1 long, h2 long, doc_id long, th long, pos int")
-    count = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("pos").alias("pos"))
+    found = keyed.mapInArrow(_candidates(window, shared), "h1 long, h2 long, doc_id long, th int, pos int")
+    count = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("doc_id", "th", "pos")])  # of a window that is there once, its place
     once = materialise(count.where("n = 1").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("once")), "once")
     same = keyed["doc_id"].eqNullSafe(once["doc_id"]) & keyed["th"].eqNullSafe(once["th"])
     joined = keyed.join(once, same, "left").select(keyed["doc_id"], "text", "once")
@@ -236,3 +236,13 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool =
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
     return out.withColumnRenamed("kept", "kept_sha256")
+
+
+OP4_SQL = rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]'), lambda x: x <> '') AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+r AS (SELECT doc_id, i FROM k WHERE g IN (SELECT g FROM k GROUP BY g HAVING count(*) > 1)),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM r, range(0, {WINDOW}) AS t(j)),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+s AS (SELECT v.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM v ANTI JOIN c ON v.doc_id = c.doc_id AND v.p = c.p GROUP BY v.doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)"""
