@@ -171,10 +171,10 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comps = connected_components(block_links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     members = materialise(nodes.join(comps, "fp").select("fp", "root", "first_id"), "members")
-    # a table of its own, so that a component of very many fingerprints can be split in the join
+    # tables of their own, so that joins on the root of a large component or the fingerprint of many copies can be split
     least = materialise(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = members.join(least, "root").select("fp", "component_id")
-    nodes = nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    nodes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "named")
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
