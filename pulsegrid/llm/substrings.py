@@ -22,7 +22,7 @@ DEPTH, LEAST_LOG, MOST_LOG = 2, 20, 30
 #: Counters of a shard, the unit that is merged.
 SHARD_LOG = 20
 #: Windows after which a task emits its sketch so far.
-FLUSH = 4_000_000
+FLUSH = 2_500_000
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
