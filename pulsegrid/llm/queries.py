@@ -28,7 +28,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
-    "op5_sentencepiece": op5_sentencepiece,
     "op4_substring_dedup": OP4_SQL,
     "op7_url_filters": OP7_SQL,
 }

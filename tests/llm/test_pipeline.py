@@ -44,4 +44,5 @@ def test_registered():
 
     names = [*__spark_entry__.queries()]
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(isinstance(x, str) for x in __spark_entry__.oracle_sql().values())
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
