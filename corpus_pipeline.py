@@ -20,8 +20,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates; 6 differing bits find most texts that share nine of ten shingles."""
-    return simhash.keep_first(docs, distance=6)
+    """The document with the smallest doc_id of each group of texts that are linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    return simhash.keep_first(docs, size=5, distance=6, similarity=0.8)
 
 
 def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,25 +22,32 @@ EQUAL = 3
 PART = 4096
 
 
-def fingerprint(text: str | None, size: int = 4) -> int:
-    """Bit i is set if it is set in over half of the shingles' XXH64 (seed 42). No words: 0."""
+def shingles(text: str | None, size: int = 4) -> np.ndarray:
+    """XXH64 (seed 42) of each run of `size` words, as uint64; a text with fewer words is one shingle."""
     words = encode(text).lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, 42)
+        return np.array([xxhash.xxh64_intdigest(joined, 42)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - size + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    votes, n = np.zeros(64, np.int64), len(starts)
-    hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, n)
+    return np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, ends[size - 1 :].tolist())), np.uint64, len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes."""
+    votes, n = np.zeros(64, np.int64), hashes.size
     for at in range(0, n, 65536):
         votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * votes > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, size: int = 4) -> int:
+    """Bit i is set if it is set in over half of the shingles' XXH64 (seed 42). No words: 0."""
+    return majority(shingles(text, size)) if encode(text).split() else 0
+
+
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
@@ -178,13 +185,21 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
     return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, size: int = 4, distance: int = DISTANCE) -> DataFrame:
+def keep_first(docs: DataFrame, size: int = 4, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """One document for each component, that with the smallest doc_id; columns as in docs.
 
-    Rows with a null id stay, and repeated rows of an id that stays do too.
+    With a similarity, links are those of `similar.near_copies`: candidates whose sets of shingles
+    have at least that Jaccard similarity. Rows with a null id stay, and repeated rows of an id that
+    stays do too.
     """
-    drop = near_duplicates(docs, size, distance).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    if similarity is None:
+        drop = near_duplicates(docs, size, distance).where("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    from pulsegrid.llm import similar
+
+    drop = similar.near_copies(docs, size, distance, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")).distinct()
+    same = (F.col("doc.doc_id").cast("long") == F.col("drop_id")) & (F.xxhash64("doc.text") == F.col("drop_th"))
+    return docs.select(F.struct(*docs.columns).alias("doc")).join(drop, same, "left_anti").select("doc.*")
 
 
 def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

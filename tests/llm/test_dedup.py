@@ -151,3 +151,54 @@ def test_keep_first(odd, empty):
     assert kept.columns == odd.columns and simhash.keep_first(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
     ids = sorted((r.doc_id for r in kept.select("doc_id").where(F.col("doc_id").isNotNull()).collect()))
     assert 1 in ids and 2 not in ids and rows_of(kept.where("doc_id IS NULL").select("text").toPandas())
+
+
+def brute_similar(rows, size=5, least=0.8):
+    """Component ids by all pairs' exact Jaccard similarity."""
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))}
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                old = root[i]
+                root = [root[j] if x == old else x for x in root]
+    first = {r: min((d for (d, _), x in zip(rows, root, strict=True) if x == r and d is not None), default=None) for r in set(root)}
+    return [first[r] for r in root]
+
+
+def near_rows():
+    """Texts that share 0.8 or more of their five-word shingles far beyond 6 bits, and others below it."""
+    r, rows = random.Random(5), []
+    for i in range(40):
+        words = [f"w{r.randrange(9000)}" for _ in range(150)]
+        rows.append((10 * i, " ".join(words)))
+        for j in range(1, 5):
+            changed = list(words)
+            for at in range(2, 150, 150 // (1 + j)):
+                changed[at] = f"x{r.randrange(9000)}"
+            rows.append((10 * i + j, " ".join(changed)))
+    return rows
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_near_copies_are_linked_by_similarity(spark, odd, odd_rows, part):
+    from pulsegrid.llm import similar
+
+    rows = near_rows()
+    got = {r.doc_id: r.component_id for r in similar.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5, 6, 0.8, part).collect()}
+    want = {d: c for (d, _), c in zip(rows, brute_similar(rows), strict=True)}
+    assert got == want and 40 < len(set(want.values())) < len(rows)
+    got = [(r.doc_id, r.component_id) for r in similar.near_copies(odd, 5, 6, 0.8, part).collect()]
+    assert sorted(got, key=str) == sorted(((d, c) for (d, _), c in zip(odd_rows, brute_similar(odd_rows), strict=True)), key=str)
+
+
+def test_pipeline_stage_keeps_one_of_similar_texts(spark, empty):
+    import corpus_pipeline
+
+    rows = near_rows()
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    assert kept == set(brute_similar(rows)) and corpus_pipeline.drop_near_copies(spark, empty, SF).count() == 0
