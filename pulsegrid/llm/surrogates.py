@@ -48,6 +48,10 @@ DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
 )
 _DIGIT = re.compile("[0-9]")
 _TITLE = re.compile(rf"(?<!\w)(?:{_NAME})\.? ")
+#: Types of any length, whose surrogates grow by a character each GROW attempts.
+_FREE, GROW = {"secret", "access_key", "private_key"}, 4
+#: What stands for letters of other scripts, and for all characters of a value with fewer than LEAST_DRAWN that can be replaced by their like.
+_ALPHABET, LEAST_DRAWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 6
 _NEEDS_DIGIT = {"iban", "ip", "phone", "national_id", "card"}
 
 
@@ -63,8 +67,9 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             groups = m.groupdict()
             g = next((k for k in ("v", "w") if groups.get(k) is not None), 0)
-            if kind != "iban" or _iban_valid(m[0]):
-                own.append((*m.span(g), f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
+            if kind == "iban" and not _iban_valid(m[0]) or kind in _FREE and _masked(kind, m[g]):
+                continue
+            own.append((*m.span(g), f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
         if own:  # what one type has claimed, the next ones don't see
             found += own
             at, parts = 0, []
@@ -75,6 +80,18 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
+def _masked(kind: str, value: str) -> bool:
+    """A placeholder (one sign repeated, a key block without a letter or digit), which is no entity."""
+    if kind == "private_key":
+        return not any(c.isalnum() for c in _key_body(value)[1])
+    return not value[0].isalnum() and len(set(value)) == 1
+
+
+def _key_body(value: str) -> tuple[str, str, str]:
+    head, tail = value.index("KEY-----") + 8, value.rindex("-----END")
+    return value[:head], value[head:tail], value[tail:]
+
+
 def canonical(kind: str, mention: str) -> str:
     """What all mentions of an entity share: letter case of an email, and separators of numbers, don't tell entities apart."""
     if kind == "email":
@@ -122,7 +139,17 @@ def _same_kind(c: str, draw: _Stream, hexadecimal: bool = False) -> str:
     for low, n in (("a", 26), ("A", 26), ("а", 32), ("А", 32), ("α", 17), ("Α", 17)):
         if low <= c < chr(ord(low) + n):
             return chr(ord(low) + draw.below(n))
-    return c
+    return c if c.isascii() or not c.isalnum() else _ALPHABET[draw.below(len(_ALPHABET))]
+
+
+def _free_form(value: str, attempt: int, draw: _Stream) -> str:
+    """Each letter and digit by its like; every character where too few of them tell values apart."""
+    if sum(c.isalnum() for c in value) < LEAST_DRAWN:
+        out = "".join(c if c.isspace() else _ALPHABET[draw.below(len(_ALPHABET))] for c in value)
+    else:
+        hexadecimal = re.fullmatch("[0-9a-fA-F]+", value) is not None
+        out = "".join(_same_kind(c, draw, hexadecimal) for c in value)
+    return out + "".join(_ALPHABET[draw.below(len(_ALPHABET))] for _ in range(attempt // GROW))
 
 
 def script_of(word: str) -> str:
@@ -132,13 +159,13 @@ def script_of(word: str) -> str:
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
     """The canonical surrogate of a canonical entity: never the entity itself, of the same type, length and format."""
     for turn in range(1000):
-        out = _draw(kind, entity, _Stream(kind, entity, attempt, turn, key=key))
+        out = _draw(kind, entity, attempt, _Stream(kind, entity, attempt, turn, key=key))
         if out != entity:
             return out
     raise ValueError(f"no other {kind} has the format of this one")
 
 
-def _draw(kind: str, entity: str, draw: _Stream) -> str:
+def _draw(kind: str, entity: str, attempt: int, draw: _Stream) -> str:
     if kind == "email":
         local, _, domain = entity.partition("@")
         name, _, top = domain.rpartition(".")
@@ -153,8 +180,8 @@ def _draw(kind: str, entity: str, draw: _Stream) -> str:
     if kind == "iban":
         body = "".join(_same_kind(c, draw) for c in entity[4:])
         return f"{entity[:2]}{98 - _iban_mod(entity[:2] + '00' + body):02d}{body}"
-    if kind == "secret":
-        return "".join(_same_kind(c, draw, re.fullmatch("[0-9a-fA-F]+", entity) is not None) for c in entity)
+    if kind in ("secret", "access_key"):
+        return _free_form(entity, attempt, draw)
     if kind.startswith("name_"):
         script, words = script_of(entity), entity.split(" ")
         pool = _GIVEN.get((script, kind[-1])) or [*_GIVEN.get((script, "m"), ()), *_GIVEN.get((script, "f"), ())]
@@ -164,8 +191,8 @@ def _draw(kind: str, entity: str, draw: _Stream) -> str:
         out = " ".join(parts)
         return out.upper() if entity.isupper() else out
     if kind == "private_key":
-        head, tail = entity.index("KEY-----") + 8, entity.rindex("-----END")
-        return entity[:head] + "".join(_same_kind(c, draw) for c in entity[head:tail]) + entity[tail:]
+        head, body, tail = _key_body(entity)
+        return head + _free_form(body, attempt, draw) + tail
     return "".join(_same_kind(c, draw) for c in entity)
 
 

@@ -297,3 +297,14 @@ def test_surrogate_query(spark):
         found = surrogates.detect(texts[r.doc_id])
         assert r.n_entities == len(found) and (r.text == texts[r.doc_id]) == (not found)
         assert not any(texts[r.doc_id][s:e] in r.text for s, e, _ in found)
+
+
+def test_values_without_letters_have_a_defined_result(spark):
+    masked = ["password: ********", "token = --------", "pwd: ••••••••", "sk-" + "-" * 20, "-----BEGIN PRIVATE KEY-----\n***\n-----END PRIVATE KEY-----"]
+    assert [surrogates.replace(t, KEY) for t in masked] == [(t, []) for t in masked]
+    values = ["!@#$%^&*", "密码密码密码", "ひみつのことば", "________a", "سر-سر-سر-سر"]
+    rows = [(i, f"password: {v}") for i, v in enumerate(values)] + [(9 + i, t) for i, t in enumerate(masked)]
+    got = {r.doc_id: (r.text, r.n_entities) for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    for i, v in enumerate(values):
+        assert got[i][1] == 1 and len(got[i][0]) == len(rows[i][1]) and not any(c in got[i][0][10:] for c in v if c.isalnum() and not c.isascii()) and v not in got[i][0]
+    assert all(got[i] == (t, 0) for i, t in rows[len(values) :])
