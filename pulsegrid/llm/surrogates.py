@@ -48,7 +48,7 @@ DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
 )
 _DIGIT = re.compile("[0-9]")
 _TITLE = re.compile(rf"(?<!\w)(?:{_NAME})\.? ")
-#: Types of any length, whose surrogates grow by a character each GROW attempts.
+#: Types of any length. Their surrogates, emails and names grow by a character or syllable each GROW attempts, so any number of them gets distinct ones.
 _FREE, GROW = {"secret", "access_key", "private_key"}, 4
 #: What stands for letters of other scripts, and for all characters of a value with fewer than LEAST_DRAWN that can be replaced by their like.
 _ALPHABET, LEAST_DRAWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 6
@@ -156,10 +156,15 @@ def script_of(word: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "greek" if re.search("[Ͱ-Ͽ]", word) else "latin"
 
 
+def family(kind: str) -> str:
+    """The type within which entities and surrogates are told apart: names of all titles are one."""
+    return "name" if kind.startswith("name_") else kind
+
+
 def surrogate(kind: str, entity: str, attempt: int, key: bytes) -> str:
     """The canonical surrogate of a canonical entity: never the entity itself, of the same type, length and format."""
     for turn in range(1000):
-        out = _draw(kind, entity, attempt, _Stream(kind, entity, attempt, turn, key=key))
+        out = _draw(kind, entity, attempt, _Stream(family(kind), entity, attempt, turn, key=key))
         if out != entity:
             return out
     raise ValueError(f"no other {kind} has the format of this one")
@@ -169,7 +174,8 @@ def _draw(kind: str, entity: str, attempt: int, draw: _Stream) -> str:
     if kind == "email":
         local, _, domain = entity.partition("@")
         name, _, top = domain.rpartition(".")
-        return "".join(_same_kind(c, draw) for c in local) + "@" + "".join(_same_kind(c, draw) for c in name) + "." + top
+        more = "".join(_ALPHABET[draw.below(len(_ALPHABET))] for _ in range(attempt // GROW)).lower()
+        return "".join(_same_kind(c, draw) for c in local) + more + "@" + "".join(_same_kind(c, draw) for c in name) + "." + top
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
@@ -185,9 +191,10 @@ def _draw(kind: str, entity: str, attempt: int, draw: _Stream) -> str:
     if kind.startswith("name_"):
         script, words = script_of(entity), entity.split(" ")
         pool = _GIVEN.get((script, kind[-1])) or [*_GIVEN.get((script, "m"), ()), *_GIVEN.get((script, "f"), ())]
-        parts = [pool[draw.below(len(pool))]] if len(words) > 1 else []
         syllables = _SYLLABLES[script]
-        parts.append("".join(syllables[draw.below(len(syllables))] for _ in range(3)).capitalize())
+        parts = ["".join(syllables[draw.below(len(syllables))] for _ in range(3 + attempt // GROW)).capitalize()]
+        if len(words) > 1:
+            parts.insert(0, pool[draw.below(len(pool))])
         out = " ".join(parts)
         return out.upper() if entity.isupper() else out
     if kind == "private_key":
@@ -209,8 +216,8 @@ def written_as(kind: str, mention: str, canon: str) -> str:
     return canon
 
 
-def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with every entity replaced, and the entities' spans in the given text."""
+def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], tuple[str, int]] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The text with every entity replaced, and the entities' spans in the given text. `attempts` has the type and attempt to draw by, where not the first of its own."""
     found = detect(text)
     if not found:
         return text, found
@@ -218,7 +225,8 @@ def replace(text: str | None, key: bytes, attempts: dict[tuple[str, str], int] |
     for s, e, kind in found:
         mention = text[s:e]
         canon = canonical(kind, mention)
-        out += [text[at:s], written_as(kind, mention, surrogate(kind, canon, (attempts or {}).get((kind, canon), 0), key))]
+        as_kind, attempt = (attempts or {}).get((kind, canon), (kind, 0))
+        out += [text[at:s], written_as(kind, mention, surrogate(as_kind, canon, attempt, key))]
         at = e
     return "".join([*out, text[at:]]), found
 
@@ -245,22 +253,27 @@ def _surrogate_column(key: bytes):
 
 
 def assign(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, attempt) of those distinct entities (kind, canon) whose first surrogate won't do.
+    """(kind, canon, as_kind, attempt) of those distinct entities (kind, canon) whose first surrogate won't do.
 
-    An entity draws anew while another (of the same kind, earlier by attempt and name) has its
+    An entity draws anew while another (of the same family, earlier by attempt and name) has its
     surrogate, or while its surrogate is itself an entity of the input; the check runs over all entities.
+    A name that stands after a title without gender is drawn as after the gendered title of its other mentions, if they have one gender.
     """
-    current = entities.select("kind", "canon", F.lit(0).alias("attempt"))
+    gendered = entities.where("kind IN ('name_m', 'name_f')").groupBy("canon").agg(F.min("kind").alias("g1"), F.max("kind").alias("g2")).where("g1 = g2").select("canon", F.lit("name_n").alias("kind"), "g1")
+    drawn_as = materialise(entities.join(gendered, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("g1", "kind").alias("as_kind")), "drawn-as")
+    current = drawn_as.select(F.col("as_kind").alias("kind"), "canon").distinct().withColumn("attempt", F.lit(0))
+    fam = F.when(F.col("kind").startswith("name_"), F.lit("name")).otherwise(F.col("kind")).alias("family")
     for turn in range(MOST_ATTEMPTS):
         drawn = current.mapInArrow(_surrogate_column(key), "kind string, canon string, attempt int, canon_surrogate string")
-        drawn = materialise(drawn, f"drawn{turn}")
+        drawn = materialise(drawn.select("*", fam), f"drawn{turn}")
         # A family keeps one of those that share a surrogate: the one settled longest ago.
-        first = drawn.groupBy("kind", "canon_surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        clash = drawn.join(first, ["kind", "canon_surrogate"]).where("canon <> first.canon").select("kind", "canon")
-        real = drawn.alias("d").join(entities.select("kind", F.col("canon").alias("canon_surrogate")), ["kind", "canon_surrogate"], "left_semi").select("kind", "canon")
+        first = drawn.groupBy("family", "canon_surrogate").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        clash = drawn.join(first, ["family", "canon_surrogate"]).where("canon <> first.canon").select("kind", "canon")
+        real = drawn.join(entities.select(fam, F.col("canon").alias("canon_surrogate")), ["family", "canon_surrogate"], "left_semi").select("kind", "canon")
         again = materialise(clash.unionByName(real).distinct(), f"clash{turn}")
         if again.isEmpty():
-            return drawn.where("attempt > 0").select("kind", "canon", "attempt")
+            settled = drawn.select(F.col("kind").alias("as_kind"), "canon", "attempt")
+            return drawn_as.join(settled, ["as_kind", "canon"]).where("attempt > 0 OR as_kind <> kind").select("kind", "canon", "as_kind", "attempt")
         current = drawn.join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
     raise RuntimeError(f"entities still share surrogates after {MOST_ATTEMPTS} attempts")
 
@@ -268,7 +281,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs (doc_id, text and others) with each text's entities replaced; n_entities is added.
 
-    An entity has the same surrogate in all texts, two entities never share one, and none is an
+    An entity has the same surrogate in all texts (a full name has one for each gender its titles give it), two entities never share one, and none is an
     entity of the input. Texts without entities are unchanged, null and empty ones too; repeated rows
     are changed alike; a column n_entities of docs is replaced. A first surrogate needs the key alone; only the rare entities that had to draw
     again are looked up, by a join of their documents (kept small enough to broadcast by Spark's own size check or else shuffled).
@@ -276,7 +289,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     docs = docs.drop("n_entities")
     mentions = materialise(keyed_text(docs).select("doc_id", "text", "th").mapInArrow(_mentions, "doc_id long, th long, kind string, canon string"), "mentions")
     redrawn = materialise(assign(mentions.select("kind", "canon").distinct(), key), "redrawn")
-    by_doc = mentions.join(redrawn, ["kind", "canon"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("again"))
+    by_doc = mentions.join(redrawn, ["kind", "canon"]).groupBy("doc_id", "th").agg(F.collect_list(F.struct("kind", "canon", "as_kind", "attempt")).alias("again"))
     by_doc = materialise(by_doc, "redrawn-docs")
     rows = docs.select(F.struct(*docs.columns).alias("doc"))
     same = F.col("doc.doc_id").cast("long").eqNullSafe(by_doc["doc_id"]) & (F.xxhash64("doc.text") == by_doc["th"])
@@ -289,7 +302,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
         for batch in batches:
             texts, counts = [], []
             for x, again in zip(batch.column(at), batch.column(len(names)), strict=True):
-                redo = {(r["kind"], r["canon"]): r["attempt"] for r in again.as_py() or ()} if again.is_valid else None
+                redo = {(r["kind"], r["canon"]): (r["as_kind"], r["attempt"]) for r in again.as_py() or ()} if again.is_valid else None
                 text, found = replace(x.as_py(), key, redo)
                 texts.append(text)
                 counts.append(len(found))

@@ -308,3 +308,14 @@ def test_values_without_letters_have_a_defined_result(spark):
     for i, v in enumerate(values):
         assert got[i][1] == 1 and len(got[i][0]) == len(rows[i][1]) and not any(c in got[i][0][10:] for c in v if c.isalnum() and not c.isascii()) and v not in got[i][0]
     assert all(got[i] == (t, 0) for i, t in rows[len(values) :])
+
+
+def test_names_of_all_titles_are_told_apart_together(spark):
+    rows = [(1, "Mr Smith met Dr Smith"), (2, "Dr Adam Weber"), (3, "Herr Adam Weber")]
+    got = {r.doc_id: r.text.split() for r in surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()}
+    assert got[1][1] == got[1][4] and got[2][1:] == got[3][1:]
+    more = [surrogates._SYLLABLES["greek"][i % 16] + surrogates._SYLLABLES["greek"][i // 16 % 16] + surrogates._SYLLABLES["greek"][i // 256 % 16] + surrogates._SYLLABLES["greek"][i // 4096] for i in range(4500)]
+    entities = [(("name_m", "name_f")[i % 2], w.capitalize()) for i, w in enumerate(more)]
+    again = {(r.kind, r.canon): (r.as_kind, r.attempt) for r in surrogates.assign(spark.createDataFrame(entities, "kind string, canon string"), KEY).collect()}
+    drawn = [surrogates.surrogate(k, c, again.get((k, c), (k, 0))[1], KEY) for k, c in entities]
+    assert len(set(drawn)) == 4500 and not set(drawn) & {c for _, c in entities}
