@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -37,11 +38,13 @@ _NAME = "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True))
 DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("private_key", "-", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----")),
     ("email", "@", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")),
-    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,200})")),
-    ("access_key", "_-AG", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[0-9A-Z]{16})\b|\b(?:gh[pousr]_|sk-|xox[bp]-)(?P<w>[A-Za-z0-9-]{16,200})")),
+    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,})")),
+    ("access_key", "_-AG", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[0-9A-Z]{16})\b|\b(?:gh[pousr]_|sk-|xox[bp]-)(?P<w>[A-Za-z0-9-]{16,})")),
     ("iban", "", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("ip", ".", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
+    ("ipv6", ":", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")),
     ("phone", "+(-. ", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    ("phone_intl", "+", re.compile(r"(?<![0-9A-Za-z+])\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])")),
     ("national_id", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("card", "", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")),
     ("name", "", re.compile(rf"(?<!\w)(?P<t>{_NAME})\.? (?P<v>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)")),
@@ -52,7 +55,7 @@ _TITLE = re.compile(rf"(?<!\w)(?:{_NAME})\.? ")
 _FREE, GROW = {"secret", "access_key", "private_key"}, 4
 #: What stands for letters of other scripts, and for all characters of a value with fewer than LEAST_DRAWN that can be replaced by their like.
 _ALPHABET, LEAST_DRAWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 6
-_NEEDS_DIGIT = {"iban", "ip", "phone", "national_id", "card"}
+_NEEDS_DIGIT = {"iban", "ip", "ipv6", "phone", "phone_intl", "national_id", "card"}
 
 
 def detect(text: str | None) -> list[tuple[int, int, str]]:
@@ -67,7 +70,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             groups = m.groupdict()
             g = next((k for k in ("v", "w") if groups.get(k) is not None), 0)
-            if kind == "iban" and not _iban_valid(m[0]) or kind in _FREE and _masked(kind, m[g]):
+            if not _VALID.get(kind, bool)(m[0]) or kind in _FREE and _masked(kind, m[g]):
                 continue
             own.append((*m.span(g), f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
         if own:  # what one type has claimed, the next ones don't see
@@ -98,7 +101,9 @@ def canonical(kind: str, mention: str) -> str:
         return mention.lower()
     if kind == "phone":
         return "".join(_DIGIT.findall(mention))[-10:]
-    if kind in ("card", "national_id"):
+    if kind == "ipv6":
+        return str(ipaddress.IPv6Address(mention))
+    if kind in ("card", "national_id", "phone_intl"):
         return "".join(_DIGIT.findall(mention))
     return mention.replace(" ", "") if kind == "iban" else mention
 
@@ -131,6 +136,21 @@ def _iban_valid(mention: str) -> bool:
     return 15 <= len(s) <= 34 and _iban_mod(s) == 1
 
 
+def _ipv6_valid(mention: str) -> bool:
+    """An address; a short one needs a digit and a group of three, so that words of code are none."""
+    try:
+        ipaddress.IPv6Address(mention)
+    except ValueError:
+        return False
+    return "::" not in mention or _DIGIT.search(mention) is not None and any(len(x) > 2 for x in mention.split(":"))
+
+
+_VALID = {"iban": _iban_valid, "ipv6": _ipv6_valid, "phone_intl": lambda m: not re.fullmatch(r"\+[0-9]+\.[0-9]+", m)}
+
+#: Country codes of two digits; 1 and 7 have one, all others three.
+_TWO_DIGITS = {*map(str, (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98))}
+
+
 def _same_kind(c: str, draw: _Stream, hexadecimal: bool = False) -> str:
     if c.isascii() and c.isdigit():
         return "0123456789"[draw.below(10)]
@@ -178,6 +198,11 @@ def _draw(kind: str, entity: str, attempt: int, draw: _Stream) -> str:
         return "".join(_same_kind(c, draw) for c in local) + more + "@" + "".join(_same_kind(c, draw) for c in name) + "." + top
     if kind == "ip":
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
+    if kind == "ipv6":
+        return ":".join(f"{0x1000 + draw.below(0xF000):x}" for _ in range(8))
+    if kind == "phone_intl":
+        code = 1 if entity[0] in "17" else 2 if entity[:2] in _TWO_DIGITS else 3
+        return entity[:code] + "".join(_same_kind(c, draw) for c in entity[code:])
     if kind == "card":
         body = entity[0] + "".join(_same_kind(c, draw) for c in entity[1:-1])
         return body + (str(-_luhn(body + "0") % 10) if _luhn(entity) == 0 else str(draw.below(10)))
@@ -207,7 +232,7 @@ def written_as(kind: str, mention: str, canon: str) -> str:
     """The canonical surrogate in the mention's layout: its separators, country code and letter case."""
     if kind == "email":
         return canon.upper() if mention.isupper() else canon
-    if kind in ("phone", "card", "national_id", "iban"):
+    if kind in ("phone", "phone_intl", "card", "national_id", "iban"):
         marks = list(mention)
         at = [i for i, c in enumerate(marks) if (c.isalnum() if kind == "iban" else c.isdigit())][-len(canon) :]
         for i, c in zip(at, canon, strict=True):

@@ -319,3 +319,20 @@ def test_names_of_all_titles_are_told_apart_together(spark):
     again = {(r.kind, r.canon): (r.as_kind, r.attempt) for r in surrogates.assign(spark.createDataFrame(entities, "kind string, canon string"), KEY).collect()}
     drawn = [surrogates.surrogate(k, c, again.get((k, c), (k, 0))[1], KEY) for k, c in entities]
     assert len(set(drawn)) == 4500 and not set(drawn) & {c for _, c in entities}
+
+
+def test_long_secrets_other_phones_and_ipv6():
+    long = "aZ9" * 200
+    for head in ("token = ", "sk-"):
+        out, found = surrogates.replace(head + long, KEY)
+        assert len(found) == 1 and len(out) == len(head + long) and out[-300:] != long[-300:]
+        assert surrogates.replace(head + long + "x", KEY)[0][:-1] != out
+    for phone in ("+44 20 7946 0958", "+33 1 23 45 67 89", "+49 30 1234567", "+49301234567"):
+        out, found = surrogates.replace(f"call {phone}, now", KEY)
+        assert len(found) == 1 and phone not in out and re.fullmatch(re.sub(r"[0-9]", r"\\d", re.escape(f"call {phone}, now")), out) and out[5:8] == phone[:3]
+    assert surrogates.replace("+49 30 1234567", KEY)[0].replace(" ", "") == surrogates.replace("+49301234567", KEY)[0]
+    for ip in ("2001:db8:0:0:8:800:200c:417a", "fe80::1ff:fe23:4567:890a"):
+        out, found = surrogates.replace(f"from {ip}.", KEY)
+        assert [k for *_, k in found] == ["ipv6"] and ip not in out
+    for t in ("std::cafe::x at 10:30:45, 01:23:45:67:89:ab", "rose +1.23456789 and a::b"):
+        assert surrogates.replace(t, KEY) == (t, [])
