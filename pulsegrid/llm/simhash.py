@@ -49,14 +49,14 @@ def fingerprint(text: str | None, size: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 4) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
+    """doc_id, th (a hash of the text) and fp (the fingerprint as a signed long) of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), size) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return keyed_text(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return keyed_text(docs).select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, fp long")
 
 
 def masks(distance: int = DISTANCE) -> list[int]:
@@ -174,7 +174,12 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
     empty or blank text) have fingerprint 0 and are linked like any other. Null ids get a component
     like other rows, and never name one while another id is there. An empty table gives no rows.
     """
-    fps = materialise(fingerprints(docs, size), "fingerprints")
+    return _with_components(fingerprints(docs, size).drop("th"), distance).select("doc_id", "fp", "component_id")
+
+
+def _with_components(fps: DataFrame, distance: int) -> DataFrame:
+    """fps (doc_id, fp and others) with component_id."""
+    fps = materialise(fps, "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comps = connected_components(block_links(nodes.select("fp"), distance)).select(F.col("node").alias("fp"), "root")
     members = materialise(nodes.join(comps, "fp").select("fp", "root", "first_id"), "members")
@@ -182,23 +187,24 @@ def near_duplicates(docs: DataFrame, size: int = 4, distance: int = DISTANCE) ->
     least = materialise(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     named = members.join(least, "root").select("fp", "component_id")
     nodes = materialise(nodes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "named")
-    return fps.join(nodes, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(nodes, "fp")
 
 
 def keep_first(docs: DataFrame, size: int = 4, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """One document for each component, that with the smallest doc_id; columns as in docs.
 
     With a similarity, links are those of `similar.near_copies`: candidates whose sets of shingles
-    have at least that Jaccard similarity. Rows with a null id stay, and repeated rows of an id that
-    stays do too.
+    have at least that Jaccard similarity. Rows with a null id stay, and repeated rows that stay do
+    too. Where an id stands on different texts, each goes or stays with its own component.
     """
     if similarity is None:
-        drop = near_duplicates(docs, size, distance).where("doc_id <> component_id").select("doc_id").distinct()
-        return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    from pulsegrid.llm import similar
+        found = _with_components(fingerprints(docs, size), distance)
+    else:
+        from pulsegrid.llm import similar
 
-    drop = similar.near_copies(docs, size, distance, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")).distinct()
-    same = (F.col("doc.doc_id").cast("long") == F.col("drop_id")) & (F.xxhash64("doc.text") == F.col("drop_th"))
+        found = similar.near_copies(docs, size, distance, similarity)
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("drop_id"), F.col("th").alias("drop_th")).distinct()
+    same = (F.col("doc.doc_id").cast("long") == F.col("drop_id")) & (F.xxhash64("doc.text").eqNullSafe(F.col("drop_th")))
     return docs.select(F.struct(*docs.columns).alias("doc")).join(drop, same, "left_anti").select("doc.*")
 
 

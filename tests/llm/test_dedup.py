@@ -202,3 +202,8 @@ def test_pipeline_stage_keeps_one_of_similar_texts(spark, empty):
     rows = near_rows()
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     assert kept == set(brute_similar(rows)) and corpus_pipeline.drop_near_copies(spark, empty, SF).count() == 0
+
+
+def test_keep_first_tells_texts_of_an_id_apart(odd, odd_rows):
+    kept = [r.text for r in simhash.keep_first(odd).collect()]
+    assert odd_rows[3][1] in kept and odd_rows[1][1] in kept and simhash.keep_first(odd).where("doc_id = 2").count() == 0
