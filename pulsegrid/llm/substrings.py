@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,17 +13,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import encode, materialise
+from pulsegrid.llm.common import encode, materialise, shared_dir
 
 #: Words of a window.
 WINDOW = 35
-#: Rows of the sketch; counters in a row: a power of two, about 3 for each window, 2**MOST_LOG at most.
-#: The merged sketch is a bit for each counter: 2 * 128 MB at most. Beyond, more windows go to the exact count; none is lost.
-DEPTH, LEAST_LOG, MOST_LOG = 2, 20, 30
-#: Counters of a shard, the unit that is merged.
-SHARD_LOG = 20
-#: Windows after which a task emits its sketch so far.
-FLUSH = 2_500_000
+#: Rows of the sketch. Each has at least two counters a window at any size, as a word and its space are two bytes at least.
+DEPTH, LEAST_LOG = 2, 20
+#: Counters of a shard, the unit that is merged (a byte a counter in the merging task).
+SHARD_LOG = 24
+#: Bytes of text in a bucket, about: what a task holds at once, with 16 bytes a window beside it. Buckets and shards meet in
+#: blobs, which get short where there are many of both; raise this with the executors' memory beyond a few terabytes of text.
+BUCKET_BYTES = 16 << 20
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -64,13 +65,9 @@ class Windows:
         return out[0], out[1]
 
 
-def _counters(h1: np.ndarray, h2: np.ndarray, log: int) -> list[np.ndarray]:
-    shift = np.uint64(64 - log)
-    return [(h1 >> shift).astype(np.uint32), (h2 >> shift).astype(np.uint32)]
-
-
-def _pack(sorted_counters: np.ndarray) -> bytes:
-    gaps = np.diff(sorted_counters, prepend=np.uint32(0)).astype("<u4")
+def _pack(counters: np.ndarray) -> bytes:
+    """Sorted counters of a shard as the byte planes of their gaps."""
+    gaps = np.diff(counters, prepend=np.uint64(0)).astype("<u4")
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
@@ -79,158 +76,171 @@ def _unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _partial_sketches(window: int, log: int):
-    """Rows (row, shard, blob): the counters a task has touched, each at most twice, as sorted gaps."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, held, n = Windows(window), [[] for _ in range(DEPTH)], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for row, parts in enumerate(held):
-                s = np.sort(np.concatenate(parts))
-                parts.clear()
-                keep = np.ones(s.size, bool)
-                keep[2:] = s[2:] != s[:-2]
-                s = s[keep]
-                shards, first = np.unique(s >> np.uint32(SHARD_LOG), return_index=True)
-                blobs = [_pack(x & np.uint32((1 << SHARD_LOG) - 1)) for x in np.split(s, first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blobs), row, np.int32)), pa.array(shards.astype(np.int32)), pa.array(blobs, pa.binary())], names=["row", "shard", "blob"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                h = windows(encode(text.as_py()).split())
-                if h[0].size:
-                    for parts, c in zip(held, _counters(*h, log), strict=True):
-                        parts.append(c)
-                    n += h[0].size
-                    if n >= FLUSH:
-                        yield from flush()
-                        n = 0
-        if n:
-            yield from flush()
+def _first_of(s: np.ndarray) -> np.ndarray:
+    first = np.ones(s.size, bool)
+    first[1:] = s[1:] != s[:-1]
+    return first
+
+
+class Bucket:
+    """The windows of all texts of a bucket, one text after the other: what each pass over it starts from."""
+
+    def __init__(self, texts: pa.ChunkedArray, window: int, log: int):
+        hashes, self.words, windows = Windows(window), [], []
+        for x in texts:
+            words = encode(x.as_py()).split()
+            self.words.append(len(words))
+            windows.append(hashes(words))
+        self.h1, self.h2 = (np.concatenate([h[i] for h in windows]) if windows else np.empty(0, np.uint64) for i in range(2))
+        self.starts = np.cumsum([0, *(h[0].size for h in windows)])
+        self.log = log
+
+    def counters(self, row: int) -> np.ndarray:
+        return (self.h1, self.h2)[row] >> np.uint64(64 - self.log)
+
+    def partial(self, shard_log: int) -> Iterator[tuple[int, int, bytes]]:
+        """(row, shard, blob): the counters that the bucket has touched, each at most twice."""
+        for row in range(DEPTH):
+            s = np.sort(self.counters(row))
+            keep = np.ones(s.size, bool)
+            keep[2:] = s[2:] != s[:-2]
+            s = s[keep]
+            shard = s >> np.uint64(shard_log)
+            at = np.flatnonzero(_first_of(shard))
+            for k, part in zip(shard[at].tolist(), np.split(s & np.uint64((1 << shard_log) - 1), at[1:]), strict=False):
+                yield row, k, _pack(part)
+
+    def repeated(self, answers: dict[int, list[tuple[int, bytes]]]) -> np.ndarray:
+        """Which windows have counters that were touched twice or more in every row, by the merged shards' answers."""
+        out = np.ones(self.h1.size, bool)
+        for row in range(DEPTH if out.size else 0):
+            c = self.counters(row)
+            order = np.argsort(c)
+            first = _first_of(s := c[order])
+            at = np.cumsum(first) - 1
+            distinct = s[first]
+            bits = np.zeros(distinct.size, bool)
+            for shard, packed in answers.get(row, ()):
+                a, e = np.searchsorted(distinct, np.array([shard, shard + 1], np.uint64) << np.uint64(self.shard_log))
+                bits[a:e] = np.unpackbits(np.frombuffer(packed, np.uint8), count=e - a, bitorder="little")
+            out[order] &= bits[at]
+        return out
 
-    return run
+    shard_log = SHARD_LOG
 
 
-def _merge(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << SHARD_LOG, np.uint8)
-    for batch in batches:
-        for blob in batch.column("blob"):
+def _merge(log: int):
+    """Of a shard: adds up all buckets' partial sketches, and answers each with a bit for each counter that it has touched: twice or more in all?"""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << log, np.uint8)
+        for blob in table["blob"]:
             s = _unpack(blob.as_py())
-            again = np.zeros(s.size, bool)
-            again[1:] = s[1:] == s[:-1]
-            counts[s[~again]] += 1
-            counts[s[again]] += 1
+            first = _first_of(s)
+            counts[s[first]] += 1
+            counts[s[~first]] += 1
             np.minimum(counts, 2, out=counts)
-    bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(counts >= 2, bitorder="little").tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int32()), pa.array([bits], pa.binary())], names=["row", "shard", "bits"])
+        bits = []
+        for blob in table["blob"]:
+            s = _unpack(blob.as_py())
+            bits.append(np.packbits(counts[s[_first_of(s)]] >= 2, bitorder="little").tobytes())
+        return pa.table({"bucket": table["bucket"], "row": table["row"], "shard": table["shard"], "bits": pa.array(bits, pa.binary())})
+
+    return run
 
 
-class Sketch:
-    """The merged sketch: which counters were touched twice or more. Estimates are never too low."""
+def _partials(window: int, log: int, shard_log: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = list(Bucket(table["text"], window, log).partial(shard_log))
+        columns = list(zip(*rows, strict=True)) or [[]] * 3
+        return pa.table({"bucket": pa.array([key[0].as_py()] * len(rows), pa.int32()), **{n: pa.array(c, t) for n, c, t in zip(("row", "shard", "blob"), columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)}})
 
-    def __init__(self, log: int, shards: list[tuple[int, int, bytes]]):
-        self.log, self.shards, self.rows = log, shards, None
+    return run
 
-    def __getstate__(self):
-        return self.log, self.shards
 
-    def __setstate__(self, state):
-        (self.log, self.shards), self.rows = state, None
+def _estimated(window: int, log: int, shard_log: int, texts: pa.Table, notes: pa.Table) -> tuple[Bucket, np.ndarray]:
+    bucket, answers = Bucket(texts["text"], window, log), {}
+    bucket.shard_log = shard_log
+    for row, shard, bits in zip(*(notes[c].to_pylist() for c in ("row", "shard", "bits")), strict=True):
+        answers.setdefault(row, []).append((shard, bits))
+    once = [shard for shard, _ in answers.pop(-1, ())]
+    repeated = bucket.repeated(answers)
+    repeated[once] = False
+    return bucket, repeated
 
-    def repeated(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        if self.rows is None:
-            width = 1 << SHARD_LOG - 3
-            self.rows = [np.zeros(1 << max(self.log, SHARD_LOG) - 3, np.uint8) for _ in range(DEPTH)]
-            for row, shard, bits in self.shards:
-                self.rows[row][shard * width : (shard + 1) * width] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bits), np.uint8)
-            self.shards = []
-        out = np.ones(h1.size, bool)
-        for bits, c in zip(self.rows, _counters(h1, h2, self.log), strict=True):
-            out &= (bits[c >> np.uint32(3)] >> (c & np.uint32(7)).astype(np.uint8)) & 1 != 0
-        return out
 
+def _candidates(window: int, log: int, shard_log: int):
+    """The fingerprints of the windows that the sketch can't rule out; place: the bucket and the window's number in it."""
 
-def build_sketch(texts: DataFrame, window: int = WINDOW) -> Sketch:
-    """The sketch of all windows of texts (text): partial sketches of the tasks, merged shard by shard."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    log = min(MOST_LOG, max(LEAST_LOG, int(np.ceil(np.log2(max(1, size // 2))))))  # about six bytes a word: three counters a window
-    parts = texts.select("text").mapInArrow(_partial_sketches(window, log), "row int, shard int, blob binary")
-    merged = parts.groupBy("row", "shard").applyInArrow(_merge, "row int, shard int, bits binary")
-    return Sketch(log, [tuple(r) for r in merged.collect()])
-
-
-def _candidates(window: int, shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, sketch = Windows(window), shared.value
-        for batch in batches:
-            rows = [[] for _ in range(5)]
-            held = 0
-            for doc_id, text, th in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                h1, h2 = windows(encode(text.as_py()).split())
-                at = np.flatnonzero(sketch.repeated(h1, h2))
-                if at.size:
-                    ids = pa.nulls(at.size, pa.int64()) if doc_id is None else pa.array(np.full(at.size, doc_id, np.int64))
-                    for out, x in zip(rows, (pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), ids, pa.array(np.full(at.size, th, np.int32)), pa.array(at.astype(np.int32))), strict=True):
-                        out.append(x)
-                    held += at.size
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in rows], names=["h1", "h2", "doc_id", "th", "pos"])
-                    rows, held = [[] for _ in range(5)], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in rows], names=["h1", "h2", "doc_id", "th", "pos"])
+    def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        bucket, repeated = _estimated(window, log, shard_log, texts, notes)
+        at = np.flatnonzero(repeated)
+        place = (np.int64(key[0].as_py()) << np.int64(32)) + at
+        return pa.table({"h1": bucket.h1[at].view(np.int64), "h2": bucket.h2[at].view(np.int64), "place": place})
 
     return run
 
 
-def _cut(window: int, shared, texts: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, sketch = Windows(window), shared.value
-        for batch in batches:
-            total, removed, out = [], [], []
-            for text, once in zip(batch.column("text"), batch.column("once"), strict=True):
-                words = encode(text.as_py()).split()
-                n, h = len(words), windows(words)
-                repeated = sketch.repeated(*h)
-                if once.is_valid:
-                    repeated[once.values.to_numpy()] = False
-                gone = 0
-                if repeated.any():
-                    cover = np.zeros(n + 1, np.int64)
-                    cover[: repeated.size] += repeated
-                    cover[window : window + repeated.size] -= repeated
-                    stay = np.cumsum(cover[:n]) == 0
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
-                    gone = n - len(words)
-                kept = b" ".join(words)
-                total.append(n)
-                removed.append(gone)
-                out.append(kept.decode() if texts else hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+def _cut(window: int, log: int, shard_log: int, as_text: bool):
+    def run(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        bucket, repeated = _estimated(window, log, shard_log, texts, notes)
+        removed, out = [], []
+        for text, n, s, e in zip(texts["text"], bucket.words, bucket.starts[:-1].tolist(), bucket.starts[1:].tolist(), strict=True):
+            words, own, gone = encode(text.as_py()).split(), repeated[s:e], 0
+            if own.any():
+                cover = np.zeros(n + 1, np.int64)
+                cover[: own.size] += own
+                cover[window : window + own.size] -= own
+                words = [words[i] for i in np.flatnonzero(np.cumsum(cover[:n]) == 0).tolist()]
+                gone = n - len(words)
+            kept = b" ".join(words)
+            removed.append(gone)
+            out.append(kept.decode() if as_text else hashlib.sha256(kept).hexdigest())
+        return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(bucket.words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(out, pa.string())})
 
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def deal_out(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
+    """(bucket, doc_id and text of docs as a table of buckets in the shared folder; bytes of all texts).
+
+    The passes that follow read a bucket as one task's group, without another shuffle of the texts. Rows are
+    dealt by their place, so that no id or text can crowd a bucket.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    n = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    name, path = f"pulsegrid_buckets_{uuid.uuid4().hex}", shared_dir(spark, "buckets")
+    rows.repartition(n, "bucket").write.option("path", path).option("compression", "zstd").bucketBy(n, "bucket").saveAsTable(name)
+    return spark.table(name), size
+
+
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, shard_log: int = SHARD_LOG) -> DataFrame:
     """doc_id, n_words, n_removed and kept of every row of docs (doc_id, text); kept: the words left, joined by a space, or their SHA-256.
 
     A word goes if a window of `window` words that covers it has the words of another window, of
-    the same text or any other, as the input has them. Windows of which the sketch saw a counter
+    the same text or any other, as the input has them. Each bucket of texts sends the counters that its
+    windows touch; shard by shard they are added up, and each bucket gets back which of its own were touched
+    twice or more. The sketch is in no place as a whole and its load never grows. Windows with a counter that was touched
     but once are unique; the rest are counted exactly by 128-bit fingerprints, before which each
-    task adds up its own, so that a passage in a third of all texts is a row for each task. The
-    windows that turn out to be unique after all go back to their texts, a list as long as the
-    text at most. Null or blank texts and texts shorter than a window lose nothing; repeated rows
-    are copies of each other and lose all words that windows cover; null ids are kept as they are.
+    task adds up its own, so that a passage in a third of all texts is a row for each task. Those
+    that turn out to be unique after all go back to their buckets. Null or blank texts and texts shorter than
+    a window lose nothing; repeated rows are copies of each other and lose all words that windows cover; null
+    ids are kept as they are, and other columns are left out. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.hash("text").alias("th"))  # th tells rows of one id apart
-    shared = spark.sparkContext.broadcast(build_sketch(keyed, window))
-    found = keyed.mapInArrow(_candidates(window, shared), "h1 long, h2 long, doc_id long, th int, pos int")
-    count = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("doc_id", "th", "pos")])  # of a window that is there once, its place
-    once = materialise(count.where("n = 1").groupBy("doc_id", "th").agg(F.collect_list("pos").alias("once")), "once")
-    same = keyed["doc_id"].eqNullSafe(once["doc_id"]) & keyed["th"].eqNullSafe(once["th"])
-    joined = keyed.join(once, same, "left").select(keyed["doc_id"], "text", "once")
-    return joined.mapInArrow(_cut(window, shared, texts), "doc_id long, n_words long, n_removed long, kept string")
+    dealt, size = deal_out(docs, bucket_bytes)
+    log = max(LEAST_LOG, int(size).bit_length())
+    shard_log = min(shard_log, log)
+    groups, schema = dealt.groupBy("bucket"), "bucket int, row int, shard long, bits binary"
+    parts = groups.applyInArrow(_partials(window, log, shard_log), "bucket int, row int, shard long, blob binary")
+    answers = materialise(parts.groupBy("row", "shard").applyInArrow(_merge(shard_log), schema), "answers")
+    found = groups.cogroup(answers.groupBy("bucket")).applyInArrow(_candidates(window, log, shard_log), "h1 long, h2 long, place long")
+    once = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).where("n = 1")  # of a window that is there once, its place
+    once = once.select(F.expr("cast(shiftright(place, 32) as int)").alias("bucket"), F.lit(-1).alias("row"), F.expr("place & 4294967295").alias("shard"), F.lit(None).cast("binary").alias("bits"))
+    notes = answers.unionByName(materialise(once, "once"))
+    return groups.cogroup(notes.groupBy("bucket")).applyInArrow(_cut(window, log, shard_log, texts), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

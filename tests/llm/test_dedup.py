@@ -53,16 +53,40 @@ def test_empty_substrings(empty):
     assert substrings.remove_repeated_windows(empty).count() == 0
 
 
+def test_many_buckets_and_shards_of_a_small_sketch(spark, odd, odd_rows, monkeypatch):
+    """Small shards and buckets, so that windows of all buckets meet in all shards, and a sketch so small that it rules little out."""
+    monkeypatch.setattr(substrings, "LEAST_LOG", 8)
+    got = [tuple(r) for r in substrings.remove_repeated_windows(odd, 5, texts=False, bucket_bytes=20_000, shard_log=12).collect()]
+    assert sorted(got, key=str) == brute_cut(odd_rows, 5)
+
+
 def test_sketch_never_underestimates():
-    rng = np.random.default_rng(0)
-    h1, h2 = (rng.integers(0, 1 << 63, 5000).astype(np.uint64) for _ in range(2))
-    h1, h2 = np.concatenate([h1, h1[:700]]), np.concatenate([h2, h2[:700]])
-    counts = [np.zeros(1 << 20, int) for _ in range(2)]
-    for c, idx in zip(counts, substrings._counters(h1, h2, 20), strict=True):
-        np.add.at(c, idx, 1)
-    blob = substrings._pack(np.sort(substrings._counters(h1, h2, 20)[0]))
-    assert (substrings._unpack(blob) == np.sort(substrings._counters(h1, h2, 20)[0])).all()
-    assert all((c[idx[:700]] >= 2).all() for c, idx in zip(counts, substrings._counters(h1, h2, 20), strict=True))
+    """Merged answers against plain counts: no repeated window is ruled out, and few others stay."""
+    import pyarrow as pa
+
+    log, shard_log = 17, 11
+    texts = [" ".join(f"{k}.{i % (4000 - k)}" for i in range(4000 + 50 * k)) for k in range(6)]
+    buckets = [substrings.Bucket(pa.chunked_array([texts[k : k + 2] + texts[:1]]), 3, log) for k in range(6)]
+    shards = {}
+    for b, x in enumerate(buckets):
+        for row, shard, blob in x.partial(shard_log):
+            shards.setdefault((row, shard), []).append((b, row, shard, blob))
+    answers = {}
+    for rows in shards.values():
+        out = substrings._merge(shard_log)(None, pa.table({n: [r[i] for r in rows] for i, n in enumerate(("bucket", "row", "shard", "blob"))}))
+        for r in out.to_pylist():
+            answers.setdefault(r["bucket"], {}).setdefault(r["row"], []).append((r["shard"], r["bits"]))
+    true = Counter(zip(np.concatenate([x.h1 for x in buckets]).tolist(), np.concatenate([x.h2 for x in buckets]).tolist(), strict=True))
+    extra = 0
+    for b, x in enumerate(buckets):
+        x.shard_log = shard_log
+        estimated = x.repeated(answers[b])
+        twice = np.array([true[k] > 1 for k in zip(x.h1.tolist(), x.h2.tolist(), strict=True)])
+        assert estimated[twice].all()
+        extra += int((estimated & ~twice).sum())
+    assert len(shards) == 2 << log - shard_log and extra < 0.1 * sum(true.values())
+    some = np.unique(np.random.default_rng(0).integers(0, 1 << 24, 5000).astype(np.uint64))
+    assert (substrings._unpack(substrings._pack(some)) == some).all()
 
 
 def plain_fingerprint(text):
