@@ -19,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset (tests), below a folder of this process."""
+    """A new folder's URI below spark.checkpoint.dir; where that is unset, below a folder of this process, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
     return f"{base.rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
@@ -42,18 +44,23 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 class Memo(dict):
     """A dict that fills itself by make(key). At `most` entries it becomes the older generation of two, of which
-    entries come back when they are asked for again: it never outgrows a worker, and frequent keys stay."""
+    entries come back when they are asked for again, so that frequent keys stay. Keys of more than LONGEST characters
+    are made each time: what it holds is bounded whatever the texts are like."""
+
+    LONGEST = 64
 
     def __init__(self, make, most: int = 250_000):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
-        value = self.older.pop(key, None)
-        if value is None:
+        value = self.older.pop(key, self)
+        if value is self:
             value = self.make(key)
         self[key] = value
         return value

@@ -8,200 +8,211 @@ import numpy as np
 
 #: Tokens of a block, and blocks that are coded in step.
 BLOCK, LANES = 2048, 4096
-#: Slots of the order-1 and order-2 tables of a block; steps between refreshes of the order-0 frequencies.
-SLOTS, REFRESH = 1024, 256
-#: Ids are below this: 256 groups of 256.
+#: Slots of the order-1 and order-2 tables of a block.
+SLOTS = 256
+#: Ids are below this.
 MOST_ID = 1 << 16
 
-# The probability of an id mixes three predictions: the id that last followed the last two ids, the id
-# that last followed the last one, and an order-0 frequency. How much of 1024 each of them gets is
-# learned, in each block anew, for each pair of their recent successes: an average that forgets. Order-0:
-# the id's group of 256 by an adaptive table of 1024, its place in the group evenly. One coding step an
-# id, of 2**28 in all.
-_MIX_BITS, _GROUP_BITS = 10, 10
-_LOW_BITS = _GROUP_BITS + 8
-_TOTAL_BITS = _MIX_BITS + _LOW_BITS
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64((1 << 32) - 1)
+# The probability of an id mixes three predictions: the id that lately followed the last two ids, the id
+# that lately followed the last one, and its order-0 frequency. How much of 2**MIX_BITS the first two get is
+# learned, in each block anew, as averages that forget, for each pair of their slots' counts of successes
+# and whether they agree. Order-0 starts from the ids' counts in the whole run of blocks (a table that goes with
+# it), of 2**PRIOR_BITS in all; where the mixture learns that the contexts do better, they take its share.
+PRIOR_BITS, MIX_BITS = 18, 10
+_FORGET, _GAIN = 5, 2016  # an average loses its 2**-_FORGET a step and gains _GAIN with a success: 63 * 1024 at most
+_HALF, _START = 1 << 32, 1 << 13
 _NONE = MOST_ID - 1  # the prediction of an empty slot; the id itself can still be coded as order-0
-_SURE, _FORGET = 16, 5  # bits of a mixing weight, and of how fast it forgets
 _U = np.uint64
+_WORD = _U(32)
+
+
+def prior_of(ids: np.ndarray) -> np.ndarray:
+    """Order-0 frequencies: of each id its share of 2**PRIOR_BITS, at least 1 where it occurs."""
+    counts = np.bincount(ids, minlength=MOST_ID)
+    used = counts > 0
+    spare = (1 << PRIOR_BITS) - int(used.sum())
+    return np.where(used, 1 + counts * spare // max(1, int(counts.sum())), 0).astype("<u4")
 
 
 class _Model:
-    """The mixed prediction of `lanes` blocks; coder and decoder take it through the same states."""
-
-    def __init__(self, lanes: int):
-        self.n = lanes
-        lane = np.arange(lanes)
-        self.slot, self.group, self.spread, self.context = lane * SLOTS, lane * 256, lane * 257, lane * 32
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.order1 = np.full(lanes * SLOTS, _NONE << 2, np.int32)
-        self.order2 = np.full(lanes * SLOTS, _NONE << 2, np.int32)
-        self.sure2 = np.full(lanes * 32, 1 << _SURE - 2, np.int32)
-        self.sure1 = np.full(lanes * 32, 1 << _SURE - 2, np.int32)
-        self.seen = np.ones(lanes * 256, np.int64)
-        self.steps = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        up = np.zeros((self.n, 257), np.int64)
-        np.cumsum(self.seen.reshape(self.n, 256), axis=1, out=up[:, 1:])
-        spare = (1 << _GROUP_BITS) - 256
-        self.starts = (up * spare // up[:, -1:] + np.arange(257)).ravel()
-        self.inverse = None
-
-    def predict(self) -> None:
-        self.i1 = self.slot + ((self.last * 40503 >> 5) & (SLOTS - 1))
-        self.i2 = self.slot + ((self.last * 40503 + self.before * 210077 >> 4) & (SLOTS - 1))
-        e1, e2 = self.order1.take(self.i1), self.order2.take(self.i2)
-        self.id1, self.id2, self.c1, self.c2 = e1 >> 2, e2 >> 2, e1 & 3, e2 & 3
-        self.at = self.context + ((self.c2 << 3) + (self.c1 << 1) + (self.id1 == self.id2))
-        self.s2, self.s1 = self.sure2.take(self.at), self.sure1.take(self.at)
-        self.f2 = (self.s2.astype(np.int64) * ((1 << _MIX_BITS) - 3) >> _SURE) + 1
-        self.both = self.f2 + (self.s1 * ((1 << _MIX_BITS) - 2 - self.f2) >> _SURE) + 1
-        self.rest = (1 << _MIX_BITS) - self.both
-
-    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.sure2[self.at] = self.s2 + ((hit2.astype(np.int32) << _SURE) - self.s2 >> _FORGET)
-        self.sure1[self.at] = np.where(hit2, self.s1, self.s1 + ((hit1.astype(np.int32) << _SURE) - self.s1 >> _FORGET))
-        entry = (ids << 2).astype(np.int32)
-        self.order1[self.i1] = entry + (self.id1 == ids) * np.minimum(self.c1 + 1, 3)
-        self.order2[self.i2] = entry + hit2 * np.minimum(self.c2 + 1, 3)
-        self.seen[self.group + (ids >> 8)] += ~(hit2 | hit1) * 8
-        self.before, self.last = self.last, ids
-        self.steps += 1
-        if self.steps % REFRESH == 0:
-            self.refresh()
-
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, size, order 2 had it, only order 1 had it) of ids within 2**_TOTAL_BITS."""
-        hit2 = self.id2 == ids
-        hit1 = (self.id1 == ids) & ~hit2
-        at = self.spread + (ids >> 8)
-        first = self.starts.take(at)
-        size = self.starts.take(at + 1) - first
-        start = (self.both << _LOW_BITS) + ((first << 8) + (ids & 255) * size) * self.rest
-        size *= self.rest
-        if (i := np.flatnonzero(hit2)).size:
-            start[i], size[i] = 0, self.f2[i] << _LOW_BITS
-        if (i := np.flatnonzero(hit1)).size:
-            start[i], size[i] = self.f2[i] << _LOW_BITS, (self.both[i] - self.f2[i]) << _LOW_BITS
-        return start.view(_U), size.view(_U), hit2, hit1
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The ids whose intervals have v."""
-        if self.inverse is None:
-            sizes = np.diff(self.starts.reshape(self.n, 257), axis=1)
-            self.inverse = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), sizes.ravel())
-            self.cell = np.arange(self.n) << _GROUP_BITS
-        mixed = v >> _LOW_BITS
-        low = np.maximum(0, v - (self.both << _LOW_BITS))
-        low = (low / self.rest).astype(np.int64)  # exact: both are below 2**28
-        group = self.inverse.take(self.cell + np.minimum(low >> 8, (1 << _GROUP_BITS) - 1)).astype(np.int64)
-        at = self.spread + group
-        first = self.starts.take(at)
-        ids = (group << 8) + np.minimum(255, (np.maximum(0, low - (first << 8)) / (self.starts.take(at + 1) - first)).astype(np.int64))
-        guessed = np.flatnonzero(mixed < self.both)
-        if guessed.size:
-            ids[guessed] = np.where(mixed[guessed] < self.f2[guessed], self.id2[guessed], self.id1[guessed])
-        return ids
-
-
-def _loose(low: np.ndarray, size: np.ndarray, among: np.ndarray | None) -> np.ndarray:
-    """Lanes whose leading 16 bits are settled, or whose range got small (it is then cut at the next boundary)."""
-    if among is not None:
-        low_of, size_of = low[among], size[among]
-    else:
-        low_of, size_of = low, size
-    settled = (low_of ^ (low_of + size_of)) < _TOP
-    small = np.flatnonzero(~settled & (size_of <= _BOTTOM))
-    if small.size:
-        where = small if among is None else among[small]
-        size[where] = (_U(0) - low[where]) & _BOTTOM
-        settled[small] = True
-    found = np.flatnonzero(settled)
-    return found if among is None else among[found]
-
-
-def _encode_lanes(ids: np.ndarray) -> list[bytes]:
-    lanes, steps = ids.shape
-    model, low, size = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    out, used = np.zeros((lanes, 2 * steps + 12), "<u2"), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(ids.T.astype(np.int64))
+    """The mixed prediction of `n` blocks; coder and decoder take it through the same states."""
+
+    def __init__(self, n: int, prior: np.ndarray):
+        self.size0 = prior.astype(_U)
+        self.start0 = np.cumsum(self.size0) - self.size0
+        self.slot, self.context = np.arange(n) * SLOTS, np.arange(n) * 32
+        self.order1, self.order2 = (np.full(n * SLOTS, _NONE << 2, np.int32) for _ in range(2))
+        self.sure = np.full(n * 32, (_START << 32) + _START, np.int64)  # two averages: order 2, order 1 alone
+        self.at1, self.at2, self.before = self.slot.copy(), self.slot.copy(), np.zeros(n, np.int64)
+        self.entry1, self.entry2, self.id1, self.id2, self.a, self.b = (np.empty(n, np.int32) for _ in range(6))
+        self.at, self.weights, self.f2, self.both, self.c = (np.empty(n, np.int64) for _ in range(5))
+        self.hit1, self.hit2 = np.empty(n, bool), np.empty(n, bool)
+        self.unit, self.top2, self.top, self.unit0, self.start, self.part = (np.empty(n, _U) for _ in range(6))
+
+    def predict(self, size: np.ndarray) -> None:
+        """Of ranges of these sizes: the ends of order 2's and of both contexts' share, and what a unit of order-0 gets."""
+        np.take(self.order1, self.at1, out=self.entry1, mode="clip")
+        np.take(self.order2, self.at2, out=self.entry2, mode="clip")
+        np.right_shift(self.entry1, 2, out=self.id1)
+        np.right_shift(self.entry2, 2, out=self.id2)
+        a, b = self.a, self.b
+        np.bitwise_and(self.entry2, 3, out=a)
+        a <<= 2
+        np.bitwise_and(self.entry1, 3, out=b)
+        a += b
+        a <<= 1
+        np.equal(self.id1, self.id2, out=self.hit1)
+        a += self.hit1
+        np.add(self.context, a, out=self.at)
+        np.take(self.sure, self.at, out=self.weights, mode="clip")
+        np.right_shift(self.weights, 38, out=self.f2)
+        self.f2 += 1
+        np.right_shift(self.weights, 6, out=self.both)
+        self.both &= 1023
+        self.both += self.f2
+        self.both += 1
+        np.right_shift(size, _U(PRIOR_BITS + MIX_BITS), out=self.unit)
+        np.subtract(1 << MIX_BITS, self.both, out=self.c)
+        np.multiply(self.unit, self.c.view(_U), out=self.unit0)
+        self.unit <<= _U(PRIOR_BITS)
+        np.multiply(self.unit, self.f2.view(_U), out=self.top2)
+        np.multiply(self.unit, self.both.view(_U), out=self.top)
+
+    def interval(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) of ids within the ranges; hit2: order 2 has it, hit1: either context has it."""
+        np.multiply(self.start0[ids], self.unit0, out=self.start)
+        self.start += self.top
+        np.multiply(self.size0[ids], self.unit0, out=self.part)
+        self.top -= self.top2
+        np.copyto(self.start, self.top2, where=hit1)
+        np.copyto(self.part, self.top, where=hit1)
+        np.copyto(self.start, 0, where=hit2)
+        np.copyto(self.part, self.top2, where=hit2)
+        return self.start, self.part
+
+    def update(self, ids: np.ndarray) -> None:
+        weights, c, hit1, hit2 = self.weights, self.c, self.hit1, self.hit2
+        np.equal(self.id1, ids, out=hit1)
+        np.equal(self.id2, ids, out=hit2)
+        fresh = ids << 2
+        for entry, hit, table, at in ((self.entry1, hit1, self.order1, self.at1), (self.entry2, hit2, self.order2, self.at2)):
+            np.bitwise_or(entry, 3, out=self.b)
+            entry += 1
+            np.minimum(entry, self.b, out=entry)  # one success more, 3 at most
+            table[at] = np.where(hit, entry, fresh)
+        np.right_shift(weights, _FORGET, out=c)
+        c &= (0x7FF << 32) | 0x7FF
+        weights -= c
+        np.multiply(hit2, _GAIN << 32, out=c)
+        weights += c
+        np.greater(hit1, hit2, out=hit1)
+        np.multiply(hit1, _GAIN, out=c)
+        weights += c
+        self.sure[self.at] = weights
+        np.multiply(ids, 40503, out=c, dtype=np.int64)
+        np.right_shift(c, 5, out=self.at1)
+        self.at1 &= SLOTS - 1
+        self.at1 += self.slot
+        self.before *= 5
+        self.before += c
+        np.right_shift(self.before, 4, out=self.at2)
+        self.at2 &= SLOTS - 1
+        self.at2 += self.slot
+        self.before[:] = c
+
+
+def _encode_lanes(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
+    """A range coder of 64 bits that gives out 32 at a time; a carry goes into the words that are out."""
+    n, steps = ids.shape
+    model, low, size = _Model(n, prior), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
+    out, used = np.zeros((n, steps + 4), "<u4"), np.zeros(n, np.int64)
+    words, row = out.reshape(-1), np.arange(n) * (steps + 4)
+    columns = np.ascontiguousarray(ids.T).astype(np.int32)
+    hit2, hit1 = np.empty(n, bool), np.empty(n, bool)
     for t in range(steps):
-        model.predict()
-        start, part, hit2, hit1 = model.interval(columns[t])
-        r = size >> _U(_TOTAL_BITS)
-        low += start * r
-        size = part * r
-        i = None
-        while (i := _loose(low, size, i)).size:
+        model.predict(size)
+        np.equal(model.id2, columns[t], out=hit2)
+        np.equal(model.id1, columns[t], out=hit1)
+        start, part = model.interval(columns[t], hit1, hit2)
+        low += start
+        at = (row + used - 1)[low < start]
+        while at.size:
+            words[at] += np.uint32(1)
+            at = at[words[at] == 0] - 1
+        size[:] = part
+        i = np.flatnonzero(size < _U(_HALF))
+        if i.size:
             top, at = low[i], used[i]
-            out[i, at] = top >> _U(48)
+            words[row[i] + at] = top >> _WORD
             used[i] = at + 1
-            low[i] = top << _U(16)
-            size[i] = size[i] << _U(16)
-        model.update(columns[t], hit2, hit1)
-    for _ in range(4):
-        out[np.arange(lanes), used] = low >> _U(48)
+            low[i] = top << _WORD
+            size[i] = size[i] << _WORD
+        model.update(columns[t])
+    for _ in range(2):
+        words[row + used] = low >> _WORD
         used += 1
-        low <<= _U(16)
-    return [out[i, : used[i]].tobytes() for i in range(lanes)]
-
-
-def _decode_lanes(blobs: list[bytes], steps: int) -> np.ndarray:
-    lanes, longest = len(blobs), max(len(b) // 2 for b in blobs)
-    words = np.zeros((lanes, longest + 8), "<u2")
-    for i, b in enumerate(blobs):
-        words[i, : len(b) // 2] = np.frombuffer(b, "<u2")
-    model, low, size = _Model(lanes), np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
-    code, used = np.zeros(lanes, _U), np.full(lanes, 4, np.int64)
-    for k in range(4):
-        code = code << _U(16) | words[:, k].astype(_U)
-    ids = np.empty((steps, lanes), np.int64)
+        low <<= _WORD
+    return [out[k, : used[k]].tobytes() for k in range(n)]
+
+
+def _decode_lanes(blobs: list[bytes], steps: int, prior: np.ndarray) -> np.ndarray:
+    n, longest = len(blobs), max(len(b) // 4 for b in blobs)
+    own = np.zeros((n, longest + 2), "<u4")
+    for k, b in enumerate(blobs):
+        own[k, : len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
+    words, row = own.reshape(-1), np.arange(n) * (longest + 2)
+    model, size = _Model(n, prior), np.full(n, (1 << 64) - 1, _U)
+    code, used, last = own[:, 0].astype(_U) << _WORD | own[:, 1].astype(_U), row + 2, row + longest + 1
+    found = np.repeat(np.arange(MOST_ID, dtype=np.int32), prior)[: 1 << PRIOR_BITS]
+    id_at = np.pad(found, (0, (1 << PRIOR_BITS) - found.size))
+    ids, v, hit2, hit1 = np.empty((steps, n), np.int32), np.empty(n, _U), np.empty(n, bool), np.empty(n, bool)
     for t in range(steps):
-        model.predict()
-        r = size >> _U(_TOTAL_BITS)
-        v = np.minimum((code - low) // r, _U((1 << _TOTAL_BITS) - 1)).astype(np.int64)
-        ids[t] = model.find(v)
-        start, part, hit2, hit1 = model.interval(ids[t])
-        low += start * r
-        size = part * r
-        i = None
-        while (i := _loose(low, size, i)).size:
+        model.predict(size)
+        np.less(code, model.top2, out=hit2)
+        np.less(code, model.top, out=hit1)
+        np.subtract(code, model.top, out=v)
+        v //= model.unit0
+        np.minimum(v, _U((1 << PRIOR_BITS) - 1), out=v)
+        np.take(id_at, v.view(np.int64), out=ids[t], mode="clip")
+        start, part = model.interval(ids[t], hit1, hit2)
+        np.copyto(ids[t], model.id1, where=hit1)
+        np.copyto(ids[t], model.id2, where=hit2)
+        code -= start
+        size[:] = part
+        i = np.flatnonzero(size < _U(_HALF))
+        if i.size:
             at = used[i]
-            code[i] = code[i] << _U(16) | words[i, np.minimum(at, longest + 7)].astype(_U)
+            code[i] = code[i] << _WORD | words[np.minimum(at, last[i])]
             used[i] = at + 1
-            low[i] = low[i] << _U(16)
-            size[i] = size[i] << _U(16)
-        model.update(ids[t], hit2, hit1)
+            size[i] = np.maximum(size[i], _U(1)) << _WORD
+        model.update(ids[t])
     return ids.T
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> list[tuple[int, int, bytes]]:
-    """(tokens, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block of ids."""
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
+    """The order-0 table of ids, and (tokens, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
     ids = np.ascontiguousarray(ids, "<u4")
     if ids.size and int(ids.max()) >= MOST_ID:
         raise ValueError(f"ids must be below {MOST_ID}")
-    out, n = [], -(-ids.size // block)
+    prior, out, n = prior_of(ids), [], -(-ids.size // block)
     for first in range(0, n, LANES):
         part = ids[first * block : (first + LANES) * block]
         lanes = -(-part.size // block)
         steps = min(block, part.size)
-        full = np.zeros((lanes, steps), "<u4")
+        full = np.full((lanes, steps), part[-1], "<u4")
         full.reshape(-1)[: part.size] = part
-        for i, blob in enumerate(_encode_lanes(full)):
+        for i, blob in enumerate(_encode_lanes(full, prior)):
             own = part[i * block : (i + 1) * block]
             out.append((own.size, zlib.crc32(own.tobytes()), blob))
-    return out
+    return prior, out
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]], block: int = BLOCK) -> np.ndarray:
+def decode_blocks(prior: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of encode_blocks, or of any run of its blocks; ValueError where a block's checksum doesn't hold."""
     out = []
     for first in range(0, len(blocks), LANES):
         part = blocks[first : first + LANES]
-        ids = _decode_lanes([b for _, _, b in part], max(n for n, _, _ in part))
+        ids = _decode_lanes([b for _, _, b in part], max(n for n, _, _ in part), prior)
         for own, (n, crc, _) in zip(ids, part, strict=True):
             own = own[:n].astype("<u4")
             if zlib.crc32(own.tobytes()) != crc:

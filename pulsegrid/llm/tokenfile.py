@@ -18,17 +18,17 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulsegrid.llm.common import Memo, kept, shared_dir
-from pulsegrid.llm.rangecoder import BLOCK, decode_blocks, encode_blocks
+from pulsegrid.llm.rangecoder import MOST_ID, decode_blocks, encode_blocks
 
 #: The id that ends a document.
 END = 2
-MAGIC = b"PGTOKEN1"
+MAGIC = b"PGTOKEN2"
 #: Fixed value: how the byte-level model cuts text before it merges; merges never cross a cut.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ids of a file, about: what a task holds before it writes.
 FILE_TOKENS = 16_000_000
-#: Distinct cuts that a worker remembers, in each of two generations.
-MOST_CUTS = 300_000
+#: Distinct words or cuts that each of a worker's three memo tables remembers, in each of two generations.
+MOST_CUTS = 150_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -39,7 +39,11 @@ def byte_letters() -> dict[int, int]:
 
 
 class TextCoder:
-    """ids of a text, as the tokenizers library has them; the library's model merges each distinct cut of the text once."""
+    """ids of a text, as the tokenizers library has them; the library's model merges each distinct cut of the text once.
+
+    No cut goes past a space or a single line end that stands between other characters, so texts whose white space is
+    only such are looked up word by word, with the space before; other texts are cut by the model's own pattern.
+    """
 
     def __init__(self, tokenizer: str):
         self.library = Tokenizer.from_str(tokenizer)
@@ -47,40 +51,67 @@ class TextCoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cuts = regex.compile(CUTS).findall
         self.memo = Memo(self._merged, MOST_CUTS)
+        self.first, self.later = Memo(lambda w: self._unit(w, ""), MOST_CUTS), Memo(lambda w: self._unit(w, " "), MOST_CUTS)
+        self.line = self._merged("\n")
 
     def _merged(self, cut: str) -> bytes:
         written = cut.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
         return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
 
+    def _unit(self, word: str, before: str) -> bytes | None:
+        """The ids of a word; None where white space stands at its ends, and may be part of a longer run."""
+        if not word and not before:
+            return b""
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        return b"".join(map(self.memo.__getitem__, self.cuts(before + word)))
+
     def encode(self, text: str | None) -> bytes:
         """Packed little-endian ids; null is empty. A text with the string of a special token goes to the library whole."""
         if not text:
             return b""
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if "\n\n\n" not in text and "  " not in text and not text.endswith("\n\n"):
+            try:
+                later, lines = self.later.__getitem__, []
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    lines.append(self.first[words[0]] + b"".join(map(later, words[1:])))
+                return self.line.join(lines)
+            except TypeError:  # a None among the words
+                pass
         return b"".join(map(self.memo.__getitem__, self.cuts(text)))
 
 
+def _planes(prior: np.ndarray) -> bytes:
+    return np.ascontiguousarray(prior.view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
 def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:
-    """A file: magic; documents, ids, blocks (u64 each); zstandard of doc_ids, null flags and lengths; a row (tokens, bytes, crc32) for each block; the blocks."""
+    """A file: magic; documents, ids, blocks, bytes of the next two (u64 each); zstandard of doc_ids, null flags and lengths, and of
+    the order-0 table's byte planes; a row (tokens, bytes, crc32) for each block; the blocks."""
     sizes = np.array([len(d) // 4 for d in docs], "<u8")
     ids = np.frombuffer(b"".join(docs), "<u4")
-    blocks = encode_blocks(ids)
+    prior, blocks = encode_blocks(ids)
     known = np.array([x.is_valid for x in doc_ids], np.uint8)
     keys = np.array([x.as_py() or 0 for x in doc_ids], "<i8")
-    head = zstandard.ZstdCompressor(level=3).compress(keys.tobytes() + known.tobytes() + sizes.tobytes())
+    head, table = (zstandard.ZstdCompressor(level=3).compress(x) for x in (keys.tobytes() + known.tobytes() + sizes.tobytes(), _planes(prior)))
     rows = np.array([(n, len(b), crc) for n, crc, b in blocks], "<u4").reshape(-1, 3)
-    return b"".join([MAGIC, struct.pack("<4Q", len(docs), ids.size, len(blocks), len(head)), head, rows.tobytes(), *[b for _, _, b in blocks]])
+    return b"".join([MAGIC, struct.pack("<5Q", len(docs), ids.size, len(blocks), len(head), len(table)), head, table, rows.tobytes(), *[b for _, _, b in blocks]])
 
 
 def unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(doc_ids, lengths, ids) of a file; ValueError where it isn't one, is cut short, or a checksum doesn't hold."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    docs, total, blocks, head = struct.unpack_from("<4Q", data, 8)
-    raw = zstandard.ZstdDecompressor().decompress(data[40 : 40 + head]) if docs else b""
+    docs, total, blocks, head, table = struct.unpack_from("<5Q", data, 8)
+    raw = zstandard.ZstdDecompressor().decompress(data[48 : 48 + head]) if docs else b""
     keys, known, sizes = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, np.uint8, docs, 8 * docs), np.frombuffer(raw, "<u8", docs, 9 * docs)
-    at = 40 + head
+    at = 48 + head
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + table]), np.uint8)
+    prior = np.ascontiguousarray(planes.reshape(4, MOST_ID).T).view("<u4").ravel()
+    at += table
     rows = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3)
     at += 12 * blocks
     parts = []
@@ -89,7 +120,7 @@ def unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             raise ValueError("a token file that is cut short")
         parts.append((n, crc, data[at : at + size]))
         at += size
-    ids = decode_blocks(parts)
+    ids = decode_blocks(prior, parts)
     if ids.size != total or int(sizes.sum()) != total:
         raise ValueError("a token file whose lengths don't add up")
     return pa.array(keys, mask=known == 0), sizes.astype(np.int64), ids

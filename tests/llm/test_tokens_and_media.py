@@ -159,22 +159,44 @@ def test_index_uses_the_rarest_token(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 64))
 def test_range_coder_round_trip(ids, block):
-    blocks = rangecoder.encode_blocks(np.array(ids, np.int64), block)
-    assert rangecoder.decode_blocks(blocks).tolist() == ids
+    assert rangecoder.decode_blocks(*rangecoder.encode_blocks(np.array(ids, np.int64), block)).tolist() == ids
 
 
 def test_range_coder_learns_and_checks():
     ids = np.tile(np.arange(50) * 997 % 50000, 400)
-    blocks = rangecoder.encode_blocks(ids)
+    prior, blocks = rangecoder.encode_blocks(ids)
     assert sum(len(b) for _, _, b in blocks) < ids.size // 4
-    assert (rangecoder.decode_blocks(blocks[2:3]) == ids[2 * rangecoder.BLOCK : 3 * rangecoder.BLOCK]).all()
+    assert (rangecoder.decode_blocks(prior, blocks[2:3]) == ids[2 * rangecoder.BLOCK : 3 * rangecoder.BLOCK]).all()
     n, crc, data = blocks[0]
-    with pytest.raises(ValueError):
-        rangecoder.decode_blocks([(n, crc ^ 1, data)])
+    for broken in ((n, crc ^ 1, data), (n, crc, b"\xff" * len(data)), (n, crc, data[:8])):
+        with pytest.raises(ValueError):
+            rangecoder.decode_blocks(prior, [broken])
     with pytest.raises(ValueError):
         rangecoder.encode_blocks(np.array([65536]))
 
 
+def test_carries_run_through_words():
+    """Of ids that make ranges end near whole words, every one comes back: long runs of the most and least likely ids."""
+    rng = np.random.default_rng(1)
+    ids = np.where(rng.random(60_000) < 0.999, 7, rng.integers(0, 65536, 60_000))
+    assert (rangecoder.decode_blocks(*rangecoder.encode_blocks(ids, 500)) == ids).all()
+
+
+def test_range_coder_is_below_order_0_and_zstandard(spark):
+    """Bits an id of real token ids: below their own order-0 entropy, and below zstandard on the same blocks."""
+    import zstandard
+
+    coder = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(map(coder.encode, texts)), "<u4")
+    p = np.bincount(ids) / ids.size
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    _, blocks = rangecoder.encode_blocks(ids)
+    bits = 8 * sum(len(b) for _, _, b in blocks) / ids.size
+    plain = [ids[i : i + rangecoder.BLOCK].astype("<u2").tobytes() for i in range(0, ids.size, rangecoder.BLOCK)]
+    assert bits < entropy and bits < 8 * sum(len(zstandard.ZstdCompressor(level=3).compress(b)) for b in plain) / ids.size
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -212,8 +234,20 @@ def test_token_files_of_odd_rows(spark, odd, odd_rows, empty, library, monkeypat
 def test_text_coder_is_the_library(library):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         own = tokenfile.TextCoder(f.read())
-    for t in ("", "it's  ok\n\n x", "<|endoftext|> a", "日本 ² ½ \u00a0 z", "tabs\t\there  "):
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in ("", "it's  ok\n\n x", "<|endoftext|> a", "日本 ² ½ \u00a0 z", "tabs\t\there  ", "a\n\nb", "a\n\n", "a\n", "\na b", " a", "a ", "a\n\n\nb", "a \nb", "a\n b", "a\u3000 b", "x\ty z"):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab's\n\n   \t\r\u00a0\u2028.1é", max_size=14))
+def test_text_coder_is_the_library_on_white_space(own_coder, library, t):
+    assert np.frombuffer(own_coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def own_coder():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return tokenfile.TextCoder(f.read())
 
 
 def test_broken_token_files():
