@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,23 +13,22 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import encode
 
-#: Labelled rows that are fitted on, of each class at most: a random sample by a hash, of rows up to TEXT_BYTES used each.
-ROWS_PER_CLASS, TEXT_BYTES = 1500, 16_384
+#: Labelled rows that are fitted on, of each class at most: a random sample by a hash of doc_id.
+ROWS_PER_CLASS = 1500
+#: A sampled text gives a dictionary all its bytes, or SLICES slices of SLICE bytes at even steps through the whole text where it is longer.
+SLICES, SLICE = 64, 256
 #: Bytes of a dictionary, of a block (each is compressed alone, so that long texts meet the dictionaries as short ones do), and the level.
-DICT_BYTES, BLOCK, LEVEL = 112_640, 4096, 3
-
-
-def _blocks(data: bytes) -> list[bytes]:
-    return [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+DICT_BYTES, BLOCK, LEVEL = 32_768, 1024, 3
 
 
 @dataclass(frozen=True)
 class CompressionModel:
-    """Two raw-content dictionaries and a logistic calibration of the size differences."""
+    """Two dictionaries, and a logistic calibration (slope, constant) of the size difference."""
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
+    slope: float = 0.0
+    constant: float = 0.0
 
     def scorer(self) -> Scorer:
         return Scorer(self)
@@ -39,75 +37,99 @@ class CompressionModel:
 class Scorer:
     def __init__(self, model: CompressionModel):
         self.model = model
-        self.packers = [self._packer(d) for d in (model.good, model.bad)] + [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)]
+        self.good, self.bad = self._packer(model.good), self._packer(model.bad)
 
     @staticmethod
     def _packer(content: bytes) -> zstandard.ZstdCompressor:
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d = zstandard.ZstdCompressionDict(content)
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def features(self, text: str | None) -> np.ndarray:
-        """(bad size - good size) / larger, sizes with either dictionary a byte, size alone a byte, and a constant; the whole text counts."""
+    def difference(self, text: str | None) -> float:
+        """(size with the bad dictionary - size with the good one) / the larger, of the whole text; 0 without text."""
         data = encode(text)
-        if not data:
-            return np.array([0.0, 0.0, 0.0, 0.0, 0.0, 1.0])
-        good, bad, plain = (sum(len(p.compress(b)) for b in _blocks(data)) for p in self.packers)
-        n = len(data)
-        return np.array([(bad - good) / max(bad, good), good / n, bad / n, plain / n, 1.0 / (1.0 + n / 64), 1.0])
+        blocks = [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
+        if not blocks:
+            return 0.0
+        good, bad = (sum(map(len, map(p.compress, blocks))) for p in (self.good, self.bad))
+        return (bad - good) / max(bad, good)
 
     def score(self, text: str | None) -> float:
-        z = float(self.features(text) @ np.array(self.model.weights))
+        z = self.model.slope * self.difference(text) + self.model.constant
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, counts: dict[int, int], ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Newton's steps for a logistic model; each class weighs as its count in the whole labelled table."""
-    scale = np.maximum(1e-9, x.std(axis=0) + (np.arange(x.shape[1]) == x.shape[1] - 1))
-    x, w, total = x / scale, np.zeros(x.shape[1]), sum(counts.values())
+def _logistic(x: np.ndarray, y: np.ndarray, counts: dict[int, int], ridge: float = 1e-2, steps: int = 50) -> tuple[float, float]:
+    """(slope, constant) by Newton's steps; each class weighs as its count in the whole labelled table."""
+    scale = max(1e-9, float(x.std()))
+    x, w, total = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2), sum(counts.values())
     each = np.where(y == 1, counts[1] / (y == 1).sum(), counts[0] / (y == 0).sum()) * len(y) / total
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (each * (p - y)) + ridge * w
-        h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+        h = (x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (each * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return w / scale
+    return float(w[0] / scale), float(w[1])
+
 
+def slices(text: str | None) -> bytes:
+    """The whole text, or even slices from all over it."""
+    data = encode(text)
+    if len(data) <= SLICES * SLICE:
+        return data
+    return b"".join(data[s : s + SLICE] for s in np.linspace(0, len(data) - SLICE, SLICES).astype(int).tolist())
 
-def _content(texts: list[bytes], size: int) -> bytes:
-    """Raw dictionary content: the texts' beginnings in turn, an equal share each, the last ones nearest to the data."""
-    share = max(256, size // max(1, len(texts)))
-    return b"\n".join(t[:share] for t in texts)[-size:]
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary; of samples too few or too small to train on, their last bytes as they are."""
+    try:
+        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-DICT_BYTES:].rjust(16)
+
+
+def _of_text(texts: DataFrame, make, kind: str, arrow: pa.DataType):
+    """(label, x) with x = make()(text) of texts (label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f(x.as_py()) for x in batch.column(1)], arrow)], names=["label", "x"])
+
+    return texts.select("label", "text").mapInArrow(run, f"label int, x {kind}").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> CompressionModel:
-    """Fits on docs (doc_id, text) of labels (doc_id, label 0 or 1): half the sampled rows make the dictionaries, the other half calibrates.
+    """Fits on docs (doc_id, text) of labels (doc_id, label 0 or 1): half the sampled rows train the dictionaries, the other half calibrates.
 
-    At most `rows` rows of each class, chosen by a hash of doc_id, and TEXT_BYTES of each come to the driver.
+    At most `rows` rows of each class are chosen by a hash of doc_id (of repeated ids, the least text counts). Of those
+    that train, SLICES * SLICE bytes at most come to the driver; of the others, whose whole texts are measured, a number.
     With a class missing, the score is the share of the other; rows with another or null label are left out.
     """
     counts = {r[0]: r[1] for r in labels.where("label IN (0, 1)").groupBy("label").count().collect()}
-    chosen = [labels.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "label") for k in (0, 1)]
+    chosen = [labels.where(F.col("label") == k).select("doc_id", F.lit(k).alias("label")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids
-    got = docs.select("doc_id", F.substring("text", 1, TEXT_BYTES).alias("text")).join(chosen, "doc_id").collect()
-    got = sorted((r["label"], x) for r in got if (x := encode(r["text"])))
-    by = {k: sorted((x for label, x in got if label == k), key=zlib.crc32) for k in (0, 1)}
-    halves = {k: (v[0::2], v[1::2]) for k, v in by.items()}
-    if not (halves[0][1] and halves[1][1]):
-        sure = 4.0 if len(by[1]) >= len(by[0]) else -4.0
-        return CompressionModel(b" " * 16, b" " * 16, (0.0, 0.0, 0.0, 0.0, 0.0, sure))
-    model = CompressionModel(_content(halves[1][0], DICT_BYTES), _content(halves[0][0], DICT_BYTES), ())
-    scorer = model.scorer()
-    x = np.array([scorer.features(t.decode("utf-8", "replace")) for k in (0, 1) for t in halves[k][1]])
-    y = np.array([k for k in (0, 1) for _ in halves[k][1]])
-    return CompressionModel(model.good, model.bad, tuple(_logistic(x, y, counts).tolist()))
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").where("octet_length(text) > 0").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    trains = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 0
+    got = sorted((r.label, bytes(r.x)) for r in _of_text(texts.where(trains), lambda: slices, "binary", pa.binary()))
+    good, bad = ([x for label, x in got if label == k] for k in (1, 0))
+    sure = 4.0 if counts.get(1, 0) >= counts.get(0, 0) else -4.0
+    if not (good and bad):
+        return CompressionModel(b" " * 16, b" " * 16, 0.0, sure)
+    model = CompressionModel(dictionary(good), dictionary(bad))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: 2 * DICT_BYTES at most
+    measured = sorted((r.label, r.x) for r in _of_text(texts.where(~trains), lambda: shared.value.scorer().difference, "double", pa.float64()))
+    y, x = np.array([m[0] for m in measured]), np.array([m[1] for m in measured])
+    if len(set(y.tolist())) < 2:
+        return CompressionModel(model.good, model.bad, 0.0, sure)
+    return CompressionModel(model.good, model.bad, *_logistic(x, y, counts))
 
 
 def score_column(docs: DataFrame, model: CompressionModel) -> DataFrame:
-    """docs (text and others) and score, 0 to 1; a column score of docs is replaced. Null and empty texts get the score of no bytes."""
+    """docs (text and others) and score, 0 to 1; a column score of docs is replaced. Null and empty texts get the score of no
+    difference; repeated rows get equal scores, each its own row; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries: 2 * DICT_BYTES at most
     docs = docs.drop("score")
     at, names = docs.columns.index("text"), [*docs.columns, "score"]
