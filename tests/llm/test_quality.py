@@ -1,6 +1,7 @@
 """Operators 1, 2 and 3."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -52,12 +53,38 @@ def test_order_is_by_rejections_per_cost(spark):
     assert ordered[0][0].name == "symbols" and [-h / s for _, s, h in ordered] == sorted(-h / s for _, s, h in ordered)
 
 
+def auc_of(score, good):
+    rank = score.rank()
+    return (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+
+
 def test_compression_scores(spark):
+    """Held-out rows: the area under the ROC curve of the size difference alone."""
     q = compression.op2_quality_classifier(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
-    rank = q.score.rank()
-    good = q.quality == 1
-    auc = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
-    assert auc > 0.95 and ((q.score >= 0.5).astype(int) == q.predicted).all() and q.score.between(0, 1).all()
+    assert auc_of(q.score, q.quality == 1) > 0.95 and ((q.score >= 0.5).astype(int) == q.predicted).all() and q.score.between(0, 1).all()
+
+
+def test_compression_query_against_plain_sizes(spark):
+    """Every row's score from the two compressed sizes by plain zstandard, block by block."""
+    import zstandard
+
+    model = compression.fit_quality(spark, SF)
+    packers = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.bad, model.good)]
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = compression.op2_quality_classifier(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        bad, good = (sum(len(p.compress(texts[r.doc_id][i : i + 1024])) for i in range(0, len(texts[r.doc_id]), 1024)) for p in packers)
+        d = (bad - good) / max(bad, good, 1)
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * d + model.constant)))) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.5)
+    assert model.slope > 0
+
+
+def test_slices_are_from_all_over_a_text():
+    text = "".join(chr(97 + i // 4000) for i in range(100_000))
+    got = compression.slices(text)
+    assert len(got) == compression.SLICES * compression.SLICE and set(got.decode()) == set(text) and compression.slices("ab") == b"ab" and compression.slices(None) == b""
 
 
 def test_held_out_rows_are_not_learned_from(spark):
@@ -73,9 +100,10 @@ def test_compression_of_odd_rows(spark, odd, empty):
     assert len(got) == 15 and all(0 <= r.score <= 1 for r in got)
     assert compression.score(empty, model).count() == 0
     s = model.scorer()
-    assert s.score("good text number 7 " * 9) > 0.5 > s.score("#### $$$$ 8 " * 9)
+    assert s.score("good text number 7 " * 9) > 0.5 > s.score("#### $$$$ 8 " * 9) and s.difference("") == s.difference(None) == 0
     one = compression.fit(docs, labels.where("label = 1"))
     assert one.scorer().score("x") > 0.5 and compression.fit(docs.limit(0), labels.limit(0)).scorer().score(None) >= 0
+    assert compression.fit(docs.unionByName(docs), labels) == model
     scored = compression.score_column(odd, model)
     assert set(scored.columns) == set(odd.columns)
 
@@ -112,8 +140,12 @@ def test_mixing_of_odd_rows(spark, odd, empty):
     assert len(out) == 15 and all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in out)
     assert {r.rate for r in out if r.n_tokens == 0} == {1.0}
     assert mixed(spark, empty, model, {"holiday": 0.5, "office": 0.5}) == []
-    taken = mixing.take(odd, mixing.mix(odd, model, {"holiday": 0.5, "office": 0.5}))
-    assert taken.columns == odd.columns
+    rate = {(r.doc_id, r.th): r.rate for r in out}
+    taken = mixing.take(odd, model, {"holiday": 0.5, "office": 0.5})
+    assert taken.columns == odd.columns and taken.schema == odd.schema
+    got = Counter((r.doc_id, r.th) for r in taken.select("doc_id", F.xxhash64("text").alias("th")).collect())
+    same = Counter((r.doc_id, r.th) for r in out)
+    assert all(same[k] * int(rate[k]) <= got[k] <= same[k] * (int(rate[k]) + 1) for k in rate)
     none = mixing.fit_domains(docs, labels.limit(0), ["holiday", "office"])
     assert none.posterior("x")[1].tolist() == [0.5, 0.5]
 
@@ -130,3 +162,26 @@ def test_mixing_query(spark, name):
     tokens = rows.n_tokens.sum()
     for d, share in mixing.TARGETS.items():
         assert abs((rows.rate * rows[f"p_{d}"] * rows.n_tokens).sum() / tokens - share) < 1e-3
+
+
+def test_rates_against_projected_gradient_in_plain_numpy(spark):
+    """The query's totals against an independent solution: plain projected gradient on the documents' own rates."""
+    rows = mixing.op3_mixing(spark, SF).toPandas()
+    a = rows[[f"p_{d}" for d in mixing.TARGETS]].to_numpy().T * rows.n_tokens.to_numpy()
+    want = np.array(list(mixing.TARGETS.values())) * rows.n_tokens.sum()
+    metric, r = np.linalg.inv(a @ a.T), np.ones(len(rows))
+    for _ in range(20_000):
+        r = np.maximum(0.0, r - 0.5 * a.T @ (metric @ (a @ r - want)))
+    plain, ours = (np.abs(a @ x - want).max() / want.sum() for x in (r, rows.rate.to_numpy()))
+    assert plain <= 5e-3 and ours <= min(plain, 1e-3) and (rows.rate >= 0).all()
+
+
+def test_a_domain_taken_whole(spark):
+    rng = np.random.default_rng(2)
+    p, n = rng.dirichlet([5, 1, 1], 300), rng.integers(10, 1000, 300)
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    model = mixing.DomainModel(("a", "b", "c"), {}, np.zeros((7, 3)), np.ones(7))
+    steps = mixing.fit_mixture(soft, model, {"a": 0.8, "b": 0.1, "c": 0.1}, whole="a")
+    rate = np.array([r[0] for r in soft.select(mixing._rate(steps)).collect()])
+    totals = (rate * n) @ p
+    assert np.allclose(totals / totals.sum(), [0.8, 0.1, 0.1], atol=1e-3) and abs(totals[0] - n @ p[:, 0]) < 1e-3 * n.sum()
