@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,17 @@ from tokenizers import Tokenizer
 from pulsegrid.llm.common import Memo, kept, shared_dir
 from pulsegrid.llm.rangecoder import MOST_ID, decode_blocks, encode_blocks
 
-#: The id that ends a document.
-END = 2
+#: The id that ends a document, and how ids are held before they are coded.
+END, IDS = 2, "<u2"
 MAGIC = b"PGTOKEN2"
 #: Fixed value: how the byte-level model cuts text before it merges; merges never cross a cut.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Signs that are a cut of their own after a word of letters.
+_STOPS = tuple(".,;:!?")
 #: Ids of a file, about: what a task holds before it writes.
-FILE_TOKENS = 16_000_000
-#: Distinct words or cuts that each of a worker's three memo tables remembers, in each of two generations.
-MOST_CUTS = 150_000
+FILE_TOKENS = 8_000_000
+#: Distinct words that a worker remembers, in each of two generations, at some 200 bytes each; of lines' first words and of parts of words, a fifth.
+MOST_WORDS = 500_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -50,28 +53,34 @@ class TextCoder:
         self.model, self.letters = self.library.model, byte_letters()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cuts = regex.compile(CUTS).findall
-        self.memo = Memo(self._merged, MOST_CUTS)
-        self.first, self.later = Memo(lambda w: self._unit(w, ""), MOST_CUTS), Memo(lambda w: self._unit(w, " "), MOST_CUTS)
+        self.memo = Memo(self._merged, MOST_WORDS // 5)
+        self.first, self.later = Memo(lambda w: self._unit(w, ""), MOST_WORDS // 5), Memo(lambda w: self._unit(w, " "), MOST_WORDS)
         self.line = self._merged("\n")
 
     def _merged(self, cut: str) -> bytes:
         written = cut.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
 
     def _unit(self, word: str, before: str) -> bytes | None:
         """The ids of a word; None where white space stands at its ends, and may be part of a longer run."""
+        if word.isascii():
+            if word.isalpha():
+                return self._merged(before + word)
+            if word[-1:] in _STOPS and word[:-1].isalpha():
+                return (self.later if before else self.first)[word[:-1]] + self.memo[word[-1]]
         if not word and not before:
             return b""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        return b"".join(map(self.memo.__getitem__, self.cuts(before + word)))
+        cuts = self.cuts(before + word)
+        return self._merged(cuts[0]) if len(cuts) == 1 else b"".join(map(self.memo.__getitem__, cuts))
 
     def encode(self, text: str | None) -> bytes:
-        """Packed little-endian ids; null is empty. A text with the string of a special token goes to the library whole."""
+        """Packed IDS; null is empty. A text with the string of a special token goes to the library whole."""
         if not text:
             return b""
         if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
         if "\n\n\n" not in text and "  " not in text and not text.endswith("\n\n"):
             try:
                 later, lines = self.later.__getitem__, []
@@ -91,8 +100,8 @@ def _planes(prior: np.ndarray) -> bytes:
 def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:
     """A file: magic; documents, ids, blocks, bytes of the next two (u64 each); zstandard of doc_ids, null flags and lengths, and of
     the order-0 table's byte planes; a row (tokens, bytes, crc32) for each block; the blocks."""
-    sizes = np.array([len(d) // 4 for d in docs], "<u8")
-    ids = np.frombuffer(b"".join(docs), "<u4")
+    sizes = np.array([len(d) // 2 for d in docs], "<u8")
+    ids = np.frombuffer(b"".join(docs), IDS)
     prior, blocks = encode_blocks(ids)
     known = np.array([x.is_valid for x in doc_ids], np.uint8)
     keys = np.array([x.as_py() or 0 for x in doc_ids], "<i8")
@@ -145,7 +154,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     dealt = keyed.repartitionByRange(files, "doc_id", "th").sortWithinPartitions("doc_id", "th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = kept(("text", hash(shared.value)), lambda: TextCoder(shared.value)), np.array([END], "<u4").tobytes()
+        coder, end = kept(("text", hash(shared.value)), lambda: TextCoder(shared.value)), np.array([END], IDS).tobytes()
         context = TaskContext.get()
         fs, root = pafs.FileSystem.from_uri(folder)
         keys, rows, held, number = [], [], 0, 0
@@ -162,7 +171,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             for i, x in enumerate(batch.column(2)):
                 keys.append(batch.column(0).slice(i, 1))
                 rows.append(coder.encode(x.as_py()) + end)
-                held += len(rows[-1]) // 4
+                held += len(rows[-1]) // 2
                 if held >= FILE_TOKENS:
                     yield write()
                     keys, rows, held, number = [], [], 0, number + 1

@@ -188,7 +188,7 @@ def test_range_coder_is_below_order_0_and_zstandard(spark):
 
     coder = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
-    ids = np.frombuffer(b"".join(map(coder.encode, texts)), "<u4")
+    ids = np.frombuffer(b"".join(map(coder.encode, texts)), "<u2")
     p = np.bincount(ids) / ids.size
     entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
     _, blocks = rangecoder.encode_blocks(ids)
@@ -235,13 +235,13 @@ def test_text_coder_is_the_library(library):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         own = tokenfile.TextCoder(f.read())
     for t in ("", "it's  ok\n\n x", "<|endoftext|> a", "日本 ² ½ \u00a0 z", "tabs\t\there  ", "a\n\nb", "a\n\n", "a\n", "\na b", " a", "a ", "a\n\n\nb", "a \nb", "a\n b", "a\u3000 b", "x\ty z"):
-        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+        assert np.frombuffer(own.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab's\n\n   \t\r\u00a0\u2028.1é", max_size=14))
 def test_text_coder_is_the_library_on_white_space(own_coder, library, t):
-    assert np.frombuffer(own_coder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(own_coder.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -253,7 +253,7 @@ def own_coder():
 def test_broken_token_files():
     import pyarrow as pa
 
-    data = tokenfile.pack(pa.array([1, None], pa.int64()), [np.array([5, 2], "<u4").tobytes(), np.array([2], "<u4").tobytes()])
+    data = tokenfile.pack(pa.array([1, None], pa.int64()), [np.array([5, 2], "<u2").tobytes(), np.array([2], "<u2").tobytes()])
     keys, sizes, ids = tokenfile.unpack(data)
     assert keys.to_pylist() == [1, None] and sizes.tolist() == [2, 1] and ids.tolist() == [5, 2, 2]
     for broken in (b"x" + data[1:], data[:-3]):
