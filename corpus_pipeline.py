@@ -31,9 +31,8 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rates say: the expected tokens of each domain meet the target weights."""
-    mixed = mixing.mix(docs, mixing.label_model(spark, sf_dir), mixing.AFTER_QUALITY)
-    return mixing.take(docs, mixed)
+    """Documents as often as their rates say: expected tokens by domain meet the target weights, of a total that takes clean text whole."""
+    return mixing.take(docs, mixing.label_model(spark, sf_dir), mixing.TARGETS, whole="clean")
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
