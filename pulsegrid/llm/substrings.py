@@ -23,7 +23,7 @@ DEPTH, LEAST_LOG = 2, 20
 SHARD_LOG = 24
 #: Bytes of text in a bucket, about: what a task holds at once, with 16 bytes a window beside it. Buckets and shards meet in
 #: blobs, which get short where there are many of both; raise this with the executors' memory beyond a few terabytes of text.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -44,25 +44,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """128-bit fingerprints of all windows of a word list, by rolling polynomials modulo 2**64."""
+    """128-bit fingerprints of all windows of a word list, by rolling polynomials modulo 2**64, a stretch of windows at a time."""
+
+    STRETCH = 1 << 16
 
     def __init__(self, window: int = WINDOW):
-        self.window, self.room = window, 0
+        self.window = window
+        self.tables = [_powers(b, self.STRETCH + window) for b in (_B1, _B2)]
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n, k = len(words), self.window
-        if n < k:
-            return np.empty(0, np.uint64), np.empty(0, np.uint64)
-        if n > self.room:
-            self.room = max(4096, 2 * n)
-            self.tables = [_powers(b, self.room) for b in (_B1, _B2)]
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
-        out = []
-        for x, (up, down) in zip((h, _mix(h ^ np.uint64(_B2))), self.tables, strict=True):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(x * up[:n], out=total[1:])
-            out.append(_mix((total[k:] - total[:-k]) * down[: n - k + 1]))
-        return out[0], out[1]
+        n, k = max(0, len(words) - self.window + 1), self.window
+        out = np.empty(n, np.uint64), np.empty(n, np.uint64)
+        for at in range(0, n, self.STRETCH):
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words[at : at + self.STRETCH + k - 1])), ">u8").astype(np.uint64)
+            total = np.zeros(h.size + 1, np.uint64)
+            for into, x, (up, down) in zip(out, (h, _mix(h ^ np.uint64(_B2))), self.tables, strict=True):
+                np.cumsum(x * up[: h.size], out=total[1:])
+                into[at : at + self.STRETCH] = _mix((total[k:] - total[:-k]) * down[: h.size - k + 1])
+        return out
 
 
 def _pack(counters: np.ndarray) -> bytes:
