@@ -216,22 +216,32 @@ def reconstruct(bands: list[np.ndarray], name: str = "db4") -> np.ndarray:
     return rest
 
 
-def _each(values: pa.Array, f: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
-    """f over every list of values; null stays null, and a list with a null or non-finite sample is refused."""
-    flat, ends, out, n = values.values, values.offsets.to_numpy(), [], 0
+def _lists(values: pa.Array) -> list[np.ndarray | None]:
+    """The lists of values as views of one buffer; a null or non-finite sample is refused."""
+    flat, ends = values.values, values.offsets.to_numpy()
     if flat.null_count:
         raise SignalError("malformed-signal", "a signal has a missing sample")
-    flat, offsets = flat.to_numpy(zero_copy_only=False), [0]
+    flat = flat.to_numpy(zero_copy_only=False)
     if not np.isfinite(flat[ends[0] : ends[-1]]).all():
         raise SignalError("malformed-signal", "a signal has a sample that is not finite")
-    valid = values.is_valid().to_numpy(zero_copy_only=False)
-    for i, ok in enumerate(valid):
-        if ok:
-            out.append(f(flat[ends[i] : ends[i + 1]]))
-            n += len(out[-1])
-        offsets.append(n)
-    mask = pa.array(~valid) if not valid.all() else None
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(out) if out else np.empty(0)), mask=mask)
+    return [flat[s:e] if ok else None for s, e, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), values.is_valid().to_pylist(), strict=True)]
+
+
+def _list_array(parts: list, values: pa.Array) -> pa.Array:
+    """Lists of the sizes of parts over values; None is a null."""
+    offsets = np.cumsum([0, *(0 if p is None else len(p) for p in parts)])
+    missing = np.array([p is None for p in parts], bool)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=pa.array(missing) if missing.any() else None)
+
+
+def _flat_array(parts: list[np.ndarray | None]) -> pa.Array:
+    have = [p for p in parts if p is not None]
+    return _list_array(parts, pa.array(np.concatenate(have) if have else np.empty(0)))
+
+
+def _each(values: pa.Array, f: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """f over every list of values; null stays null."""
+    return _flat_array([None if x is None else f(x) for x in _lists(values)])
 
 
 def array_function(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
@@ -256,13 +266,34 @@ def resample_column(data: Column, rate_hz: float, target_hz: float, radius: int
     return array_function(lambda x: resample(x, rate_hz, target_hz, radius, edge))(data)
 
 
+def normalise(x: np.ndarray, strategy: str) -> np.ndarray:
+    """(x - a) / b of a channel's own fit: its least sample and span, or its mean and population deviation; no spread is refused."""
+    if strategy == "min-max":
+        a = x.min() if x.size else 0.0
+        b = x.max() - a if x.size else 0.0
+    else:
+        a = x.mean() if x.size else 0.0
+        b = np.sqrt(max(0.0, float(x @ x) / x.size - a * a)) if x.size else 0.0
+    if not b > 0:
+        raise SignalError("numerical-failure", f"{strategy} of a channel without spread")
+    return (x - a) / b
+
+
+def normalise_column(data: Column, strategy: str) -> Column:
+    """An array column normalised by each array's own fit: nothing is shuffled."""
+    if strategy not in ("min-max", "z-score"):
+        raise SignalError("invalid-input", f"unknown normalisation {strategy!r}")
+    return array_function(lambda x: normalise(x, strategy))(data)
+
+
 def decompose_column(data: Column, level: int, name: str = "db4") -> Column:
     """array<array<double>>: detail 1 to L, then the approximation."""
     wavelet(name)
 
     @F.arrow_udf("array<array<double>>")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else [b.tolist() for b in decompose(np.asarray(v, float), level, name)] for v in values.to_pylist()], pa.list_(pa.list_(pa.float64())))
+        bands = [None if x is None else decompose(x, level, name) for x in _lists(values)]
+        return _list_array(bands, _flat_array([b for own in bands if own is not None for b in own]))
 
     return run(data)
 
@@ -280,7 +311,8 @@ def round_trip_column(data: Column, level: int, name: str = "db4") -> Column:
 def reconstruct_column(bands: Column, name: str = "db4") -> Column:
     @F.arrow_udf("array<double>")
     def run(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else reconstruct([np.asarray(b, float) for b in v], name).tolist() for v in values.to_pylist()], pa.list_(pa.float64()))
+        inner, ends = _lists(values.values), values.offsets.to_numpy().tolist()
+        return _flat_array([reconstruct(inner[s:e], name) if ok else None for s, e, ok in zip(ends[:-1], ends[1:], values.is_valid().to_pylist(), strict=True)])
 
     return run(bands)
 

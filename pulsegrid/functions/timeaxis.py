@@ -33,13 +33,13 @@ def positive(x: Num) -> Column:
 
 def assert_finite(value: float, label: str) -> float:
     if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
-        raise SignalError("invalid-input", f"{label} must be a finite number, received {value!r}.")
+        raise SignalError("invalid-input", f"{label} is not a finite number: {value!r}.")
     return value
 
 
 def assert_positive(value: float, label: str) -> float:
     if assert_finite(value, label) <= 0:
-        raise SignalError("invalid-input", f"{label} must be greater than zero, received {value!r}.")
+        raise SignalError("invalid-input", f"{label} is not above zero: {value!r}.")
     return value
 
 

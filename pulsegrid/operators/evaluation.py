@@ -124,9 +124,10 @@ def ranks(subjects: DataFrame, column: str) -> DataFrame:
     dealt = materialise(dealt, "subjects")
     own = F.row_number().over(W.Window.partitionBy("_part").orderBy(column))
     counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    total = counts.agg(F.sum("_n").alias("total"))
-    return dealt.withColumn("_own", own).join(before, "_part").crossJoin(F.broadcast(total)).select(column, (F.col("_before") + F.col("_own") - 1).alias("position"), "total")  # total: one row
+    upto = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)  # over a row for each partition
+    every = W.Window.orderBy("_part").rowsBetween(W.Window.unboundedPreceding, W.Window.unboundedFollowing)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"), F.sum("_n").over(every).alias("total"))
+    return dealt.withColumn("_own", own).join(before, "_part").select(column, (F.col("_before") + F.col("_own") - 1).alias("position"), "total")
 
 
 def split_subjects(subjects: DataFrame, column: str, split: dict[str, float] | None = None) -> DataFrame:

@@ -86,6 +86,11 @@ def filter_symbols(events: DataFrame, symbols: list[str] | None) -> DataFrame:
     return events.where(F.col("symbol").isin(chosen)) if chosen else events
 
 
+def with_symbols(events: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Events whose symbol is a row of symbols (symbol)."""
+    return events.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+
+
 def filter_symbol(events: DataFrame, symbol: str | None) -> DataFrame:
     return filter_symbols(events, [symbol] if symbol else [])
 

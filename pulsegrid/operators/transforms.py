@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from pulsegrid.errors import SignalError
 from pulsegrid.functions import kernels as K
@@ -45,20 +46,23 @@ def resample_signals(df: DataFrame, rate_hz: float, target_hz: float, radius: in
     return _step(out, naming.resample_name(target_hz), {"fromHz": rate_hz, "toHz": target_hz, "kernelRadiusSamples": radius, "edgeMode": edge})
 
 
-def normalise_signals(df: DataFrame, strategy: str) -> DataFrame:
-    """Fit and applied on each channel itself; a channel without spread is refused."""
-    data = F.col("data")
-    total = lambda f: F.aggregate(F.transform(data, f), F.lit(0.0), lambda s, x: s + x)
-    if strategy == "min-max":
-        df = df.withColumn("_a", F.array_min("data")).withColumn("_b", F.array_max("data") - F.array_min("data"))
-    elif strategy == "z-score":
-        df = df.withColumn("_a", total(lambda x: x) / F.size("data")).withColumn("_b", total(lambda x: x * x) / F.size("data"))
-        df = df.withColumn("_b", F.sqrt(F.greatest(F.lit(0.0), F.col("_b") - F.col("_a") * F.col("_a"))))
+def normalise_signals(df: DataFrame, strategy: str, scope: str = "per-channel") -> DataFrame:
+    """Fit and applied on each channel itself, or (global) on all channels of a signal_id together; no spread is refused."""
+    if strategy not in ("min-max", "z-score") or scope not in ("per-channel", "global"):
+        raise SignalError("invalid-input", f"unknown normalisation {strategy!r} / {scope!r}")
+    if scope == "per-channel":
+        out = df.withColumn("data", K.normalise_column(F.col("data"), strategy))
     else:
-        raise SignalError("invalid-input", f"unknown normalisation {strategy!r}")
-    flat = F.raise_error(F.lit("[numerical-failure] a channel without spread")).cast("array<double>")
-    out = df.withColumn("data", F.when(F.col("_b") == 0, flat).otherwise(F.transform("data", lambda x: (x - F.col("_a")) / F.col("_b")))).withColumn("unit", F.lit("normalized")).drop("_a", "_b")
-    return _step(out, naming.normalisation_name(strategy, "per-channel"), {"strategy": strategy, "scope": "per-channel"})
+        total = lambda f: F.aggregate(F.transform("data", f), F.lit(0.0), lambda s, x: s + x)
+        own = F.struct(F.array_min("data").alias("low"), F.array_max("data").alias("high"), F.size("data").alias("n"), total(lambda x: x).alias("sum"), total(lambda x: x * x).alias("squares"))
+        over, part = W.Window.partitionBy("signal_id"), df.withColumn("_own", own)
+        mean = F.sum("_own.sum").over(over) / F.sum("_own.n").over(over)
+        deviation = F.sqrt(F.greatest(F.lit(0.0), F.sum("_own.squares").over(over) / F.sum("_own.n").over(over) - mean * mean))
+        low, span = F.min("_own.low").over(over), F.max("_own.high").over(over) - F.min("_own.low").over(over)
+        part = part.withColumn("_a", low if strategy == "min-max" else mean).withColumn("_b", span if strategy == "min-max" else deviation)
+        flat = F.raise_error(F.lit("[numerical-failure] a signal without spread")).cast("array<double>")
+        out = part.withColumn("data", F.when(F.col("_b") > 0, F.transform("data", lambda x: (x - F.col("_a")) / F.col("_b"))).otherwise(flat)).drop("_own", "_a", "_b")
+    return _step(out.withColumn("unit", F.lit("normalized")), naming.normalisation_name(strategy, scope), {"strategy": strategy, "scope": scope})
 
 
 def decompose_signals(df: DataFrame, level: int, wavelet: str = "db4") -> DataFrame:

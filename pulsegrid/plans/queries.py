@@ -1,50 +1,19 @@
-"""The registered queries over the driver's tables, each with SQL for DuckDB that says the same.
-
-Doubles are rounded to six decimals on both sides, and + 0.0 makes a negative zero positive.
-"""
+"""Registered queries: time axis, statistics, filters, wavelets, events, scores and decoded signals over the driver's tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as K
 from pulsegrid.functions import naming, timeaxis, viewport
 from pulsegrid.operators import evaluation, events, signals
-from pulsegrid.plans import experiment
+from pulsegrid.plans.registry import ORACLES, QUERIES, long_of, query, r6, values
 from pulsegrid.plans.views import RATE_HZ, ann_user, duck, read, sig_embed, sig_embed_long, sig_supp, sig_user
 from pulsegrid.sources import documents, edf, synthetic, wfdb
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r6(x: Column | str) -> Column:
-    return F.round(F.col(x) if isinstance(x, str) else x, 6) + 0.0
-
-
-def long_of(df: DataFrame, keys: list[str], data: Column, name: str = "y") -> DataFrame:
-    return df.select(*keys, F.posexplode(data).alias("i", name)).select(*keys, F.col("i").cast("long").alias("i"), r6(name).alias(name))
-
-
-def values(name: str, numbers, columns: str = "k, h") -> str:
-    return f"{name}({columns}) AS (VALUES " + ", ".join(f"({k}, {v!r}::DOUBLE)" for k, v in enumerate(map(float, numbers))) + ")"
+__all__ = ["ORACLES", "QUERIES"]
 
 
 # --- time axis, calibration, viewports -------------------------------------------------------------------------
@@ -182,8 +151,7 @@ def padded_domain(spark, sf_dir):
 
 @query(duck("+f AS (SELECT user_id, min(x) AS a, max(x) - min(x) AS b FROM sig_user GROUP BY user_id) SELECT u.user_id, i, round((x - a) / b, 6) + 0.0 AS y FROM sig_user u JOIN f USING (user_id)", "sig_user"))
 def minmax_fit_apply(spark, sf_dir):
-    s = sig_user(spark, sf_dir)
-    return signals.apply_normalisation(s, signals.fit_normalisation(s, ["user_id"], [], "min-max"), ["user_id"]).select("user_id", "i", r6("x").alias("y"))
+    return long_of(signals.to_arrays(sig_user(spark, sf_dir), ["user_id"]), ["user_id"], K.normalise_column(F.col("data"), "min-max"))
 
 
 _Z = "avg(x) AS a, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) AS b"
@@ -191,8 +159,7 @@ _Z = "avg(x) AS a, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) AS b"
 
 @query(duck(f"+f AS (SELECT rid, {_Z} FROM sig_embed_long GROUP BY rid) SELECT s.rid, i, round((x - a) / b, 6) + 0.0 AS y FROM sig_embed_long s JOIN f USING (rid)", "sig_embed_long"))
 def zscore_per_channel(spark, sf_dir):
-    s = sig_embed_long(spark, sf_dir)
-    return signals.apply_normalisation(s, signals.fit_normalisation(s, ["rid"], [], "z-score"), ["rid"]).select("rid", "i", r6("x").alias("y"))
+    return long_of(sig_embed(spark, sf_dir), ["rid"], K.normalise_column(F.col("data"), "z-score"))
 
 
 @query(duck(f"+f AS (SELECT label, {_Z} FROM sig_embed_long GROUP BY label) SELECT s.label, s.rid, i, round((x - a) / b, 6) + 0.0 AS y FROM sig_embed_long s JOIN f USING (label)", "sig_embed_long"))
@@ -397,19 +364,19 @@ def nearest_annotation(spark, sf_dir):
     return events.nearest(a, cursors, ["user_id"], "cursor", **_VIEW).select("user_id", "cursor", "sample_index", "symbol", r6("distance").alias("distance"))
 
 
-@query(duck("""+w AS (SELECT user_id, k, (k * 40)::BIGINT AS s, (k * 40 + 50)::BIGINT AS e FROM (SELECT user_id, unnest(range(0, 5)) AS k FROM (SELECT DISTINCT user_id FROM ann_user)))
+@query(duck("""+w AS (SELECT user_id, k, (k * 40)::BIGINT AS s, (k * 40 + 50)::BIGINT AS e FROM (SELECT user_id, unnest(range(0, max(sample_index) // 40 + 1)) AS k FROM ann_user GROUP BY user_id))
 SELECT w.user_id, k AS win, count(*) AS n, min(sample_index) AS first_sample FROM w JOIN ann_user a ON a.user_id = w.user_id AND a.sample_index >= s AND a.sample_index < e GROUP BY w.user_id, k""", "ann_user"))
 def window_interval_join(spark, sf_dir):
     a = ann_user(spark, sf_dir)
-    w = a.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("win")).selectExpr("user_id", "win", "win * 40 win_start", "win * 40 + 50 win_end")
+    w = a.groupBy("user_id").agg(F.max("sample_index").alias("last")).select("user_id", F.explode(F.expr("sequence(0L, last div 40)")).alias("win")).selectExpr("user_id", "win", "win * 40 win_start", "win * 40 + 50 win_end")
     return events.in_windows(a, w, ["user_id"], 50).groupBy("user_id", "win").agg(F.count(F.lit(1)).alias("n"), F.min("sample_index").alias("first_sample"))
 
 
 @query(duck("SELECT user_id, sample_index, symbol FROM ann_user WHERE symbol IN (SELECT event_type FROM events GROUP BY event_type ORDER BY event_type LIMIT 2)", "ann_user"))
 def symbol_filter_semi(spark, sf_dir):
     a = ann_user(spark, sf_dir)
-    two = [r[0] for r in a.select("symbol").distinct().orderBy("symbol").limit(2).collect()]  # the feature: two of the five event types
-    return events.filter_symbols(a, two).select("user_id", "sample_index", "symbol")
+    two = a.select("symbol").distinct().orderBy("symbol").limit(2)  # the feature: two of the five event types
+    return events.with_symbols(a, two).select("user_id", "sample_index", "symbol")
 
 
 @query("""WITH s(code, symbol) AS (VALUES """ + ", ".join("({}, '{}')".format(c, s) for c, s in events.STANDARD_SYMBOLS.items()) + """),
@@ -428,11 +395,11 @@ def subject_partition(spark, sf_dir):
     return evaluation.split_records(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey").select("c_custkey", "c_nationkey", "role")
 
 
-@query("""WITH r AS (SELECT c_nationkey AS subject, CASE WHEN c_custkey % 3 = 0 AND c_nationkey < 5 THEN 'test' ELSE 'train' END AS role FROM customer WHERE c_custkey % 7 < 3),
+@query("""WITH r AS (SELECT c_nationkey AS subject, CASE WHEN c_custkey % 3 = 0 AND c_nationkey < 5 THEN 'test' ELSE 'train' END AS role FROM customer),
 d AS (SELECT DISTINCT subject, role FROM r UNION ALL SELECT 9, 'train')
 SELECT subject, CASE WHEN count(DISTINCT role) > 1 THEN 'in more than one role' ELSE 'repeated within a role' END AS problem FROM d GROUP BY subject HAVING count(DISTINCT role) > 1 OR count(*) > count(DISTINCT role)""")
 def partition_leakage(spark, sf_dir):
-    c = read(spark, sf_dir, "customer").where("c_custkey % 7 < 3")
+    c = read(spark, sf_dir, "customer")
     role = F.when((F.col("c_custkey") % 3 == 0) & (F.col("c_nationkey") < 5), "test").otherwise("train")
     rows = c.select(F.col("c_nationkey").alias("subject"), role.alias("role")).distinct().unionByName(spark.range(1).select(F.lit(9).alias("subject"), F.lit("train").alias("role")))
     return evaluation.leakage(rows, "subject")
@@ -577,32 +544,3 @@ def edf_read(spark, sf_dir):
     mv = timeaxis.samples_to_millivolt(F.col("samples"), F.col("gain"), F.col("baseline"))
     out = rows.withColumn("m", mv).select("record_id", F.posexplode(F.arrays_zip("samples", "m")).alias("i", "p"))
     return out.select("record_id", F.col("i").cast("long").alias("i"), F.col("p.samples").cast("int").alias("adc"), r6("p.m").alias("mv"))
-
-
-@query()
-def noise_recipe(spark, sf_dir):
-    """The canonical signals, the seeded noise among them."""
-    rows = synthetic.canonical_signals(spark).select("id", F.posexplode("data").alias("i", "x"))
-    return rows.select("id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
-
-
-def _channels(spark):
-    rows = synthetic.synthetic_record(spark).groupBy("record_id", "channel_index", "channel_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "adc"))), lambda s: s["adc"].cast("short")).alias("samples"))
-    return rows.select(F.lit("synthetic").alias("dataset_id"), "record_id", F.col("record_id").alias("subject_id"), "channel_index", "channel_name", F.lit("mV").alias("unit"), F.lit(360.0).alias("sample_rate_hz"), F.lit(0.0).alias("start_time_sec"), F.lit(200.0).alias("gain"), F.lit(1024.0).alias("baseline"), "samples")
-
-
-@query()
-def experiment_result_json(spark, sf_dir):
-    """The probe's experiment on the synthetic record: its windows, from the serialised and parsed document."""
-    e = experiment.run_experiment(_channels(spark), experiment.probe_configuration())
-    text = documents.serialise_result(e.document("1", "synthetic check", "2026-01-01T00:00:00+00:00"))
-    found = documents.parse_result(text)
-    rows = [(w["windowId"], w["trueLabel"], w["predictedLabel"], w["startSample"]) for r in found["records"] for w in r["windows"]]
-    return spark.createDataFrame(rows, "window_id string, true_label string, predicted_label string, start_sample long")
-
-
-@query()
-def analysis_bands(spark, sf_dir):
-    """The synthetic record read, calibrated, filtered and decomposed."""
-    a = experiment.analyse(_channels(spark), 4, filter_spec={"type": "lowpass", "cutoff_hz": 40.0, "taps": 65, "phase": "zero"}, rate_hz=360.0)
-    return a.select("analysis_id", "channel_name", F.posexplode("bands").alias("band", "b")).select("analysis_id", "channel_name", "band", F.size("b").alias("n"))

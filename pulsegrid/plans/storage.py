@@ -11,14 +11,18 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset (tests), below a folder of this process."""
+    """A new folder below spark.checkpoint.dir; where that is unset, below a folder of this process, which only a local master may use."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = _OWN.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
     return f"{base.rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and survives lost executors."""
     out = shared_dir(df.sparkSession, name)
     df.write.parquet(out)
     return df.sparkSession.read.schema(df.schema).parquet(out)

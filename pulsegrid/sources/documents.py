@@ -88,13 +88,18 @@ def parse_metadata(text: str) -> dict:
     return m
 
 
-def fingerprint(m: dict) -> str:
-    """A hash of what a model expects of its input."""
+def fingerprint_parts(m: dict) -> list[str]:
+    """What a model expects of its input, as texts."""
     optional = [m.get(k) for k in ("expectedSamplingRateHz", "expectedChannels", "expectedWindowSamples")]
     parts = [m["modelId"], m["modelVersion"], m["task"], m["input"]["name"], m["input"]["dtype"], m["input"]["layout"], ",".join(map(number_text, m["input"]["shape"]))]
     parts += ["" if x is None else number_text(x) for x in optional]
     parts += [f"{s['stage']}:{canonical_json(s.get('config', {}))}" for s in m["preprocessingAssumptions"]]
-    return fnv1a("\0".join([*parts, m["normalization"]["strategy"], m["normalization"].get("fittedFrom") or ""]))
+    return [*parts, m["normalization"]["strategy"], m["normalization"].get("fittedFrom") or ""]
+
+
+def fingerprint(m: dict) -> str:
+    """A hash of what a model expects of its input."""
+    return fnv1a("\0".join(fingerprint_parts(m)))
 
 
 def element_count(shape: list[int]) -> int | None:
@@ -272,7 +277,7 @@ def result_problems(r: object) -> list[str]:
         if r.get("experimentId") != experiment_id(c):
             out.append(f"experimentId doesn't match the configuration ({experiment_id(c)})")
         if canonical_json(labeler) != canonical_json(c["evaluation"]):
-            out.append("labeler must equal config.evaluation")
+            out.append("the labeler isn't the one that the configuration names")
     records, windows, seen, ids = r.get("records"), [], set(), set()
     if not isinstance(records, list):
         out.append("records must be an array")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -253,13 +255,30 @@ def declared_ids(text: str) -> list[str]:
     return [x.split()[0] for x in map(str.strip, text.splitlines()) if x and not x.startswith("#")]
 
 
+def channel_batch(rows: list[dict]) -> pa.RecordBatch:
+    """Rows of decode_record as a batch of CHANNEL_SCHEMA; samples stay arrays."""
+    names = [c.split()[0] for c in CHANNEL_SCHEMA.split(", ")]
+    types = {"channel_index": pa.int32(), "sample_rate_hz": pa.float64(), "start_time_sec": pa.float64(), "gain": pa.float64(), "baseline": pa.float64(), "comments": pa.list_(pa.string())}
+    types |= {n: pa.int32() for n in ("adc_zero", "adc_bits", "initial_value", "checksum", "block_size")}
+    columns = [pa.array([r[n] for r in rows], types.get(n, pa.string())) if n != "samples" else None for n in names]
+    data = [np.asarray(r["samples"], np.int16) for r in rows]
+    offsets = np.cumsum([0, *map(len, data)]).astype(np.int32)
+    columns[names.index("samples")] = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(data) if data else np.empty(0, np.int16)))
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def read_channels(files: DataFrame) -> DataFrame:
-    """CHANNEL_SCHEMA of all records among files (name, content): headers meet their data files in a join, each record decodes in one task."""
+    """CHANNEL_SCHEMA of all records among files (name, content), from any source: each record decodes in one task.
+
+    A file's bytes move to the record that needs them; where records lie in a folder, the data source reads
+    each in its own task and moves nothing.
+    """
     hea = files.where(F.lower("name").endswith(".hea")).select(F.regexp_replace("name", r"(?i)\.hea$", "").alias("record_id"), F.col("content").alias("header"))
 
-    @F.udf("array<string>")
-    def needed(header: bytes) -> list[str]:
-        return list(dict.fromkeys(c.file for c in parse_header(header.decode("utf-8", "replace")).channels))
+    @F.arrow_udf("array<string>")
+    def needed(headers: pa.Array) -> pa.Array:
+        found = [parse_header(h.as_py().decode("utf-8", "replace")).channels for h in headers]
+        return pa.array([list(dict.fromkeys(c.file for c in channels)) for channels in found], pa.list_(pa.string()))
 
     wanted = hea.select("record_id", F.explode(needed("header")).alias("name"))
     parts = wanted.join(files, "name", "left").groupBy("record_id").agg(F.collect_list(F.struct("name", "content")).alias("parts"))
@@ -267,25 +286,19 @@ def read_channels(files: DataFrame) -> DataFrame:
 
 
 def _decoded(rows: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in CHANNEL_SCHEMA.split(", ")]
-
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for record, header, parts in zip(batch["record_id"], batch["header"], batch["parts"], strict=True):
-                have = {p["name"]: p["content"] for p in parts}
+            for record, header, parts in zip(*batch.columns, strict=True):
+                record, have = record.as_py(), {p["name"].as_py(): p["content"] for p in parts}
 
                 def content(name: str, have=have, record=record) -> bytes:
-                    if have.get(name) is None:
+                    if name not in have or not have[name].is_valid:
                         raise SignalError("file-not-found", f"record {record} needs {name}")
-                    return bytes(have[name])
+                    return have[name].as_py()
 
-                out += decode_record(record, parse_header(bytes(header).decode("utf-8", "replace")), content)
-            yield pd.DataFrame(out, columns=names)
+                yield channel_batch(decode_record(record, parse_header(header.as_py().decode("utf-8", "replace")), content))
 
-    return rows.select("record_id", "header", "parts").mapInPandas(run, CHANNEL_SCHEMA)
+    return rows.select("record_id", "header", "parts").mapInArrow(run, CHANNEL_SCHEMA)
 
 
 def read_events(files: DataFrame, enabled: bool = True) -> DataFrame:
@@ -321,17 +334,20 @@ def catalogue(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     has = rest.where(known).groupBy(F.col("stem").alias("record_id")).agg(*[F.max(F.col("ext") == e).alias(n) for e, n in (("hea", "has_header"), ("dat", "has_data"), ("atr", "has_annotations"))], F.max(F.when(F.col("ext") == "hea", F.col("content"))).alias("header"))
     found = listed.withColumn("in_records", F.lit(True)).join(has, "record_id", "full").where("in_records OR has_header")
 
-    @F.udf("struct<problem:string,files:array<string>>")
-    def judge(record: str, header: bytes | None):
+    def one(record: str, header: bytes | None) -> dict:
         if header is None:
-            return ("no .hea header file present.", None)
+            return {"problem": "the record has no header file", "files": None}
         try:
-            h = parse_header(bytes(header).decode("utf-8", "replace"))
+            h = parse_header(header.decode("utf-8", "replace"))
             if h.record != record:
                 raise _malformed(f"the header of {record!r} declares {h.record!r}")
-            return (None, list(dict.fromkeys(c.file for c in h.channels)))
+            return {"problem": None, "files": list(dict.fromkeys(c.file for c in h.channels))}
         except SignalError as e:
-            return (str(e), None)
+            return {"problem": str(e), "files": None}
+
+    @F.arrow_udf("struct<problem:string,files:array<string>>")
+    def judge(records: pa.Array, headers: pa.Array) -> pa.Array:
+        return pa.array([one(r.as_py(), h.as_py()) for r, h in zip(records, headers, strict=True)], pa.struct([("problem", pa.string()), ("files", pa.list_(pa.string()))]))
 
     judged = found.withColumn("j", judge("record_id", "header")).drop("header")
     names = rest.select(F.col("name").alias("file")).withColumn("there", F.lit(True))
@@ -370,8 +386,7 @@ class _Reader(DataSourceReader):
                 yield (record, i, e["sample_index"], e["code"], e["symbol"], e["aux_note"])
             return
         header = parse_header(read_bytes(self.folder, f"{record}.hea").decode("utf-8", "replace"))
-        for row in decode_record(record, header, lambda name: read_bytes(self.folder, name)):
-            yield tuple(v.tolist() if isinstance(v, np.ndarray) else v for v in row.values())
+        yield channel_batch(decode_record(record, header, lambda name: read_bytes(self.folder, name)))
 
 
 class WfdbDataSource(DataSource):

@@ -67,7 +67,7 @@ def supersede(requests: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
     """(key, seq, payload, status) of a stream of requests (key string, seq long, payload string), in update mode.
 
     status is current for a request newer than all before it of its key, and request-superseded for the others,
-    those that an arriving one replaces included. A key's state is its newest request, and goes after idle_ms without one.
+    those that an arriving one replaces included; of equal seq, the first to arrive counts, and requests without one are left out. A key's state is its newest request, and goes after idle_ms without one.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -76,7 +76,8 @@ def supersede(requests: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             return
         seq, payload = state.get if state.exists else (None, None)
         out = []
-        rows = sorted((int(s), p) for b in batches for s, p in zip(b["seq"], b["payload"], strict=True))
+        rows = [(int(s), p) for b in batches for s, p in zip(b["seq"], b["payload"], strict=True) if not pd.isna(s)]
+        rows.sort(key=lambda r: r[0])
         for s, p in rows:
             if seq is not None and s <= seq:
                 out.append((key[0], s, p, "request-superseded"))
@@ -86,6 +87,8 @@ def supersede(requests: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:
             seq, payload = s, p
         if rows and seq is not None and rows[-1][0] == seq:
             out.append((key[0], seq, payload, "current"))
+        if seq is None:
+            return
         state.update((seq, payload))
         state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "payload", "status"])

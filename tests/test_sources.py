@@ -7,8 +7,7 @@ import pytest
 
 from pulsegrid.errors import SignalError
 from pulsegrid.plans import experiment
-from pulsegrid.plans.queries import _channels
-from pulsegrid.sources import documents, edf, files, synthetic, wfdb
+from pulsegrid.sources import dataset, documents, edf, files, synthetic, wfdb
 from pulsegrid.streaming.latest import LatestOnly, supersede
 
 HEADER = "900 2 360 6 12:00:00\n900.dat 212 200(1024)/mV 12 0 995 0 0 MLII\n900.dat 212 0 11 1024 1011 0 0 lead V5\n# note\n"
@@ -148,7 +147,7 @@ def test_metadata():
 
 
 def test_experiment_end_to_end(spark):
-    e = experiment.run_experiment(_channels(spark), experiment.probe_configuration())
+    e = experiment.run_experiment(dataset.default_records(spark), experiment.probe_configuration())
     doc = e.document("1", "note", "2026-01-01T00:00:00+00:00")
     assert len(doc["records"][0]["windows"]) == 10 and doc["metrics"]["accuracy"] == 1.0
     text = documents.serialise_result(doc)
@@ -159,16 +158,16 @@ def test_experiment_end_to_end(spark):
     refused("invalid-input", documents.parse_result, json.dumps(wrong))
     bad = {**experiment.probe_configuration(), "selection": {"kind": "records", "recordIds": ["none"]}}
     with pytest.raises(SignalError):
-        experiment.run_experiment(_channels(spark), bad).rows.collect()
+        experiment.run_experiment(dataset.default_records(spark), bad).rows.collect()
 
 
 def test_analysis_and_view(spark):
-    a = experiment.analyse(_channels(spark), 4)
+    a = experiment.analyse(dataset.default_records(spark), 4)
     assert experiment.coherent(a, 4).count() == 0
     assert a.first().analysis_id == "synthetic/sync :: dwt-db4-level4-periodic"
-    assert len(experiment.score_view(_channels(spark), documents.PROBE, 1.0, 1.0, "lead-b").first().predictions) == 2
+    assert len(experiment.score_view(dataset.default_records(spark), documents.PROBE, 1.0, 1.0, "lead-b").first().predictions) == 2
     with pytest.raises(Exception, match="model-compatibility-failure"):
-        experiment.score_view(_channels(spark), documents.PROBE, 0.0, 2.0).collect()
+        experiment.score_view(dataset.default_records(spark), documents.PROBE, 0.0, 2.0).collect()
 
 
 def test_latest_only():
