@@ -1,42 +1,19 @@
-"""What the corpus operators share: reading tables, the shared folder, word rules and memo tables."""
+"""What the corpus operators share: reading tables, the shared folder, texts as bytes and memo tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The white space that separates words: U+0020 and U+0009 to U+000D, as bytes.split() has it.
-SPACES = " \t\n\x0b\x0c\r"
+from pulsegrid.plans.storage import materialise, shared_dir
 
-_OWN: dict[str, str] = {}
+__all__ = ["Memo", "encode", "kept", "keyed_text", "materialise", "read", "shared_dir"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; where that is unset, below a folder of this process, which only a local master may use."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        app = spark.sparkContext.applicationId
-        base = _OWN.setdefault(app, "file://" + tempfile.mkdtemp(prefix="pulsegrid-"))
-    return f"{base.rstrip('/')}/pulsegrid/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    out = shared_dir(spark, name)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
-
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and th, a hash of the text: (doc_id, th) tells rows apart even where ids repeat or are null."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
