@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.plans.storage import materialise, shared_dir
 
-__all__ = ["Memo", "encode", "kept", "keyed_text", "materialise", "read", "shared_dir"]
+__all__ = ["Memo", "encode", "kept", "keyed_text", "materialise", "read", "shared_dir", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +24,18 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that the texts (or bytes) of column `at` are of `most` bytes together, or one row: what a task makes of them stays bounded."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            room = (ends[start - 1] if start else 0) + most
+            end = max(start + 1, int(np.searchsorted(ends, room, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
 class Memo(dict):
     """A dict that fills itself by make(key). At `most` entries it becomes the older generation of two, of which
     entries come back when they are asked for again, so that frequent keys stay. Keys of more than LONGEST characters
