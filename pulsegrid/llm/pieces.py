@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import Memo, kept
+from pulsegrid.llm.common import Memo, kept, slices
 
 #: The sign that stands for a space, and the runs that a best path can be cut into where no piece has it after another character.
 SPACE = "▁"
@@ -100,25 +100,47 @@ def _coder(proto: bytes) -> PieceCoder:
     return kept(("pieces", hash(proto)), lambda: PieceCoder(proto))
 
 
-def encode_docs(docs: DataFrame, model_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens and ids (array<int>) of every row of docs (doc_id, text); null and empty texts have no ids."""
+def _pieces(docs: DataFrame, model_path: str | None, row, schema: str, arrow: list[pa.DataType]) -> DataFrame:
+    """doc_id and what row(coder, text) gives of every row of docs (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model_proto(model_path))  # a model file: under 1 MB
+    names = ["doc_id", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
-        for batch in batches:
-            for part in _slices(batch):
-                rows = [coder.encode(x.as_py()) for x in part.column(1)]
-                sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids], names=["doc_id", "n_tokens", "ids"])
+        for batch in slices(batches, 1):
+            columns = list(zip(*(row(coder, x.as_py()) for x in batch.column(1)), strict=True)) or [[]] * len(arrow)
+            made = [_lists(c) if t == pa.list_(pa.int32()) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {schema}")
+
+
+def _lists(rows) -> pa.Array:
+    offsets = pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(rows) if len(rows) else np.empty(0, np.int32)))
+
+
+def encode_docs(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens and ids (array<int>) of every row of docs (doc_id, text); null and empty texts have no ids, repeated rows
+    equal ones, other columns are left out, and an empty table gives no rows."""
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    def row(coder: PieceCoder, text: str | None):
+        ids = coder.encode(text)
+        return len(ids), ids
 
+    return _pieces(docs, model_path, row, "n_tokens long, ids array<int>", [pa.int64(), pa.list_(pa.int32())])
 
-def _slices(batch: pa.RecordBatch, rows: int = 1000) -> list[pa.RecordBatch]:
-    return [batch.slice(i, rows) for i in range(0, batch.num_rows, rows)]
+
+def encode_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_crc32, decoded_sha256 and round_trip of every row of docs (doc_id, text), as encode_docs and decode_docs
+    have them: one pass, so that ids needn't be stored to be checked."""
+
+    def row(coder: PieceCoder, text: str | None):
+        ids = coder.encode(text)
+        back = coder.decode(ids)
+        return len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == (text or "").replace(SPACE, " ")
+
+    return _pieces(docs, model_path, row, "n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean", [pa.int64(), pa.int64(), pa.string(), pa.bool_()])
 
 
 def decode_docs(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -135,22 +157,5 @@ def decode_docs(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
 
 def op5_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """Encodes every text, decodes the ids, and returns digests of both: one pass, so that ids needn't be stored to be checked."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    shared = spark.sparkContext.broadcast(model_proto())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(shared.value)
-        for batch in batches:
-            rows = []
-            for x in batch.column(1):
-                text = x.as_py() or ""
-                ids = coder.encode(text)
-                back = coder.decode(ids)
-                rows.append((len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256(back.encode("utf-8", "replace")).hexdigest(), back == text.replace(SPACE, " ")))
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "round_trip"])
-
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    """Every text encoded and its ids decoded, as digests of both."""
+    return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
