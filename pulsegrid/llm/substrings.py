@@ -136,9 +136,9 @@ def _merge(log: int):
         for blob in table["blob"]:
             s = _unpack(blob.as_py())
             first = _first_of(s)
-            counts[s[first]] += 1
-            counts[s[~first]] += 1
-            np.minimum(counts, 2, out=counts)
+            once = s[first]
+            counts[once] = np.minimum(counts[once] + 1, 2)
+            counts[s[~first]] = 2
         bits = []
         for blob in table["blob"]:
             s = _unpack(blob.as_py())
