@@ -48,9 +48,25 @@ def test_cascade_is_native_and_order_free(odd, empty):
 
 
 def test_order_is_by_rejections_per_cost(spark):
-    df = spark.createDataFrame([(i, "word " * 60 + ("#" * 50 if i % 2 else "")) for i in range(200)], "doc_id long, text string")
-    ordered = rules.order_rules(df, rows=100)
-    assert ordered[0][0].name == "symbols" and [-h / s for _, s, h in ordered] == sorted(-h / s for _, s, h in ordered)
+    """A dear rule comes after a cheap one that rejects as much, what another rule has rejected doesn't count again, and rows that
+    fail the base rule don't count at all."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(80)) + (" #####" * 3 if i % 2 else "") + (" QQQQ" if i % 4 == 0 else "") for i in range(300)] + ["!!!"] * 300
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    dear = "size(filter(sequence(1, 300), i -> length(translate(text, 'w', '')) + i < 0)) > 0 OR text LIKE '%#%'"
+    rules_ = (rules.Rule("dear", dear), rules.Rule("same", "text LIKE '%#####%'"), rules.Rule("other", "text LIKE '%QQQQ%'"), rules.Rule("short", "n_words < 10"))
+    ordered = rules.order_rules(df, rules_, rows=10_000)
+    names = [r.name for r, _, _ in ordered]
+    cost = {r.name: ns for r, ns, _ in ordered}
+    assert names[0] == "same" and names[1] == "other" and names[-1] == "dear" and cost["dear"] > 20 * cost["same"]
+    assert {r.name: round(h, 6) for r, _, h in ordered} == {"same": 0.5, "other": 0.5, "short": 0.0, "dear": 0.0}
+    assert {r.name for r, _, _ in rules.order_rules(df.limit(0), rules_)} == {r.name for r in rules_}
+
+
+def test_costs_agree_between_runs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    a, b = ({r.name: ns for r, ns, _ in rules.order_rules(docs)} for _ in range(2))
+    dear = [n for n in a if a[n] > 2000]
+    assert dear and all(0.6 < a[n] / b[n] < 1.67 for n in dear)
 
 
 def auc_of(score, good):
