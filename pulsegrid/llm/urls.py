@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.common import materialise
+
 #: Host and path rules: (host/path, verdict). A rule fits its host and its subdomains where the path starts as its own; the longest wins.
 SITES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -73,15 +75,24 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class Judge:
+    """Rules in the memory of a worker: sites by host, patterns by token."""
+
     def __init__(self, sites, patterns, index: TokenIndex):
-        self.sites = sorted(((r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in sites), key=lambda x: -len(x[2]))
+        self.sites: dict[str, list[tuple[str, str, str]]] = {}
+        for rule, verdict in sorted(sites, key=lambda x: -len(x[0])):
+            host, _, path = rule.partition("/")
+            self.sites.setdefault(host, []).append(("/" + path, rule, verdict))
         self.index, self.patterns, self.regexes = index, patterns, [_python_regex(p) for p in patterns]
 
     def site(self, host: str, path: str) -> tuple[str | None, str | None]:
-        for rule_host, rule_path, rule, verdict in self.sites:
-            if path.startswith(rule_path) and (host == rule_host or host.endswith("." + rule_host)):
-                return rule, verdict
-        return None, None
+        """The longest rule of the host or a domain above it: a look-up for each label of the host."""
+        best: tuple[str | None, str | None] = (None, None)
+        while host:
+            fits = next(((r, v) for p, r, v in self.sites.get(host, ()) if path.startswith(p)), None)
+            if fits and (best[0] is None or len(fits[0]) > len(best[0])):
+                best = fits
+            host = host.partition(".")[2]
+        return best
 
     def pattern(self, url: str | None) -> str | None:
         """The first pattern in the given order that fits; only candidates run their expression."""
@@ -94,13 +105,28 @@ class Judge:
         return next((self.patterns[i] for i in sorted(found) if self.regexes[i].search(low)), None)
 
 
-def filter_urls(pages: DataFrame, sites=SITES, patterns=PATTERNS) -> DataFrame:
+#: Bytes of rules up to which each worker holds them all; beyond, rules and URLs meet in joins.
+MOST_BYTES = 64 << 20
+
+
+def filter_urls(pages: DataFrame, sites=SITES, patterns=PATTERNS, most: int = MOST_BYTES) -> DataFrame:
     """page_id, host, path, rule, pattern and verdict of every row of pages (page_id, url); other columns are left out.
 
+    sites and patterns are sequences, or tables (rule, verdict) and (pattern, position) of any size. Rules of up to `most` bytes
+    are held by each worker; larger ones are joined, by the domains of a host and by the rarest token of a pattern.
     A url that is null, empty or without :// has an empty host and path; patterns still see its text.
     Repeated rows and ids are judged one by one. An empty table gives no rows.
     """
-    judge = Judge(sites, patterns, build_index(pages, patterns))
+    spark = pages.sparkSession
+    if not isinstance(sites, DataFrame):
+        sites = spark.createDataFrame(list(sites), "rule string, verdict string")
+    if not isinstance(patterns, DataFrame):
+        patterns = spark.createDataFrame(list(zip(patterns, range(len(patterns)), strict=True)), "pattern string, position int")
+    size = sum(t.agg(F.sum(F.octet_length(c))).first()[0] or 0 for t, c in ((sites, "rule"), (patterns, "pattern")))
+    if size > most:
+        return _joined(pages, sites, patterns)
+    listed = [r[0] for r in patterns.orderBy("position").select("pattern").collect()]
+    judge = Judge([tuple(r) for r in sites.select("rule", "verdict").collect()], listed, build_index(pages, listed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,6 +143,48 @@ def filter_urls(pages: DataFrame, sites=SITES, patterns=PATTERNS) -> DataFrame:
     return chosen.mapInArrow(run, "page_id long, host string, path string, rule string, pattern string, verdict string")
 
 
+def _joined(pages: DataFrame, sites: DataFrame, patterns: DataFrame) -> DataFrame:
+    """filter_urls by joins: distinct URLs have a row for each domain of their host, and for each of their tokens that some pattern has as its rarest."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    rest = F.when(F.contains("url", F.lit("://")), F.expr("substring(url, locate('://', url) + 3)")).otherwise("")
+    urls = pages.select("url").distinct().withColumn("rest", rest).withColumn("low", F.translate("url", upper, lower))
+    urls = urls.select("url", "low", F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), upper, lower).alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
+    urls = materialise(urls, "urls")
+    domains = urls.where("host <> ''").select("url", "path", F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000), '.'))")).alias("domain"))
+    by_host = sites.select("rule", F.col("verdict").alias("ruling"), F.substring_index("rule", "/", 1).alias("domain"), F.expr("substring(rule, locate('/', rule))").alias("under"))
+    fits = domains.join(by_host, "domain").where(F.startswith("path", F.col("under")))
+    ruled = fits.groupBy("url").agg(F.max_by(F.struct("rule", "ruling"), F.length("rule")).alias("r"))
+    tokens = urls.select("url", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("token")).where("token <> ''")
+    with_tokens = materialise(patterns.mapInArrow(_pattern_rows, "pattern string, position int, regex string, tokens array<string>"), "patterns")
+    wanted = with_tokens.select("pattern", F.explode("tokens").alias("token"))
+    seen = tokens.join(wanted.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(seen, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
+    indexed = with_tokens.join(rarest, "pattern").select("pattern", "position", "regex", "token")
+    found = tokens.join(indexed, "token").select("url", "pattern", "position", "regex")
+    always = [(r["pattern"], r["position"]) for r in with_tokens.where("size(tokens) = 0").select("pattern", "position").limit(MOST_ALWAYS + 1).collect()]
+    if len(always) > MOST_ALWAYS:
+        raise ValueError(f"more than {MOST_ALWAYS} patterns have no whole token; each of them would run on every URL")
+    hit = found.join(urls.select("url", "low"), "url").where(F.expr("low rlike regex")).groupBy("url").agg(F.min(F.struct("position", "pattern")).alias("hit"))
+    least = F.col("hit")
+    for pattern, position in always:
+        own = F.when(F.col("low").rlike(regex_of(pattern)), F.struct(F.lit(position).alias("position"), F.lit(pattern).alias("pattern")))
+        least = F.when(least.isNull() | (own["position"] < least["position"]), F.coalesce(own, least)).otherwise(least)
+    judged = urls.join(ruled, "url", "left").join(hit, "url", "left").select("url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.ruling").alias("ruling"), least["pattern"].alias("pattern"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("of")).join(materialise(judged, "judged"), F.col("of") == F.col("url"), "left")
+    verdict = F.coalesce("ruling", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
+    return rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", "pattern", verdict.alias("verdict"))
+
+
+#: Patterns without a whole token, which run on every URL, in the joined way at most.
+MOST_ALWAYS = 100
+
+
+def _pattern_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        patterns = batch.column("pattern").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("pattern"), batch.column("position"), pa.array(map(regex_of, patterns), pa.string()), pa.array(map(tokens_of, patterns), pa.list_(pa.string()))], names=["pattern", "position", "regex", "tokens"])
+
+
 def op7_url_filters(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
