@@ -96,7 +96,7 @@ def test_avi_is_lossless_and_readable():
     payload = bytes(range(256)) * 9 + b"\0" * 64
     media = avi.write_avi(payload)
     movie = avi.parse_avi(media)
-    back, frames = avi.read_payload(media)
+    back, _, frames = avi.read_payload(media)
     assert back == payload and movie.seconds_per_frame == 0.04
     for at, size, frame in zip(movie.at, movie.size, frames, strict=True):
         assert (avi.decode_jpeg(media[at : at + size]) == frame).all()
@@ -127,6 +127,107 @@ def test_foreign_jpeg_frames():
     assert avi.decode_jpeg(head + raw + b"\xff\xd9").tolist() == [min(255, v * 16 // 8 + 128) for v in values]
 
 
+def usual_codes(key):
+    """{symbol: bits} of a usual table, from its look-up table."""
+    out = {}
+    for code, (s, n) in enumerate(zip(*avi.usual_tables()[key], strict=True)):
+        if s >= 0:
+            out.setdefault(s, f"{code:016b}"[:n])
+    return out
+
+
+def colour_jpeg(y, cb, cr, quant=8, tables=False, restart=0):
+    """A frame of three components, the second and third at half the rate both ways, whose blocks have the given DC levels and one AC coefficient each."""
+    rows, columns = len(y), len(y[0])
+    codes = {k: usual_codes(k) for k in (0x00, 0x01, 0x10, 0x11)}
+    parts, bits, dc = [], "", [0, 0, 0]
+
+    def block(i, level):
+        nonlocal bits
+        kind = 0 if i == 0 else 1
+        d, dc[i] = level - dc[i], level
+        n = abs(d).bit_length()
+        bits += codes[kind][n] + (f"{d if d >= 0 else d + (1 << n) - 1:0{n}b}" if n else "")
+        bits += codes[0x10 | kind][0x21] + "0" + codes[0x10 | kind][0]
+
+    def flush():
+        nonlocal bits
+        bits += "1" * (-len(bits) % 8)
+        parts.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0"))
+        bits = ""
+
+    n = 0
+    for r in range(0, rows, 2):
+        for c in range(0, columns, 2):
+            if restart and n and n % restart == 0:
+                flush()
+                dc[:] = [0, 0, 0]
+            for dy in (0, 1):
+                for dx in (0, 1):
+                    block(0, y[r + dy][c + dx])
+            block(1, cb[r // 2][c // 2])
+            block(2, cr[r // 2][c // 2])
+            n += 1
+    flush()
+    scan = b"".join(p + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(parts) else b"") for i, p in enumerate(parts))
+    seg = avi._segment
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1\0") + seg(0xDB, b"\x00" + bytes([quant] * 64) + b"\x01" + bytes([2 * quant] * 64))
+    head += (seg(0xDD, restart.to_bytes(2, "big")) if restart else b"") + seg(0xC0, b"\x08" + (8 * rows).to_bytes(2, "big") + (8 * columns).to_bytes(2, "big") + b"\x03\x01\x22\x00\x02\x11\x01\x03\x11\x01")
+    return head + seg(0xDA, b"\x03\x01\x00\x02\x11\x03\x11\x00\x3f\x00") + scan + b"\xff\xd9"
+
+
+def test_colour_frames_with_the_usual_tables():
+    r = np.random.default_rng(4)
+    y, cb, cr = r.integers(-100, 100, (4, 6)), r.integers(-40, 40, (2, 3)), r.integers(-40, 40, (2, 3))
+    want = np.concatenate([np.clip(y.ravel() + 128, 0, 255), np.clip(2 * cb.ravel() + 128, 0, 255), np.clip(2 * cr.ravel() + 128, 0, 255)])
+    for restart in (0, 1, 2):
+        frame = colour_jpeg(y.tolist(), cb.tolist(), cr.tolist(), restart=restart)
+        assert avi.decode_jpeg(frame).tolist() == want.tolist()
+    for broken in (frame[:40], frame[: len(frame) // 2], frame.replace(b"\xff\xc0", b"\xff\xc2")):
+        with pytest.raises((ValueError, IndexError)):
+            avi.decode_jpeg(broken)
+
+
+def open_dml(frames, fps=10, segments=2):
+    """An AVI of several RIFF segments with an index of indexes, as large files have it, and no idx1."""
+    import struct
+
+    def chunk(name, body):
+        return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+
+    def build(places):
+        main = struct.pack("<14I", 1_000_000 // fps, 0, 0, 0, len(frames), 0, 1, 0, 48, 32, 0, 0, 0, 0)
+        entries = b"".join(struct.pack("<QII", p, 0, 0) for p in places)
+        super_index = struct.pack("<HBBI4sIII", 4, 0, 0, segments, b"00dc", 0, 0, 0) + entries
+        strl = b"strl" + chunk(b"strh", b"vidsMJPG" + b"\0" * 48) + chunk(b"indx", super_index)
+        out, found, per = b"", [], -(-len(frames) // segments)
+        for k in range(segments):
+            head = chunk(b"LIST", b"hdrl" + chunk(b"avih", main) + chunk(b"LIST", strl)) if k == 0 else b""
+            start = len(out) + 12 + len(head)
+            movi, rows = b"movi", []
+            for f in frames[k * per : (k + 1) * per]:
+                rows.append((start + 8 + len(movi) + 8, len(f) | 0x80000000))
+                movi += chunk(b"00dc", f)
+            found.append(start + 8 + len(movi))
+            movi += chunk(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(rows), b"00dc", 0, 0) + b"".join(struct.pack("<II", *r) for r in rows))
+            out += chunk(b"RIFF", (b"AVI " if k == 0 else b"AVIX") + head + chunk(b"LIST", movi))
+        return out, found
+
+    return build(build([0] * segments)[1])[0]
+
+
+def test_clips_of_a_colour_file_of_several_segments(spark):
+    dark = colour_jpeg([[-90] * 6] * 4, [[0] * 3] * 2, [[0] * 3] * 2)
+    light = colour_jpeg([[90] * 6] * 4, [[30] * 3] * 2, [[0] * 3] * 2)
+    media = open_dml([dark] * 5 + [light] * 6)
+    movie = avi.parse_avi(media)
+    assert [media[a : a + z] for a, z in zip(movie.at, movie.size, strict=True)] == [dark] * 5 + [light] * 6
+    no_index = media.replace(b"indx", b"JUNK")
+    assert (avi.parse_avi(no_index).at == movie.at).all()
+    got = avi.clips(spark.createDataFrame([(1, media), (2, no_index)], "media_id long, data binary")).collect()
+    assert sorted((r.media_id, r.clip, r.first_frame, r.end_frame, round(r.end_sec, 3), r.error) for r in got) == [(k, i, *x, None) for k in (1, 2) for i, x in enumerate([(0, 5, 0.5), (5, 11, 1.1)])]
+
+
 def test_shots_follow_histograms():
     dark, light = np.full((6, 256), 20, np.uint8), np.full((5, 256), 220, np.uint8)
     assert avi.shots(np.concatenate([dark, light, dark])) == [(0, 6), (6, 11), (11, 17)]
@@ -141,12 +242,36 @@ def test_clips_of_files(spark):
     assert [r.error for r in got if r.media_id == 2] == ["not an AVI file"] and not [r for r in got if r.media_id == 3]
 
 
+def plain_feature(stored, block=256):
+    """The feature of a payload by counting, frame after frame: a frame holds 256 bytes, the last one filled up with zeros."""
+    frames = [stored[i : i + block].ljust(block, b"\0") for i in range(0, len(stored), block)]
+    counts = [[sum(b * avi.BINS // 256 == k for b in f) for k in range(avi.BINS)] for f in frames]
+    change = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / (2 * block) for a, b in zip(counts, counts[1:], strict=False)]
+    cuts = [0]
+    for i, c in enumerate(change):
+        lately = change[max(0, i - avi.MEMORY) : i]
+        mean = sum(lately) / max(1, len(lately))
+        spread = max(0.0, sum(x * x for x in lately) / max(1, len(lately)) - mean * mean) ** 0.5
+        if c > avi.FLOOR and c > mean + avi.FACTOR * spread + 1e-12:
+            cuts.append(i + 1)
+    spans = list(zip(cuts, [*cuts[1:], len(frames)], strict=True))
+    return f"frames={len(frames)};shots={len(spans)};" + ",".join(f"{a}-{b}@{a * 0.04:.2f}-{b * 0.04:.2f}" for a, b in spans)
+
+
+def test_media_of_odd_rows(odd, odd_rows, empty):
+    got = sorted(((r.doc_id, r.n_bytes, r.payload_sha256, r.feature) for r in avi.media_digests(odd).collect()), key=str)
+    want = [(i, avi.padded(t)[0], hashlib.sha256(stored := avi.padded(t)[1]).hexdigest(), plain_feature(stored)) for i, t in odd_rows]
+    assert got == sorted(want, key=str)
+    assert avi.media_digests(empty).count() == 0
+
+
 def test_media_query(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in avi.op6_media_avi(spark, SF).collect():
         n, stored = avi.padded(texts[r.doc_id])
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-64:]))
         assert r.media_sha256 == hashlib.sha256(avi.write_avi(stored)).hexdigest() and len(stored) % 64 == 0
+        assert r.feature == plain_feature(stored)
     assert avi.padded(None) == (0, b"\0" * 64)
 
 
@@ -178,6 +303,25 @@ def test_urls_against_all_rules(spark, duck):
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_large_rule_tables_are_joined(spark, duck):
+    """Rules beyond the bound give the same rows by joins, clashing columns and nulls included."""
+    odd = [None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/x", "http://example.org/en/12?x#y", "http://notexample.org/es/", "x://a.com/de/#f", "http://a.COM/fr/utm_source=feed", "https://k.com/casino-royal/", "http://ü.example.org/es/Ü\n", "https://blog.x.net/#top", "http://m.a.org/x/en/1.html"]
+    rows = [(i, u, "x", None, "y") for i, u in enumerate(odd)] + [(None, odd[4], None, "z", None), (3, odd[4], "", "", "")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string, low string")
+    sites = spark.createDataFrame(list(urls.SITES), "rule string, verdict string")
+    held, joined = (sorted((tuple(r) for r in urls.filter_urls(df, sites, most=m).collect()), key=str) for m in (urls.MOST_BYTES, 0))
+    assert held == joined and len(held) == len(rows)
+    assert rows_of(urls.filter_urls(spark.read.parquet(f"{SF}/pages.parquet"), most=0).toPandas()) == rows_of(duck.execute(urls.OP7_SQL).df())
+    assert urls.filter_urls(df.limit(0), most=0).count() == 0
+
+
+def test_sites_are_looked_up_by_host():
+    many = [(f"h{i}.example.net/", "block") for i in range(50_000)] + [("example.net/a/", "allow"), ("net/", "block")]
+    judge = urls.Judge(many, (), urls.TokenIndex({}, []))
+    assert judge.site("x.h77.example.net", "/a/b") == ("h77.example.net/", "block") and judge.site("x.example.net", "/a/b") == ("example.net/a/", "allow")
+    assert judge.site("other.net", "/") == ("net/", "block") and judge.site("net.org", "/") == (None, None) and judge.site("", "") == (None, None)
+
+
 def test_index_uses_the_rarest_token(spark):
     pages = spark.createDataFrame([(i, f"http://a.b/common/{'rare' if i == 0 else 'x'}") for i in range(9)], "page_id long, url string")
     index = urls.build_index(pages, ("/common/rare^", "*tail", "^common^"))
