@@ -24,7 +24,7 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 64 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], at: int, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that the texts (or bytes) of column `at` are of `most` bytes together, or one row: what a task makes of them stays bounded."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

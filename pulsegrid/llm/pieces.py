@@ -19,6 +19,8 @@ from pulsegrid.llm.common import Memo, kept, slices
 
 #: The sign that stands for a space, and the runs that a best path can be cut into where no piece has it after another character.
 SPACE = "▁"
+#: Distinct runs that a worker remembers, in each of two generations, at some 250 bytes each.
+MOST_RUNS = 120_000
 _RUNS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -48,7 +50,7 @@ class PieceCoder:
                 self.whole |= SPACE in piece.lstrip(SPACE)
         self.automaton.make_automaton()
         self.unknown = least - 10.0
-        self.memo = Memo(self._run)
+        self.memo = Memo(self._run, MOST_RUNS)
 
     def ids(self, run: str) -> list[int]:
         """The best path over one run: at each end the automaton's output links give every piece that ends there, longest first."""
