@@ -104,7 +104,7 @@ def analysis_bands(spark, sf_dir):
 
 # --- experiments ------------------------------------------------------------------------------------------------------
 
-_METADATA = {**documents.PROBE, "modelId": "window-sum-2", "input": {**documents.PROBE["input"], "shape": [16]}, "expectedSamplingRateHz": 64, "expectedWindowSamples": 16}
+_METADATA = documents.probe_metadata("window-sum-2", 64, 16)
 _CONFIG = {"datasetId": "vectors", "channelName": "first", "window": {"windowLengthSamples": 16, "strideSamples": 8, "remainderPolicy": "drop"}, "model": {"modelId": "window-sum-2", "modelVersion": "1.0.0"}, "evaluation": {"id": "first-sample", "description": "positive-mean where the first sample is at least 0"}}
 _OUTCOMES = """+w AS (SELECT rid, label, k * 8 AS s FROM (SELECT DISTINCT rid, label FROM sig_embed_long), range(0, 7) AS t(k)),
 v AS (SELECT w.rid, w.label, w.s, sum((floor(x * 100 + 0.5) - 4) / 100.0::DOUBLE ORDER BY i) AS total, arg_min(floor(x * 100 + 0.5) - 4, i) AS first FROM w JOIN sig_embed_long e ON e.rid = w.rid AND e.i >= w.s AND e.i < w.s + 16 GROUP BY w.rid, w.label, w.s),

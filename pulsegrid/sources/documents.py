@@ -15,15 +15,17 @@ from pulsegrid.operators.evaluation import ROLES, assert_split
 DTYPES = ("float32", "float64", "int8", "int16", "int32", "int64", "uint8", "bool", "string")
 SEMANTICS, ACTIVATIONS = ("logits", "probabilities", "model-scores"), ("none", "softmax", "sigmoid")
 
-#: The probe, a model of one matrix whose logits are plus and minus the sum of its window.
-PROBE = {
-    "modelId": "probe-linear-mean-2", "modelVersion": "1.0.0", "task": "probe-sign-of-mean",
-    "input": {"name": "signal", "shape": [360], "dtype": "float32", "layout": "samples"},
-    "expectedSamplingRateHz": 360, "expectedChannels": 1, "expectedWindowSamples": 360,
-    "preprocessingAssumptions": [{"stage": "identity-window", "config": {"channelCount": 1, "windowSamples": 360, "sampleRateHz": 360}}],
-    "normalization": {"strategy": "none"},
-    "output": {"name": "logits", "dtype": "float32", "semantics": "logits", "activation": "softmax", "classLabels": ["positive-mean", "nonpositive-mean"]},
-}
+
+def probe_metadata(model_id: str = "probe-linear-mean-2", rate_hz: int = 360, window: int = 360, provenance: dict | None = None) -> dict:
+    """The metadata of a probe, a model of one matrix whose logits are plus and minus the sum of its window. Ids and fingerprints follow from the arguments."""
+    step = {"stage": "identity-window", "config": {"channelCount": 1, "windowSamples": window, "sampleRateHz": rate_hz}}
+    out = {"modelId": model_id, "modelVersion": "1.0.0", "task": "probe-sign-of-mean", "preprocessingAssumptions": [step], "normalization": {"strategy": "none"}}
+    out |= {"expectedSamplingRateHz": rate_hz, "expectedChannels": 1, "expectedWindowSamples": window, "input": {"name": "signal", "shape": [window], "dtype": "float32", "layout": "samples"}}
+    out["output"] = {"name": "logits", "dtype": "float32", "semantics": "logits", "activation": "softmax", "classLabels": ["positive-mean", "nonpositive-mean"]}
+    return out if provenance is None else {**out, "provenance": provenance}
+
+
+PROBE = probe_metadata()
 
 
 def _text(x: object) -> bool:

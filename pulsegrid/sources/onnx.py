@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pulsegrid.errors import SignalError
+from pulsegrid.sources import documents
 
 _SESSIONS: dict[int, object] = {}
 
@@ -84,3 +86,21 @@ def probe_model(samples: int = 360) -> bytes:
     constant = _field(1, samples) + _field(1, 2) + _field(2, 1) + _field(8, b"weights") + _field(9, weights)
     graph = _field(1, node) + _field(2, b"probe") + _field(5, constant) + _field(11, tensor_info(b"signal", samples)) + _field(12, tensor_info(b"logits", 2))
     return _field(1, 8) + _field(7, graph) + _field(8, _field(2, 13))
+
+
+def probe_problems(data: bytes, metadata: dict | None = None) -> list[str]:
+    """What is wrong with a stored probe: a length or digest other than the built one's, metadata that don't hold, names or shapes that differ."""
+    m = documents.PROBE if metadata is None else metadata
+    want = probe_model()
+    out = [] if len(data) == len(want) else [f"{len(data)} bytes instead of {len(want)}"]
+    out += [] if hashlib.sha256(data).digest() == hashlib.sha256(want).digest() else ["the SHA-256 differs"]
+    out += documents.metadata_problems(m)
+    if not out:
+        try:
+            session = _session(data)
+            given, made = session.get_inputs()[0], session.get_outputs()[0]
+            for name, have, said in (("input", given.name, m["input"]["name"]), ("output", made.name, m["output"]["name"]), ("input shape", list(given.shape), m["input"]["shape"])):
+                out += [] if have == said else [f"the {name} is {have!r} instead of {said!r}"]
+        except SignalError as e:
+            out.append(str(e))
+    return out

@@ -14,32 +14,35 @@ from pulsegrid.errors import SignalError
 class LatestGate:
     """Request ids of one caller: only the last one issued is current."""
 
-    def __init__(self):
-        self.last, self.signal = 0, None
+    def __init__(self, prefix: str = "request"):
+        self.prefix, self.last, self.signal = prefix, 0, None
 
     def issue(self, signal: str) -> str:
         self.last, self.signal = self.last + 1, signal
-        return f"request-{self.last}"
+        return f"{self.prefix}-{self.last}"
 
     def is_current(self, request: str) -> bool:
-        return self.last > 0 and request == f"request-{self.last}"
+        return self.last > 0 and request == f"{self.prefix}-{self.last}"
 
     def reset(self) -> None:
         self.signal = None
 
 
 class LatestOnly:
-    """Pending requests of one caller: issuing one refuses those before it with request-superseded; late results are dropped."""
+    """Pending requests of one caller: issuing one refuses those before it with request-superseded; late results are dropped.
 
-    def __init__(self):
-        self.gate, self.pending, self.closed = LatestGate(), {}, False
+    kind names what is asked for (dsp or inference): it begins the request ids, and stands in the refusals.
+    """
+
+    def __init__(self, kind: str = "request"):
+        self.kind, self.gate, self.pending, self.closed = kind, LatestGate(kind), {}, False
 
     def issue(self, signal: str, on_result, on_error) -> str:
         if self.closed:
             raise SignalError("invalid-input", "the caller is closed")
         request = self.gate.issue(signal)
         for _, refuse in self.pending.values():
-            refuse(SignalError("request-superseded", f"superseded by {request}"))
+            refuse(SignalError("request-superseded", f"a newer {self.kind} request took its place: {request}"))
         self.pending = {request: (on_result, on_error)}
         return request
 
@@ -56,10 +59,19 @@ class LatestOnly:
         self.pending.pop(request)[1](cause)
         return True
 
+    def deliver(self, answer: dict) -> bool:
+        """Routes an answer {kind, request, result or error: {code, message}}; those of another kind of request are passed over."""
+        if answer.get("kind") == f"{self.kind}-result":
+            return self.resolve(answer["request"], answer["result"])
+        if answer.get("kind") == f"{self.kind}-error":
+            error = answer["error"]
+            return self.reject(answer["request"], SignalError(error["code"], error["message"]))
+        return False
+
     def close(self) -> None:
         self.closed = True
         for _, refuse in self.pending.values():
-            refuse(SignalError("request-superseded", "the caller was closed"))
+            refuse(SignalError("request-superseded", f"the {self.kind} caller was closed"))
         self.pending = {}
 
 

@@ -188,3 +188,15 @@ def test_stream_supersedes(spark, tmp_path):
     q.awaitTermination(120)
     rows = {(r.key, r.seq): r.status for r in spark.table("latest").collect()}
     assert rows == {("a", 1): "request-superseded", ("a", 2): "request-superseded", ("a", 3): "current", ("b", 7): "current"}
+
+
+def test_answers_reach_their_own_kind_of_request():
+    got = []
+    dsp, inference = LatestOnly("dsp"), LatestOnly("inference")
+    first = dsp.issue("s", got.append, got.append)
+    second = dsp.issue("s", got.append, got.append)
+    other = inference.issue("s", got.append, got.append)
+    assert (first, second, other) == ("dsp-1", "dsp-2", "inference-1") and got[0].code == "request-superseded" and "dsp" in str(got[0])
+    assert not dsp.deliver({"kind": "dsp-result", "request": first, "result": 1}) and not dsp.deliver({"kind": "inference-result", "request": second, "result": 1})
+    assert dsp.deliver({"kind": "dsp-result", "request": second, "result": 7}) and got[-1] == 7
+    assert inference.deliver({"kind": "inference-error", "request": other, "error": {"code": "inference-failure", "message": "no"}}) and got[-1].code == "inference-failure"

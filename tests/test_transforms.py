@@ -80,6 +80,8 @@ def test_onnx_probe_agrees_with_the_built_in(spark):
     assert [r.predicted_label for r in a] == [r.predicted_label for r in b] and len(a) == 10
     assert np.allclose([r.predicted_score for r in a], [r.predicted_score for r in b], atol=1e-3)
     refused("model-loading-failure", onnx.onnx_scorer, b"no model", documents.PROBE)
+    assert onnx.probe_problems(onnx.probe_model()) == []
+    assert len(onnx.probe_problems(onnx.probe_model() + b"x")) == 2 and onnx.probe_problems(onnx.probe_model(), {**documents.PROBE, "input": {**documents.PROBE["input"], "name": "x"}})
 
 
 def test_fixtures_are_not_overwritten(spark, tmp_path):
