@@ -585,3 +585,19 @@ def test_long_secrets_other_phones_and_ipv6():
         assert [k for *_, k in found] == ["ipv6"] and ip not in out
     for t in ("std::cafe::x at 10:30:45, 01:23:45:67:89:ab", "rose +1.23456789 and a::b"):
         assert surrogates.replace(t, KEY) == (t, [])
+
+
+def test_slices_and_memos_are_bounded():
+    import pyarrow as pa
+
+    from pulsegrid.llm.common import Memo, slices
+
+    texts = ["x" * 10, None, "", "y" * 50, "z" * 5, "ü" * 3, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    parts = list(slices(iter([batch, batch.slice(0, 0)]), 1, most=16))
+    assert [p.column(1).to_pylist() for p in parts] == [["x" * 10, None, ""], ["y" * 50], ["z" * 5, "ü" * 3, None]]
+    made = []
+    memo = Memo(lambda k: made.append(k) or k.upper(), most=3)
+    assert [memo[k] for k in "abcabcdab"] == list("ABCABCDAB") and made == list("abcd") and len(memo) + len(memo.older) <= 6
+    long = "q" * 65
+    assert memo[long] == memo[long] == long.upper() and made[-2:] == [long, long] and long not in memo
