@@ -48,7 +48,8 @@ STAGES = [
     ("sentencepiece", to_pieces),
 ]
 
-#: No stage's result is within SQL's reach; tests/llm holds each stage against a brute-force version.
+#: No stage's result is within SQL's reach; tests/llm/test_pipeline.py holds each stage's decisions against plain code over the
+#: model's numbers, and those of near-dedup against all pairs.
 ORACLE_SQL = None
 
 
