@@ -8,6 +8,7 @@ from pulsegrid.llm.mixing import op3_mixing
 from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
 from pulsegrid.llm.simhash import op10_simhash_near_dedup
+from pulsegrid.llm.spelling import OP11_SQL, op11_spelling_variants
 from pulsegrid.llm.substrings import OP4_SQL, op4_substring_dedup
 from pulsegrid.llm.surrogates import op9_pii_surrogates
 from pulsegrid.llm.tokenfile import op8_token_binary
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_token_binary": op8_token_binary,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLES = {
     "op1_quality_rules": OP1_SQL,
     "op4_substring_dedup": OP4_SQL,
     "op7_url_filters": OP7_SQL,
+    "op11_spelling_variants": OP11_SQL,
 }
