@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pulsegrid.llm.avi import op6_media_avi
 from pulsegrid.llm.compression import op2_quality_classifier
+from pulsegrid.llm.minhash import op12_fingerprints
 from pulsegrid.llm.mixing import op3_mixing
 from pulsegrid.llm.pieces import op5_sentencepiece
 from pulsegrid.llm.rules import OP1_SQL, op1_quality_rules
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_fingerprints": op12_fingerprints,
 }
 
 ORACLES = {
