@@ -13,6 +13,7 @@ from pulsegrid.llm.spelling import OP11_SQL, op11_spelling_variants
 from pulsegrid.llm.substrings import OP4_SQL, op4_substring_dedup
 from pulsegrid.llm.surrogates import op9_pii_surrogates
 from pulsegrid.llm.tokenfile import op8_token_binary
+from pulsegrid.llm.tries import OP13_SQL, op13_prefix_trie
 from pulsegrid.llm.urls import OP7_SQL, op7_url_filters
 
 QUERIES = {
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_fingerprints": op12_fingerprints,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op4_substring_dedup": OP4_SQL,
     "op7_url_filters": OP7_SQL,
     "op11_spelling_variants": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
