@@ -20,6 +20,9 @@ DB4_LOW = (
     -0.187034811718881, 0.030841381835987, 0.032883011666983, -0.010597401784997,
 )
 
+#: From so many taps on, a filter runs by transforms.
+FFT_TAPS = 256
+
 
 def qmf_highpass(low) -> list[float]:
     n = len(low)
@@ -99,9 +102,26 @@ def reflected(x: np.ndarray, index: np.ndarray) -> np.ndarray:
     return x[i % n]
 
 
+def convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """The whole convolution, len(x) + len(taps) - 1 samples. Many taps are met by overlap-add: transforms of blocks of some eight filter
+    lengths, so that neither time nor memory grows with the product."""
+    if len(taps) < FFT_TAPS or len(x) < FFT_TAPS:
+        return np.convolve(x, taps)
+    block = 1 << (8 * len(taps)).bit_length()
+    step = block - len(taps) + 1
+    blocks = -(-len(x) // step)
+    wide = np.zeros(blocks * step)
+    wide[: len(x)] = x
+    each = np.fft.irfft(np.fft.rfft(wide.reshape(blocks, step), block) * np.fft.rfft(taps, block), block)
+    out = np.zeros(blocks * step + block)
+    for k in range(blocks):
+        out[k * step : k * step + block] += each[k]
+    return out[: len(x) + len(taps) - 1]
+
+
 def fir(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     """Causal: zeros stand before the first sample."""
-    return np.convolve(x, taps)[: len(x)] if len(x) else x
+    return convolve(x, taps)[: len(x)] if len(x) else x
 
 
 def fir_zero_phase(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
@@ -234,14 +254,15 @@ def _list_array(parts: list, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values, mask=pa.array(missing) if missing.any() else None)
 
 
-def _flat_array(parts: list[np.ndarray | None]) -> pa.Array:
+def flat_lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A list array of the parts; None is a null."""
     have = [p for p in parts if p is not None]
     return _list_array(parts, pa.array(np.concatenate(have) if have else np.empty(0)))
 
 
 def _each(values: pa.Array, f: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
     """f over every list of values; null stays null."""
-    return _flat_array([None if x is None else f(x) for x in _lists(values)])
+    return flat_lists([None if x is None else f(x) for x in _lists(values)])
 
 
 def array_function(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
@@ -293,7 +314,7 @@ def decompose_column(data: Column, level: int, name: str = "db4") -> Column:
     @F.arrow_udf("array<array<double>>")
     def run(values: pa.Array) -> pa.Array:
         bands = [None if x is None else decompose(x, level, name) for x in _lists(values)]
-        return _list_array(bands, _flat_array([b for own in bands if own is not None for b in own]))
+        return _list_array(bands, flat_lists([b for own in bands if own is not None for b in own]))
 
     return run(data)
 
@@ -312,7 +333,7 @@ def reconstruct_column(bands: Column, name: str = "db4") -> Column:
     @F.arrow_udf("array<double>")
     def run(values: pa.Array) -> pa.Array:
         inner, ends = _lists(values.values), values.offsets.to_numpy().tolist()
-        return _flat_array([reconstruct(inner[s:e], name) if ok else None for s, e, ok in zip(ends[:-1], ends[1:], values.is_valid().to_pylist(), strict=True)])
+        return flat_lists([reconstruct(inner[s:e], name) if ok else None for s, e, ok in zip(ends[:-1], ends[1:], values.is_valid().to_pylist(), strict=True)])
 
     return run(bands)
 

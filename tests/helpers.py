@@ -5,10 +5,10 @@ SF = "/root/testdata/sf0.001"
 
 def rows_of(frame) -> list[tuple]:
     """Rows of a pandas frame by sorted column names, as comparable text."""
-    import math
+    import pandas as pd
 
     def text(v):
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
             return ""
         if isinstance(v, (bool, str)):
             return str(v)

@@ -3,6 +3,7 @@
 import pytest
 from helpers import SF, rows_of
 
+import pulsegrid.plans.long_queries
 import pulsegrid.plans.record_queries  # noqa: F401
 from pulsegrid.plans.queries import ORACLES, QUERIES
 
