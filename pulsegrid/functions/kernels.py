@@ -176,6 +176,36 @@ def resample(x: np.ndarray, rate_hz: float, target_hz: float, radius: int = 8, e
     return total / np.resize(weights, count)
 
 
+def resampled_length(n: int, ratio: float) -> int:
+    return max(0, math.ceil(n * ratio - 1e-9))
+
+
+@lru_cache
+def _phases(rate_hz: float, target_hz: float, radius: int) -> np.ndarray | None:
+    """The weights (phase, tap) of outputs whose weights repeat; None where the rates are in no ratio of small whole numbers."""
+    ratio, cutoff = resample_grid(rate_hz, target_hz, radius)
+    period = Fraction(ratio).limit_denominator(100_000)
+    if abs(float(period) - ratio) > 1e-15 * ratio:
+        return None
+    at = np.arange(period.numerator) / ratio
+    part = at - np.floor(at + 1e-9)
+    return _weights(part[:, None] - np.arange(-radius, radius + 1), cutoff, radius)
+
+
+def resample_centres(m: np.ndarray, rate_hz: float, target_hz: float, radius: int = 8) -> np.ndarray:
+    """The input sample at or before each output number m."""
+    known = _phases(rate_hz, target_hz, radius) is not None
+    return np.floor(m / (target_hz / rate_hz) + 1e-9 * known).astype(np.int64)
+
+
+def resample_at(wide: np.ndarray, first: int, m: np.ndarray, rate_hz: float, target_hz: float, radius: int = 8) -> np.ndarray:
+    """Outputs number m of a resampling whose input stands in wide from position `first` on, with `radius` samples to spare at both ends."""
+    table, ratio, centre = _phases(rate_hz, target_hz, radius), target_hz / rate_hz, resample_centres(m, rate_hz, target_hz, radius)
+    offsets = np.arange(-radius, radius + 1)
+    w = _weights((m / ratio - centre)[:, None] - offsets, 0.5 * min(1.0, ratio), radius) if table is None else table[m % len(table)]
+    return np.einsum("ij,ij->i", w, wide[(centre - first)[:, None] + offsets]) / w.sum(axis=1)
+
+
 def analyse(x: np.ndarray, name: str = "db4") -> tuple[np.ndarray, np.ndarray]:
     """(approximation, detail) of one periodic level; the length must be even."""
     bank = wavelet(name)

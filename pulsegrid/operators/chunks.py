@@ -252,6 +252,23 @@ def filtered(chunks: DataFrame, keys: list[str], spec: dict, rate_hz: float, siz
     return over_cells(cells, keys, size + 2 * reach, both_ways)
 
 
+def resampled(chunks: DataFrame, keys: list[str], rate_hz: float, target_hz: float, radius: int = 8, edge: str = "reflect", size: int = SIZE) -> DataFrame:
+    """Chunk form of the channels at another rate, as `kernels.resample_column` has them in array form. An output belongs to the cell of
+    the input sample at or before it."""
+    ratio, _ = K.resample_grid(rate_hz, target_hz, radius, edge)
+    reach, size = radius + 1, _size(size)
+    cells = exchange(chunks, keys, size, reach, reach, "mirror" if edge == "reflect" else "zero", (reach, reach))
+
+    def near(x: np.ndarray, cell: int, n: int) -> list:
+        start, count = cell * size, K.resampled_length(n, ratio)
+        m = np.arange(max(0, int(start * ratio) - 2), min(count, int((start + size) * ratio) + 3))
+        owner = np.clip(K.resample_centres(m, rate_hz, target_hz, radius), 0, n - 1)
+        m = m[(owner >= start) & (owner < start + size)]
+        return [(0, int(m[0]), count, K.resample_at(x, start - reach, m, rate_hz, target_hz, radius))] if m.size else []
+
+    return over_cells(cells, keys, size + 2 * reach, near)
+
+
 # --- wavelets -------------------------------------------------------------------------------------------------------
 
 

@@ -116,3 +116,12 @@ c AS (SELECT k, count(*) FILTER (b < 0 AND x >= 0) AS n, max(i) FILTER (b < 0 AN
 SELECT k, n AS crossings, CASE WHEN n >= 2 THEN round({RATE_HZ} * (n - 1) / (z - a), 6) + 0.0 END AS frequency_hz FROM c""")
 def long_zero_crossings(spark, sf_dir):
     return chunks.zero_crossing_hz(_wave(spark, sf_dir), ["k"], RATE_HZ).select("k", "crossings", r6("frequency_hz").alias("frequency_hz"))
+
+
+@query(f"""{_LONG}, c AS (SELECT k, count(*) AS n FROM s GROUP BY k), m AS (SELECT k, n, unnest(range(0, CAST(ceil(n * 25 / 32.0 - 1e-9) AS BIGINT))) AS m FROM c WHERE n >= 9),
+o AS (SELECT k, n, m, m * 32 // 25 AS centre, unnest(range(-8, 9)) AS off FROM m),
+w AS (SELECT k, m, off, m * 32 % 25 / 25.0::DOUBLE - off AS d, CASE WHEN centre + off < 0 THEN -(centre + off) - 1 WHEN centre + off >= n THEN 2 * n - (centre + off) - 1 ELSE centre + off END AS i FROM o),
+v AS (SELECT k, m, i, CASE WHEN abs(d) > 8 THEN 0 ELSE (0.54 + 0.46 * cos(pi() * d / 8)) * 0.78125::DOUBLE * CASE WHEN d = 0 THEN 1 ELSE sin(pi() * 0.78125::DOUBLE * d) / (pi() * 0.78125::DOUBLE * d) END END AS w FROM w)
+SELECT v.k, v.m AS i, round(sum(w * x) / sum(w), 4) + 0.0 AS y FROM v JOIN s ON s.k = v.k AND s.i = v.i GROUP BY v.k, v.m""")
+def long_resample(spark, sf_dir):
+    return _long(chunks.resampled(_wave(spark, sf_dir).where("n >= 9"), ["k"], RATE_HZ, 50.0, size=SIZE))

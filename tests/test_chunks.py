@@ -70,6 +70,15 @@ def test_many_taps_run_by_transforms(ragged, channels):
     np.testing.assert_allclose(K.convolve(x, taps), np.convolve(x, taps), atol=1e-12)
 
 
+@pytest.mark.parametrize("size", [1, 30, 1000])
+@pytest.mark.parametrize("edge", ["reflect", "zero"])
+@pytest.mark.parametrize("target", [50.0, 96.0, 64.0 / 3.3, 20 * 3.14159265])
+def test_resampling_equals_that_of_arrays(ragged, channels, size, edge, target):
+    want = {k: K.resample(x, RATE, target, edge=edge) for k, x in channels.items()}
+    got = whole(chunks.resampled(ragged, ["k", "c"], RATE, target, edge=edge, size=size))
+    same(got, {k: x for k, x in want.items() if len(x)})
+
+
 @pytest.mark.parametrize("size", [1, 3, 5, 37, 1000])
 def test_wavelets_equal_those_of_arrays(ragged, channels, size):
     even = ragged.where("n % 4 = 0 AND n >= 16")
