@@ -117,7 +117,7 @@ def of_rows(df: DataFrame, keys: list[str], order: list[str], x: str, size: int
 def of_arrays(df: DataFrame, keys: list[str], data: str = "data", size: int = SIZE) -> DataFrame:
     """Chunk form of array form; a null or empty array has no rows."""
     n = F.size(data).cast("long")
-    starts = df.where(F.size(data) > 0).select(*keys, F.col(data).alias("_data"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(_size(size)).cast("long"))).alias("start"))
+    starts = df.where(F.size(data) > 0).select(*keys, F.col(data).alias("_data"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n - 1, F.lit(0)), F.lit(_size(size)).cast("long"))).alias("start"))
     return starts.select(*keys, "start", "n", F.slice("_data", (F.col("start") + 1).cast("int"), size).cast("array<double>").alias("data"))
 
 

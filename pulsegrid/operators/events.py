@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from pulsegrid.errors import SignalError
 from pulsegrid.functions.timeaxis import Num, clamp_fraction, col, sample_window, time_of_sample
+from pulsegrid.plans.storage import materialise
 
 #: How near a cursor an event must be, as a share of the view's width, and how many rows a list shows.
 TOLERANCE, LIST_LIMIT = 0.02, 200
@@ -133,3 +134,34 @@ def nearest(events: DataFrame, cursors: DataFrame, keys: list[str], cursor: str,
     pairs = seen.join(at, [*keys, "_cell"]).withColumn("distance", F.abs(F.col("x") - F.col("_at"))).where(F.col("distance") <= tolerance)
     best = F.min_by(F.struct("sample_index", "symbol", "aux_note", "distance"), F.struct("distance", "sample_index", "symbol", "ordinal"))
     return pairs.groupBy(*keys, cursor).agg(best.alias("b")).select(*keys, cursor, "b.sample_index", "b.symbol", "b.aux_note", "b.distance")
+
+
+def nearest_sorted(events: DataFrame, cursors: DataFrame, keys: list[str], cursor: str, start_sec: Num, duration: Num, rate_hz: Num, record_start: Num, n: Num, tolerance: float = TOLERANCE) -> DataFrame:
+    """As `nearest`, at any tolerance and any number of events and cursors a key.
+
+    Events and cursors are sorted together by ranges of (keys, place). Inside a range, a cursor's events before and after it come from two
+    scans; where a range has none, they are the last of the ranges before and the first of those after, which a row for
+    each key and range carries. No event is compared with more than the cursors it is next to.
+    """
+    if not 0 <= tolerance < float("inf"):
+        raise SignalError("invalid-input", f"a tolerance is a finite fraction of at least 0, not {tolerance!r}")
+    x = view_fraction(F.col("sample_index"), start_sec, duration, rate_hz, record_start)
+    first = F.min(F.struct("sample_index", "symbol", "ordinal", "aux_note"))
+    seen = in_view(events, start_sec, duration, rate_hz, record_start, n).withColumn("_p", x).groupBy(*keys, "_p").agg(first.alias("_e"))
+    at = cursors.select(*keys, F.col(cursor).alias("_cursor"), clamp_fraction(F.col("fraction")).alias("_p"))
+    event = F.struct(F.col("_p").alias("x"), "_e.*")
+    both = seen.select(*keys, "_p", F.lit(False).alias("_is_cursor"), event.alias("_e")).unionByName(at.withColumn("_is_cursor", F.lit(True)), allowMissingColumns=True)
+    both = both.repartitionByRange(*keys, "_p").withColumn("_part", F.spark_partition_id())
+    both = materialise(both, "events-and-cursors")
+    part = W.Window.partitionBy("_part", *keys)
+    rows = both.withColumn("_left", F.last("_e", ignorenulls=True).over(part.orderBy("_p", "_is_cursor")))
+    rows = rows.withColumn("_right", F.last("_e", ignorenulls=True).over(part.orderBy(F.col("_p").desc(), "_is_cursor"))).where("_is_cursor")
+    ends = both.groupBy("_part", *keys).agg(F.min("_e").alias("_first"), F.max("_e").alias("_last"))
+    before = W.Window.partitionBy(*keys).orderBy("_part").rowsBetween(W.Window.unboundedPreceding, -1)
+    after = W.Window.partitionBy(*keys).orderBy(F.col("_part").desc()).rowsBetween(W.Window.unboundedPreceding, -1)
+    ends = ends.select("_part", *keys, F.last("_last", ignorenulls=True).over(before).alias("_from_left"), F.last("_first", ignorenulls=True).over(after).alias("_from_right"))
+    rows = rows.join(ends, ["_part", *keys])
+    near = lambda e: F.when(e.isNotNull(), F.struct(F.abs(e["x"] - F.col("_p")).alias("distance"), e["sample_index"].alias("sample_index"), e["symbol"].alias("symbol"), e["ordinal"].alias("ordinal"), e["aux_note"].alias("aux_note")))
+    best = F.least(near(F.coalesce("_left", "_from_left")), near(F.coalesce("_right", "_from_right")))
+    found = rows.withColumn("_b", best).where(F.col("_b.distance") <= tolerance)
+    return found.select(*keys, F.col("_cursor").alias(cursor), "_b.sample_index", "_b.symbol", "_b.aux_note", "_b.distance")

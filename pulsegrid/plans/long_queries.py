@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as K
-from pulsegrid.operators import chunks, signals
+from pulsegrid.operators import chunks, events, pyramid, signals
 from pulsegrid.plans.registry import query, r6
 from pulsegrid.plans.views import RATE_HZ, read
 
@@ -125,3 +125,35 @@ v AS (SELECT k, m, i, CASE WHEN abs(d) > 8 THEN 0 ELSE (0.54 + 0.46 * cos(pi() *
 SELECT v.k, v.m AS i, round(sum(w * x) / sum(w), 4) + 0.0 AS y FROM v JOIN s ON s.k = v.k AND s.i = v.i GROUP BY v.k, v.m""")
 def long_resample(spark, sf_dir):
     return _long(chunks.resampled(_wave(spark, sf_dir).where("n >= 9"), ["k"], RATE_HZ, 50.0, size=SIZE))
+
+
+@query(f"""{_LONG}, c AS (SELECT k, count(*) AS n FROM s GROUP BY k),
+w AS (SELECT k, 'whole' AS name, 0::BIGINT AS a, n::BIGINT AS b FROM c UNION ALL SELECT k, 'middle', n // 7, n // 7 + (n * 3) // 5 FROM c UNION ALL SELECT k, 'short', n // 3, least(n, n // 3 + 30) FROM c),
+p AS (SELECT w.k, name, a, b, unnest(range(0, 48))::INT AS bucket FROM w WHERE b > a),
+f AS (SELECT w.k, name, ((i - a + 1) * 48 - 1) // (b - a) AS bucket, min(x) AS lo, max(x) AS hi FROM w JOIN s ON s.k = w.k AND i >= a AND i < b GROUP BY ALL)
+SELECT p.k, p.name, p.a AS win_start, p.b AS win_end, p.bucket, coalesce(lo, 0.0) AS min, coalesce(hi, 0.0) AS max, lo IS NOT NULL AS populated FROM p LEFT JOIN f ON f.k = p.k AND f.name = p.name AND f.bucket = p.bucket""")
+def long_pyramid_view(spark, sf_dir):
+    """Three views of each channel from one pyramid, of blocks of 16 samples in fours."""
+    wave = _wave(spark, sf_dir)
+    n = wave.groupBy("k").agg(F.max("n").alias("n"))
+    window = lambda name, a, b: F.struct(F.lit(name).alias("name"), F.expr(a).cast("long").alias("win_start"), F.expr(b).cast("long").alias("win_end"))
+    three = F.array(window("whole", "0", "n"), window("middle", "n div 7", "n div 7 + (n * 3) div 5"), window("short", "n div 3", "least(n, n div 3 + 30)"))
+    windows = n.select("k", F.explode(three).alias("w")).select("k", "w.*")
+    return pyramid.view(pyramid.pyramid(wave, ["k"], 16, 4), windows, ["k"], 48, 16, 4)
+
+
+_HOT = "SELECT CASE WHEN user_id % 10 = 0 THEN user_id ELSE 0 END AS k, event_id % 5000 AS sample_index, event_id AS ordinal, event_type AS symbol, props AS aux_note FROM events"
+
+
+@query(f"""WITH v AS (SELECT k, sample_index / 4000.0::DOUBLE AS x, (min((sample_index, symbol, ordinal))) AS e FROM ({_HOT}) WHERE sample_index < 4000 GROUP BY ALL),
+c AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN user_id ELSE 0 END AS k, (event_id * 7919 % 10007) / 10007.0::DOUBLE AS f FROM events),
+b AS (SELECT event_id, c.k, c.f - v.x AS d, v.e FROM c ASOF JOIN v ON c.k = v.k AND c.f >= v.x UNION ALL SELECT event_id, c.k, v.x - c.f, v.e FROM c ASOF JOIN v ON c.k = v.k AND c.f <= v.x),
+m AS (SELECT k, event_id, d, e[1] AS sample_index, e[2] AS symbol FROM b WHERE d <= 1 QUALIFY row_number() OVER (PARTITION BY k, event_id ORDER BY d, e) = 1)
+SELECT k, event_id AS cursor, sample_index, symbol, round(d, 6) + 0.0 AS distance FROM m""")
+def nearest_any_distance(spark, sf_dir):
+    """The nearest event of every cursor, however far: a cursor for each event, and one key with nine tenths of both."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.when(F.col("user_id") % 10 == 0, F.col("user_id")).otherwise(0).cast("long"))
+    marks = e.select("k", (F.col("event_id") % 5000).cast("long").alias("sample_index"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("symbol"), F.col("props").alias("aux_note"))
+    cursors = e.select("k", F.col("event_id").alias("cursor"), (F.col("event_id") * 7919 % 10007 / F.lit(10007.0)).alias("fraction"))
+    found = events.nearest_sorted(marks, cursors, ["k"], "cursor", start_sec=0.0, duration=62.5, rate_hz=RATE_HZ, record_start=0.0, n=4000, tolerance=1.0)
+    return found.select("k", "cursor", "sample_index", "symbol", r6("distance").alias("distance"))
