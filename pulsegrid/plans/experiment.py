@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -15,7 +16,7 @@ from pulsegrid.functions.naming import analysis_id, dwt_name, filter_name, windo
 from pulsegrid.functions.timeaxis import sample_window, samples_to_millivolt
 from pulsegrid.operators.evaluation import classification_metrics, interpret, probe_scores, records_of_role, self_subjects
 from pulsegrid.operators.signals import segment
-from pulsegrid.sources import documents
+from pulsegrid.sources import checks, documents
 
 #: A model: logits (array<double>) of a window's samples (array<double>). A labeller: the true label of a window's samples.
 Scorer = Callable[[Column], Column]
@@ -68,12 +69,16 @@ def outcomes(channels: DataFrame, config: dict, metadata: dict, scorer: Scorer =
     than the model's, is refused.
     """
     documents.assert_configuration(config)
+    return window_outcomes(select_records(channels, config), config, metadata, scorer, labeller)
+
+
+def window_outcomes(records: DataFrame, config: dict, metadata: dict, scorer: Scorer = probe_scores, labeller: Labeller | None = None) -> DataFrame:
+    """The rows of `outcomes` over all records given, whatever the configuration selects; no job runs before they are asked for."""
     window, out = config["window"], metadata["output"]
     rate = metadata.get("expectedSamplingRateHz")
     documents.assert_contract(metadata, rate or 1, 1, window["windowLengthSamples"])
     if (config["model"]["modelId"], config["model"]["modelVersion"]) != (metadata["modelId"], metadata["modelVersion"]):
         raise SignalError("model-compatibility-failure", "the configuration names another model")
-    records = select_records(channels, config)
     chosen = records.where(F.col("channel_name") == config["channelName"])
     if rate is not None:
         ok = F.when(F.abs(F.col("sample_rate_hz") - rate) <= 1e-6 * F.greatest(F.lit(1.0), F.lit(float(rate)), F.col("sample_rate_hz")), True)
@@ -121,6 +126,46 @@ class Experiment:
         return out
 
 
+def result_documents(rows: DataFrame, by: list[str], config: dict, labels: list[str], version: str, note: str, at: str) -> DataFrame:
+    """(by..., document) of outcome rows with the columns by: an experiment result as canonical JSON for each of their values, which names
+    its records, with their windows in order, and its metrics. Nothing reaches the driver; the windows of one document meet in one row.
+
+    config has everything but the selection. Numbers are written as Spark writes them.
+    """
+    names = {"windowId": "window_id", "recordId": "record_id", "channelIndex": "channel_index", "channelName": "channel_name", "startSample": "start_sample", "lengthSamples": "length_samples", "trueLabel": "true_label", "predictedLabel": "predicted_label", "predictedScore": "predicted_score", "semantics": "semantics"}
+    window = F.struct(*[F.col(names[k]).alias(k) for k in sorted(names)])
+    own = {"recordId": "record_id", "subjectId": "subject_id", "channelName": "channel_name", "channelIndex": "channel_index"}
+    outer = [b for b in by if b not in own.values()]
+    records = rows.groupBy(*outer, *own.values()).agg(F.sort_array(F.collect_list(F.struct("start_sample", window.alias("w")))).alias("_w"))
+    steps = F.struct(F.array(F.struct(F.lit("adc-to-millivolt").alias("name"), F.from_json(F.lit("{}"), "map<string,string>").alias("parameters"))).alias("transforms"))
+    fields = {**{k: F.col(c) for k, c in own.items()}, "provenance": steps, "windows": F.transform("_w", lambda x: x["w"])}
+    record = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
+    json_of = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    keyed = records.select(*by, F.struct(F.col("record_id").alias("id"), "channel_index", json_of(record).alias("text")).alias("_r"))
+    docs = keyed.groupBy(*by).agg(F.sort_array(F.collect_list("_r")).alias("_records"))
+    counted = rows.groupBy(*by, "true_label", "predicted_label").agg(F.count(F.lit(1)).alias("_n"))
+    counts = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(checks.pair(F.col("true_label"), F.col("predicted_label")), "_n"))).alias("_counts"))
+    joined = docs.join(counts, by)
+    mark = "\u0001"  # stands for the record ids
+    template = {**config, "selection": {"kind": "records", "recordIds": [mark]}}
+    documents.assert_configuration(template)
+    ids = F.array_distinct(F.transform("_records", lambda r: r["id"]))
+    inner = lambda c: F.regexp_replace(F.to_json(c), r"^\[|\]$", "")
+    told = F.replace(F.lit(documents.experiment_id(template)), F.lit(mark), F.array_join(ids, ","))
+    text = {
+        "config": F.replace(F.lit(documents.canonical_json(template)), F.lit(json.dumps(mark)), inner(ids)),
+        "evaluatedAtIso": F.lit(json.dumps(at)),
+        "experimentId": inner(F.array(told)),
+        "labeler": F.lit(documents.canonical_json(config["evaluation"])),
+        "metrics": json_of(checks.metrics_of(F.array(*map(F.lit, labels)), F.col("_counts"))),
+        "records": F.concat(F.lit("["), F.array_join(F.transform("_records", lambda r: r["text"]), ","), F.lit("]")),
+        "scopeNote": F.lit(json.dumps(note, ensure_ascii=False)),
+        "softwareVersion": F.lit(json.dumps(version, ensure_ascii=False)),
+    }
+    parts = [p for k in sorted(text) for p in (F.lit(("{" if k == min(text) else ",") + json.dumps(k) + ":"), text[k])]
+    return joined.select(*by, F.concat(*parts, F.lit("}")).alias("document"))
+
+
 def run_experiment(channels: DataFrame, config: dict, metadata: dict = documents.PROBE, scorer: Scorer = probe_scores, labeller: Labeller | None = None) -> Experiment:
     config = documents.snapshot(config)
     return Experiment(config, metadata["output"]["classLabels"], outcomes(channels, config, metadata, scorer, labeller))
@@ -147,4 +192,4 @@ def probe_configuration() -> dict:
     return {"datasetId": "synthetic", "selection": {"kind": "records", "recordIds": ["sync"]}, "channelName": "lead-b", "window": {"windowLengthSamples": 360, "strideSamples": 360, "remainderPolicy": "drop"}, "model": {"modelId": documents.PROBE["modelId"], "modelVersion": documents.PROBE["modelVersion"]}, "evaluation": {"id": "probe-sign-of-sum", "description": "positive-mean where the window's sum is at least 0, by construction the probe's own answer"}}
 
 
-__all__ = ["Experiment", "analyse", "coherent", "millivolt_signals", "outcomes", "probe_configuration", "run_experiment", "score_view", "select_records", "self_subjects", "sign_labeller"]
+__all__ = ["Experiment", "analyse", "coherent", "millivolt_signals", "outcomes", "probe_configuration", "result_documents", "run_experiment", "score_view", "select_records", "self_subjects", "sign_labeller", "window_outcomes"]

@@ -14,7 +14,7 @@ from pulsegrid.plans import experiment, requests
 from pulsegrid.plans.queries import _BAND, _LOW, _ROLES, _Z, _dwt_levels, _resample_sql
 from pulsegrid.plans.registry import ORACLES, long_of, query, r6, values
 from pulsegrid.plans.views import RATE_HZ, ann_user, duck, read, sig_embed, sig_embed_long
-from pulsegrid.sources import dataset, documents, edf, files, synthetic, wfdb
+from pulsegrid.sources import checks, dataset, documents, edf, files, synthetic, wfdb
 
 # --- whole-signal transforms, with derived ids and provenance ---------------------------------------------------------
 
@@ -124,25 +124,41 @@ def _sum_scores(data):
   round(score, 6) + 0.0 AS score, 'predicted-probability' AS semantics FROM o""", "sig_embed_long"))
 def experiment_outcomes(spark, sf_dir):
     """Every window of every record scored, labelled and interpreted: the rows of an experiment over all records."""
-    channels = _channels(spark, sf_dir)
-    config = {**_CONFIG, "selection": {"kind": "subject-partition", "role": "train", "partition": {"train": 1.0, "validation": 0.0, "test": 0.0}}}
-    roles = evaluation.split_subjects(channels, "subject_id", config["selection"]["partition"])
-    both = [{**config, "selection": {**config["selection"], "role": r}} for r in ("train", "test")]  # the last subject is always in test
-    assert roles.columns == ["subject_id", "role"]
-    rows = [experiment.outcomes(channels, c, _METADATA, _sum_scores, _first_sample) for c in both]
-    out = rows[0].unionByName(rows[1])
-    return out.select("window_id", "record_id", "subject_id", "start_sample", "length_samples", "true_label", "predicted_label", r6("predicted_score").alias("score"), "semantics")
+    return _all_outcomes(spark, sf_dir).select("window_id", "record_id", "subject_id", "start_sample", "length_samples", "true_label", "predicted_label", r6("predicted_score").alias("score"), "semantics")
+
+
+def _all_outcomes(spark, sf_dir):
+    """Outcome rows of all records in one pass, with the label of the embedding."""
+    rows = experiment.window_outcomes(_channels(spark, sf_dir), _CONFIG, _METADATA, _sum_scores, _first_sample)
+    return rows.withColumn("label", F.substring("subject_id", len("subject-") + 1, 20).cast("int"))
 
 
 @query(duck(_OUTCOMES + """ SELECT rid || '/ch/0/w' || s AS window_id, s::BIGINT AS start_sample, true_label, predicted_label, round(score, 6) + 0.0 AS score FROM o""", "sig_embed_long"))
 def experiment_result_json(spark, sf_dir):
-    """The same experiment with the records named, from its serialised and parsed document: canonical JSON that is validated again."""
-    channels = _channels(spark, sf_dir)
-    ids = [r[0] for r in channels.select("record_id").distinct().orderBy("record_id").collect()]  # a configuration names its records
-    e = experiment.run_experiment(channels, {**_CONFIG, "selection": {"kind": "records", "recordIds": ids}}, _METADATA, _sum_scores, _first_sample)
-    found = documents.parse_result(documents.serialise_result(e.document("1", "check", "2026-01-01T00:00:00+00:00")))
-    rows = [(w["windowId"], w["startSample"], w["trueLabel"], w["predictedLabel"], float(w["predictedScore"])) for r in found["records"] for w in r["windows"]]
-    return spark.createDataFrame(rows, "window_id string, start_sample long, true_label string, predicted_label string, score double").withColumn("score", r6("score"))
+    """The same experiment as a table of documents, one for each subject: written as canonical JSON, parsed, judged, and taken apart again."""
+    docs = experiment.result_documents(_all_outcomes(spark, sf_dir), ["subject_id"], _CONFIG, _METADATA["output"]["classLabels"], "1", "check", "2026-01-01T00:00:00+00:00")
+    judged = checks.parse_results(docs, ["subject_id"])
+    refused = F.raise_error(F.concat(F.lit("[invalid-input] invalid experiment result: "), F.array_join("problems", "; "))).cast("boolean")
+    w = lambda path, kind: F.try_variant_get("w", f"$.{path}", kind)
+    rows = checks.windows_of(judged.where(F.when(F.size("problems") > 0, refused).otherwise(True)), ["subject_id"])
+    return rows.select(w("windowId", "string").alias("window_id"), w("startSample", "long").alias("start_sample"), w("trueLabel", "string").alias("true_label"), w("predictedLabel", "string").alias("predicted_label"), r6(w("predictedScore", "double")).alias("score"))
+
+
+@query(duck(_OUTCOMES + """ SELECT rid::VARCHAR AS record_id, CASE label % 5
+  WHEN 0 THEN 'softwareVersion must be a non-empty string'
+  WHEN 1 THEN 'metrics don''t follow from the windows'
+  WHEN 2 THEN 'records[0].windows[1].windowId is repeated; records[0].windows[1].windowId doesn''t match its record, channel and start'
+  WHEN 3 THEN 'records[0].windows[2].lengthSamples must be a whole number of at least 1' ELSE '' END AS problems FROM o GROUP BY rid, label""", "sig_embed_long"))
+def experiment_result_problems(spark, sf_dir):
+    """A document for each record, spoilt in a way that its label chooses: a text taken out, an answer turned round (so that the counts are
+    another's), an id given twice, a length that is no number. What is wrong is found from the documents alone."""
+    docs = experiment.result_documents(_all_outcomes(spark, sf_dir), ["record_id", "label"], _CONFIG, _METADATA["output"]["classLabels"], "1", "check", "2026-01-01T00:00:00+00:00")
+    text, label, (yes, no) = F.col("document"), F.col("label") % 5, _METADATA["output"]["classLabels"]
+    first = F.regexp_extract(text, '"predictedLabel":"([^"]*)"', 1)
+    turned = F.concat(F.regexp_extract(text, '(?s)^(.*?"predictedLabel":")', 1), F.when(first == yes, no).otherwise(yes), F.regexp_extract(text, '(?s)^.*?"predictedLabel":"[^"]*(".*)$', 1))
+    spoilt = F.when(label == 0, F.replace(text, F.lit('"softwareVersion":"1"'), F.lit('"softwareVersion":""'))).when(label == 1, turned)
+    spoilt = spoilt.when(label == 2, F.regexp_replace(text, '/w8"', '/w0"')).when(label == 3, F.regexp_replace(text, '(?s)^((?:.*?"lengthSamples":){3})16', '$1"16"')).otherwise(text)
+    return checks.parse_results(docs.withColumn("document", spoilt), ["record_id"]).select("record_id", F.array_join("problems", "; ").alias("problems"))
 
 
 @query(duck("""+v AS (SELECT rid, sum((floor(x * 100 + 0.5) - 4) / 100.0::DOUBLE ORDER BY i) AS total FROM sig_embed_long WHERE i >= 32 AND i < 48 GROUP BY rid)
@@ -322,75 +338,86 @@ def record_problems(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(signals.record_problems(row), "; ").alias("problems"))
 
 
-def _broken(base: dict, path: tuple, value) -> dict:
-    out = documents.snapshot(base)
-    at = out
-    for p in path[:-1]:
-        at = at[p]
-    at[path[-1]] = value
-    return out
-
-
-def _cases_sql(table: str, key: str, cases: list[tuple[dict, str]], column: str) -> str:
-    texts = " ".join(f"WHEN {i} THEN '{t.replace(chr(39), chr(39) * 2)}'" for i, (_, t) in enumerate(cases))
-    return f"SELECT {key}, CASE ({key} % {len(cases)})::INT {texts} END AS {column} FROM {table}"
+def _joined(*pairs: tuple[str, str]) -> str:
+    """SQL of the sentences whose condition holds, joined."""
+    whens = ", ".join("CASE WHEN {} THEN '{}' END".format(c, t.replace("'", "''")) for c, t in pairs)
+    return f"array_to_string(list_filter([{whens}], lambda p: p IS NOT NULL), '; ')"
 
 
-_META_CASES = [
-    (documents.PROBE, ""),
-    (_broken(documents.PROBE, ("modelId",), " "), "modelId must be a non-empty string"),
-    (_broken(documents.PROBE, ("expectedSamplingRateHz",), -1), "expectedSamplingRateHz must be above zero when present"),
-    (_broken(documents.PROBE, ("expectedChannels",), 1.5), "expectedChannels must be a positive integer when present"),
-    (_broken(documents.PROBE, ("input", "shape"), [0]), "input.shape must be a non-empty array of dimensions of at least 1, or -1"),
-    (_broken(documents.PROBE, ("input", "dtype"), "float8"), "input.dtype must be a supported type"),
-    (_broken(documents.PROBE, ("output", "classLabels"), []), "output.classLabels must be a non-empty array of non-empty strings"),
-    (_broken(documents.PROBE, ("preprocessingAssumptions",), {}), "preprocessingAssumptions must be an array"),
-    (_broken(documents.PROBE, ("normalization",), {"strategy": ""}), "normalization must have a strategy, and a non-empty fittedFrom when present"),
-]
+_SEMANTICS = ", ".join(documents.SEMANTICS)
 
 
-def _case_rows(spark, sf_dir, table: str, key: str, cases, f, column: str):
-    judge = _arrow("string", pa.string(), lambda k: "; ".join(f(cases[k % len(cases)][0])))
-    return read(spark, sf_dir, table).select(key, judge(F.col(key).cast("long")).alias(column))
-
-
-@query(_cases_sql("part", "p_partkey", _META_CASES, "problems"))
+@query(f"""SELECT p_partkey, {_joined(
+    ("p_size % 9 = 8", "modelVersion must be a non-empty string"),
+    ("p_size <= 12", "expectedSamplingRateHz must be above zero when present"),
+    ("p_size % 2 = 1", "expectedChannels must be a positive integer when present"),
+    ("p_brand LIKE 'Brand#1%'", "input.layout must be a non-empty string"),
+    ("p_size % 4 = 1", "input.shape must be a non-empty array of dimensions of at least 1, or -1"),
+    ("p_type = 'PROMO'", "input.dtype must be a supported type"),
+    ("p_retailprice >= 950", f"output.semantics must be one of {_SEMANTICS}"),
+    ("p_size % 5 = 0", "output.classLabels must be a non-empty array of non-empty strings"),
+    ("p_size % 6 = 0", "preprocessingAssumptions[1] must have a stage, and an object as config when present"),
+    ("p_name LIKE '%widget'", "normalization must have a strategy, and a non-empty fittedFrom when present"),
+    ("p_size % 7 = 3", "provenance must be an object of non-empty strings when present"))} AS problems FROM part""")
 def metadata_problems(spark, sf_dir):
-    """Model metadata with a field broken by the part's key, and all that is wrong with it."""
-    return _case_rows(spark, sf_dir, "part", "p_partkey", _META_CASES, documents.metadata_problems, "problems")
-
-
-_WHOLE_CONFIG = {**_CONFIG, "selection": {"kind": "records", "recordIds": ["a"]}}
-_CONFIG_CASES = [
-    (_WHOLE_CONFIG, ""),
-    (_broken(_WHOLE_CONFIG, ("datasetId",), ""), "datasetId must be a non-empty string"),
-    (_broken(_WHOLE_CONFIG, ("selection", "recordIds"), []), "selection.recordIds must list non-empty record ids"),
-    (_broken(_WHOLE_CONFIG, ("selection", "kind"), "all"), "selection.kind must be records or subject-partition"),
-    (_broken(_WHOLE_CONFIG, ("window", "strideSamples"), 0), "window.strideSamples must be a positive integer"),
-    (_broken(_WHOLE_CONFIG, ("window", "remainderPolicy"), "keep"), "window.remainderPolicy must be drop, pad-zero or error"),
-    (_broken(_WHOLE_CONFIG, ("model", "modelVersion"), ""), "model.modelVersion must be a non-empty string"),
-]
-
-
-@query(_cases_sql("supplier", "s_suppkey", _CONFIG_CASES, "problems"))
+    """Model metadata written from each part's columns as JSON, and all that is wrong with it: sizes as rates, channels and shapes, brands and names as texts."""
+    size, words = F.col("p_size"), F.split("p_name", " ")
+    input_ = F.struct(F.lit("signal").alias("name"), F.when(F.col("p_brand").startswith("Brand#1"), " ").otherwise(F.col("p_brand")).alias("layout"), F.array(size % 4 - 1, size + 1).alias("shape"), F.when(F.col("p_type") == "PROMO", F.col("p_type")).otherwise("float32").alias("dtype"))
+    output = F.struct(F.lit("out").alias("name"), F.lit("float64").alias("dtype"), F.when(F.col("p_retailprice") >= 950, F.col("p_name")).otherwise("logits").alias("semantics"), F.lit("none").alias("activation"), F.slice(words, F.lit(1), F.least(F.lit(2), size % 5)).alias("classLabels"))
+    config = F.struct(size.alias("by"))
+    steps = F.array(F.struct(F.element_at(words, 1).alias("stage"), config.alias("config")), F.struct(F.when(size % 6 == 0, "").otherwise(F.col("p_type")).alias("stage"), config.alias("config")))
+    scale = F.struct(F.lit("z-score").alias("strategy"), F.regexp_replace("p_name", "^.*widget$", "").alias("fittedFrom"))
+    text = F.to_json(
+        F.struct(
+            F.col("p_name").alias("modelId"), F.substring("p_brand", F.when(size % 9 == 8, 99).otherwise(F.lit(1)), F.lit(20)).alias("modelVersion"), F.col("p_type").alias("task"),
+            (size - 12).alias("expectedSamplingRateHz"), (size / 2.0).alias("expectedChannels"), input_.alias("input"), output.alias("output"), steps.alias("preprocessingAssumptions"),
+            scale.alias("normalization"), F.create_map(F.lit("methodology"), F.when(size % 7 == 3, F.lit(" ")).otherwise(F.col("p_name"))).alias("provenance"),
+        )
+    )
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(checks.metadata_problems(text), "; ").alias("problems"))
+
+
+@query(f"""SELECT c_custkey, {_joined(
+    ("c_custkey % 9 = 4", "datasetId must be a non-empty string"),
+    ("c_nationkey < 12 AND c_nationkey % 4 = 0", "selection.recordIds must list non-empty record ids"),
+    ("c_nationkey >= 12 AND c_nationkey < 20 AND c_mktsegment <> 'BUILDING'", f"selection.role must be one of {', '.join(evaluation.ROLES)}"),
+    ("c_nationkey >= 12 AND c_nationkey < 20 AND (c_nationkey <> 16 OR c_acctbal < 0)", f"selection.partition: {documents.SPLIT_TEXT}"),
+    ("c_nationkey >= 20", "selection.kind must be records or subject-partition"),
+    ("c_acctbal < 1", "window.windowLengthSamples must be a positive integer"),
+    ("c_nationkey % 2 = 1", "window.strideSamples must be a positive integer"),
+    ("c_mktsegment NOT IN ('MACHINERY', 'BUILDING')", "window.remainderPolicy must be drop, pad-zero or error"),
+    ("c_custkey % 5 = 0", "evaluation.description must be a non-empty string"))} AS problems FROM customer""")
 def configuration_problems(spark, sf_dir):
-    return _case_rows(spark, sf_dir, "supplier", "s_suppkey", _CONFIG_CASES, documents.configuration_problems, "problems")
-
-
-_INPUT = {"modelId": "probe-linear-mean-2", "modelVersion": "1.0.0", "tensorName": "signal", "dtype": "float32", "shape": [360], "count": 360, "fingerprint": documents.fingerprint(documents.PROBE)}
-_INPUT_CASES = [
-    (_INPUT, ""),
-    ({**_INPUT, "modelId": "other"}, "modelId is 'other' instead of 'probe-linear-mean-2'"),
-    ({**_INPUT, "shape": [1, 360]}, "the shape has rank 2 instead of 1"),
-    ({**_INPUT, "count": 359}, "the shape holds 360 elements, the payload 359"),
-    ({**_INPUT, "shape": [361], "count": 361}, "the shape has dimension 0 is 361 instead of 360"),
-    ({**_INPUT, "fingerprint": "00000000"}, "the preprocessing fingerprint is another model's"),
-]
-
-
-@query(_cases_sql("nation", "n_nationkey", _INPUT_CASES, "problems"))
+    """Configurations written from each customer's columns as JSON: nations choose the selection and shares, balances the window."""
+    nation, key, segment = F.col("c_nationkey"), F.col("c_custkey"), F.col("c_mktsegment")
+    kind = F.when(nation < 12, "records").when(nation < 20, "subject-partition").otherwise(segment)
+    share = nation / 32.0
+    split = F.struct(share.alias("train"), share.alias("validation"), F.when(F.col("c_acctbal") < 0, F.lit(-1.0)).otherwise(0.0).alias("test"))
+    selection = F.struct(kind.alias("kind"), F.slice(F.array("c_name", segment, "c_name"), F.lit(1), nation % 4).alias("recordIds"), F.when(segment == "BUILDING", "test").otherwise(segment).alias("role"), split.alias("partition"))
+    window = F.struct(F.floor("c_acctbal").alias("windowLengthSamples"), (nation / 2.0 + 1).alias("strideSamples"), F.when(segment == "MACHINERY", "drop").when(segment == "BUILDING", "error").otherwise(segment).alias("remainderPolicy"))
+    model = F.struct(F.col("c_name").alias("modelId"), segment.alias("modelVersion"))
+    judged = F.struct(F.lit("truth").alias("id"), F.when(key % 5 == 0, "").otherwise(F.col("c_name")).alias("description"))
+    text = F.to_json(F.struct(F.when(key % 9 != 4, segment).alias("datasetId"), F.lit("lead").alias("channelName"), selection.alias("selection"), window.alias("window"), model.alias("model"), judged.alias("evaluation")))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(checks.configuration_problems(text), "; ").alias("problems"))
+
+
+_WANTED = documents.probe_metadata("small widget", 360, 25)
+
+
+@query("""WITH p AS (SELECT *, CASE WHEN p_size % 10 = 0 THEN 0 ELSE p_size END * CASE WHEN p_type = 'PROMO' THEN 2 ELSE 1 END AS n FROM part) SELECT p_partkey, array_to_string(list_filter([
+  CASE WHEN p_name <> 'small widget' THEN 'modelId is ''' || p_name || ''' instead of ''small widget''' END,
+  CASE WHEN p_size > 40 THEN 'dtype is ''float64'' instead of ''float32''' END,
+  CASE WHEN p_size % 10 = 0 THEN 'the shape must be concrete' END,
+  CASE WHEN p_type = 'PROMO' THEN 'the shape has rank 2 instead of 1' WHEN p_size % 10 = 0 THEN 'the shape has dimension 0 is 0 instead of 25' WHEN p_size <> 25 THEN 'the shape has dimension 0 is ' || p_size || ' instead of 25' END,
+  CASE WHEN p_size % 10 <> 0 AND n <> 25 THEN 'the shape holds ' || n || ' elements, the payload 25' END,
+  CASE WHEN p_partkey % 3 = 0 THEN 'the preprocessing fingerprint is another model''s' END], lambda p: p IS NOT NULL), '; ') AS problems FROM p""")
 def input_problems(spark, sf_dir):
-    return _case_rows(spark, sf_dir, "nation", "n_nationkey", _INPUT_CASES, lambda g: documents.input_problems(documents.PROBE, g), "problems")
+    """Prepared inputs of each part, by its name, size and type, against a model of windows of 25 samples."""
+    size = F.col("p_size")
+    known = documents.fingerprint(_WANTED)
+    first = F.when(size % 10 == 0, 0).otherwise(size)
+    given = {"model_id": F.col("p_name"), "model_version": F.lit("1.0.0"), "tensor_name": F.lit("signal"), "dtype": F.when(size > 40, "float64").otherwise("float32"), "shape": F.when(F.col("p_type") == "PROMO", F.array(first, F.lit(2))).otherwise(F.array(first)), "count": F.lit(25), "fingerprint": F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(known)}
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(checks.input_problems(_WANTED, known, given), "; ").alias("problems"))
 
 
 _FNV_SQL = "lpad(lower(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296::UBIGINT))), 8, '0')"

@@ -13,6 +13,9 @@ from pulsegrid.operators.evaluation import ROLES, assert_split
 
 #: What a model may declare.
 DTYPES = ("float32", "float64", "int8", "int16", "int32", "int64", "uint8", "bool", "string")
+#: What a result as a whole, and a split, may be refused with.
+RESULT_TEXTS = {"json": "an experiment result is not valid JSON", "object": "an experiment result must be a JSON object", "labels": "metrics can't be computed again: labels must be unique, and windows have declared ones", "metrics": "metrics don't follow from the windows"}
+SPLIT_TEXT = "a split's fractions must be at least 0 and add up to 1"
 SEMANTICS, ACTIVATIONS = ("logits", "probabilities", "model-scores"), ("none", "softmax", "sigmoid")
 
 
@@ -66,7 +69,7 @@ def metadata_problems(m: object) -> list[str]:
             out.append("output.classLabels must be a non-empty array of non-empty strings")
     steps = m.get("preprocessingAssumptions")
     if not isinstance(steps, list):
-        out.append("preprocessingAssumptions must be an array")
+        out.append("preprocessingAssumptions must list the steps")
     else:
         for i, s in enumerate(steps):
             if not isinstance(s, dict) or not _text(s.get("stage")) or not isinstance(s.get("config", {}), dict):
@@ -182,7 +185,7 @@ def configuration_problems(c: object) -> list[str]:
             out.append("selection.recordIds must list non-empty record ids")
     elif s.get("kind") == "subject-partition":
         if s.get("role") not in ROLES:
-            out.append(f"selection.role {s.get('role')!r} is not a role")
+            out.append(f"selection.role must be one of {', '.join(ROLES)}")
         try:
             assert_split(s.get("partition") or {})
         except SignalError as e:
@@ -256,7 +259,8 @@ def _window_problems(w: object, parent: dict, at: str, seen: set[str]) -> list[s
     if w.get("windowId") in seen:
         out.append(f"{at}.windowId is repeated")
     seen.add(w.get("windowId"))
-    if w.get("windowId") != f"{parent.get('recordId')}/ch/{w.get('channelIndex')}/w{w.get('startSample')}":
+    plain = lambda x: number_text(x) if isinstance(x, (int, float)) and math.isfinite(x) else x
+    if w.get("windowId") != f"{plain(parent.get('recordId'))}/ch/{plain(w.get('channelIndex'))}/w{plain(w.get('startSample'))}":
         out.append(f"{at}.windowId doesn't match its record, channel and start")
     out += [f"{at}.{k} differs from its record's" for k in ("recordId", "channelName", "channelIndex") if w.get(k) != parent.get(k)]
     return out
@@ -265,7 +269,7 @@ def _window_problems(w: object, parent: dict, at: str, seen: set[str]) -> list[s
 def result_problems(r: object) -> list[str]:
     """All that is wrong with an experiment result: structure, references, and metrics that its windows don't give."""
     if not isinstance(r, dict):
-        return ["an experiment result must be a JSON object"]
+        return [RESULT_TEXTS["object"]]
     filled = lambda x: isinstance(x, str) and bool(x)
     out = [f"{k} must be a non-empty string" for k in ("experimentId", "softwareVersion", "scopeNote") if not filled(r.get(k))]
     if not _is_time(r.get("evaluatedAtIso")):
@@ -311,9 +315,9 @@ def result_problems(r: object) -> list[str]:
         try:
             again = metrics_of(labels, [(w["trueLabel"], w["predictedLabel"]) for w in windows])
             if canonical_json(again) != canonical_json(metrics):
-                out.append("metrics don't follow from the windows")
-        except SignalError as e:
-            out.append(f"metrics can't be computed again: {e}")
+                out.append(RESULT_TEXTS["metrics"])
+        except SignalError:
+            out.append(RESULT_TEXTS["labels"])
     return out
 
 
@@ -325,7 +329,7 @@ def parse_result(text: str) -> dict:
     try:
         r = json.loads(text)
     except ValueError as e:
-        raise SignalError("invalid-input", "an experiment result is not valid JSON", str(e)) from e
+        raise SignalError("invalid-input", RESULT_TEXTS["json"], str(e)) from e
     if problems := result_problems(r):
         raise SignalError("invalid-input", "invalid experiment result.", "; ".join(problems), {"problems": problems})
     return r
