@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import kernels as K
+from pulsegrid.functions import timeaxis
 from pulsegrid.operators import chunks, events, pyramid, signals
 from pulsegrid.plans.registry import query, r6
+from pulsegrid.plans.storage import shared_dir
 from pulsegrid.plans.views import RATE_HZ, read
+from pulsegrid.sources import ranged
 
 #: Samples of stretches and cells here: small and no power of two, so that every operator works across their edges.
 SIZE = 999
@@ -157,3 +160,17 @@ def nearest_any_distance(spark, sf_dir):
     cursors = e.select("k", F.col("event_id").alias("cursor"), (F.col("event_id") * 7919 % 10007 / F.lit(10007.0)).alias("fraction"))
     found = events.nearest_sorted(marks, cursors, ["k"], "cursor", start_sec=0.0, duration=62.5, rate_hz=RATE_HZ, record_start=0.0, n=4000, tolerance=1.0)
     return found.select("k", "cursor", "sample_index", "symbol", r6("distance").alias("distance"))
+
+
+@query("""SELECT vec_id::VARCHAR AS record_id, c AS channel_index, (k - 1)::BIGINT AS i, round((floor(embedding[k] * 100 + 0.5) * (1 - 2 * c) - 8) / 200.0::DOUBLE, 6) + 0.0 AS mv
+FROM (SELECT *, unnest(range(21, 51)) AS k FROM (SELECT vec_id, embedding, unnest([0, 1]) AS c FROM embeddings))""")
+def record_view_read(spark, sf_dir):
+    """Each embedding and its mirror image written as a record of format 212 by the committing sink, and samples 20 to 50 read back by ranges of 16."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("record_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("channel_index"), F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 100 + 0.5).cast("short")).alias("data"))
+    samples = F.when(F.col("channel_index") == 1, F.transform("data", lambda x: (-x).cast("short"))).otherwise(F.col("data"))
+    channels = rows.select("record_id", "channel_index", F.concat(F.lit("lead "), F.col("channel_index").cast("string")).alias("channel_name"), F.lit(RATE_HZ).alias("sample_rate_hz"), F.lit(200.0).alias("gain"), F.lit(8.0).alias("baseline"), F.lit(12).alias("adc_bits"), samples.alias("samples"))
+    folder = shared_dir(spark, "records")
+    ranged.write_records(channels, folder, 212)
+    found = ranged.view(ranged.read_chunks(spark, folder, 16), 20, 50, 16)
+    long = found.select("record_id", "channel_index", "start", "gain", "baseline", F.posexplode("samples").alias("k", "adc"))
+    return long.select("record_id", "channel_index", (F.col("start") + F.col("k")).alias("i"), r6(timeaxis.adc_to_millivolt(F.col("adc"), F.col("gain"), F.col("baseline"))).alias("mv"))
