@@ -130,8 +130,21 @@ def fnv1a(text: str) -> str:
     return f"{h:08x}"
 
 
+def utf16_units(text: Column) -> Column:
+    """array<int> of a text's UTF-16 code units; characters above U+FFFF are two."""
+    points = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.ascii(c))
+    beyond = lambda p: p - 0x10000
+    pair = lambda p: F.array(F.lit(0xD800) + F.shiftright(beyond(p), 10), F.lit(0xDC00) + beyond(p).bitwiseAND(F.lit(0x3FF)))
+    return F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, pair(p)).otherwise(F.array(p))))
+
+
 def fnv1a_column(text: Column) -> Column:
-    """FNV-1a of a column of characters up to U+FFFF."""
-    units = F.filter(F.split(text, ""), lambda c: c != "")
-    step = lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(_FNV_PRIME).cast("long"), F.lit(1 << 32).cast("long"))
-    return F.lower(F.lpad(F.hex(F.aggregate(units, F.lit(_FNV_START).cast("long"), step)), 8, "0"))
+    """FNV-1a of a column's UTF-16 code units, 8 hexadecimal digits, as `fnv1a`."""
+    step = lambda h, u: F.pmod(h.bitwiseXOR(u.cast("long")) * F.lit(_FNV_PRIME).cast("long"), F.lit(1 << 32).cast("long"))
+    return F.lower(F.lpad(F.hex(F.aggregate(utf16_units(text), F.lit(_FNV_START).cast("long"), step)), 8, "0"))
+
+
+def canonical_json_column(text: Column) -> Column:
+    """JSON texts with sorted keys and without spaces, as `canonical_json`; null where a text is no JSON. Keys are sorted by code
+    points, and numbers with an exponent are written as Spark writes them."""
+    return F.to_json(F.try_parse_json(text))

@@ -436,6 +436,21 @@ def model_fingerprint(spark, sf_dir):
     return rows.select("p_partkey", "parts", naming.fnv1a_column(F.replace("parts", F.lit("\x01"), F.lit("#"))).alias("hash"))
 
 
+@query("""WITH t AS (SELECT p_partkey, p_size, p_name || ' ' || chr((233 + p_size)::INT) || chr((20000 + p_partkey % 5000)::INT) || chr((128512 + p_partkey % 70)::INT) || p_brand AS x FROM part),
+u AS (SELECT p_partkey, p_size, x, flatten(list_transform(list_transform(range(1, length(x) + 1), lambda i: unicode(substr(x, i, 1))::UBIGINT),
+  lambda p: CASE WHEN p > 65535 THEN [55296 + ((p - 65536) >> 10), 56320 + ((p - 65536) & 1023)] ELSE [p] END)) AS units FROM t)
+SELECT p_partkey, lpad(lower(to_hex(list_reduce(list_prepend(2166136261::UBIGINT, units), lambda h, c: (xor(h, c::UBIGINT) * 16777619) % 4294967296::UBIGINT))), 8, '0') AS hash,
+  '{"a":[' || p_size || ',"' || x || '"],"b":{"c":null,"d":' || p_size || '.5},"z":true}' AS document FROM u""")
+def fnv1a_utf16(spark, sf_dir):
+    """Hashes of texts with characters of one, two, three and four bytes, and canonical JSON of documents that have them."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    character = lambda p: F.decode(F.unhex(F.lpad(F.hex(p), 8, "0")), "UTF-32")
+    x = F.concat("p_name", F.lit(" "), character(233 + size), character(20000 + key % 5000), character(128512 + key % 70), "p_brand")
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_size", x.alias("x"))
+    text = F.concat(F.lit('{"z": true, "b": {"d": '), size.cast("string"), F.lit('.50, "c": null},  "a": ['), size.cast("string"), F.lit(', "'), F.col("x"), F.lit('"]}'))
+    return rows.select("p_partkey", naming.fnv1a_column(F.col("x")).alias("hash"), naming.canonical_json_column(text).alias("document"))
+
+
 @query("""SELECT p_partkey, CASE WHEN (p_size * 6) % 12 = 0 THEN '[12, ' || p_size * 6 // 12 || ']' ELSE '' END AS shape, (p_size * 12)::BIGINT AS elements,
   CASE WHEN p_size = 7 THEN '' ELSE 'dimension 1 is ' || p_size || ' instead of 7' END AS mismatch FROM part""")
 def tensor_shapes(spark, sf_dir):
