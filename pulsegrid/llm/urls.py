@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.common import materialise
+from pulsegrid.llm.common import kept, materialise
 
 #: Host and path rules: (host/path, verdict). A rule fits its host and its subdomains where the path starts as its own; the longest wins.
 SITES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -37,7 +39,8 @@ def tokens_of(pattern: str) -> list[str]:
 
 
 def _python_regex(pattern: str) -> re.Pattern:
-    return re.compile(regex_of(pattern).replace(r"\z", r"\Z"))
+    # a * at an end of what is searched for says nothing, and would be tried from every place of a text
+    return re.compile(regex_of(pattern.strip("*")).replace(r"\z", r"\Z"))
 
 
 @dataclass(frozen=True)
@@ -74,22 +77,29 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host.translate(_LOWER), path
 
 
+def rank(site: tuple[str, str]) -> tuple:
+    """What sorts the rules (rule, verdict) that fit a URL, the one that counts first: the longest; of equal ones that of the longer
+    host, then block, then the smaller text. So a rule that is listed with both verdicts blocks."""
+    rule, verdict = site
+    return -len(rule), -len(rule.partition("/")[0]), verdict != "block", rule
+
+
 class Judge:
     """Rules in the memory of a worker: sites by host, patterns by token."""
 
     def __init__(self, sites, patterns, index: TokenIndex):
         self.sites: dict[str, list[tuple[str, str, str]]] = {}
-        for rule, verdict in sorted(sites, key=lambda x: -len(x[0])):
+        for rule, verdict in sorted(sites, key=rank):
             host, _, path = rule.partition("/")
             self.sites.setdefault(host, []).append(("/" + path, rule, verdict))
-        self.index, self.patterns, self.regexes = index, patterns, [_python_regex(p) for p in patterns]
+        self.index, self.patterns, self.regexes = index, patterns, {}
 
     def site(self, host: str, path: str) -> tuple[str | None, str | None]:
         """The longest rule of the host or a domain above it: a look-up for each label of the host."""
         best: tuple[str | None, str | None] = (None, None)
         while host:
             fits = next(((r, v) for p, r, v in self.sites.get(host, ()) if path.startswith(p)), None)
-            if fits and (best[0] is None or len(fits[0]) > len(best[0])):
+            if fits and (best[0] is None or rank(fits) < rank(best)):
                 best = fits
             host = host.partition(".")[2]
         return best
@@ -102,7 +112,13 @@ class Judge:
         found = set(self.index.always)
         for t in set(re.split("[^a-z0-9]+", low)):
             found.update(self.index.by_token.get(t, ()))
-        return next((self.patterns[i] for i in sorted(found) if self.regexes[i].search(low)), None)
+        return next((self.patterns[i] for i in sorted(found) if self.regex(i).search(low)), None)
+
+    def regex(self, i: int) -> re.Pattern:
+        """Compiled at its first use, and kept by the worker."""
+        if i not in self.regexes:
+            self.regexes[i] = _python_regex(self.patterns[i])
+        return self.regexes[i]
 
 
 #: Bytes of rules up to which each worker holds them all; beyond, rules and URLs meet in joins.
@@ -114,6 +130,8 @@ def filter_urls(pages: DataFrame, sites=SITES, patterns=PATTERNS, most: int = MO
 
     sites and patterns are sequences, or tables (rule, verdict) and (pattern, position) of any size. Rules of up to `most` bytes
     are held by each worker; larger ones are joined, by the domains of a host and by the rarest token of a pattern.
+    Of the rules that fit, the longest counts; then that of the longer host; then block. Both ways judge alike, with repeated rules, rules
+    of both verdicts and any number of patterns without a whole token.
     A url that is null, empty or without :// has an empty host and path; patterns still see its text.
     Repeated rows and ids are judged one by one. An empty table gives no rows.
     """
@@ -125,16 +143,19 @@ def filter_urls(pages: DataFrame, sites=SITES, patterns=PATTERNS, most: int = MO
     size = sum(t.agg(F.sum(F.octet_length(c))).first()[0] or 0 for t, c in ((sites, "rule"), (patterns, "pattern")))
     if size > most:
         return _joined(pages, sites, patterns)
-    listed = [r[0] for r in patterns.orderBy("position").select("pattern").collect()]
+    listed = [r[0] for r in patterns.orderBy("position", "pattern").select("pattern").collect()]
     judge = Judge([tuple(r) for r in sites.select("rule", "verdict").collect()], listed, build_index(pages, listed))
 
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept(("urls", name), lambda: judge)
         for batch in batches:
             rows = []
             for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
-                rule, verdict = judge.site(host, path)
-                pattern = judge.pattern(url)
+                rule, verdict = own.site(host, path)
+                pattern = own.pattern(url)
                 rows.append((host, path, rule, pattern, verdict or ("block" if pattern else "allow")))
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.string()) for c in columns)], names=["page_id", "host", "path", "rule", "pattern", "verdict"])
@@ -150,10 +171,14 @@ def _joined(pages: DataFrame, sites: DataFrame, patterns: DataFrame) -> DataFram
     urls = pages.select("url").distinct().withColumn("rest", rest).withColumn("low", F.translate("url", upper, lower))
     urls = urls.select("url", "low", F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), upper, lower).alias("host"), F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
     urls = materialise(urls, "urls")
-    domains = urls.where("host <> ''").select("url", "path", F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000), '.'))")).alias("domain"))
-    by_host = sites.select("rule", F.col("verdict").alias("ruling"), F.substring_index("rule", "/", 1).alias("domain"), F.expr("substring(rule, locate('/', rule))").alias("under"))
-    fits = domains.join(by_host, "domain").where(F.startswith("path", F.col("under")))
-    ruled = fits.groupBy("url").agg(F.max_by(F.struct("rule", "ruling"), F.length("rule")).alias("r"))
+    domains = urls.where("host <> ''").select("url", "path", F.explode(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))")).alias("domain"))
+    by_host = sites.select("rule", F.col("verdict").alias("ruling"), F.substring_index("rule", "/", 1).alias("domain"), F.expr("substring(rule, locate('/', rule))").alias("under")).distinct()
+    # a URL looks up the starts of its path that are as long as some rule of the domain is: no domain's rules meet all of its URLs
+    lengths = by_host.groupBy("domain").agg(F.collect_set(F.char_length("under")).alias("lengths"))
+    starts = domains.join(lengths, "domain").withColumn("length", F.explode(F.filter("lengths", lambda n: n <= F.char_length("path"))))
+    fits = starts.withColumn("under", F.substring(F.col("path"), F.lit(1), F.col("length"))).join(by_host, ["domain", "under"])
+    order = F.struct(-F.char_length("rule"), -F.char_length("domain"), F.col("ruling") != "block", F.col("rule"))
+    ruled = fits.groupBy("url").agg(F.min_by(F.struct("rule", "ruling"), order).alias("r"))
     tokens = urls.select("url", F.explode(F.array_distinct(F.split("low", "[^a-z0-9]+"))).alias("token")).where("token <> ''")
     with_tokens = materialise(patterns.mapInArrow(_pattern_rows, "pattern string, position int, regex string, tokens array<string>"), "patterns")
     wanted = with_tokens.select("pattern", F.explode("tokens").alias("token"))
@@ -161,22 +186,41 @@ def _joined(pages: DataFrame, sites: DataFrame, patterns: DataFrame) -> DataFram
     rarest = wanted.join(seen, "token", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"].alias("token"))
     indexed = with_tokens.join(rarest, "pattern").select("pattern", "position", "regex", "token")
     found = tokens.join(indexed, "token").select("url", "pattern", "position", "regex")
-    always = [(r["pattern"], r["position"]) for r in with_tokens.where("size(tokens) = 0").select("pattern", "position").limit(MOST_ALWAYS + 1).collect()]
-    if len(always) > MOST_ALWAYS:
-        raise ValueError(f"more than {MOST_ALWAYS} patterns have no whole token; each of them would run on every URL")
     hit = found.join(urls.select("url", "low"), "url").where(F.expr("low rlike regex")).groupBy("url").agg(F.min(F.struct("position", "pattern")).alias("hit"))
-    least = F.col("hit")
-    for pattern, position in always:
-        own = F.when(F.col("low").rlike(regex_of(pattern)), F.struct(F.lit(position).alias("position"), F.lit(pattern).alias("pattern")))
-        least = F.when(least.isNull() | (own["position"] < least["position"]), F.coalesce(own, least)).otherwise(least)
-    judged = urls.join(ruled, "url", "left").join(hit, "url", "left").select("url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.ruling").alias("ruling"), least["pattern"].alias("pattern"))
+    hits = [hit, *_hits_of_all(urls, with_tokens.where("size(tokens) = 0"))]
+    hit = functools.reduce(DataFrame.unionByName, hits).groupBy("url").agg(F.min("hit").alias("hit"))
+    judged = urls.join(ruled, "url", "left").join(hit, "url", "left").select("url", "host", "path", F.col("r.rule").alias("rule"), F.col("r.ruling").alias("ruling"), F.col("hit.pattern").alias("pattern"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("of")).join(materialise(judged, "judged"), F.col("of") == F.col("url"), "left")
     verdict = F.coalesce("ruling", F.when(F.col("pattern").isNotNull(), "block").otherwise("allow"))
     return rows.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "rule", "pattern", verdict.alias("verdict"))
 
 
-#: Patterns without a whole token, which run on every URL, in the joined way at most.
-MOST_ALWAYS = 100
+#: Patterns without a whole token that a worker holds at once in the joined way.
+ALWAYS_PART = 1000
+
+
+def _hits_of_all(urls: DataFrame, patterns: DataFrame) -> list[DataFrame]:
+    """(url, hit) of patterns that have no whole token to be looked up by, so that every URL is held against them: a pass over the distinct
+    URLs for each ALWAYS_PART of them, by position."""
+    total = patterns.count()
+    out, after = [], None
+    for _ in range(-(-total // ALWAYS_PART)):
+        rest = patterns if after is None else patterns.where((F.col("position") > after[0]) | (F.col("position") == after[0]) & (F.col("pattern") > after[1]))
+        part = [(r["position"], r["pattern"]) for r in rest.select("position", "pattern").orderBy("position", "pattern").limit(ALWAYS_PART).collect()]
+        if not part:
+            break
+        after, name = part[-1], uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], part=part, name=name) -> Iterator[pa.RecordBatch]:
+            compiled = kept(("patterns", name), lambda: [_python_regex(p) for _, p in part])
+            for batch in batches:
+                found = [next((part[i] for i, x in enumerate(compiled) if x.search(low)), None) for low in batch.column(1).to_pylist()]
+                at = [i for i, f in enumerate(found) if f]
+                hit = pa.StructArray.from_arrays([pa.array([found[i][0] for i in at], pa.int32()), pa.array([found[i][1] for i in at], pa.string())], names=["position", "pattern"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), hit], names=["url", "hit"])
+
+        out.append(urls.where("low IS NOT NULL").select("url", "low").mapInArrow(run, "url string, hit struct<position:int,pattern:string>"))
+    return out
 
 
 def _pattern_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -315,6 +315,26 @@ def test_large_rule_tables_are_joined(spark, duck):
     assert urls.filter_urls(df.limit(0), most=0).count() == 0
 
 
+def test_both_ways_judge_ties_repeats_and_many_wide_patterns_alike(spark, monkeypatch):
+    """Rules of equal length, of both verdicts, listed twice, on hot domains; more token-less patterns than a part holds; long hosts."""
+    monkeypatch.setattr(urls, "ALWAYS_PART", 300)
+    sites = [("a.bb.cc/", "allow"), ("bb.cc/xy", "block"), ("t.io/q", "allow"), ("t.io/q", "block"), ("t.io/q", "allow"), ("com/", "allow"), ("com/", "allow")]
+    sites += [(f"com/{i % 40}x{'/' * (i % 3)}", ("allow", "block")[i % 2]) for i in range(200)] + [("y.com/1x", "block"), ("zy.com/1", "allow"), ("org/", "block")]
+    patterns = [f"*q{i}z*" for i in range(1000)] + ["^late^", "*q5z*", "^late^"]
+    found = ["http://a.bb.cc/xyz", "http://t.io/q", "http://t.io/", "http://x.com/1x/", "http://zy.com/1x", "http://y.com/1x", "http://n.net/q999z", "http://n.net/q5z-q7z", "http://n.net/late", "http://org/", "http://" + "a." * 1500 + "org/", "http://u.com/3x//", "nothing", None]
+    found += [f"http://s{i % 7}.com/{i % 40}x{'/' * (i % 4)}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    tables = spark.createDataFrame(sites, "rule string, verdict string"), spark.createDataFrame([(p, i) for i, p in enumerate(patterns)], "pattern string, position int")
+    held, joined = ({r.page_id: tuple(r) for r in urls.filter_urls(df, *tables, most=m).collect()} for m in (urls.MOST_BYTES, 0))
+    assert held == joined and len(held) == len(found)
+    for i, url in enumerate(found):
+        host, path = urls.split_url(url)
+        fits = [(r, v) for r, v in sites if path.startswith("/" + r.partition("/")[2]) and ("." + host).endswith("." + r.partition("/")[0])] if host else []
+        best = min(fits, key=lambda f: (-len(f[0]), -len(f[0].partition("/")[0]), f[1] != "block", f[0]), default=(None, None))
+        assert held[i][3] == best[0] and (best[1] is None or held[i][5] == best[1]), url
+    assert held[0][3:] == ("a.bb.cc/", None, "allow") and held[1][3:] == ("t.io/q", None, "block") and held[6][4] == "*q999z*" and held[7][4] == "*q5z*" and held[8][4] == "^late^"
+
+
 def test_sites_are_looked_up_by_host():
     many = [(f"h{i}.example.net/", "block") for i in range(50_000)] + [("example.net/a/", "allow"), ("net/", "block")]
     judge = urls.Judge(many, (), urls.TokenIndex({}, []))
