@@ -422,3 +422,29 @@ def coefficient_range(window: Column, level: Column, count: Column) -> Column:
     start, end = clamp(F.floor(window["start"] / stride)), clamp(F.ceil(window["end"] / stride))
     some = window["end"] > window["start"]
     return F.struct(F.when(some, start).otherwise(zero).alias("start"), F.when(some, F.greatest(start, end)).otherwise(zero).alias("end"))
+
+
+def filter_problems(kind: Column, low: Column, high: Column, taps: Column, rate_hz: Column) -> Column:
+    """array<string> of what keeps the filter of a row from being designed, by the rules of `design_fir`: a rate, a type, taps and
+    cutoffs. low is the cutoff, or the lower one of a band; high is null but for a band."""
+    finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+    inside = lambda x: finite(x) & (x > 0) & (x < rate_hz / 2)
+    known, band = F.coalesce(kind.isin("lowpass", "highpass", "bandpass"), F.lit(False)), F.coalesce(kind == "bandpass", F.lit(False))
+    rate = finite(rate_hz) & (rate_hz > 0)
+    shaped = low.isNotNull() & (band == high.isNotNull())
+    ordered = inside(low) & (~band | inside(high) & (low < high))
+    problems = (
+        (rate, "the sample rate must be above zero"),
+        (F.coalesce((taps >= 5) & (taps % 2 == 1), F.lit(False)), "the number of taps must be odd and at least 5"),
+        (known, "the type must be lowpass, highpass or bandpass"),
+        (~known | shaped, "a band takes two cutoffs, other filters one"),
+        (~(known & rate & shaped) | ordered, "cutoffs must be ordered and between zero and half the rate"),
+    )
+    return F.array_compact(F.array(*[F.when(~ok, F.lit(text)) for ok, text in problems]))
+
+
+def bank_problems(low: Column, high: Column) -> Column:
+    """array<string> of what keeps two arrays of taps from being a filter bank, as `assert_filter_bank`."""
+    size = F.coalesce(F.size(low), F.lit(0))
+    fits = (size > 0) & (size % 2 == 0) & F.coalesce(F.size(high) == size, F.lit(False))
+    return F.array_compact(F.array(F.when(~fits, F.lit("a filter bank needs two filters of one even length"))))

@@ -184,3 +184,24 @@ def request_status(requests: DataFrame, keys: list[str], seq: str = "seq") -> Da
     """Every request with status current or request-superseded."""
     top = F.max(seq).over(W.Window.partitionBy(*keys))
     return requests.withColumn("status", F.when(F.col(seq) == top, "current").otherwise("request-superseded"))
+
+
+def split_problems(train: Column, validation: Column, test: Column) -> Column:
+    """array<string> of what is wrong with a row's split, as `assert_split`."""
+    shares = (train, validation, test)
+    fine = [F.coalesce(~F.isnan(x) & (x >= 0) & (x < float("inf")), F.lit(False)) for x in shares]
+    ok = fine[0] & fine[1] & fine[2] & F.coalesce(F.abs(train + validation + test - 1) <= 1e-9, F.lit(False))
+    return F.array_compact(F.array(F.when(~ok, F.lit("a split's fractions must be at least 0 and add up to 1"))))
+
+
+def label_problems(labels: Column, seen: Column) -> Column:
+    """array<string> of what is wrong with declared labels (array<string>), and with the labels seen beside them."""
+    n = F.coalesce(F.size(labels), F.lit(0))
+    unknown = F.array_sort(F.array_except(F.coalesce(seen, F.array().cast("array<string>")), F.coalesce(labels, F.array().cast("array<string>"))))
+    return F.array_compact(
+        F.array(
+            F.when(n < 1, F.lit("at least one label is needed")),
+            F.when(F.size(F.array_distinct(labels)) < n, F.lit("labels must be unique")),
+            F.when(F.size(unknown) > 0, F.concat(F.lit("labels are not declared: "), F.array_join(unknown, ", "))),
+        )
+    )

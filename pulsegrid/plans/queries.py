@@ -151,7 +151,8 @@ def padded_domain(spark, sf_dir):
 
 @query(duck("+f AS (SELECT user_id, min(x) AS a, max(x) - min(x) AS b FROM sig_user GROUP BY user_id) SELECT u.user_id, i, round((x - a) / b, 6) + 0.0 AS y FROM sig_user u JOIN f USING (user_id)", "sig_user"))
 def minmax_fit_apply(spark, sf_dir):
-    return long_of(signals.to_arrays(sig_user(spark, sf_dir), ["user_id"]), ["user_id"], K.normalise_column(F.col("data"), "min-max"))
+    s = sig_user(spark, sf_dir)
+    return signals.apply_normalisation(s, signals.fit_normalisation(s, [], ["user_id"], "min-max"), ["user_id"]).select("user_id", "i", r6("x").alias("y"))
 
 
 _Z = "avg(x) AS a, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) AS b"

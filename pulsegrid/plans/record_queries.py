@@ -401,6 +401,36 @@ def configuration_problems(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(checks.configuration_problems(text), "; ").alias("problems"))
 
 
+@query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'lowpass' WHEN 1 THEN 'highpass' WHEN 2 THEN 'bandpass' ELSE p_type END AS kind, p_size / 2.0::DOUBLE AS low, CASE WHEN p_partkey % 4 = 2 OR p_partkey % 10 = 0 THEN p_retailprice - 930 END AS high, p_size AS taps, (p_partkey % 90 - 5)::DOUBLE AS rate FROM part),
+g AS (SELECT *, kind IN ('lowpass', 'highpass', 'bandpass') AS known, rate > 0 AS rated, (kind = 'bandpass') = (high IS NOT NULL) AS shaped,
+  low > 0 AND low < rate / 2 AND (kind <> 'bandpass' OR high > 0 AND high < rate / 2 AND low < high) AS ordered FROM f)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT rated THEN 'the sample rate must be above zero' END, CASE WHEN taps < 5 OR taps % 2 = 0 THEN 'the number of taps must be odd and at least 5' END,
+  CASE WHEN NOT known THEN 'the type must be lowpass, highpass or bandpass' END, CASE WHEN known AND NOT shaped THEN 'a band takes two cutoffs, other filters one' END,
+  CASE WHEN known AND rated AND shaped AND NOT ordered THEN 'cutoffs must be ordered and between zero and half the rate' END], lambda p: p IS NOT NULL), '; ') AS problems FROM g""")
+def filter_refusals(spark, sf_dir):
+    """A filter for each part, its type, cutoffs, taps and rate by the part's columns, and why it can't be designed."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(key % 4 == 0, "lowpass").when(key % 4 == 1, "highpass").when(key % 4 == 2, "bandpass").otherwise(F.col("p_type"))
+    high = F.when((key % 4 == 2) | (key % 10 == 0), F.col("p_retailprice") - 930)
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(K.filter_problems(kind, size / F.lit(2.0), high, size, (key % 90 - 5).cast("double")), "; ").alias("problems"))
+
+
+@query("""WITH s AS (SELECT c_custkey, c_nationkey / 16.0::DOUBLE AS a, c_custkey % 5 / 8.0::DOUBLE AS b, CASE WHEN c_acctbal < 0 THEN -0.25 ELSE (c_nationkey % 3) / 8.0::DOUBLE END AS c, c_mktsegment, c_nationkey, c_acctbal FROM customer)
+SELECT c_custkey, CASE WHEN c >= 0 AND abs(a + b + c - 1) <= 1e-9 THEN '' ELSE 'a split''s fractions must be at least 0 and add up to 1' END AS split,
+  array_to_string(list_filter([CASE WHEN c_nationkey % 4 = 0 THEN 'at least one label is needed' END, CASE WHEN c_nationkey % 4 = 3 THEN 'labels must be unique' END,
+    CASE WHEN c_nationkey % 4 = 0 OR c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'labels are not declared: ' || c_mktsegment END], lambda p: p IS NOT NULL), '; ') AS labels,
+  CASE WHEN c_nationkey % 4 = 2 THEN '' ELSE 'a filter bank needs two filters of one even length' END AS bank FROM s""")
+def split_and_label_refusals(spark, sf_dir):
+    """Splits, declared labels and filter banks made from each customer's columns, and why they are refused."""
+    nation, key = F.col("c_nationkey"), F.col("c_custkey")
+    third = F.when(F.col("c_acctbal") < 0, F.lit(-0.25)).otherwise((nation % 3) / F.lit(8.0))
+    split = evaluation.split_problems(nation / F.lit(16.0), (key % 5) / F.lit(8.0), third)
+    declared = F.slice(F.array(F.lit("BUILDING"), F.lit("MACHINERY"), F.lit("BUILDING")), F.lit(1), nation % 4)
+    declared = F.when(nation % 4 == 1, F.array(F.lit("BUILDING"), F.lit("MACHINERY"))).otherwise(declared)
+    taps = F.array_repeat(F.lit(0.5), nation % 4)
+    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(split, "; ").alias("split"), F.array_join(evaluation.label_problems(declared, F.array("c_mktsegment")), "; ").alias("labels"), F.array_join(K.bank_problems(taps, taps), "; ").alias("bank"))
+
+
 _WANTED = documents.probe_metadata("small widget", 360, 25)
 
 
