@@ -70,7 +70,7 @@ def readout(fraction: Num, view: Column, rate_hz: Num, record_start_sec: Num) ->
 def presets(rate_hz: Num, start_sec: Num, n: Num, segments: int = PRESET_SEGMENTS) -> Column:
     """array<struct<label, start_sec, duration_sec>>: the full record and equal segments; empty without samples."""
     if isinstance(segments, bool) or not isinstance(segments, int) or segments <= 0:
-        raise SignalError("invalid-input", f"segment count must be a positive integer, received {segments!r}.")
+        raise SignalError("invalid-input", f"the number of segments has to be a whole number above 0, not {segments!r}")
     total, start = duration_sec(n, rate_hz), col(start_sec).cast("double")
     part = total / segments
     item = lambda label, s, d: F.struct(label.alias("label"), s.alias("start_sec"), d.alias("duration_sec"))

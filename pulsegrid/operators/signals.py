@@ -99,7 +99,7 @@ def sorted_annotations(annotations: Column) -> Column:
 def _check_window(width: int, stride: int, policy: str) -> None:
     for value, label in ((width, "window length"), (stride, "stride")):
         if isinstance(value, bool) or not isinstance(value, int) or value <= 0:
-            raise SignalError("invalid-input", f"{label} must be a positive integer, received {value!r}.")
+            raise SignalError("invalid-input", f"{label} has to be a whole number above 0, not {value!r}")
     if policy not in POLICIES:
         raise SignalError("invalid-input", f"remainder policy must be one of {', '.join(POLICIES)}, received {policy!r}.")
 
@@ -213,7 +213,7 @@ def envelope(long: DataFrame, keys: list[str], buckets: int, bounds: DataFrame |
     The window is [0, n) of each key, or the columns win_start and win_end of bounds (keys, win_start, win_end).
     """
     if isinstance(buckets, bool) or not isinstance(buckets, int) or buckets <= 0:
-        raise SignalError("invalid-input", f"the number of columns must be a positive integer, received {buckets!r}.")
+        raise SignalError("invalid-input", f"the number of columns has to be a whole number above 0, not {buckets!r}")
     if bounds is None:
         bounds = long.groupBy(*keys).agg(F.lit(0).cast("long").alias("win_start"), (F.max("i") + 1).alias("win_end"))
     rows = long.join(bounds, keys).withColumn("bucket", bucket_of(F.col("i"), F.col("win_start"), F.col("win_end"), buckets)).where("bucket IS NOT NULL")

@@ -261,7 +261,7 @@ _HAS = {"hea": "(s_suppkey % 3 <> 0)", "dat": "(s_suppkey % 4 <> 0)", "atr": "(s
 @query(f"""WITH s AS (SELECT 'x' || s_suppkey AS record_id, s_suppkey, {_LISTED} AS listed, {_HAS["hea"]} AS hea, {_HAS["dat"]} AS dat, {_HAS["atr"]} AS atr FROM supplier),
 l AS (SELECT record_id, (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS position FROM s WHERE listed)
 SELECT s.record_id, coalesce(l.position, -1)::INT AS position, listed AS in_records, hea AS has_header, dat AS has_data, atr AS has_annotations, hea AND s_suppkey % 7 <> 0 AS readable, hea AND s_suppkey % 7 <> 0 AND dat AS complete,
-  CASE WHEN NOT hea THEN 'the record has no header file' WHEN s_suppkey % 7 = 0 THEN 'a header needs a record line and signal lines' WHEN NOT dat THEN 'missing declared data file(s): ' || s.record_id || '.dat.' END AS problem
+  CASE WHEN NOT hea THEN 'the record has no header file' WHEN s_suppkey % 7 = 0 THEN 'a header needs a record line and signal lines' WHEN NOT dat THEN 'data files that the header names are not there: ' || s.record_id || '.dat.' END AS problem
 FROM s LEFT JOIN l USING (record_id) WHERE listed OR hea""")
 def wfdb_catalogue(spark, sf_dir):
     """A RECORDS file and the files that some suppliers have: what is declared, what is there, and the first problem of each."""

@@ -99,7 +99,7 @@ def generate(recipe: dict) -> np.ndarray:
     kind, n = recipe.get("kind"), recipe.get("length")
     rate, offset = recipe.get("sample_rate_hz", RATE_HZ), recipe.get("offset", 0.0)
     if isinstance(n, bool) or not isinstance(n, int) or n <= 0:
-        raise SignalError("invalid-input", f"a recipe's length must be a positive integer, received {n!r}")
+        raise SignalError("invalid-input", f"a recipe's length has to be a whole number above 0, not {n!r}")
     if not (isinstance(rate, (int, float)) and math.isfinite(rate) and rate > 0):
         raise SignalError("invalid-input", f"a recipe's rate must be above zero, received {rate!r}")
     t = np.arange(n) / rate

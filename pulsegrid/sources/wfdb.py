@@ -355,7 +355,7 @@ def catalogue(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     missing = files_of.groupBy("record_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "file"))), lambda s: s["file"]), ", ").alias("missing"))
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     readable = F.col("j.files").isNotNull()
-    problem = F.coalesce("j.problem", F.when(F.col("missing").isNotNull(), F.concat(F.lit("missing declared data file(s): "), "missing", F.lit("."))))
+    problem = F.coalesce("j.problem", F.when(F.col("missing").isNotNull(), F.concat(F.lit("data files that the header names are not there: "), "missing", F.lit("."))))
     records = judged.join(missing, "record_id", "left").select("record_id", "position", no("in_records"), no("has_header"), no("has_data"), no("has_annotations"), readable.alias("readable"), (readable & F.col("missing").isNull()).alias("complete"), problem.alias("problem"))
     return records.orderBy(F.col("position").asc_nulls_last(), "record_id"), rest.where(~known).select("name").orderBy("name")
 
