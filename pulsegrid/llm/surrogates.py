@@ -37,12 +37,23 @@ _SYLLABLES = {
 }
 
 #: Types in the order in which they claim text; each has the characters one of which every match has.
+#: Letters of addresses; those of a name's first and further words: a capital of any script, parts joined by - and ', and before them
+#: initials and the particles of surnames (fixed values).
+_MAIL = "A-Za-z0-9\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff"
+_WORD_OF_NAME = r"[^\W\d_a-zа-яα-ω](?:[^\W\d_]+(?:['’-][^\W\d_]+)*|(?:['’-][^\W\d_]+)+)"
+_PARTICLES = "al bin da de del della den der di dos du el ibn la le ten ter van von zu"
+_BEFORE = rf"(?:(?:[^\W\d_a-zа-яα-ω]\.|{'|'.join(_PARTICLES.split())}) )*"
 _NAME = "|".join(sorted(map(re.escape, _TITLES), key=len, reverse=True))
 DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("private_key", "-", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]+?-----END [A-Z ]*PRIVATE KEY-----")),
-    ("email", "@", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}\b")),
-    ("secret", "=:", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?P<v>[^\s\"',;<>]{6,})")),
+    ("secret", "@", re.compile(r"://[^\s/:@\0]{1,64}:(?P<v>[^\s/@\0]{3,})@")),
+    ("email", "@", re.compile(rf"[{_MAIL}](?:[{_MAIL}._%+-]{{0,63}})@(?:[{_MAIL}](?:[{_MAIL}-]{{0,61}}[{_MAIL}])?\.)+[{_MAIL}]{{2,24}}\b")),
     ("access_key", "_-AG", re.compile(r"\b(?:AKIA|ASIA)(?P<v>[0-9A-Z]{16})\b|\b(?:gh[pousr]_|sk-|xox[bp]-)(?P<w>[A-Za-z0-9-]{16,})")),
+    ("secret", "=:", re.compile(
+        r"(?i)(?<![A-Za-z0-9])(?:[A-Za-z0-9]{1,24}[_-]){0,4}(?:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9]{1,24}){0,4}[\"']?\s{0,2}[=:]\s{0,2}"
+        r"(?:\"(?P<v>[^\"\n\0]{6,200})\"|'(?P<w>[^'\n\0]{6,200})'|[\"']?(?P<x>[^\s\"',;<>\0]{6,}))"
+    )),
+    ("secret", " ", re.compile(r"(?i)\bbearer {1,2}(?P<v>[A-Za-z0-9._~+/=-]{16,})")),
     ("iban", "", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")),
     ("ip", ".", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("ipv6", ":", re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])")),
@@ -50,9 +61,10 @@ DETECTORS: tuple[tuple[str, str, re.Pattern], ...] = (
     ("phone", "+", re.compile(r"(?<![0-9A-Za-z+])\+[1-9](?:[ .()/-]{0,2}[0-9]){7,14}(?![0-9])")),
     ("national_id", "-", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("card", "", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,4})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])")),
-    ("name", "", re.compile(rf"(?<!\w)(?P<t>{_NAME})\.? (?P<v>[^\W\d_a-zа-яα-ω][^\W\d_]+(?: [^\W\d_a-zа-яα-ω][^\W\d_]+)?)")),
+    ("name", "", re.compile(rf"(?<!\w)(?P<t>{_NAME})\.? (?:(?:{_NAME})\.? )*(?!(?:{_NAME})\b)(?P<v>{_BEFORE}{_WORD_OF_NAME}(?: {_BEFORE}{_WORD_OF_NAME}){{0,4}})")),
 )
 _DIGIT = re.compile("[0-9]")
+_WORD = re.compile(r"\w+")
 _TITLE = re.compile(rf"(?<!\w)(?:{_NAME})\.? ")
 #: Types of any length. Their surrogates, emails and names grow by a character or syllable each GROW attempts, so any number of them gets distinct ones.
 _FREE, GROW = {"secret", "access_key", "private_key"}, 4
@@ -79,7 +91,7 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
         own = []
         for m in pattern.finditer(text):
             groups = m.groupdict()
-            g = next((k for k in ("v", "w") if groups.get(k) is not None), 0)
+            g = next((k for k in ("v", "w", "x") if groups.get(k) is not None), 0)
             if not _VALID.get(kind, bool)(m[0]) or kind in _FREE and _masked(kind, m[g]):
                 continue
             own.append((*m.span(g), f"name_{_TITLES[m['t']]}" if kind == "name" else kind))
@@ -98,8 +110,20 @@ def detect(text: str | None) -> list[tuple[int, int, str]]:
 def _untitled(text: str, named: dict[str, str]) -> list[tuple[int, int, str]]:
     """The mentions without a title, in a text that the named ones are cut out of."""
     kinds = {name.rpartition(" ")[2]: "name_n" for name in named} | named
-    pattern = "|".join(re.escape(n) for n in sorted(kinds, key=lambda n: (-len(n), n)))
-    return [(*m.span(), kinds[m[0]]) for m in re.finditer(rf"(?<!\w)(?:{pattern})(?!\w)", text)]
+    starts: dict[str, set[int]] = {}
+    for name in kinds:
+        starts.setdefault(_WORD.match(name)[0], set()).add(len(name))
+    sizes = {word: sorted(own, reverse=True) for word, own in starts.items()}
+    out, after = [], 0
+    for m in _WORD.finditer(text):  # each word looks up the names that begin with it, the longest first
+        s = m.start()
+        for size in sizes.get(m[0], ()) if s >= after else ():
+            kind = kinds.get(text[s : s + size])
+            if kind and not _WORD.match(text, s + size):
+                out.append((s, s + size, kind))
+                after = s + size
+                break
+    return out
 
 
 def _masked(kind: str, value: str) -> bool:
@@ -259,11 +283,13 @@ def _draw(kind: str, entity: str, attempt: int, draw: _Stream) -> str:
         local, _, domain = entity.partition("@")
         name, _, top = domain.rpartition(".")
         more = "".join(_ALPHABET[draw.below(len(_ALPHABET))] for _ in range(attempt // GROW)).lower()
-        return "".join(_same_kind(c, draw) for c in local) + more + "@" + "".join(_same_kind(c, draw) for c in name) + "." + top
+        return "".join(_same_kind(c, draw) for c in local).lower() + more + "@" + "".join(_same_kind(c, draw) for c in name).lower() + "." + top
     if kind == "ip":
         return _octets(entity, attempt, draw)
     if kind == "ipv6":
-        return ":".join(f"{0x1000 + draw.below(0xF000):x}" for _ in range(8))
+        first = entity.partition(":")[0]
+        kept = [first] if re.match("f[cdf]|fe[89ab]", first) else []  # local and multicast addresses stay such
+        return ":".join([*kept, *(f"{0x1000 + draw.below(0xF000):x}" for _ in range(8 - len(kept)))])
     if kind == "phone" and entity[0] == "+":
         code = 1 + (1 if entity[1] in "17" else 2 if entity[1:3] in _TWO_DIGITS else 3)
         return entity[:code] + "".join(_same_kind(c, draw) for c in entity[code:])
