@@ -492,13 +492,23 @@ def fnv1a_ascii(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", naming.fnv1a_column(F.col("p_name")).alias("hash"))
 
 
-_MV = "(0.6 * sin(2 * pi() * hz * i / 360.0::DOUBLE) + 0.4 * 0.5 * sin(4 * pi() * hz * i / 360.0::DOUBLE))"
 
 
-@query(f"""WITH l(channel_index, channel_name, hz) AS (VALUES (0, 'lead-a', 1.0::DOUBLE), (1, 'lead-b', 1.2::DOUBLE)), s AS (SELECT *, unnest(range(0, 3600)) AS i FROM l)
-SELECT 'sync' AS record_id, channel_index, channel_name, i, floor({_MV} * 200.0 + 1024.0 + 0.5)::INT AS adc, round((floor({_MV} * 200.0 + 1024.0 + 0.5) - 1024.0) / 200.0, 6) + 0.0 AS mv FROM s""")
+#: A record of two leads for each supplier: its nation gives rate and length, its balance the amplitude.
+_LEADS = """l AS (SELECT 's' || s_suppkey AS record_id, c AS channel_index, 'lead-' || c AS channel_name, 100 + s_nationkey AS n, 120.0::DOUBLE + s_nationkey AS rate, 1.0::DOUBLE + c / 5.0::DOUBLE AS hz, s_acctbal / 10000 AS amplitude, s_nationkey / 4.0::DOUBLE AS phase
+  FROM (SELECT *, unnest([0, 1]) AS c FROM supplier)), s AS (SELECT *, unnest(range(0, n)) AS i FROM l),
+v AS (SELECT *, amplitude * (0.6 * sin(2 * pi() * hz * (i / rate) + phase) + 0.4 * 0.5 * sin(2 * (2 * pi() * hz) * (i / rate) + 2 * phase)) AS x FROM s)"""
+
+
+def _leads(spark, sf_dir):
+    nation = F.col("s_nationkey")
+    rows = read(spark, sf_dir, "supplier").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel_index"))
+    return rows.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("record_id"), "channel_index", F.concat(F.lit("lead-"), F.col("channel_index").cast("string")).alias("channel_name"), (nation + 100).alias("n"), (nation + F.lit(120.0)).alias("rate_hz"), (F.lit(1.0) + F.col("channel_index") / 5.0).alias("frequency_hz"), (F.col("s_acctbal") / 10000).alias("amplitude"), (nation / 4.0).alias("phase"), F.lit(200.0).alias("gain"), F.lit(1024.0).alias("baseline"))
+
+
+@query(f"WITH {_LEADS} SELECT record_id, channel_index, channel_name, i::BIGINT AS i, floor(x * 200.0 + 1024.0 + 0.5)::INT AS adc, round((floor(x * 200.0 + 1024.0 + 0.5) - 1024.0) / 200.0, 6) + 0.0 AS mv FROM v")
 def synthetic_record(spark, sf_dir):
-    return synthetic.synthetic_record(spark).withColumn("mv", r6("mv"))
+    return synthetic.synthetic_records(_leads(spark, sf_dir)).withColumn("mv", r6("mv"))
 
 
 @query(duck("SELECT a.rid, a.i, floor(a.x * 100 + 0.5)::INT AS first, floor(b.x * 100 + 0.5)::INT AS second FROM sig_embed_long a JOIN sig_embed_long b ON b.rid = a.rid AND b.i = 63 - a.i", "sig_embed_long"))

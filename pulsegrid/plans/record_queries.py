@@ -11,10 +11,10 @@ from pulsegrid.functions import kernels as K
 from pulsegrid.functions import naming, timeaxis, viewport
 from pulsegrid.operators import evaluation, events, signals, transforms
 from pulsegrid.plans import experiment, requests
-from pulsegrid.plans.queries import _BAND, _LOW, _ROLES, _Z, _dwt_levels, _resample_sql
+from pulsegrid.plans.queries import _BAND, _LOW, _ROLES, _Z, _dwt_levels, _leads, _resample_sql
 from pulsegrid.plans.registry import ORACLES, long_of, query, r6, values
 from pulsegrid.plans.views import RATE_HZ, ann_user, duck, read, sig_embed, sig_embed_long
-from pulsegrid.sources import checks, dataset, documents, edf, files, synthetic, wfdb
+from pulsegrid.sources import checks, documents, edf, files, synthetic, wfdb
 
 # --- whole-signal transforms, with derived ids and provenance ---------------------------------------------------------
 
@@ -301,12 +301,12 @@ def edf_subjects(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", edf.subject_column(patient, F.concat(F.lit("r"), F.col("p_partkey").cast("string"))).alias("subject_id"), edf.out_of_range_column(F.array("p_size", F.lit(0)), F.lit(-10), F.lit(30)).alias("beyond"))
 
 
-@query(ORACLES["synthetic_record"].replace(" adc, round", " adc_, round").replace("SELECT 'sync' AS record_id, channel_index, channel_name, i, floor", "SELECT 'sync' AS record_id, channel_index, channel_name, i, 'synthetic' AS dataset_id, floor").replace(" adc_, round", " adc, round"))
+@query(ORACLES["synthetic_record"].replace("SELECT record_id, channel_index, channel_name, i::BIGINT AS i, floor", "SELECT record_id, channel_index, channel_name, 'synthetic' AS dataset_id, rate AS sample_rate_hz, i::BIGINT AS i, floor"))
 def default_records(spark, sf_dir):
-    """The default dataset's channel rows, calibrated again."""
-    rows = dataset.default_records(spark).withColumn("mv", timeaxis.samples_to_millivolt(F.col("samples"), F.col("gain"), F.col("baseline")))
-    out = rows.select("record_id", "channel_index", "channel_name", "dataset_id", F.posexplode(F.arrays_zip("samples", "mv")).alias("i", "p"))
-    return out.select("record_id", "channel_index", "channel_name", "dataset_id", F.col("i").cast("long").alias("i"), F.col("p.samples").cast("int").alias("adc"), r6("p.mv").alias("mv"))
+    """The synthetic records as channel rows of a dataset, calibrated again."""
+    rows = synthetic.synthetic_channels(_leads(spark, sf_dir)).withColumn("mv", timeaxis.samples_to_millivolt(F.col("samples"), F.col("gain"), F.col("baseline")))
+    out = rows.select("record_id", "channel_index", "channel_name", "dataset_id", "sample_rate_hz", F.posexplode(F.arrays_zip("samples", "mv")).alias("i", "p"))
+    return out.select("record_id", "channel_index", "channel_name", "dataset_id", "sample_rate_hz", F.col("i").cast("long").alias("i"), F.col("p.samples").cast("int").alias("adc"), r6("p.mv").alias("mv"))
 
 
 # --- validation ---------------------------------------------------------------------------------------------------------
@@ -647,29 +647,35 @@ def inference_requests(spark, sf_dir):
 
 
 def _recipes_sql() -> str:
-    """The seven recipes by their formulas; the noise's uniform numbers are a function of their place in the sequence."""
-    word, pi = "4294967296::HUGEINT", "pi()"
-    bumps = " + ".join(f"CASE WHEN abs(i - (b * 360 + {at} * 360.0::DOUBLE)) <= {synthetic.SPREAD} * {sd} * 360.0::DOUBLE THEN {share}::DOUBLE * exp(-0.5 * ((i - (b * 360 + {at} * 360.0::DOUBLE)) / ({sd} * 360.0::DOUBLE)) ** 2) ELSE 0 END" for at, sd, share in synthetic.BEAT)
-    sweep = "(19.5::DOUBLE / (3599 / 360.0::DOUBLE))"
-    return f"""WITH u0 AS (SELECT k, (20260903::HUGEINT + k::HUGEINT * 1831565813) % {word} AS s FROM range(1, 2049) AS t(k)),
-u1 AS (SELECT k, (xor(s, s >> 15) * (s | 1)) % {word} AS t FROM u0),
-u2 AS (SELECT k, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % {word}) % {word}) AS t FROM u1),
-u AS (SELECT k, (xor(t, t >> 14) % {word})::DOUBLE / 4294967296.0::DOUBLE AS u FROM u2),
-g AS (SELECT a.k // 2 AS j, sqrt(-2 * ln(a.u)) AS r, 2 * {pi} * b.u AS w FROM u a JOIN u b ON b.k = a.k + 1 WHERE a.k % 2 = 1),
-n AS (SELECT 2 * j AS i, 0.05::DOUBLE * r * cos(w) AS x FROM g UNION ALL SELECT 2 * j + 1, 0.05::DOUBLE * r * sin(w) FROM g),
-b AS (SELECT i, sum({bumps}) AS x FROM range(0, 2160) AS t(i), range(0, 6) AS o(b) GROUP BY i),
-r AS (SELECT 'impulse-1' AS id, i, CASE WHEN i = 5 THEN 1.0 ELSE 0.0 END AS x FROM range(0, 720) AS t(i)
-UNION ALL SELECT 'constant-1', i, 0.5 FROM range(0, 360) AS t(i)
-UNION ALL SELECT 'sine-1', i, sin(2 * {pi} * i / 360.0::DOUBLE) FROM range(0, 3600) AS t(i)
-UNION ALL SELECT 'multi-frequency-1', i, sin(2 * {pi} * i / 360.0::DOUBLE) + 0.5 * sin(6 * {pi} * i / 360.0::DOUBLE) + 0.25 * sin(10 * {pi} * i / 360.0::DOUBLE) FROM range(0, 3600) AS t(i)
-UNION ALL SELECT 'chirp-1', i, sin(2 * {pi} * (0.5 * i / 360.0::DOUBLE + 0.5 * {sweep} * (i / 360.0::DOUBLE) * (i / 360.0::DOUBLE))) FROM range(0, 3600) AS t(i)
-UNION ALL SELECT 'noise-1', i, x FROM n UNION ALL SELECT 'synthetic-ecg-1', i, x FROM b)
-SELECT id, i::BIGINT AS i, round(x, 6) + 0.0 AS x FROM r"""
+    """The seven kinds by their formulas; the noise's uniform numbers are a function of seed and place in the sequence."""
+    word, t = "4294967296::HUGEINT", "(i / 360.0::DOUBLE)"
+    bumps = " + ".join(f"CASE WHEN abs(i - (b * gap + {at} * 360.0::DOUBLE)) <= {synthetic.SPREAD} * {sd} * 360.0::DOUBLE THEN {share}::DOUBLE * exp(-0.5 * ((i - (b * gap + {at} * 360.0::DOUBLE)) / ({sd} * 360.0::DOUBLE)) ** 2) ELSE 0 END" for at, sd, share in synthetic.BEAT)
+    return f"""WITH p AS (SELECT p_partkey, p_size::DOUBLE AS z, p_size, p_retailprice, p_partkey % 7 AS kind, 40 + p_size AS n FROM part),
+s AS (SELECT *, unnest(range(0, n)) AS i FROM p),
+u0 AS (SELECT p_partkey, k, (p_partkey::HUGEINT + k::HUGEINT * 1831565813) % {word} AS s FROM (SELECT *, unnest(range(1, n + 2)) AS k FROM p WHERE kind = 5)),
+u1 AS (SELECT p_partkey, k, (xor(s, s >> 15) * (s | 1)) % {word} AS t FROM u0),
+u2 AS (SELECT p_partkey, k, xor(t, (t + (xor(t, t >> 7) * (t | 61)) % {word}) % {word}) AS t FROM u1),
+u AS (SELECT p_partkey, k, (xor(t, t >> 14) % {word})::DOUBLE / 4294967296.0::DOUBLE AS u FROM u2),
+g AS (SELECT a.p_partkey, a.k // 2 AS j, sqrt(-2 * ln(a.u)) AS r, 2 * pi() * b.u AS w FROM u a JOIN u b ON b.p_partkey = a.p_partkey AND b.k = a.k + 1 WHERE a.k % 2 = 1),
+n AS (SELECT p_partkey, 2 * j AS i, r * cos(w) AS x FROM g UNION ALL SELECT p_partkey, 2 * j + 1, r * sin(w) FROM g),
+e AS (SELECT p_partkey, i, sum({bumps}) AS x FROM (SELECT *, floor(21600 / (300 + z * 20) + 0.5) AS gap, unnest(range(0, 8)) AS b FROM s WHERE kind = 6) WHERE b * gap < n GROUP BY p_partkey, i)
+SELECT s.p_partkey, s.i::BIGINT AS i, round(CASE kind WHEN 0 THEN CASE WHEN s.i = p_size % 40 THEN p_retailprice / 1000 ELSE 0 END WHEN 1 THEN z / 10
+  WHEN 2 THEN 0.25 + 0.5 * sin(2 * pi() * z * {t.replace('i', 's.i')} + z / 7) WHEN 3 THEN sin(2 * pi() * z * {t.replace('i', 's.i')}) + z / 50 * sin(2 * pi() * 3 * z * {t.replace('i', 's.i')})
+  WHEN 4 THEN sin(2 * pi() * (0.5 * {t.replace('i', 's.i')} + 0.5 * ((z - 0.5) / ((n - 1) / 360.0::DOUBLE)) * {t.replace('i', 's.i')} * {t.replace('i', 's.i')}))
+  WHEN 5 THEN z / 100 * n.x ELSE e.x END, 6) + 0.0 AS x FROM s LEFT JOIN n ON n.p_partkey = s.p_partkey AND n.i = s.i LEFT JOIN e ON e.p_partkey = s.p_partkey AND e.i = s.i"""
 
 
 @query(_recipes_sql())
 def noise_recipe(spark, sf_dir):
-    """The canonical signals, the seeded noise among them."""
-    rows = synthetic.canonical_signals(spark).select("id", F.posexplode("data").alias("i", "x"))
-    return rows.select("id", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
-
+    """A signal for each part, of the kind that its key chooses, with lengths, amplitudes, frequencies and seeds of its columns."""
+    key, z = F.col("p_partkey"), F.col("p_size").cast("double")
+    kinds = ("impulse", "constant", "sine", "multi-frequency", "chirp", "noise", "synthetic-ecg")
+    of = lambda *which: key.isNotNull() & (key % 7).isin(*which)
+    fields = {
+        "kind": F.get(F.array(*map(F.lit, kinds)), (key % 7).cast("int")), "length": (F.col("p_size") + 40).cast("int"),
+        "amplitude": F.when(of(0), F.col("p_retailprice") / 1000).when(of(2), 0.5).otherwise(1.0), "at_index": F.when(of(0), (F.col("p_size") % 40).cast("int")),
+        "offset": F.when(of(1), z / 10).when(of(2), 0.25).otherwise(0.0), "frequency_hz": z, "phase_rad": z / 7, "amplitudes": F.array(F.lit(1.0), z / 50), "frequencies_hz": F.array(z, 3 * z),
+        "f0_hz": F.lit(0.5), "f1_hz": z, "std": z / 100, "seed": key, "heart_rate_bpm": 300 + z * 20,
+    }
+    rows = read(spark, sf_dir, "part").select("p_partkey", synthetic.generated(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("data"))
+    return rows.select("p_partkey", F.posexplode("data").alias("i", "x")).select("p_partkey", F.col("i").cast("long").alias("i"), r6("x").alias("x"))

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.errors import SignalError
-from pulsegrid.functions.kernels import wavelet
-from pulsegrid.functions.timeaxis import round_half_up
+from pulsegrid.functions.kernels import flat_lists, wavelet
+from pulsegrid.functions.timeaxis import Num, col, round_half_up
 
 #: The default record.
 DATASET, RATE_HZ, SAMPLES, GAIN, BASELINE = "synthetic", 360.0, 3600, 200.0, 1024.0
@@ -21,9 +22,30 @@ BEAT = ((-0.26, 0.026, 0.12), (-0.055, 0.01, -0.12), (0.0, 0.013, 1.0), (0.045,
 SPREAD = 5
 
 
-def lead_millivolt(t: Column, hz: float, amplitude: float = 1.0, phase: float = 0.0) -> Column:
-    base = 2 * math.pi * hz
-    return F.lit(amplitude) * (0.6 * F.sin(base * t + phase) + 0.4 * 0.5 * F.sin(2 * base * t + 2 * phase))
+def lead_millivolt(t: Column, hz: Num, amplitude: Num = 1.0, phase: Num = 0.0) -> Column:
+    base = 2 * math.pi * col(hz)
+    return col(amplitude) * (0.6 * F.sin(base * t + phase) + 0.4 * 0.5 * F.sin(2 * base * t + 2 * phase))
+
+
+def synthetic_records(specs: DataFrame) -> DataFrame:
+    """Long form (record_id, channel_index, channel_name, i, adc, mv) of specs, a row for each lead: record_id, channel_index, channel_name, n,
+    rate_hz, frequency_hz, amplitude, phase, gain and baseline. Samples, a rate or a gain that aren't above zero are refused."""
+    c = F.col
+    wrong = (c("n") <= 0) | (c("rate_hz") <= 0) | (c("gain") <= 0)
+    refused = F.raise_error(F.lit("[invalid-input] a synthetic record needs samples, a rate and a gain above zero")).cast("long")
+    last = F.when(F.coalesce(wrong, F.lit(True)), refused).otherwise(c("n").cast("long") - 1)
+    rows = specs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    mv = lead_millivolt(c("i") / c("rate_hz"), c("frequency_hz"), c("amplitude"), c("phase"))
+    rows = rows.withColumn("adc", round_half_up(mv * c("gain") + c("baseline")).cast("int"))
+    return rows.select("record_id", "channel_index", "channel_name", "i", "adc", ((c("adc") - c("baseline")) / c("gain")).alias("mv"))
+
+
+def synthetic_channels(specs: DataFrame) -> DataFrame:
+    """Channel rows (array form) of specs, as the readers of recordings give them."""
+    keys = ["record_id", "channel_index", "channel_name"]
+    samples = F.transform(F.sort_array(F.collect_list(F.struct("i", "adc"))), lambda s: s["adc"].cast("short"))
+    rows = synthetic_records(specs).groupBy(*keys).agg(samples.alias("samples")).join(specs.select(*keys, "rate_hz", "gain", "baseline"), keys)
+    return rows.select(F.lit(DATASET).alias("dataset_id"), "record_id", F.col("record_id").alias("subject_id"), "channel_index", "channel_name", F.lit("mV").alias("unit"), F.col("rate_hz").alias("sample_rate_hz"), F.lit(0.0).alias("start_time_sec"), "gain", "baseline", "samples")
 
 
 def synthetic_record(spark: SparkSession, record: str = "sync", leads=LEADS, n: int = SAMPLES, rate_hz: float = RATE_HZ, gain: float = GAIN, baseline: float = BASELINE) -> DataFrame:
@@ -142,6 +164,17 @@ def generate(recipe: dict) -> np.ndarray:
     raise SignalError("invalid-input", f"unknown recipe kind {kind!r}")
 
 
+def generated(recipe: Column) -> Column:
+    """array<double> of the recipe in each row, a struct with the fields that `generate` takes; those that are null are not given."""
+
+    @F.arrow_udf("array<double>")
+    def run(recipes: pa.Array) -> pa.Array:
+        given = lambda r: {k: v for k, v in r.items() if v is not None}
+        return flat_lists([None if r is None else generate(given(r)) for r in recipes.to_pylist()])
+
+    return run(recipe)
+
+
 #: The canonical recipes, by id.
 RECIPES = {
     "impulse-1": {"kind": "impulse", "length": 720, "amplitude": 1.0, "at_index": 5},
