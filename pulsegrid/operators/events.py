@@ -66,9 +66,11 @@ def markers(events: DataFrame, keys: list[str], start_sec: Num, duration: Num, r
 
 def marker_summary(events: DataFrame, keys: list[str], start_sec: Num, duration: Num, rate_hz: Num, record_start: Num, n: Num, columns: int) -> DataFrame:
     """(keys, visible, merged, symbols): the counts and the distinct symbols of a view, sorted."""
-    made = markers(events, keys, start_sec, duration, rate_hz, record_start, n, columns).groupBy(*keys).agg(F.count(F.lit(1)).alias("_markers"))
-    seen = in_view(events, start_sec, duration, rate_hz, record_start, n).groupBy(*keys).agg(F.count(F.lit(1)).alias("visible"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
-    return seen.join(made, keys).select(*keys, "visible", (F.col("visible") - F.col("_markers")).alias("merged"), "symbols")
+    _positive(columns, "column count")
+    x = view_fraction(F.col("sample_index"), start_sec, duration, rate_hz, record_start)
+    seen = in_view(events, start_sec, duration, rate_hz, record_start, n).withColumn("_column", F.least(F.lit(columns - 1), F.floor(x * columns).cast("int")))
+    found = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("visible"), F.size(F.collect_set("_column")).alias("_markers"), F.sort_array(F.collect_set("symbol")).alias("symbols"))
+    return found.select(*keys, "visible", (F.col("visible") - F.col("_markers")).alias("merged"), "symbols")
 
 
 def event_list(events: DataFrame, keys: list[str], start_sec: Num, duration: Num, rate_hz: Num, record_start: Num, n: Num, limit: int = LIST_LIMIT) -> DataFrame:

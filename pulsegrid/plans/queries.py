@@ -492,8 +492,6 @@ def fnv1a_ascii(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", naming.fnv1a_column(F.col("p_name")).alias("hash"))
 
 
-
-
 #: A record of two leads for each supplier: its nation gives rate and length, its balance the amplitude.
 _LEADS = """l AS (SELECT 's' || s_suppkey AS record_id, c AS channel_index, 'lead-' || c AS channel_name, 100 + s_nationkey AS n, 120.0::DOUBLE + s_nationkey AS rate, 1.0::DOUBLE + c / 5.0::DOUBLE AS hz, s_acctbal / 10000 AS amplitude, s_nationkey / 4.0::DOUBLE AS phase
   FROM (SELECT *, unnest([0, 1]) AS c FROM supplier)), s AS (SELECT *, unnest(range(0, n)) AS i FROM l),

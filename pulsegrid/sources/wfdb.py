@@ -305,14 +305,19 @@ def read_events(files: DataFrame, enabled: bool = True) -> DataFrame:
     """EVENT_SCHEMA of all .atr files; not enabled: no rows, and no file is read."""
     atr = files.where(F.lower("name").endswith(".atr") & F.lit(enabled)).select(F.regexp_replace("name", r"(?i)\.atr$", "").alias("record_id"), "content")
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r, i, e["sample_index"], e["code"], e["symbol"], e["aux_note"]) for r, data in zip(batch["record_id"], batch["content"], strict=True) for i, e in enumerate(parse_annotations(bytes(data))[0])]
-            yield pd.DataFrame(rows, columns=["record_id", "ordinal", "sample_index", "code", "symbol", "aux_note"])
+            for record, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield event_batch(record, parse_annotations(data.as_buffer().to_pybytes())[0])
+
+    return atr.mapInArrow(run, EVENT_SCHEMA)
+
 
-    return atr.mapInPandas(run, EVENT_SCHEMA)
+def event_batch(record: str, events: list[dict]) -> pa.RecordBatch:
+    """The events of a record as a batch of EVENT_SCHEMA."""
+    types = {"sample_index": pa.int64(), "code": pa.int32(), "symbol": pa.string(), "aux_note": pa.string()}
+    columns = [pa.array([e[n] for e in events], t) for n, t in types.items()]
+    return pa.RecordBatch.from_arrays([pa.array([record] * len(events), pa.string()), pa.array(range(len(events)), pa.int32()), *columns], names=["record_id", "ordinal", *types])
 
 
 def catalogue(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -382,8 +387,7 @@ class _Reader(DataSourceReader):
                 data = read_bytes(self.folder, f"{record}.atr")
             except SignalError:
                 return
-            for i, e in enumerate(parse_annotations(data)[0]):
-                yield (record, i, e["sample_index"], e["code"], e["symbol"], e["aux_note"])
+            yield event_batch(record, parse_annotations(data)[0])
             return
         header = parse_header(read_bytes(self.folder, f"{record}.hea").decode("utf-8", "replace"))
         yield channel_batch(decode_record(record, header, lambda name: read_bytes(self.folder, name)))
