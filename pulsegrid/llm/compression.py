@@ -15,8 +15,6 @@ from pulsegrid.llm.common import encode
 
 #: Labelled rows that are fitted on, of each class at most: a random sample by a hash of doc_id.
 ROWS_PER_CLASS = 1500
-#: A sampled text gives a dictionary all its bytes, or SLICES slices of SLICE bytes at even steps through the whole text where it is longer.
-SLICES, SLICE = 64, 256
 #: Bytes of a dictionary, of a block (each is compressed alone, so that long texts meet the dictionaries as short ones do), and the level.
 DICT_BYTES, BLOCK, LEVEL = 65_536, 1024, 3
 
@@ -74,18 +72,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, counts: dict[int, int], ridge: float
     return float(w[0] / scale), float(w[1])
 
 
-def slices(text: str | None) -> bytes:
-    """The whole text, or even slices from all over it."""
-    data = encode(text)
-    if len(data) <= SLICES * SLICE:
-        return data
-    return b"".join(data[s : s + SLICE] for s in np.linspace(0, len(data) - SLICE, SLICES).astype(int).tolist())
-
-
 def dictionary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; of samples too few or too small to train on, their last bytes as they are."""
+    """A dictionary trained on all blocks of the samples, as they are compressed later; of samples too few or too small to train on,
+    their last bytes as they are."""
+    blocks = [x[i : i + BLOCK] for x in samples for i in range(0, len(x), BLOCK)]
     try:
-        return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICT_BYTES, blocks, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b"\n".join(samples)[-DICT_BYTES:].rjust(16)
 
@@ -104,8 +96,8 @@ def _of_text(texts: DataFrame, make, kind: str, arrow: pa.DataType):
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> CompressionModel:
     """Fits on docs (doc_id, text) of labels (doc_id, label 0 or 1): three of four sampled rows train the dictionaries, the fourth calibrates.
 
-    At most `rows` rows of each class are chosen by a hash of doc_id (of repeated ids, the least text counts). Of those
-    that train, SLICES * SLICE bytes at most come to the driver; of the others, whose whole texts are measured, a number.
+    At most `rows` rows of each class are chosen by a hash of doc_id (of repeated ids, the least text counts). The whole texts
+    of those that train come to the driver; of the others, whose whole texts are measured, a number.
     With a class missing, the score is the share of the other; rows with another or null label are left out.
     """
     counts = {r[0]: r[1] for r in labels.where("label IN (0, 1)").groupBy("label").count().collect()}
@@ -113,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS_PER_CLASS) -> Compr
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * rows ids
     texts = docs.select("doc_id", "text").join(chosen, "doc_id").where("octet_length(text) > 0").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     trains = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(4)) > 0
-    got = sorted((r.label, bytes(r.x)) for r in _of_text(texts.where(trains), lambda: slices, "binary", pa.binary()))
+    got = sorted((r.label, bytes(r.x)) for r in _of_text(texts.where(trains), lambda: encode, "binary", pa.binary()))
     good, bad = ([x for label, x in got if label == k] for k in (1, 0))
     sure = 4.0 if counts.get(1, 0) >= counts.get(0, 0) else -4.0
     if not (good and bad):

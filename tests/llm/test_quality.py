@@ -97,10 +97,17 @@ def test_compression_query_against_plain_sizes(spark):
     assert model.slope > 0
 
 
-def test_slices_are_from_all_over_a_text():
-    text = "".join(chr(97 + i // 4000) for i in range(100_000))
-    got = compression.slices(text)
-    assert len(got) == compression.SLICES * compression.SLICE and set(got.decode()) == set(text) and compression.slices("ab") == b"ab" and compression.slices(None) == b""
+def test_dictionaries_take_whole_texts(monkeypatch):
+    seen = []
+
+    class Trained:
+        def as_bytes(self):
+            return b"trained"
+
+    monkeypatch.setattr(compression.zstandard, "train_dictionary", lambda size, blocks, level: seen.extend(blocks) or Trained())
+    texts = [bytes(97 + i // 40_000 for i in range(1_000_000)), b"short", b""]
+    assert compression.dictionary(texts) == b"trained"
+    assert b"".join(seen) == b"".join(texts) and max(map(len, seen)) <= compression.BLOCK
 
 
 def test_held_out_rows_are_not_learned_from(spark):
