@@ -21,10 +21,13 @@ WINDOW = 35
 DEPTH, LEAST_LOG = 2, 20
 #: Counters of a shard, the unit that is merged (a byte a counter in the merging task).
 SHARD_LOG = 24
-#: Bytes of text in a bucket, about: what a task holds at once, with 16 bytes a window beside it. Buckets and shards meet in
-#: blobs, which get short where there are many of both; raise this with the executors' memory beyond a few terabytes of text.
+#: Bytes of text in a bucket, about: what a task holds at once, with 16 bytes a window beside it.
 BUCKET_BYTES = 8 << 20
+#: Bits by which one exchange cuts the sketch, and counters meet shards: beyond 2**FAN_LOG shards, 2**FAN_LOG buckets are added up
+#: before they are cut again, so that an exchange has 2**FAN_LOG blobs at most for each bucket of texts and row of the sketch.
+FAN_LOG = 8
 
+_BUCKETS = "spark.sql.sources.bucketing.maxBuckets"
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
@@ -65,14 +68,15 @@ class Windows:
 
 
 def _pack(counters: np.ndarray) -> bytes:
-    """Sorted counters of a shard as the byte planes of their gaps."""
-    gaps = np.diff(counters, prepend=np.uint64(0)).astype("<u4")
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes())
+    """Sorted counters of a part of the sketch: the bytes of a number, then the byte planes of their gaps."""
+    width = 4 if not counters.size or int(counters[-1]) >> 32 == 0 else 8
+    gaps = np.diff(counters, prepend=np.uint64(0)).astype(f"<u{width}")
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+    width, planes = blob[0], np.frombuffer(zstandard.ZstdDecompressor().decompress(memoryview(blob)[1:]), np.uint8)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(width, -1).T).view(f"<u{width}").ravel(), dtype=f"u{width}")
 
 
 def _first_of(s: np.ndarray) -> np.ndarray:
@@ -81,6 +85,17 @@ def _first_of(s: np.ndarray) -> np.ndarray:
     return first
 
 
+def _cut_up(counters: np.ndarray, log: int) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of sorted counters by parts of 2**log, each counter at most twice."""
+    keep = np.ones(counters.size, bool)
+    keep[2:] = counters[2:] != counters[:-2]
+    s = counters[keep]
+    part = s >> np.uint64(log)
+    at = np.flatnonzero(_first_of(part))
+    for k, own in zip(part[at].tolist(), np.split(s & np.uint64((1 << log) - 1), at[1:]), strict=False):
+        yield k, _pack(own)
+
+
 class Bucket:
     """The windows of all texts of a bucket, one text after the other: what each pass over it starts from."""
 
@@ -100,14 +115,8 @@ class Bucket:
     def partial(self, shard_log: int) -> Iterator[tuple[int, int, bytes]]:
         """(row, shard, blob): the counters that the bucket has touched, each at most twice."""
         for row in range(DEPTH):
-            s = np.sort(self.counters(row))
-            keep = np.ones(s.size, bool)
-            keep[2:] = s[2:] != s[:-2]
-            s = s[keep]
-            shard = s >> np.uint64(shard_log)
-            at = np.flatnonzero(_first_of(shard))
-            for k, part in zip(shard[at].tolist(), np.split(s & np.uint64((1 << shard_log) - 1), at[1:]), strict=False):
-                yield row, k, _pack(part)
+            for shard, blob in _cut_up(np.sort(self.counters(row)), shard_log):
+                yield row, shard, blob
 
     def repeated(self, answers: dict[int, list[tuple[int, bytes]]]) -> np.ndarray:
         """Which windows have counters that were touched twice or more in every row, by the merged shards' answers."""
@@ -148,6 +157,59 @@ def _merge(log: int):
     return run
 
 
+def _added(span: int, log: int):
+    """Of a part of 2**span counters: adds up the blobs of some buckets, one bucket from here on, and cuts the sum into parts of 2**log."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket, row, part = (k.as_py() for k in key)
+        cut = list(_cut_up(np.sort(np.concatenate([_unpack(b.as_py()).astype(np.uint64) for b in table["blob"]])), log))
+        shards = [(part << (span - log)) + k for k, _ in cut]
+        return pa.table({"bucket": pa.array([bucket] * len(cut), pa.int32()), "row": pa.array([row] * len(cut), pa.int32()), "shard": pa.array(shards, pa.int64()), "blob": pa.array([b for _, b in cut], pa.binary())})
+
+    return run
+
+
+def _passed_on(span: int, log: int):
+    """What the sum of _added was answered, for each of the buckets that are in it."""
+
+    def run(key: tuple, blobs: pa.Table, answers: pa.Table) -> pa.Table:
+        own = [x[_first_of(x)] for x in (_unpack(b.as_py()).astype(np.uint64) for b in blobs["blob"])]
+        distinct = np.unique(np.concatenate(own)) if own else np.empty(0, np.uint64)
+        twice, mask = np.zeros(distinct.size, bool), (1 << (span - log)) - 1
+        for shard, packed in zip(answers["shard"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+            a, e = np.searchsorted(distinct, np.array([shard & mask, (shard & mask) + 1], np.uint64) << np.uint64(log))
+            twice[a:e] = np.unpackbits(np.frombuffer(packed, np.uint8), count=e - a, bitorder="little")
+        bits = [np.packbits(twice[np.searchsorted(distinct, x)], bitorder="little").tobytes() for x in own]
+        return pa.table({"bucket": blobs["bucket"], "row": blobs["row"], "shard": blobs["shard"], "bits": pa.array(bits, pa.binary())})
+
+    return run
+
+
+def spans(log: int, shard_log: int, fan_log: int = FAN_LOG) -> list[int]:
+    """Sizes (as powers of two) of the parts that a sketch of 2**log counters is cut into, one exchange after the other, down to shards."""
+    return [max(shard_log, log - fan_log * i) for i in range(1, max(1, -(-(log - shard_log) // fan_log)) + 1)]
+
+
+def answered(parts: DataFrame, sizes: list[int], fan_log: int = FAN_LOG) -> DataFrame:
+    """(bucket, row, shard, bits) for each of parts (bucket, row, shard, blob): a bit for each distinct counter of the blob, touched twice or more in all?
+
+    Parts are of 2**sizes[0] counters. Where those aren't shards yet, 2**fan_log buckets are added up first and cut into smaller parts, and
+    the answers to the sum are dealt to its buckets: an exchange has 2**fan_log times as many parts as the one before, but as many fewer
+    buckets, so that its blobs grow with the text and not with its square, and a shard merges few blobs at any size.
+    """
+    schema = "bucket int, row int, shard long, bits binary"
+    if len(sizes) == 1:
+        return parts.groupBy("row", "shard").applyInArrow(_merge(sizes[0]), schema)
+    span, log = sizes[:2]
+    parts = materialise(parts, "parts")
+    whose = [F.shiftright("bucket", fan_log).alias("owner"), F.col("row").alias("owner_row"), F.col("shard").alias("part")]
+    groups = parts.select("*", *whose).groupBy("owner", "owner_row", "part")
+    sums = groups.applyInArrow(_added(span, log), "bucket int, row int, shard long, blob binary")
+    got = materialise(answered(sums, sizes[1:], fan_log), "answers")
+    of_sums = got.select("*", F.col("bucket").alias("owner"), F.col("row").alias("owner_row"), F.shiftright("shard", span - log).alias("part"))
+    return groups.cogroup(of_sums.groupBy("owner", "owner_row", "part")).applyInArrow(_passed_on(span, log), schema)
+
+
 def _partials(window: int, log: int, shard_log: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         rows = list(Bucket(table["text"], window, log).partial(shard_log))
@@ -204,19 +266,22 @@ def deal_out(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFra
     """(bucket, doc_id and text of docs as a table of buckets in the shared folder; bytes of all texts).
 
     The passes that follow read a bucket as one task's group, without another shuffle of the texts. Rows are
-    dealt by their place, so that no id or text can crowd a bucket.
+    dealt by their place, so that no id or text can crowd a bucket. The catalogue keeps no entry of the table.
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    n = min(most, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes)))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    if n > int(spark.conf.get(_BUCKETS)):
+        spark.conf.set(_BUCKETS, str(n))
     rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("bucket"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     name, path = f"pulsegrid_buckets_{uuid.uuid4().hex}", shared_dir(spark, "buckets")
     rows.repartition(n, "bucket").write.option("path", path).option("compression", "zstd").bucketBy(n, "bucket").saveAsTable(name)
-    return spark.table(name), size
+    dealt = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay in the shared folder, and dealt reads them
+    return dealt, size
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, shard_log: int = SHARD_LOG) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool = True, bucket_bytes: int = BUCKET_BYTES, shard_log: int = SHARD_LOG, fan_log: int = FAN_LOG) -> DataFrame:
     """doc_id, n_words, n_removed and kept of every row of docs (doc_id, text); kept: the words left, joined by a space, or their SHA-256.
 
     A word goes if a window of `window` words that covers it has the words of another window, of
@@ -231,10 +296,10 @@ def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, texts: bool =
     """
     dealt, size = deal_out(docs, bucket_bytes)
     log = max(LEAST_LOG, int(size).bit_length())
-    shard_log = min(shard_log, log)
-    groups, schema = dealt.groupBy("bucket"), "bucket int, row int, shard long, bits binary"
+    sizes = spans(log, min(shard_log, log), fan_log)
+    groups, shard_log = dealt.groupBy("bucket"), sizes[0]
     parts = groups.applyInArrow(_partials(window, log, shard_log), "bucket int, row int, shard long, blob binary")
-    answers = materialise(parts.groupBy("row", "shard").applyInArrow(_merge(shard_log), schema), "answers")
+    answers = materialise(answered(parts, sizes, fan_log), "answers")
     found = groups.cogroup(answers.groupBy("bucket")).applyInArrow(_candidates(window, log, shard_log), "h1 long, h2 long, place long")
     once = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("place").alias("place")).where("n = 1")  # of a window that is there once, its place
     once = once.select(F.expr("cast(shiftright(place, 32) as int)").alias("bucket"), F.lit(-1).alias("row"), F.expr("place & 4294967295").alias("shard"), F.lit(None).cast("binary").alias("bits"))

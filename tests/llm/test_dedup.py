@@ -53,13 +53,53 @@ def test_empty_substrings(empty):
     assert substrings.remove_repeated_windows(empty).count() == 0
 
 
-def test_many_buckets_and_shards_of_a_small_sketch(spark, odd, odd_rows, monkeypatch):
-    """Small shards and buckets, so that windows of all buckets meet in all shards, and a sketch so small that it rules little out."""
+@pytest.mark.parametrize("fan_log", [8, 3])
+def test_many_buckets_and_shards_of_a_small_sketch(spark, odd, odd_rows, monkeypatch, fan_log):
+    """Small shards and buckets, so that windows of all buckets meet in all shards, by one exchange or by several, and a sketch so small
+    that it rules little out."""
     monkeypatch.setattr(substrings, "LEAST_LOG", 8)
-    got = [tuple(r) for r in substrings.remove_repeated_windows(odd, 5, texts=False, bucket_bytes=20_000, shard_log=12).collect()]
+    got = [tuple(r) for r in substrings.remove_repeated_windows(odd, 5, texts=False, bucket_bytes=20_000, shard_log=12, fan_log=fan_log).collect()]
     assert sorted(got, key=str) == brute_cut(odd_rows, 5)
 
 
+def test_exchanges_grow_with_the_text(spark, monkeypatch):
+    """Blobs of each exchange, at two sizes: by how often buckets were added up, at most as many as the buckets left times the parts, never buckets times shards."""
+    monkeypatch.setattr(substrings, "LEAST_LOG", 8)
+    fan_log, shard_log, of_bucket, write = 2, 12, 5_000, substrings.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "parts":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(substrings, "materialise", counted)
+    for size in (32, 128):
+        made = []
+        rows = [(k, " ".join(f"{k}.{i}" for i in range(700))) for k in range(size)]
+        rows[size // 2] = (size // 2, f"{rows[1][1]} end")
+        got = {r.doc_id: r.n_removed for r in substrings.remove_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), 5, False, of_bucket, shard_log, fan_log).collect()}
+        assert {k for k, n in got.items() if n} == {1, size // 2} and got[1] == 700
+        size_of_all = sum(len(x) for _, x in rows)
+        buckets, bits = -(-size_of_all // of_bucket), size_of_all.bit_length() - shard_log
+        assert len(made) == -(-bits // fan_log) - 1 >= 2
+        for level, n in enumerate(made):
+            assert 0 < n <= substrings.DEPTH * -(-buckets // 2 ** (fan_log * level)) * 2 ** (fan_log * (level + 1))
+        assert max(made) < substrings.DEPTH * buckets * 2**bits / 4
+
+
+def test_no_tables_stay_in_the_catalogue(spark, odd):
+    before = {t.name for t in spark.catalog.listTables()}
+    substrings.remove_repeated_windows(odd, 5, texts=False).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_spans_of_exchanges():
+    assert substrings.spans(20, 20) == [20] and substrings.spans(30, 24) == [24] and substrings.spans(33, 24) == [25, 24] and substrings.spans(48, 24) == [40, 32, 24]
+    some = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 5000).astype(np.uint64))
+    assert (substrings._unpack(substrings._pack(some)) == some).all() and not substrings._unpack(substrings._pack(some[:0])).size
+
+
 def test_sketch_never_underestimates():
     """Merged answers against plain counts: no repeated window is ruled out, and few others stay."""
     import pyarrow as pa
