@@ -13,12 +13,13 @@ SLOTS = 256
 #: Ids are below this.
 MOST_ID = 1 << 16
 
-# The probability of an id mixes three predictions: the id that lately followed the last two ids, the id
-# that lately followed the last one, and its order-0 frequency. How much of 2**MIX_BITS the first two get is
-# learned, in each block anew, as averages that forget, for each pair of their slots' counts of successes
-# and whether they agree. Order-0 starts from the ids' counts in the whole run of blocks (a table that goes with
-# it), of 2**PRIOR_BITS in all; where the mixture learns that the contexts do better, they take its share.
-PRIOR_BITS, MIX_BITS = 18, 10
+# The probability of an id mixes three predictions: the id that lately followed the last two ids in the block, the id
+# that lately followed the last one, and the id's frequency in the whole run of blocks (tables that go with it), of
+# 2**PRIOR_BITS: its frequency after the last id, or its order-0 frequency where the last id has no table of its own, and
+# at a block's start. How much of 2**MIX_BITS the first two get is learned, in each block anew, as averages that forget, for each
+# pair of their slots' counts of successes and whether they agree; the frequencies have the rest. An id has a table of its
+# own if that saves more bits than its entries take, of ENTRY_BITS each, about.
+PRIOR_BITS, MIX_BITS, ENTRY_BITS = 18, 10, 12
 _FORGET, _GAIN = 5, 2016  # an average loses its 2**-_FORGET a step and gains _GAIN with a success: 63 * 1024 at most
 _HALF, _START = 1 << 32, 1 << 13
 _NONE = MOST_ID - 1  # the prediction of an empty slot; the id itself can still be coded as order-0
@@ -26,20 +27,75 @@ _U = np.uint64
 _WORD = _U(32)
 
 
-def prior_of(ids: np.ndarray) -> np.ndarray:
-    """Order-0 frequencies: of each id its share of 2**PRIOR_BITS, at least 1 where it occurs."""
-    counts = np.bincount(ids, minlength=MOST_ID)
-    used = counts > 0
-    spare = (1 << PRIOR_BITS) - int(used.sum())
-    return np.where(used, 1 + counts * spare // max(1, int(counts.sum())), 0).astype("<u4")
+def _shares(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each entry of the tables (runs of `lengths` entries) its share of 2**PRIOR_BITS by counts, at least 1."""
+    whole = np.repeat(np.add.reduceat(counts, np.cumsum(lengths) - lengths), lengths)
+    return 1 + counts * ((1 << PRIOR_BITS) - np.repeat(lengths, lengths)) // whole
+
+
+class Tables:
+    """Frequencies of a run of ids: table 0 of all ids, and one of what follows each of `after` (ascending); ids ascend in a table."""
+
+    def __init__(self, after: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+        self.after, self.lengths, self.ids, self.counts = (x.astype(np.int64) for x in (after, lengths, ids, counts))
+        shares = _shares(self.counts, self.lengths) if self.ids.size else self.counts
+        ends, self.first = np.cumsum(shares), np.cumsum(self.lengths) - self.lengths
+        table = np.repeat(np.arange(self.lengths.size), self.lengths)
+        start = ends - shares - (ends[self.first] - shares[self.first])[table] if self.ids.size else ends
+        self.places, self.start, self.size = (table << PRIOR_BITS) + start, start.astype(_U), shares.astype(_U)
+        self.table_of = np.zeros(MOST_ID, np.int64)
+        self.table_of[self.after] = np.arange(1, self.after.size + 1)
+
+    def to_bytes(self) -> bytes:
+        """Numbers of tables and entries (u32 each), byte planes of `after` and of lengths, of ids as gaps, and of counts (u32 each)."""
+        gaps = np.diff(self.ids, prepend=0)
+        gaps[self.first] = self.ids[self.first]
+        planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (self.after, self.lengths, gaps, self.counts)]
+        return np.array([self.lengths.size, self.ids.size], "<u4").tobytes() + b"".join(planes)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Tables:
+        tables, entries = np.frombuffer(data, "<u4", 2).tolist()
+        out, at = [], 8
+        for n in (max(0, tables - 1), tables, entries, entries):
+            out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            at += 4 * n
+        after, lengths, gaps, counts = out
+        sums = np.cumsum(gaps)
+        first = np.cumsum(lengths) - lengths
+        return cls(after, lengths, sums - np.repeat(sums[first] - gaps[first], lengths), counts)
+
+
+def tables_of(ids: np.ndarray, block: int) -> tuple[Tables, np.ndarray]:
+    """The tables of a run of ids, and the entry that each id has in them."""
+    if not ids.size:
+        none = np.empty(0, np.int64)
+        return Tables(none, none, none, none), none
+    ids = ids.astype(np.int64)
+    pairs = np.roll(ids, 1) * MOST_ID + ids
+    pairs[::block] = ids[::block] - MOST_ID  # nothing stands before them
+    pairs, of_pair, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+    before, own = pairs // MOST_ID, pairs % MOST_ID
+    all_counts = np.bincount(ids, minlength=MOST_ID)
+    used = np.flatnonzero(all_counts)
+    rare = np.zeros(MOST_ID)
+    rare[used] = np.log2(_shares(all_counts[used], np.array([used.size])))
+    at = np.flatnonzero(np.diff(before, prepend=-2))
+    lengths = np.diff(np.append(at, before.size))
+    gain = np.add.reduceat(counts * (np.log2(_shares(counts, lengths)) - rare[own]), at) - ENTRY_BITS * (lengths + 1)
+    keeps = (gain > 0) & (before[at] >= 0)
+    kept = np.repeat(keeps, lengths)
+    tables = Tables(before[at][keeps], np.append(used.size, lengths[keeps]), np.append(used, own[kept]), np.append(all_counts[used], counts[kept]))
+    entry = np.searchsorted(used, own)
+    entry[kept] = used.size + np.arange(int(kept.sum()))
+    return tables, entry[of_pair]
 
 
 class _Model:
     """The mixed prediction of `n` blocks; coder and decoder take it through the same states."""
 
-    def __init__(self, n: int, prior: np.ndarray):
-        self.size0 = prior.astype(_U)
-        self.start0 = np.cumsum(self.size0) - self.size0
+    def __init__(self, n: int, tables: Tables):
+        self.start0, self.size0 = tables.start, tables.size
         self.slot, self.context = np.arange(n) * SLOTS, np.arange(n) * 32
         self.order1, self.order2 = (np.full(n * SLOTS, _NONE << 2, np.int32) for _ in range(2))
         self.sure = np.full(n * 32, (_START << 32) + _START, np.int64)  # two averages: order 2, order 1 alone
@@ -50,7 +106,7 @@ class _Model:
         self.unit, self.top2, self.top, self.unit0, self.start, self.part = (np.empty(n, _U) for _ in range(6))
 
     def predict(self, size: np.ndarray) -> None:
-        """Of ranges of these sizes: the ends of order 2's and of both contexts' share, and what a unit of order-0 gets."""
+        """Of ranges of these sizes: the ends of order 2's and of both contexts' share, and what a unit of the tables' gets."""
         np.take(self.order1, self.at1, out=self.entry1, mode="clip")
         np.take(self.order2, self.at2, out=self.entry2, mode="clip")
         np.right_shift(self.entry1, 2, out=self.id1)
@@ -78,11 +134,11 @@ class _Model:
         np.multiply(self.unit, self.f2.view(_U), out=self.top2)
         np.multiply(self.unit, self.both.view(_U), out=self.top)
 
-    def interval(self, ids: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) of ids within the ranges; hit2: order 2 has it, hit1: either context has it."""
-        np.multiply(self.start0[ids], self.unit0, out=self.start)
+    def interval(self, entries: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, size) within the ranges of ids that have these entries; hit2: order 2 has it, hit1: either context has it."""
+        np.multiply(self.start0[entries], self.unit0, out=self.start)
         self.start += self.top
-        np.multiply(self.size0[ids], self.unit0, out=self.part)
+        np.multiply(self.size0[entries], self.unit0, out=self.part)
         self.top -= self.top2
         np.copyto(self.start, self.top2, where=hit1)
         np.copyto(self.part, self.top, where=hit1)
@@ -121,19 +177,19 @@ class _Model:
         self.before[:] = c
 
 
-def _encode_lanes(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
+def _encode_lanes(ids: np.ndarray, entries: np.ndarray, tables: Tables) -> list[bytes]:
     """A range coder of 64 bits that gives out 32 at a time; a carry goes into the words that are out."""
     n, steps = ids.shape
-    model, low, size = _Model(n, prior), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
+    model, low, size = _Model(n, tables), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
     out, used = np.zeros((n, steps + 4), "<u4"), np.zeros(n, np.int64)
     words, row = out.reshape(-1), np.arange(n) * (steps + 4)
-    columns = np.ascontiguousarray(ids.T).astype(np.int32)
+    columns, places = np.ascontiguousarray(ids.T).astype(np.int32), np.ascontiguousarray(entries.T)
     hit2, hit1 = np.empty(n, bool), np.empty(n, bool)
     for t in range(steps):
         model.predict(size)
         np.equal(model.id2, columns[t], out=hit2)
         np.equal(model.id1, columns[t], out=hit1)
-        start, part = model.interval(columns[t], hit1, hit2)
+        start, part = model.interval(places[t], hit1, hit2)
         low += start
         at = (row + used - 1)[low < start]
         while at.size:
@@ -155,16 +211,19 @@ def _encode_lanes(ids: np.ndarray, prior: np.ndarray) -> list[bytes]:
     return [out[k, : used[k]].tobytes() for k in range(n)]
 
 
-def _decode_lanes(blobs: list[bytes], steps: int, prior: np.ndarray) -> np.ndarray:
+def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.ndarray:
+    """A row of ids for each blob; ValueError where a blob has fewer words than its own ids are coded in."""
+    steps, ends = max(sizes), {}
+    for k, size in enumerate(sizes):
+        ends.setdefault(size - 1, []).append(k)
     n, longest = len(blobs), max(len(b) // 4 for b in blobs)
     own = np.zeros((n, longest + 2), "<u4")
     for k, b in enumerate(blobs):
         own[k, : len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
     words, row = own.reshape(-1), np.arange(n) * (longest + 2)
-    model, size = _Model(n, prior), np.full(n, (1 << 64) - 1, _U)
+    model, size = _Model(n, tables), np.full(n, (1 << 64) - 1, _U)
     code, used, last = own[:, 0].astype(_U) << _WORD | own[:, 1].astype(_U), row + 2, row + longest + 1
-    found = np.repeat(np.arange(MOST_ID, dtype=np.int32), prior)[: 1 << PRIOR_BITS]
-    id_at = np.pad(found, (0, (1 << PRIOR_BITS) - found.size))
+    table, entries, own_ids = np.zeros(n, np.int64), np.zeros(n, np.int64), tables.ids.astype(np.int32)
     ids, v, hit2, hit1 = np.empty((steps, n), np.int32), np.empty(n, _U), np.empty(n, bool), np.empty(n, bool)
     for t in range(steps):
         model.predict(size)
@@ -173,10 +232,13 @@ def _decode_lanes(blobs: list[bytes], steps: int, prior: np.ndarray) -> np.ndarr
         np.subtract(code, model.top, out=v)
         v //= model.unit0
         np.minimum(v, _U((1 << PRIOR_BITS) - 1), out=v)
-        np.take(id_at, v.view(np.int64), out=ids[t], mode="clip")
-        start, part = model.interval(ids[t], hit1, hit2)
+        open_ = np.flatnonzero(~hit1)  # the others' entries don't matter
+        entries[open_] = np.searchsorted(tables.places, (table[open_] << PRIOR_BITS) + v[open_].view(np.int64), side="right") - 1
+        np.take(own_ids, entries, out=ids[t], mode="clip")
+        start, part = model.interval(entries, hit1, hit2)
         np.copyto(ids[t], model.id1, where=hit1)
         np.copyto(ids[t], model.id2, where=hit2)
+        np.take(tables.table_of, ids[t], out=table, mode="clip")
         code -= start
         size[:] = part
         i = np.flatnonzero(size < _U(_HALF))
@@ -186,33 +248,36 @@ def _decode_lanes(blobs: list[bytes], steps: int, prior: np.ndarray) -> np.ndarr
             used[i] = at + 1
             size[i] = np.maximum(size[i], _U(1)) << _WORD
         model.update(ids[t])
+        if t in ends and any(used[k] - row[k] > len(blobs[k]) // 4 for k in ends[t]):
+            raise ValueError("a block that is cut short")
     return ids.T
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, list[tuple[int, int, bytes]]]:
-    """The order-0 table of ids, and (tokens, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
+def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[Tables, list[tuple[int, int, bytes]]]:
+    """The tables of ids, and (tokens, crc32 of the ids as little-endian 32-bit integers, coded bytes) of each block."""
     ids = np.ascontiguousarray(ids, "<u4")
     if ids.size and int(ids.max()) >= MOST_ID:
         raise ValueError(f"ids must be below {MOST_ID}")
-    prior, out, n = prior_of(ids), [], -(-ids.size // block)
+    (tables, entries), out, n = tables_of(ids, block), [], -(-ids.size // block)
     for first in range(0, n, LANES):
         part = ids[first * block : (first + LANES) * block]
         lanes = -(-part.size // block)
         steps = min(block, part.size)
-        full = np.full((lanes, steps), part[-1], "<u4")
+        full, places = np.full((lanes, steps), part[-1], "<u4"), np.zeros((lanes, steps), np.int64)
         full.reshape(-1)[: part.size] = part
-        for i, blob in enumerate(_encode_lanes(full, prior)):
+        places.reshape(-1)[: part.size] = entries[first * block : (first + LANES) * block]
+        for i, blob in enumerate(_encode_lanes(full, places, tables)):
             own = part[i * block : (i + 1) * block]
             out.append((own.size, zlib.crc32(own.tobytes()), blob))
-    return prior, out
+    return tables, out
 
 
-def decode_blocks(prior: np.ndarray, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+def decode_blocks(tables: Tables, blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
     """The ids of encode_blocks, or of any run of its blocks; ValueError where a block's checksum doesn't hold."""
     out = []
     for first in range(0, len(blocks), LANES):
         part = blocks[first : first + LANES]
-        ids = _decode_lanes([b for _, _, b in part], max(n for n, _, _ in part), prior)
+        ids = _decode_lanes([b for _, _, b in part], [n for n, _, _ in part], tables)
         for own, (n, crc, _) in zip(ids, part, strict=True):
             own = own[:n].astype("<u4")
             if zlib.crc32(own.tobytes()) != crc:

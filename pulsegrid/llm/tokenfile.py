@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pulsegrid.llm.common import Memo, kept, shared_dir
-from pulsegrid.llm.rangecoder import MOST_ID, decode_blocks, encode_blocks
+from pulsegrid.llm.rangecoder import MOST_ID, Tables, decode_blocks, encode_blocks
 
 #: The id that ends a document, and how ids are held before they are coded.
 END, IDS = 2, "<u2"
-MAGIC = b"PGTOKEN2"
+MAGIC = b"PGTOKEN3"
 #: Fixed value: how the byte-level model cuts text before it merges; merges never cross a cut.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Signs that are a cut of their own after a word of letters.
@@ -93,19 +93,15 @@ class TextCoder:
         return b"".join(map(self.memo.__getitem__, self.cuts(text)))
 
 
-def _planes(prior: np.ndarray) -> bytes:
-    return np.ascontiguousarray(prior.view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
 def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:
     """A file: magic; documents, ids, blocks, bytes of the next two (u64 each); zstandard of doc_ids, null flags and lengths, and of
-    the order-0 table's byte planes; a row (tokens, bytes, crc32) for each block; the blocks."""
+    the tables of frequencies; a row (tokens, bytes, crc32) for each block; the blocks, each of which can be read with the tables alone."""
     sizes = np.array([len(d) // 2 for d in docs], "<u8")
     ids = np.frombuffer(b"".join(docs), IDS)
-    prior, blocks = encode_blocks(ids)
+    tables, blocks = encode_blocks(ids)
     known = np.array([x.is_valid for x in doc_ids], np.uint8)
     keys = np.array([x.as_py() or 0 for x in doc_ids], "<i8")
-    head, table = (zstandard.ZstdCompressor(level=3).compress(x) for x in (keys.tobytes() + known.tobytes() + sizes.tobytes(), _planes(prior)))
+    head, table = (zstandard.ZstdCompressor(level=3).compress(x) for x in (keys.tobytes() + known.tobytes() + sizes.tobytes(), tables.to_bytes()))
     rows = np.array([(n, len(b), crc) for n, crc, b in blocks], "<u4").reshape(-1, 3)
     return b"".join([MAGIC, struct.pack("<5Q", len(docs), ids.size, len(blocks), len(head), len(table)), head, table, rows.tobytes(), *[b for _, _, b in blocks]])
 
@@ -118,8 +114,7 @@ def unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(data[48 : 48 + head]) if docs else b""
     keys, known, sizes = np.frombuffer(raw, "<i8", docs), np.frombuffer(raw, np.uint8, docs, 8 * docs), np.frombuffer(raw, "<u8", docs, 9 * docs)
     at = 48 + head
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + table]), np.uint8)
-    prior = np.ascontiguousarray(planes.reshape(4, MOST_ID).T).view("<u4").ravel()
+    tables = Tables.from_bytes(zstandard.ZstdDecompressor().decompress(data[at : at + table]))
     at += table
     rows = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(-1, 3)
     at += 12 * blocks
@@ -129,7 +124,7 @@ def unpack(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             raise ValueError("a token file that is cut short")
         parts.append((n, crc, data[at : at + size]))
         at += size
-    ids = decode_blocks(prior, parts)
+    ids = decode_blocks(tables, parts)
     if ids.size != total or int(sizes.sum()) != total:
         raise ValueError("a token file whose lengths don't add up")
     return pa.array(keys, mask=known == 0), sizes.astype(np.int64), ids
@@ -149,6 +144,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
     spark = docs.sparkSession
     with open(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         shared = spark.sparkContext.broadcast(f.read())  # a tokenizer file: 1.6 MB
+    if Tokenizer.from_str(shared.value).get_vocab_size() > MOST_ID:
+        raise ValueError(f"a tokenizer of more than {MOST_ID} ids")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
     dealt = keyed.repartitionByRange(files, "doc_id", "th").sortWithinPartitions("doc_id", "th")

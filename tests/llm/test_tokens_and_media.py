@@ -351,7 +351,26 @@ def test_index_uses_the_rarest_token(spark):
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 65535), max_size=300), st.integers(1, 64))
 def test_range_coder_round_trip(ids, block):
-    assert rangecoder.decode_blocks(*rangecoder.encode_blocks(np.array(ids, np.int64), block)).tolist() == ids
+    tables, blocks = rangecoder.encode_blocks(np.array(ids, np.int64), block)
+    assert rangecoder.decode_blocks(rangecoder.Tables.from_bytes(tables.to_bytes()), blocks).tolist() == ids
+
+
+def test_tables_follow_ids_that_are_worth_it():
+    """Ids that are followed by few others have tables of their own; an id that anything follows, or that is rare, has none."""
+    rng = np.random.default_rng(2)
+    steps = {1: [2, 3], 2: [4], 3: [4], 4: [1, 5]}
+    ids, now = [], 1
+    for _ in range(30_000):
+        ids.append(now)
+        now = int(rng.choice(steps[now])) if now in steps else (int(rng.integers(6, 3000)) if now == 5 else 1)
+    ids = np.array(ids)
+    tables, entries = rangecoder.tables_of(ids, 1000)
+    assert {1, 2, 3, 4} <= set(tables.after.tolist()) and 5 not in tables.after
+    assert (tables.ids[entries] == ids).all() and (np.add.reduceat(tables.size.astype(int), tables.first) <= 1 << rangecoder.PRIOR_BITS).all()
+    table = (np.searchsorted(tables.first, entries, side="right") - 1)
+    assert not table[::1000].any() and (tables.table_of[ids[:-1]] == table[1:])[np.arange(1, ids.size) % 1000 > 0].all()
+    again = rangecoder.Tables.from_bytes(tables.to_bytes())
+    assert all((getattr(again, n) == getattr(tables, n)).all() for n in ("after", "lengths", "ids", "counts", "places", "start", "size"))
 
 
 def test_range_coder_learns_and_checks():
@@ -376,6 +395,7 @@ def test_carries_run_through_words():
 
 def test_range_coder_is_below_order_0_and_zstandard(spark):
     """Bits an id of real token ids: below their own order-0 entropy, and below zstandard on the same blocks."""
+    import pyarrow as pa
     import zstandard
 
     coder = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
@@ -387,6 +407,9 @@ def test_range_coder_is_below_order_0_and_zstandard(spark):
     bits = 8 * sum(len(b) for _, _, b in blocks) / ids.size
     plain = [ids[i : i + rangecoder.BLOCK].astype("<u2").tobytes() for i in range(0, ids.size, rangecoder.BLOCK)]
     assert bits < entropy and bits < 8 * sum(len(zstandard.ZstdCompressor(level=3).compress(b)) for b in plain) / ids.size
+    docs = [coder.encode(t) + b"\x02\x00" for t in texts]
+    whole = tokenfile.pack(pa.array(range(len(docs)), pa.int64()), docs)
+    assert len(whole) < 0.9 * len(zstandard.ZstdCompressor(level=3).compress(b"".join(docs)))
 
 
 @pytest.fixture(scope="module")
