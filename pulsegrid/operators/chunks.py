@@ -26,6 +26,8 @@ from pulsegrid.plans.storage import materialise
 
 #: Samples of a cell, and of a stretch where nothing else cuts it.
 SIZE = 65_536
+#: Samples of cells that a Python worker fills and filters at once, whatever the length of the batches it gets.
+AT_ONCE = 1 << 20
 EDGES = ("zero", "mirror", "wrap")
 
 
@@ -188,7 +190,7 @@ def _filled(pieces: pa.Array, width: int) -> list[np.ndarray]:
     at = flat.field("at").to_numpy()
     data = flat.field("data")
     bounds, samples = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
-    if len(bounds) and not np.isfinite(samples[bounds[0] : bounds[-1]]).all():
+    if len(bounds) and not np.isfinite(samples[bounds[ends[0]] : bounds[ends[-1]]]).all():
         raise SignalError("malformed-signal", "a signal has a sample that is not finite")
     out = []
     for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -207,8 +209,10 @@ def over_cells(cells: DataFrame, keys: list[str], width: int, kernel: Callable[[
     extra = [StructField("band", LongType())] if bands else []
     schema = StructType([*own, *extra, StructField("start", LongType()), StructField("n", LongType()), StructField("data", ArrayType(DoubleType()))])
 
+    many = max(1, AT_ONCE // width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, many) for b in batches for i in range(0, b.num_rows, many)):
             cell, n = (batch.column(c).to_pylist() for c in ("cell", "n"))
             found, source = [], []
             for i, x in enumerate(_filled(batch.column("pieces"), width)):

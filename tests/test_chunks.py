@@ -1,11 +1,14 @@
 """Chunk form against the array form, with stretches and cells of odd sizes."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.errors import SignalError
 from pulsegrid.functions import kernels as K
 from pulsegrid.operators import chunks, signals
 
@@ -151,3 +154,39 @@ def test_zero_crossings_over_stretches(ragged, channels):
             assert got[k][1] is None
         else:
             assert got[k][1] == pytest.approx(RATE * (len(ups) - 1) / (ups[-1] - ups[0]))
+
+
+def test_kernels_take_a_large_batch_by_slices(spark):
+    """A batch of 128 MB of cells is filled, filtered and given back by some megabytes at a time, and a bad sample late in it is found."""
+    width, rows = 1 << 14, 1000
+    frame = spark.createDataFrame([], "k long, cell long, n long, pieces array<struct<at:int,data:array<double>>>")
+
+    def run_of(kernel):
+        class Cells:
+            schema = frame.schema
+            mapInArrow = staticmethod(lambda run, schema: run)  # noqa: N815
+
+        return chunks.over_cells(Cells, ["k"], width, kernel)
+
+    def batch(samples):
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(samples))
+        piece = pa.StructArray.from_arrays([pa.array(np.zeros(rows, np.int32)), lists], ["at", "data"])
+        own = pa.array(np.arange(rows))
+        return pa.RecordBatch.from_arrays([own, own, pa.array(np.full(rows, width * rows)), pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32)), piece)], names=["k", "cell", "n", "pieces"])
+
+    samples = np.arange(rows * width, dtype=float)
+    given = batch(samples)
+    run = run_of(lambda x, cell, n: [(0, cell * width, n, 2 * x)])
+    seen = 0
+    tracemalloc.start()
+    for out in run(iter([given])):
+        for row in range(out.num_rows):
+            assert out.column("k")[row].as_py() == seen and np.array_equal(out.column("data")[row].values.to_numpy(), 2 * samples[seen * width : (seen + 1) * width])
+            seen += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == rows and peak < 64e6
+    samples = samples.copy()
+    samples[-1] = np.nan
+    with pytest.raises(SignalError, match="not finite"):
+        list(run(iter([batch(samples)])))
