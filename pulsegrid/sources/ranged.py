@@ -1,7 +1,7 @@
 """Records read by ranges and written with a commit: data sources `wfdb-chunks` (read) and `wfdb-records` (write).
 
 Reading gives chunk form: a row (record, channel, start, n, samples) for each stretch. The driver lists the folder and no more. Tasks
-get packs of small records, or parts of a long one; each reads the header, and of the data file only the stretches that the pushed
+get packs of some hundred small records, or parts of a long one; each reads the header, and of the data file only the stretches that the pushed
 filters on record, channel and start leave. Writing encodes a record in one task, to files under the attempt's own name; the
 commit gives them their names, and an abort takes them away.
 """
@@ -22,8 +22,10 @@ from pulsegrid.errors import SignalError
 from pulsegrid.functions.naming import split_name
 from pulsegrid.sources import storage, wfdb
 
-#: Samples of a stretch, and bytes of data files of a task.
-SAMPLES, TASK_BYTES = 65_536, 32 << 20
+#: Samples of a stretch; bytes of data files of a task, and its small records, each of which costs the opening of files.
+SAMPLES, TASK_BYTES, TASK_RECORDS = 65_536, 32 << 20, 512
+#: Rows and samples of a batch that a task gives.
+BATCH_ROWS, BATCH_SAMPLES = 4096, 1 << 20
 
 CHUNK_SCHEMA = "record_id string, channel_index int, channel_name string, unit string, sample_rate_hz double, gain double, baseline double, start long, n long, samples array<smallint>"
 RECORD_SCHEMA = "record_id string, sample_rate_hz double, channels array<struct<channel_index:int,channel_name:string,gain:double,baseline:double,adc_bits:int,samples:array<smallint>>>"
@@ -103,7 +105,7 @@ class ChunkReader(DataSourceReader):
                 of = -(-size // self.bytes)
                 out += [_Part([record], k, of) for k in range(of)]
                 continue
-            if pack and size > room:
+            if pack and (size > room or len(pack) == TASK_RECORDS):
                 out.append(_Part(pack))
                 pack, room = [], self.bytes
             pack.append(record)
@@ -111,25 +113,37 @@ class ChunkReader(DataSourceReader):
         return out + ([_Part(pack)] if pack or not out else [])
 
     def read(self, partition):
+        rows, held = [], 0
         for record in partition.records:
-            yield from self._record(record, partition.which, partition.of)
-
-    def _record(self, record: str, which: int, of: int) -> Iterator[pa.RecordBatch]:
+            for row in self._record(record, partition.which, partition.of):
+                rows.append(row)
+                held += len(row[-1])
+                if len(rows) == BATCH_ROWS or held >= BATCH_SAMPLES:
+                    yield _chunk_batch(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _chunk_batch(rows)
+
+    def _record(self, record: str, which: int, of: int) -> Iterator[tuple]:
+        """Rows of CHUNK_SCHEMA. Stretches that touch are read and decoded together, up to about SAMPLES frames."""
         header = wfdb.parse_header(storage.read_bytes(self.folder, f"{record}.hea").decode("utf-8", "replace"))
         if header.record != record:
             raise SignalError("malformed-header", f"the header of {record!r} is that of {header.record!r}")
         for name in dict.fromkeys(c.file for c in header.channels):
             own = [i for i, c in enumerate(header.channels) if c.file == name]
-            chosen = [(k, i) for k, i in enumerate(own) if self._is_wanted(i, header.channels[i])]
+            chosen = [(k, _channel(record, header, i)) for k, i in enumerate(own) if self._is_wanted(i, header.channels[i])]
             fmt, frames = self._layout(record, header, name, own)
             starts = self.wanted.starts(frames, self.samples)
             starts = starts[len(starts) * which // of : len(starts) * (which + 1) // of]
-            for s in starts if chosen else ():
-                count = min(self.samples, frames - s)
+            together = max(1, SAMPLES // self.samples)
+            for part in (starts[k : k + together] for k in range(0, len(starts), together)) if chosen else ():
+                first, count = part[0], min(frames, part[-1] + self.samples) - part[0]
                 frame = wfdb.required_bytes(fmt, len(own), 1)
-                data = storage.read_range(self.folder, name, s * frame, count * frame)
+                data = storage.read_range(self.folder, name, first * frame, count * frame)
                 decoded = wfdb.decode_212(data, count) if fmt == 212 else wfdb.decode_16(data, len(own), count)
-                yield _chunk_batch(record, header, [(i, decoded[k]) for k, i in chosen], s, frames)
+                for s in part:
+                    for k, channel in chosen:
+                        yield (*channel, s, frames, decoded[k][s - first : s - first + self.samples])
 
     def _is_wanted(self, index: int, channel) -> bool:
         w = self.wanted
@@ -149,13 +163,18 @@ class ChunkReader(DataSourceReader):
         return fmt, frames
 
 
-def _chunk_batch(record: str, header, channels: list, start: int, n: int) -> pa.RecordBatch:
+def _channel(record: str, header, i: int) -> tuple:
+    """What rows of CHUNK_SCHEMA say of a channel."""
+    c = header.channels[i]
+    return record, i, c.name or f"channel-{i + 1}", wfdb.canonical_unit(c.units, record), header.rate_hz, c.gain, float(c.baseline)
+
+
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-    rows = [(record, i, header.channels[i].name or f"channel-{i + 1}", wfdb.canonical_unit(header.channels[i].units, record), header.rate_hz, header.channels[i].gain, float(header.channels[i].baseline), start, n) for i, _ in channels]
     types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
-    data = [np.asarray(x, np.int16) for _, x in channels]
-    samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, data)]).astype(np.int32)), pa.array(np.concatenate(data)))
+    *columns, data = zip(*rows, strict=True)
+    columns = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+    samples = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, data)]).astype(np.int32)), pa.array(np.concatenate(data).astype(np.int16)))
     return pa.RecordBatch.from_arrays([*columns, samples], names=names)
 
 
@@ -222,8 +241,8 @@ class RecordWriter(DataSourceArrowWriter):
         if len(set(names)) < len(names):
             self.abort(messages)
             raise SignalError("invalid-input", "a record is written twice")
-        for a, name in sorted(files, key=lambda f: f[1].endswith(".hea")):
-            storage.rename(self.folder, a, name)
+        for headers in (False, True):
+            storage.rename_all(self.folder, [f for f in files if f[1].endswith(".hea") == headers])
 
     def abort(self, messages) -> None:
         storage.remove(self.folder, [a for m in messages if m for a, _ in m.files])

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
@@ -89,3 +90,18 @@ def test_refusals(spark, folder, tmp_path):
     with pytest.raises(Exception, match="3 bytes long; 10 frames take 20"):
         ranged.read_chunks(spark, str(tmp_path)).collect()
     assert ranged.read_chunks(spark, str(tmp_path)).where(F.col("record_id") == "other").count() == 0
+
+
+def test_many_small_records_are_many_tasks_and_few_batches(tmp_path):
+    """3000 records of a few bytes each are no single task, and a task gives its stretches in batches."""
+    rows = [{"record_id": f"s{k}", "sample_rate_hz": 64.0, "channels": [{"channel_index": c, "channel_name": f"lead {c}", "gain": 200.0, "baseline": 8.0, "adc_bits": 12, "samples": [k % 100, c, -c, 7, k % 9]} for c in (0, 1)]} for k in range(3000)]
+    writer = ranged.RecordWriter({"path": str(tmp_path), "signal_format": "212"})
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist(rows)]))])
+    reader = ranged.ChunkReader({"path": str(tmp_path), "samples": "2"})
+    parts = reader.partitions()
+    assert max(len(p.records) for p in parts) <= 512 and sorted(r for p in parts for r in p.records) == sorted(r["record_id"] for r in rows)
+    batches = [b for p in parts for b in reader.read(p)]
+    assert len(batches) < 20
+    got = {(r["record_id"], r["channel_index"], r["start"]): r["samples"] for b in batches for r in b.to_pylist()}
+    want = {(r["record_id"], c["channel_index"], s): c["samples"][s : s + 2] for r in rows for c in r["channels"] for s in (0, 2, 4)}
+    assert got == want
