@@ -13,7 +13,7 @@ from pulsegrid.operators import evaluation, events, signals, transforms
 from pulsegrid.plans import experiment, requests
 from pulsegrid.plans.queries import _BAND, _LOW, _ROLES, _Z, _dwt_levels, _leads, _resample_sql
 from pulsegrid.plans.registry import ORACLES, long_of, query, r6, values
-from pulsegrid.plans.views import RATE_HZ, ann_user, duck, read, sig_embed, sig_embed_long
+from pulsegrid.plans.views import RATE_HZ, ann_user, duck, read, sig_embed, sig_embed_long, spread
 from pulsegrid.sources import checks, documents, edf, files, synthetic, wfdb
 
 # --- whole-signal transforms, with derived ids and provenance ---------------------------------------------------------
@@ -374,7 +374,7 @@ def metadata_problems(spark, sf_dir):
             scale.alias("normalization"), F.create_map(F.lit("methodology"), F.when(size % 7 == 3, F.lit(" ")).otherwise(F.col("p_name"))).alias("provenance"),
         )
     )
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(checks.metadata_problems(text), "; ").alias("problems"))
+    return spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.array_join(checks.metadata_problems(text), "; ").alias("problems"))
 
 
 @query(f"""SELECT c_custkey, {_joined(

@@ -15,6 +15,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """The rows dealt to as many tasks as a shuffle has. A table of few megabytes is one task as it is read, however much work its rows are."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def sig_embed(spark, sf_dir: str) -> DataFrame:
     """Array form (rid, label, data): each embedding is a record of 64 samples at 64 Hz."""
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("rid"), "label", F.col("embedding").cast("array<double>").alias("data"))

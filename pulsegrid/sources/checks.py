@@ -43,13 +43,13 @@ def string(v: Column) -> Column:
 
 def number(v: Column) -> Column:
     """A finite number as double, else null."""
-    x = F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
-    return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
+    found = F.when(kind(v).isin("BIGINT", "DECIMAL", "DOUBLE"), F.try_variant_get(v, "$", "double"))
+    return let(found, lambda x: F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x))
 
 
 def items(v: Column) -> Column:
     """The elements of an array, else null."""
-    return F.when(kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    return F.try_variant_get(v, "$", "array<variant>")
 
 
 def yes(condition: Column) -> Column:
@@ -66,8 +66,7 @@ def filled(v: Column) -> Column:
 
 
 def whole(v: Column, least: int = 1) -> Column:
-    x = number(v)
-    return yes((x % 1 == 0) & (x >= least))
+    return yes(let(number(v), lambda x: (x % 1 == 0) & (x >= least)))
 
 
 def one_of(v: Column, allowed) -> Column:
@@ -75,7 +74,7 @@ def one_of(v: Column, allowed) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return kind(v) == "OBJECT"
+    return F.try_variant_get(v, "$", "struct<_:variant>").isNotNull()
 
 
 def rules(*pairs: tuple[Column, str | Column]) -> Column:
@@ -95,64 +94,79 @@ def _and(*conditions: Column) -> Column:
     return out
 
 
-def _metadata(v: Column) -> Column:
-    given, made, scale, origin = (at(v, k) for k in ("input", "output", "normalization", "provenance"))
-    rate = at(v, "expectedSamplingRateHz")
-    shape, labels, steps = items(at(v, "input.shape")), items(at(v, "output.classLabels")), at(v, "preprocessingAssumptions")
-    dimension = lambda d: yes(number(d) == -1) | whole(d)
-    texts = [(text(at(v, k)), f"{k} must be a non-empty string") for k in ("modelId", "modelVersion", "task")]
-    counts = [(missing(at(v, k)) | whole(at(v, k)), f"{k} must be a positive integer when present") for k in ("expectedChannels", "expectedWindowSamples")]
-    inputs = [(~is_object(given) | text(at(v, f"input.{k}")), f"input.{k} must be a non-empty string") for k in ("name", "layout")]
-    outputs = [(~is_object(made) | one_of(at(v, f"output.{k}"), allowed), f"output.{k} must be one of {', '.join(allowed)}") for k, allowed in (("dtype", DTYPES), ("semantics", SEMANTICS), ("activation", ACTIVATIONS))]
+#: The paths that rules look at, taken from a document at once; a part that isn't of its kind is null.
+_METADATA = """struct<modelId:variant,modelVersion:variant,task:variant,expectedSamplingRateHz:variant,expectedChannels:variant,expectedWindowSamples:variant,
+input:struct<name:variant,layout:variant,shape:array<variant>,dtype:variant>,
+output:struct<name:variant,dtype:variant,semantics:variant,activation:variant,classLabels:array<variant>>,
+preprocessingAssumptions:array<struct<stage:variant,config:variant>>,normalization:struct<strategy:variant,fittedFrom:variant>,provenance:variant>"""
+_PROVENANCE = "struct<trainingDataset:variant,methodology:variant,limitations:variant>"
+_CONFIGURATION = """struct<datasetId:variant,channelName:variant,
+selection:struct<kind:variant,recordIds:array<variant>,role:variant,partition:struct<train:variant,validation:variant,test:variant>>,
+window:struct<windowLengthSamples:variant,strideSamples:variant,remainderPolicy:variant>,model:struct<modelId:variant,modelVersion:variant>,evaluation:struct<id:variant,description:variant>>"""
+
+
+def _metadata(m: Column) -> Column:
+    given, made, scale, steps = m["input"], m["output"], m["normalization"], m["preprocessingAssumptions"]
+    rate, shape, labels = m["expectedSamplingRateHz"], given["shape"], made["classLabels"]
+    dimension = lambda d: yes(let(number(d), lambda x: (x == -1) | (x % 1 == 0) & (x >= 1)))
+    texts = [(text(m[k]), f"{k} must be a non-empty string") for k in ("modelId", "modelVersion", "task")]
+    counts = [(missing(m[k]) | whole(m[k]), f"{k} must be a positive integer when present") for k in ("expectedChannels", "expectedWindowSamples")]
+    inputs = [(given.isNull() | text(given[k]), f"input.{k} must be a non-empty string") for k in ("name", "layout")]
+    outputs = [(made.isNull() | one_of(made[k], allowed), f"output.{k} must be one of {', '.join(allowed)}") for k, allowed in (("dtype", DTYPES), ("semantics", SEMANTICS), ("activation", ACTIVATIONS))]
     first = rules(
         *texts,
         (missing(rate) | yes(number(rate) > 0), "expectedSamplingRateHz must be above zero when present"),
         *counts,
-        (is_object(given), "input must be an object"),
+        (given.isNotNull(), "input must be an object"),
         *inputs,
-        (~is_object(given) | yes((F.size(shape) > 0) & F.forall(shape, dimension)), "input.shape must be a non-empty array of dimensions of at least 1, or -1"),
-        (~is_object(given) | one_of(at(v, "input.dtype"), DTYPES), "input.dtype must be a supported type"),
-        (is_object(made), "output must be an object"),
-        (~is_object(made) | text(at(v, "output.name")), "output.name must be a non-empty string"),
+        (given.isNull() | yes((F.size(shape) > 0) & F.forall(shape, dimension)), "input.shape must be a non-empty array of dimensions of at least 1, or -1"),
+        (given.isNull() | one_of(given["dtype"], DTYPES), "input.dtype must be a supported type"),
+        (made.isNotNull(), "output must be an object"),
+        (made.isNull() | text(made["name"]), "output.name must be a non-empty string"),
         *outputs,
-        (~is_object(made) | yes((F.size(labels) > 0) & F.forall(labels, text)), "output.classLabels must be a non-empty array of non-empty strings"),
-        (kind(steps) == "ARRAY", "preprocessingAssumptions must list the steps"),
+        (made.isNull() | yes((F.size(labels) > 0) & F.forall(labels, text)), "output.classLabels must be a non-empty array of non-empty strings"),
+        (steps.isNotNull(), "preprocessingAssumptions must list the steps"),
     )
-    step = lambda s, i: rules((is_object(s) & text(at(s, "stage")) & kind(at(s, "config")).isin("", "OBJECT"), F.concat(F.lit("preprocessingAssumptions["), i.cast("string"), F.lit("] must have a stage, and an object as config when present"))))
-    fitted = at(v, "normalization.fittedFrom")
-    told = [missing(at(v, f"provenance.{k}")) | text(at(v, f"provenance.{k}")) for k in ("trainingDataset", "methodology", "limitations")]
+    step = lambda s, i: rules((s.isNotNull() & text(s["stage"]) & (s["config"].isNull() | is_object(s["config"])), F.concat(F.lit("preprocessingAssumptions["), i.cast("string"), F.lit("] must have a stage, and an object as config when present"))))
+    fitted = scale["fittedFrom"]
+    told = lambda o: o.isNotNull() & _and(*[missing(o[k]) | text(o[k]) for k in ("trainingDataset", "methodology", "limitations")])
     last = rules(
-        (is_object(scale) & text(at(v, "normalization.strategy")) & (missing(fitted) | text(fitted)), "normalization must have a strategy, and a non-empty fittedFrom when present"),
-        ((kind(origin) == "") | is_object(origin) & _and(*told), "provenance must be an object of non-empty strings when present"),
+        (scale.isNotNull() & text(scale["strategy"]) & (missing(fitted) | text(fitted)), "normalization must have a strategy, and a non-empty fittedFrom when present"),
+        (m["provenance"].isNull() | let(F.try_variant_get(m["provenance"], "$", _PROVENANCE), told), "provenance must be an object of non-empty strings when present"),
     )
-    return F.concat(first, numbered(items(steps), step), last)
+    return F.concat(first, numbered(steps, step), last)
 
 
 def metadata_problems(source: Column) -> Column:
     """array<string> of all that is wrong with the model metadata of a JSON text; a null or unreadable text is one problem."""
     none = F.array(F.lit("model metadata is not valid JSON"))
     other = F.array(F.lit("model metadata must be a JSON object"))
-    return let(F.try_parse_json(source), lambda v: F.when(v.isNull(), none).when(~is_object(v), other).otherwise(_metadata(v)))
+    judge = lambda v: let(F.try_variant_get(v, "$", _METADATA), lambda m: F.when(v.isNull(), none).when(m.isNull(), other).otherwise(_metadata(m)))
+    return let(F.try_parse_json(source), judge)
 
 
 def configuration_rules(c: Column) -> Column:
     """array<string> of all that is wrong with an experiment's configuration, a variant."""
-    chosen, ids, role = string(at(c, "selection.kind")), items(at(c, "selection.recordIds")), at(c, "selection.role")
-    shares = [number(at(c, f"selection.partition.{r}")) for r in ROLES]
-    split = yes(_and(*[s >= 0 for s in shares]) & (F.abs(sum(shares[1:], shares[0]) - 1) <= 1e-9))
+    parts = F.try_variant_get(c, "$", _CONFIGURATION)
+    return let(parts, lambda p: let(string(p["selection"]["kind"]), lambda chosen: _configuration(p, chosen)))
+
+
+def _configuration(c: Column, chosen: Column) -> Column:
+    ids, role, window = c["selection"]["recordIds"], c["selection"]["role"], c["window"]
+    fits = lambda s: _and(*[s[k] >= 0 for k in range(len(ROLES))]) & (F.abs(sum((s[k] for k in range(1, len(ROLES))), s[0]) - 1) <= 1e-9)
+    split = yes(let(F.array(*[number(c["selection"]["partition"][r]) for r in ROLES]), fits))
     is_kind = lambda k: yes(chosen == k)
-    window = at(c, "window")
-    none = ~is_object(window)
+    none = window.isNull()
     return rules(
-        *[(filled(at(c, k)), f"{k} must be a non-empty string") for k in ("datasetId", "channelName")],
+        *[(filled(c[k]), f"{k} must be a non-empty string") for k in ("datasetId", "channelName")],
         (~is_kind("records") | yes((F.size(ids) > 0) & F.forall(ids, filled)), "selection.recordIds must list non-empty record ids"),
         (~is_kind("subject-partition") | one_of(role, ROLES), f"selection.role must be one of {', '.join(ROLES)}"),
         (~is_kind("subject-partition") | split, f"selection.partition: {SPLIT_TEXT}"),
         (is_kind("records") | is_kind("subject-partition"), "selection.kind must be records or subject-partition"),
         (~none, "window must be present"),
-        *[(none | whole(at(c, f"window.{k}")), f"window.{k} must be a positive integer") for k in ("windowLengthSamples", "strideSamples")],
-        (none | one_of(at(c, "window.remainderPolicy"), ("drop", "pad-zero", "error")), "window.remainderPolicy must be drop, pad-zero or error"),
-        *[(filled(at(c, f"{group}.{k}")), f"{group}.{k} must be a non-empty string") for group, keys in (("model", ("modelId", "modelVersion")), ("evaluation", ("id", "description"))) for k in keys],
+        *[(none | whole(window[k]), f"window.{k} must be a positive integer") for k in ("windowLengthSamples", "strideSamples")],
+        (none | one_of(window["remainderPolicy"], ("drop", "pad-zero", "error")), "window.remainderPolicy must be drop, pad-zero or error"),
+        *[(filled(c[group][k]), f"{group}.{k} must be a non-empty string") for group, keys in (("model", ("modelId", "modelVersion")), ("evaluation", ("id", "description"))) for k in keys],
     )
 
 
