@@ -398,7 +398,7 @@ def configuration_problems(spark, sf_dir):
     model = F.struct(F.col("c_name").alias("modelId"), segment.alias("modelVersion"))
     judged = F.struct(F.lit("truth").alias("id"), F.when(key % 5 == 0, "").otherwise(F.col("c_name")).alias("description"))
     text = F.to_json(F.struct(F.when(key % 9 != 4, segment).alias("datasetId"), F.lit("lead").alias("channelName"), selection.alias("selection"), window.alias("window"), model.alias("model"), judged.alias("evaluation")))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(checks.configuration_problems(text), "; ").alias("problems"))
+    return spread(read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", F.array_join(checks.configuration_problems(text), "; ").alias("problems"))
 
 
 @query("""WITH f AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'lowpass' WHEN 1 THEN 'highpass' WHEN 2 THEN 'bandpass' ELSE p_type END AS kind, p_size / 2.0::DOUBLE AS low, CASE WHEN p_partkey % 4 = 2 OR p_partkey % 10 = 0 THEN p_retailprice - 930 END AS high, p_size AS taps, (p_partkey % 90 - 5)::DOUBLE AS rate FROM part),
