@@ -677,5 +677,5 @@ def noise_recipe(spark, sf_dir):
         "offset": F.when(of(1), z / 10).when(of(2), 0.25).otherwise(0.0), "frequency_hz": z, "phase_rad": z / 7, "amplitudes": F.array(F.lit(1.0), z / 50), "frequencies_hz": F.array(z, 3 * z),
         "f0_hz": F.lit(0.5), "f1_hz": z, "std": z / 100, "seed": key, "heart_rate_bpm": 300 + z * 20,
     }
-    rows = read(spark, sf_dir, "part").select("p_partkey", synthetic.generated(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("data"))
+    rows = spread(read(spark, sf_dir, "part"), "p_partkey").select("p_partkey", synthetic.generated(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("data"))
     return rows.select("p_partkey", F.posexplode("data").alias("i", "x")).select("p_partkey", F.col("i").cast("long").alias("i"), r6("x").alias("x"))
