@@ -59,18 +59,15 @@ def pieces_of(a: Column, b: Column, block: int = BLOCK, fan: int = FAN) -> Colum
         part = lambda k: F.struct(F.lit(1).alias("level"), k.alias("node"), F.greatest(long(0), s - k * block).cast("int").alias("s"), F.least(long(block), e - k * block).cast("int").alias("e"))
         return F.when(e > s, F.transform(F.sequence(F.floor(s / block).cast("long"), F.floor((e - 1) / block).cast("long")), part)).otherwise(none)
 
-    out = []
-    for level in range(len(widths)):
+    def up(level: int) -> Column:
+        """The pieces of this level and those above. Without a whole node above, this level has all, and no higher one is looked at."""
         if level + 1 == len(widths):
-            out.append(run(first[level], after[level], level))
-            continue
+            return run(first[level], after[level], level)
         ratio = widths[level + 1] // widths[level]
-        higher = after[level + 1] > first[level + 1]
-        ends = F.concat(run(first[level], first[level + 1] * ratio, level), run(after[level + 1] * ratio, after[level], level))
-        out.append(F.when(higher, ends).otherwise(run(first[level], after[level], level)))
-        # with no whole node above, this level has had all
-        out[-1] = out[-1] if level == 0 else F.when(after[level] > first[level], out[-1]).otherwise(none)
-    return F.concat(*out)
+        ends = F.concat(run(first[level], first[level + 1] * ratio, level), run(after[level + 1] * ratio, after[level], level), up(level + 1))
+        return F.when(after[level + 1] > first[level + 1], ends).otherwise(run(first[level], after[level], level))
+
+    return up(0)
 
 
 def buckets_of(windows: DataFrame, columns: int) -> DataFrame:
