@@ -109,7 +109,7 @@ def _pieces(docs: DataFrame, model_path: str | None, row, schema: str, arrow: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 4 << 20):
             columns = list(zip(*(row(coder, x.as_py()) for x in batch.column(1)), strict=True)) or [[]] * len(arrow)
             made = [_lists(c) if t == pa.list_(pa.int32()) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=names)

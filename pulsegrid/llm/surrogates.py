@@ -419,7 +419,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     schema = docs.select("*", F.lit(0).cast("long").alias("n_entities")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at):
+        for batch in slices(batches, at, 4 << 20):
             texts, counts = [], []
             for x, again in zip(batch.column(at), batch.column(len(names)), strict=True):
                 redo = {(r["kind"], r["canon"]): (r["as_kind"], r["attempt"]) for r in again.as_py() or ()} if again.is_valid else None
