@@ -5,26 +5,32 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 #: Tokens of a block, and blocks that are coded in step.
 BLOCK, LANES = 2048, 4096
-#: Slots of the order-1 and order-2 tables of a block.
+#: Slots of the order-2 table of a block.
 SLOTS = 256
 #: Ids are below this.
 MOST_ID = 1 << 16
 
-# The probability of an id mixes three predictions: the id that lately followed the last two ids in the block, the id
-# that lately followed the last one, and the id's frequency in the whole run of blocks (tables that go with it), of
-# 2**PRIOR_BITS: its frequency after the last id, or its order-0 frequency where the last id has no table of its own, and
-# at a block's start. How much of 2**MIX_BITS the first two get is learned, in each block anew, as averages that forget, for each
-# pair of their slots' counts of successes and whether they agree; the frequencies have the rest. An id has a table of its
-# own if that saves more bits than its entries take, of ENTRY_BITS each, about.
+# The probability of an id mixes two predictions: the id that lately followed the last two ids in the block (order 2, learned in
+# each block anew), and the id's frequency in the whole run of blocks (tables that go with it), of 2**PRIOR_BITS: its frequency
+# after the last id, or its order-0 frequency where the last id has no table of its own, and at a block's start. How much of
+# 2**MIX_BITS order 2 gets is counted over the run for each state of its slot (how often in a row it was right lately, or that it
+# is empty), and goes with the tables; the frequencies have the rest. An id has a table of its own if that saves more bits than its
+# entries take, of ENTRY_BITS each, about.
 PRIOR_BITS, MIX_BITS, ENTRY_BITS = 18, 10, 12
-_FORGET, _GAIN = 5, 2016  # an average loses its 2**-_FORGET a step and gains _GAIN with a success: 63 * 1024 at most
-_HALF, _START = 1 << 32, 1 << 13
-_NONE = MOST_ID - 1  # the prediction of an empty slot; the id itself can still be coded as order-0
+#: States of a slot: successes in a row, 6 at most, and the empty slot, whose prediction is never right but for the highest id.
+STATES, _EMPTY = 8, ((MOST_ID - 1) << 3) + 7
+#: Steps for which the encoder works out intervals at once.
+_AHEAD = 32
+#: A table has 2**_FINE buckets or more for each entry, by which the decoder looks places up.
+_FINE = 3
+_HALF = np.uint64(1 << 32)
+_HASH = np.uint32(40503)
 _U = np.uint64
-_WORD = _U(32)
+_WORD, _UNIT, _SHARE = _U(32), _U(PRIOR_BITS + MIX_BITS), _U(PRIOR_BITS + 1)
 
 
 def _shares(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -36,34 +42,46 @@ def _shares(counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Tables:
     """Frequencies of a run of ids: table 0 of all ids, and one of what follows each of `after` (ascending); ids ascend in a table."""
 
-    def __init__(self, after: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray):
+    def __init__(self, after: np.ndarray, lengths: np.ndarray, ids: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None):
         self.after, self.lengths, self.ids, self.counts = (x.astype(np.int64) for x in (after, lengths, ids, counts))
         shares = _shares(self.counts, self.lengths) if self.ids.size else self.counts
         ends, self.first = np.cumsum(shares), np.cumsum(self.lengths) - self.lengths
         table = np.repeat(np.arange(self.lengths.size), self.lengths)
         start = ends - shares - (ends[self.first] - shares[self.first])[table] if self.ids.size else ends
         self.places, self.start, self.size = (table << PRIOR_BITS) + start, start.astype(_U), shares.astype(_U)
+        self.both = self.start << _SHARE | self.size  # one look-up for the two
+        self.weights = np.zeros(STATES, np.int64) if weights is None else weights.astype(np.int64)  # of 2**MIX_BITS, order 2's by state
         self.table_of = np.zeros(MOST_ID, np.int64)
         self.table_of[self.after] = np.arange(1, self.after.size + 1)
 
     def to_bytes(self) -> bytes:
-        """Numbers of tables and entries (u32 each), byte planes of `after` and of lengths, of ids as gaps, and of counts (u32 each)."""
+        """Numbers of tables and entries (u32 each), weights (u16 each), byte planes of `after` and of lengths, of ids as gaps, and of counts (u32 each)."""
         gaps = np.diff(self.ids, prepend=0)
         gaps[self.first] = self.ids[self.first]
         planes = [np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for x in (self.after, self.lengths, gaps, self.counts)]
-        return np.array([self.lengths.size, self.ids.size], "<u4").tobytes() + b"".join(planes)
+        return np.array([self.lengths.size, self.ids.size], "<u4").tobytes() + self.weights.astype("<u2").tobytes() + b"".join(planes)
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first bucket, shift) of each table and the entry that a bucket of 2**shift places lies in; -1 where it lies in several."""
+        log = np.minimum(np.ceil(np.log2(np.maximum(self.lengths, 1))).astype(np.int64) + _FINE, PRIOR_BITS)
+        shift, many = PRIOR_BITS - log, 1 << log
+        base = np.cumsum(many) - many
+        table = np.repeat(np.arange(log.size), many)
+        start = (table << PRIOR_BITS) + ((np.arange(table.size) - base[table]) << shift[table])
+        low, high = (self.places.searchsorted(x, side="right") - 1 for x in (start, start + (1 << shift[table]) - 1))
+        return base, shift.astype(_U), np.where(low == high, low, -1)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Tables:
         tables, entries = np.frombuffer(data, "<u4", 2).tolist()
-        out, at = [], 8
+        out, at = [], 8 + 2 * STATES
         for n in (max(0, tables - 1), tables, entries, entries):
             out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
             at += 4 * n
         after, lengths, gaps, counts = out
         sums = np.cumsum(gaps)
         first = np.cumsum(lengths) - lengths
-        return cls(after, lengths, sums - np.repeat(sums[first] - gaps[first], lengths), counts)
+        return cls(after, lengths, sums - np.repeat(sums[first] - gaps[first], lengths), counts, np.frombuffer(data, "<u2", STATES, 8))
 
 
 def tables_of(ids: np.ndarray, block: int) -> tuple[Tables, np.ndarray]:
@@ -71,144 +89,116 @@ def tables_of(ids: np.ndarray, block: int) -> tuple[Tables, np.ndarray]:
     if not ids.size:
         none = np.empty(0, np.int64)
         return Tables(none, none, none, none), none
-    ids = ids.astype(np.int64)
-    pairs = np.roll(ids, 1) * MOST_ID + ids
-    pairs[::block] = ids[::block] - MOST_ID  # nothing stands before them
-    pairs, of_pair, counts = np.unique(pairs, return_inverse=True, return_counts=True)
+    ids = ids.astype(np.uint32)
+    pairs = np.empty(ids.size, np.uint32)
+    np.multiply(ids[:-1], np.uint32(MOST_ID), out=pairs[1:])
+    pairs[1:] += ids[1:]
+    first = ids[::block].astype(np.int64)  # nothing stands before them
+    pairs[::block] = pairs[1] if block > 1 and ids.size > 1 else 0  # some pair that is counted; their entries are set below
+    coded = pa.array(pairs).dictionary_encode()
+    found, of_pair = coded.dictionary.to_numpy().astype(np.int64), coded.indices.to_numpy()
+    counts = np.bincount(of_pair, minlength=found.size)
+    counts[of_pair[0]] -= first.size
+    order = np.argsort(found)
+    order = order[counts[order] > 0]
+    pairs, counts = found[order], counts[order]
     before, own = pairs // MOST_ID, pairs % MOST_ID
     all_counts = np.bincount(ids, minlength=MOST_ID)
     used = np.flatnonzero(all_counts)
+    place = np.cumsum(all_counts > 0) - 1
     rare = np.zeros(MOST_ID)
     rare[used] = np.log2(_shares(all_counts[used], np.array([used.size])))
     at = np.flatnonzero(np.diff(before, prepend=-2))
     lengths = np.diff(np.append(at, before.size))
-    gain = np.add.reduceat(counts * (np.log2(_shares(counts, lengths)) - rare[own]), at) - ENTRY_BITS * (lengths + 1)
-    keeps = (gain > 0) & (before[at] >= 0)
+    gain = np.add.reduceat(counts * (np.log2(_shares(counts, lengths)) - rare[own]), at) - ENTRY_BITS * (lengths + 1) if at.size else np.empty(0)
+    keeps = gain > 0
     kept = np.repeat(keeps, lengths)
     tables = Tables(before[at][keeps], np.append(used.size, lengths[keeps]), np.append(used, own[kept]), np.append(all_counts[used], counts[kept]))
-    entry = np.searchsorted(used, own)
-    entry[kept] = used.size + np.arange(int(kept.sum()))
-    return tables, entry[of_pair]
-
+    entry = np.zeros(found.size, np.int32)
+    entry[order] = np.where(kept, used.size + np.cumsum(kept) - 1, place[own])
+    entries = entry[of_pair]
+    entries[::block] = place[first]
+    return tables, entries
 
-class _Model:
-    """The mixed prediction of `n` blocks; coder and decoder take it through the same states."""
 
-    def __init__(self, n: int, tables: Tables):
-        self.start0, self.size0 = tables.start, tables.size
-        self.slot, self.context = np.arange(n) * SLOTS, np.arange(n) * 32
-        self.order1, self.order2 = (np.full(n * SLOTS, _NONE << 2, np.int32) for _ in range(2))
-        self.sure = np.full(n * 32, (_START << 32) + _START, np.int64)  # two averages: order 2, order 1 alone
-        self.at1, self.at2, self.before = self.slot.copy(), self.slot.copy(), np.zeros(n, np.int64)
-        self.entry1, self.entry2, self.id1, self.id2, self.a, self.b = (np.empty(n, np.int32) for _ in range(6))
-        self.at, self.weights, self.f2, self.both, self.c = (np.empty(n, np.int64) for _ in range(5))
-        self.hit1, self.hit2 = np.empty(n, bool), np.empty(n, bool)
-        self.unit, self.top2, self.top, self.unit0, self.start, self.part = (np.empty(n, _U) for _ in range(6))
-
-    def predict(self, size: np.ndarray) -> None:
-        """Of ranges of these sizes: the ends of order 2's and of both contexts' share, and what a unit of the tables' gets."""
-        np.take(self.order1, self.at1, out=self.entry1, mode="clip")
-        np.take(self.order2, self.at2, out=self.entry2, mode="clip")
-        np.right_shift(self.entry1, 2, out=self.id1)
-        np.right_shift(self.entry2, 2, out=self.id2)
-        a, b = self.a, self.b
-        np.bitwise_and(self.entry2, 3, out=a)
-        a <<= 2
-        np.bitwise_and(self.entry1, 3, out=b)
-        a += b
-        a <<= 1
-        np.equal(self.id1, self.id2, out=self.hit1)
-        a += self.hit1
-        np.add(self.context, a, out=self.at)
-        np.take(self.sure, self.at, out=self.weights, mode="clip")
-        np.right_shift(self.weights, 38, out=self.f2)
-        self.f2 += 1
-        np.right_shift(self.weights, 6, out=self.both)
-        self.both &= 1023
-        self.both += self.f2
-        self.both += 1
-        np.right_shift(size, _U(PRIOR_BITS + MIX_BITS), out=self.unit)
-        np.subtract(1 << MIX_BITS, self.both, out=self.c)
-        np.multiply(self.unit, self.c.view(_U), out=self.unit0)
-        self.unit <<= _U(PRIOR_BITS)
-        np.multiply(self.unit, self.f2.view(_U), out=self.top2)
-        np.multiply(self.unit, self.both.view(_U), out=self.top)
+def _states(columns: np.ndarray) -> np.ndarray:
+    """Of ids (step, block) the state of the slot that order 2 has for each, and STATES more where its prediction is wrong."""
+    steps, n = columns.shape
+    hashed, cells = columns * _HASH, np.zeros((steps, n), np.uint8)
+    cells[1:2] = hashed[:1] >> 4
+    cells[2:] = (hashed[:-2] * np.uint32(5) + hashed[1:-1]) >> 4
+    slot, table, out, wrong = np.arange(n) * SLOTS, np.full(n * SLOTS, _EMPTY, np.uint32), np.empty((steps, n), np.uint8), np.empty((steps, n), bool)
+    at, entry, fresh = np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.uint32)
+    for t in range(steps):
+        np.add(slot, cells[t], out=at)
+        np.take(table, at, out=entry, mode="clip")
+        np.bitwise_and(entry, 7, out=out[t], casting="unsafe")
+        np.left_shift(columns[t], 3, out=fresh)
+        entry -= fresh
+        np.greater(entry, 7, out=wrong[t])
+        np.minimum(entry, 5, out=entry)
+        entry += 1
+        np.putmask(entry, wrong[t], 0)
+        entry += fresh
+        table[at] = entry
+    out += wrong.view(np.uint8) << 3
+    return out
 
-    def interval(self, entries: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, size) within the ranges of ids that have these entries; hit2: order 2 has it, hit1: either context has it."""
-        np.multiply(self.start0[entries], self.unit0, out=self.start)
-        self.start += self.top
-        np.multiply(self.size0[entries], self.unit0, out=self.part)
-        self.top -= self.top2
-        np.copyto(self.start, self.top2, where=hit1)
-        np.copyto(self.part, self.top, where=hit1)
-        np.copyto(self.start, 0, where=hit2)
-        np.copyto(self.part, self.top2, where=hit2)
-        return self.start, self.part
 
-    def update(self, ids: np.ndarray) -> None:
-        weights, c, hit1, hit2 = self.weights, self.c, self.hit1, self.hit2
-        np.equal(self.id1, ids, out=hit1)
-        np.equal(self.id2, ids, out=hit2)
-        fresh = ids << 2
-        for entry, hit, table, at in ((self.entry1, hit1, self.order1, self.at1), (self.entry2, hit2, self.order2, self.at2)):
-            np.bitwise_or(entry, 3, out=self.b)
-            entry += 1
-            np.minimum(entry, self.b, out=entry)  # one success more, 3 at most
-            table[at] = np.where(hit, entry, fresh)
-        np.right_shift(weights, _FORGET, out=c)
-        c &= (0x7FF << 32) | 0x7FF
-        weights -= c
-        np.multiply(hit2, _GAIN << 32, out=c)
-        weights += c
-        np.greater(hit1, hit2, out=hit1)
-        np.multiply(hit1, _GAIN, out=c)
-        weights += c
-        self.sure[self.at] = weights
-        np.multiply(ids, 40503, out=c, dtype=np.int64)
-        np.right_shift(c, 5, out=self.at1)
-        self.at1 &= SLOTS - 1
-        self.at1 += self.slot
-        self.before *= 5
-        self.before += c
-        np.right_shift(self.before, 4, out=self.at2)
-        self.at2 &= SLOTS - 1
-        self.at2 += self.slot
-        self.before[:] = c
+def _weights(kinds: np.ndarray) -> np.ndarray:
+    """Of 2**MIX_BITS the share of successes by state; none where there are none, and 63/64 at most."""
+    right, wrong = kinds[:STATES], kinds[STATES:]
+    share = ((right << MIX_BITS) + (right + wrong) // 2) // np.maximum(right + wrong, 1)
+    return np.clip(share, right > 0, (1 << MIX_BITS) - (1 << MIX_BITS - 6))
 
 
-def _encode_lanes(ids: np.ndarray, entries: np.ndarray, tables: Tables) -> list[bytes]:
+def _encode_lanes(states: np.ndarray, entries: np.ndarray, tables: Tables) -> list[bytes]:
     """A range coder of 64 bits that gives out 32 at a time; a carry goes into the words that are out."""
-    n, steps = ids.shape
-    model, low, size = _Model(n, tables), np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
-    out, used = np.zeros((n, steps + 4), "<u4"), np.zeros(n, np.int64)
-    words, row = out.reshape(-1), np.arange(n) * (steps + 4)
-    columns, places = np.ascontiguousarray(ids.T).astype(np.int32), np.ascontiguousarray(entries.T)
-    hit2, hit1 = np.empty(n, bool), np.empty(n, bool)
-    for t in range(steps):
-        model.predict(size)
-        np.equal(model.id2, columns[t], out=hit2)
-        np.equal(model.id1, columns[t], out=hit1)
-        start, part = model.interval(places[t], hit1, hit2)
-        low += start
-        at = (row + used - 1)[low < start]
-        while at.size:
-            words[at] += np.uint32(1)
-            at = at[words[at] == 0] - 1
-        size[:] = part
-        i = np.flatnonzero(size < _U(_HALF))
-        if i.size:
-            top, at = low[i], used[i]
-            words[row[i] + at] = top >> _WORD
-            used[i] = at + 1
-            low[i] = top << _WORD
-            size[i] = size[i] << _WORD
-        model.update(columns[t])
+    steps, n = states.shape
+    low, size = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
+    words, at = np.zeros(n * (steps + 4), "<u4"), np.arange(n) * (steps + 4)
+    part, flags, unit = np.empty(n, _U), np.empty(n, bool), np.empty(n, _U)
+    guess = np.tile(tables.weights.astype(_U) << _U(PRIOR_BITS), 2)
+    rest = np.tile(_U(1 << MIX_BITS) - tables.weights.astype(_U), 2)
+    for t in range(0, steps, _AHEAD):
+        kinds = states[t : t + _AHEAD]
+        own, tops, right = tables.both[entries[t : t + _AHEAD]], guess[kinds], kinds < STATES
+        sizes = rest[kinds]
+        starts = own >> _SHARE
+        starts *= sizes
+        starts += tops
+        own &= _U((1 << (PRIOR_BITS + 1)) - 1)
+        sizes *= own
+        np.putmask(starts, right, 0)
+        np.copyto(sizes, tops, where=right)
+        for start, share in zip(starts, sizes, strict=True):
+            np.right_shift(size, _UNIT, out=unit)
+            np.multiply(unit, start, out=part)
+            low += part
+            np.less(low, part, out=flags)
+            i = flags.nonzero()[0]
+            if i.size:
+                i = at[i] - 1
+                while i.size:
+                    words[i] += np.uint32(1)
+                    i = i[words[i] == 0] - 1
+            np.multiply(unit, share, out=size)
+            np.less(size, _HALF, out=flags)
+            i = flags.nonzero()[0]
+            if i.size:
+                top, to = low[i], at[i]
+                words[to] = top >> _WORD
+                to += 1
+                at[i] = to
+                top <<= _WORD
+                low[i] = top
+                size[i] <<= _WORD
     for _ in range(2):
-        words[row + used] = low >> _WORD
-        used += 1
+        words[at] = low >> _WORD
+        at += 1
         low <<= _WORD
-    return [out[k, : used[k]].tobytes() for k in range(n)]
+    ends = at.tolist()
+    return [words[k * (steps + 4) : ends[k]].tobytes() for k in range(n)]
 
 
 def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.ndarray:
@@ -221,33 +211,69 @@ def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.nd
     for k, b in enumerate(blobs):
         own[k, : len(b) // 4] = np.frombuffer(b, "<u4", len(b) // 4)
     words, row = own.reshape(-1), np.arange(n) * (longest + 2)
-    model, size = _Model(n, tables), np.full(n, (1 << 64) - 1, _U)
-    code, used, last = own[:, 0].astype(_U) << _WORD | own[:, 1].astype(_U), row + 2, row + longest + 1
-    table, entries, own_ids = np.zeros(n, np.int64), np.zeros(n, np.int64), tables.ids.astype(np.int32)
-    ids, v, hit2, hit1 = np.empty((steps, n), np.int32), np.empty(n, _U), np.empty(n, bool), np.empty(n, bool)
+    code, size = own[:, 0].astype(_U) << _WORD | own[:, 1].astype(_U), np.full(n, (1 << 64) - 1, _U)
+    used, last, slot, memory = row + 2, row + longest + 1, np.arange(n) * SLOTS, np.full(n * SLOTS, _EMPTY, np.uint32)
+    guess, rest = tables.weights.astype(_U) << _U(PRIOR_BITS), _U(1 << MIX_BITS) - tables.weights.astype(_U)
+    table, at, entries, places, own_ids = np.zeros(n, np.int64), slot.copy(), np.empty(n, np.int64), np.empty(n, np.int64), tables.ids.astype(np.uint32)
+    state, known, fresh, hashed, before = np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.uint32), np.zeros(n, np.uint32)
+    ids, v, unit, top, both, hit, flags = np.empty((steps, n), np.uint32), np.empty(n, _U), np.empty(n, _U), np.empty(n, _U), np.empty(n, _U), np.empty(n, bool), np.empty(n, bool)
+    (base, shift, bucket), search = tables.buckets(), tables.places.searchsorted
     for t in range(steps):
-        model.predict(size)
-        np.less(code, model.top2, out=hit2)
-        np.less(code, model.top, out=hit1)
-        np.subtract(code, model.top, out=v)
-        v //= model.unit0
+        now = ids[t]
+        np.take(memory, at, out=known, mode="clip")
+        np.bitwise_and(known, 7, out=state)
+        np.right_shift(size, _UNIT, out=unit)
+        np.take(guess, state, out=top, mode="clip")
+        top *= unit
+        np.take(rest, state, out=v, mode="clip")
+        unit *= v
+        np.less(code, top, out=hit)
+        np.subtract(code, top, out=size)  # what is left of the code where order 2 is wrong
+        np.floor_divide(size, unit, out=v)
         np.minimum(v, _U((1 << PRIOR_BITS) - 1), out=v)
-        open_ = np.flatnonzero(~hit1)  # the others' entries don't matter
-        entries[open_] = np.searchsorted(tables.places, (table[open_] << PRIOR_BITS) + v[open_].view(np.int64), side="right") - 1
-        np.take(own_ids, entries, out=ids[t], mode="clip")
-        start, part = model.interval(entries, hit1, hit2)
-        np.copyto(ids[t], model.id1, where=hit1)
-        np.copyto(ids[t], model.id2, where=hit2)
-        np.take(tables.table_of, ids[t], out=table, mode="clip")
-        code -= start
-        size[:] = part
-        i = np.flatnonzero(size < _U(_HALF))
+        np.take(shift, table, out=both, mode="clip")
+        np.right_shift(v, both, out=both)
+        np.take(base, table, out=places, mode="clip")
+        places += both.view(np.int64)
+        np.take(bucket, places, out=entries, mode="clip")
+        np.less(entries, 0, out=flags)
+        i = flags.nonzero()[0]
+        if i.size:
+            entries[i] = search((table[i] << PRIOR_BITS) + v[i].view(np.int64), side="right") - 1
+        np.take(own_ids, entries, out=now, mode="clip")
+        np.take(tables.both, entries, out=both, mode="clip")
+        np.right_shift(both, _SHARE, out=v)
+        v *= unit
+        size -= v
+        np.copyto(code, size, where=~hit)
+        both &= _U((1 << (PRIOR_BITS + 1)) - 1)
+        np.multiply(both, unit, out=size)
+        np.copyto(size, top, where=hit)
+        np.right_shift(known, 3, out=fresh)
+        np.copyto(now, fresh, where=hit)
+        np.take(tables.table_of, now, out=table, mode="clip")
+        np.less(size, _HALF, out=flags)
+        i = flags.nonzero()[0]
         if i.size:
-            at = used[i]
-            code[i] = code[i] << _WORD | words[np.minimum(at, last[i])]
-            used[i] = at + 1
+            to = used[i]
+            code[i] = code[i] << _WORD | words[np.minimum(to, last[i])]
+            to += 1
+            used[i] = to
             size[i] = np.maximum(size[i], _U(1)) << _WORD
-        model.update(ids[t])
+        np.bitwise_and(known, 7, out=known)
+        np.minimum(known, 5, out=known)
+        known += 1
+        known *= hit
+        np.left_shift(now, 3, out=fresh)
+        known += fresh
+        memory[at] = known
+        np.multiply(now, _HASH, out=hashed)
+        before *= np.uint32(5)
+        before += hashed
+        before >>= np.uint32(4)
+        before &= np.uint32(SLOTS - 1)
+        np.add(slot, before, out=at)
+        before, hashed = hashed, before
         if t in ends and any(used[k] - row[k] > len(blobs[k]) // 4 for k in ends[t]):
             raise ValueError("a block that is cut short")
     return ids.T
@@ -259,14 +285,19 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> tuple[Tables, list[tup
     if ids.size and int(ids.max()) >= MOST_ID:
         raise ValueError(f"ids must be below {MOST_ID}")
     (tables, entries), out, n = tables_of(ids, block), [], -(-ids.size // block)
+    kinds, groups = np.zeros(2 * STATES, np.int64), []
     for first in range(0, n, LANES):
         part = ids[first * block : (first + LANES) * block]
-        lanes = -(-part.size // block)
-        steps = min(block, part.size)
-        full, places = np.full((lanes, steps), part[-1], "<u4"), np.zeros((lanes, steps), np.int64)
+        lanes, steps = -(-part.size // block), min(block, part.size)
+        full = np.full((lanes, steps), part[-1], "<u4")
         full.reshape(-1)[: part.size] = part
+        groups.append((part, _states(np.ascontiguousarray(full.T))))
+        kinds += np.bincount(groups[-1][1].reshape(-1), minlength=2 * STATES)
+    tables.weights = _weights(kinds)
+    for first, (part, states) in zip(range(0, n, LANES), groups, strict=True):
+        places = np.zeros(states.shape[::-1], np.int32)
         places.reshape(-1)[: part.size] = entries[first * block : (first + LANES) * block]
-        for i, blob in enumerate(_encode_lanes(full, places, tables)):
+        for i, blob in enumerate(_encode_lanes(states, places.T, tables)):
             own = part[i * block : (i + 1) * block]
             out.append((own.size, zlib.crc32(own.tobytes()), blob))
     return tables, out

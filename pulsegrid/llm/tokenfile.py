@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
+import itertools
+import json
+import string
 import struct
 import zlib
 from array import array
@@ -10,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import regex
 import zstandard
@@ -18,20 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pulsegrid.llm.common import Memo, kept, shared_dir
+from pulsegrid.llm.common import Memo, kept, shared_dir, slices
 from pulsegrid.llm.rangecoder import MOST_ID, Tables, decode_blocks, encode_blocks
 
 #: The id that ends a document, and how ids are held before they are coded.
 END, IDS = 2, "<u2"
-MAGIC = b"PGTOKEN3"
+MAGIC = b"PGTOKEN4"
 #: Fixed value: how the byte-level model cuts text before it merges; merges never cross a cut.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Signs that are a cut of their own after a word of letters.
-_STOPS = tuple(".,;:!?")
+#: ASCII signs that are one cut together after a word of letters, whatever stands before; an apostrophe may begin a cut with letters.
+_SIGNS = "".join(c for c in string.punctuation if c != "'")
+#: Up to here Unicode's letters are the same for Python, the pattern and the library.
+_LATIN = "\u024f"
 #: Ids of a file, about: what a task holds before it writes.
 FILE_TOKENS = 8_000_000
-#: Distinct words that a worker remembers, in each of two generations, at some 200 bytes each; of lines' first words and of parts of words, a fifth.
+#: Distinct words that a worker remembers, in each of two generations, at some 200 bytes each; of parts of words, a fifth.
 MOST_WORDS = 500_000
+#: Bytes of texts whose words are looked up at once, and new words that the model gets at once.
+AT_ONCE, TOGETHER = 8 << 20, 500
 
 
 def byte_letters() -> dict[int, int]:
@@ -42,56 +51,114 @@ def byte_letters() -> dict[int, int]:
 
 
 class TextCoder:
-    """ids of a text, as the tokenizers library has them; the library's model merges each distinct cut of the text once.
+    """ids of texts, as the tokenizers library has them; the library's model merges each distinct cut once.
 
     No cut goes past a space or a single line end that stands between other characters, so texts whose white space is
-    only such are looked up word by word, with the space before; other texts are cut by the model's own pattern.
+    only such are looked up word by word, with the space or line end before; other texts are cut by the model's own pattern.
     """
 
     def __init__(self, tokenizer: str):
-        self.library = Tokenizer.from_str(tokenizer)
-        self.model, self.letters = self.library.model, byte_letters()
+        self.library, letters = Tokenizer.from_str(tokenizer), byte_letters()
+        self.model, self.letters = self.library.model, "".join(chr(letters[b]) for b in range(256))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.cuts = regex.compile(CUTS).findall
-        self.memo = Memo(self._merged, MOST_WORDS // 5)
-        self.first, self.later = Memo(lambda w: self._unit(w, ""), MOST_WORDS // 5), Memo(lambda w: self._unit(w, " "), MOST_WORDS)
+        self.memo, self.words, self.older = Memo(self._merged, MOST_WORDS // 5), {}, {}
         self.line = self._merged("\n")
+        space, known = self.letters[ord(" ")], json.loads(tokenizer)["model"]
+        self.begins = np.zeros(1 << 16, bool)  # ids that begin with a space
+        self.begins[[i for w, i in known["vocab"].items() if w[0] == space]] = True
+        # where nothing merges a letter with a space after it, words with the space before them merge alike beside each other
+        merges = (m.split(" ") if isinstance(m, str) else m for m in known["merges"])
+        self.apart = not any(b[0] == space and a[-1] in string.ascii_letters for a, b in merges)
 
     def _merged(self, cut: str) -> bytes:
-        written = cut.encode("utf-8", "replace").decode("latin-1").translate(self.letters)
+        written = codecs.charmap_decode(cut.encode("utf-8", "replace"), "strict", self.letters)[0]
         return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
 
-    def _unit(self, word: str, before: str) -> bytes | None:
-        """The ids of a word; None where white space stands at its ends, and may be part of a longer run."""
-        if word.isascii():
-            if word.isalpha():
-                return self._merged(before + word)
-            if word[-1:] in _STOPS and word[:-1].isalpha():
-                return (self.later if before else self.first)[word[:-1]] + self.memo[word[-1]]
-        if not word and not before:
-            return b""
-        if not word or word[0].isspace() or word[-1].isspace():
-            return None
-        cuts = self.cuts(before + word)
-        return self._merged(cuts[0]) if len(cuts) == 1 else b"".join(map(self.memo.__getitem__, cuts))
-
-    def encode(self, text: str | None) -> bytes:
-        """Packed IDS; null is empty. A text with the string of a special token goes to the library whole."""
+    def _unit(self, word: str) -> bytes | bool:
+        """The ids of a word and of the space before it, or of the line end that it begins with; False where white space stands
+        at its ends, and may be part of a longer run."""
+        line = word[:1] == "\n"
+        own = word[1:] if line else word
+        if not own and line:
+            return self.line
+        if not own or own[0].isspace() or own[-1].isspace():
+            return False
+        return self.line * line + b"".join(map(self.memo.__getitem__, self.cuts(own if line else " " + own)))
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """The ids of words of letters that end in an ASCII one, each with a space before it."""
+        ids = np.frombuffer(self._merged(" " + " ".join(words)), IDS)
+        first = np.flatnonzero(self.begins[ids])
+        if not self.apart or first.size != len(words):
+            return [self._merged(" " + w) for w in words]
+        packed, bounds = ids.tobytes(), [*(2 * first).tolist(), 2 * ids.size]
+        return [packed[s:e] for s, e in itertools.pairwise(bounds)]
+
+    def _look_up(self, words: list[str]) -> list[bytes | bool]:
+        """_unit() of each; those of up to Memo.LONGEST characters are remembered, in two generations."""
+        found = list(map(self.words.get, words))
+        missing = [i for i, u in enumerate(found) if u is None]
+        plain, signs = [], []
+        for i in missing:
+            w = words[i]
+            u = self.older.get(w)
+            if u is None:
+                stem = w.rstrip(_SIGNS)
+                if stem.isalpha() and stem[-1] <= "z" and (stem.isascii() or max(stem) <= _LATIN):
+                    plain.append(stem)
+                    signs.append((i, w[len(stem) :]))
+                    continue
+                u = self._unit(w)
+            found[i] = u
+        for k in range(0, len(plain), TOGETHER):
+            for (i, after), ids in zip(signs[k : k + TOGETHER], self._together(plain[k : k + TOGETHER]), strict=True):
+                found[i] = ids + self.memo[after] if after else ids
+        if len(self.words) + len(missing) > MOST_WORDS:
+            self.words, self.older = {}, self.words
+        self.words.update((words[i], found[i]) for i in missing if len(words[i]) <= Memo.LONGEST)
+        return found
+
+    def _whole(self, text: str | None) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
-        if "\n\n\n" not in text and "  " not in text and not text.endswith("\n\n"):
-            try:
-                later, lines = self.later.__getitem__, []
-                for line in text.split("\n"):
-                    words = line.split(" ")
-                    lines.append(self.first[words[0]] + b"".join(map(later, words[1:])))
-                return self.line.join(lines)
-            except TypeError:  # a None among the words
-                pass
         return b"".join(map(self.memo.__getitem__, self.cuts(text)))
 
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all(pa.array([None if text is None else text.encode("utf-8", "replace").decode()], pa.string()))[0]
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Packed IDS of each text; null is empty. A text with the string of a special token goes to the library whole."""
+        out: list[bytes | None] = [None] * len(texts)
+        line = pa.scalar("\n", pa.large_string())
+        other = texts.is_null()
+        for s in self.special:
+            other = pc.or_(other, pc.match_substring(texts, s))
+        rows = np.flatnonzero(~pc.fill_null(other, True).to_numpy(zero_copy_only=False))
+        if rows.size:
+            # a word stands after a space, and begins with the line's end where that is before it; so does the first word of a text
+            begun = pc.binary_join_element_wise(line, texts.take(pa.array(rows)).cast(line.type), pa.scalar("", line.type))
+            words = pc.split_pattern(pc.replace_substring(begun, "\n", " \n"), " ")
+            bounds, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
+            distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+            units = [u for k in range(0, len(distinct), MOST_WORDS // 5) for u in self._look_up(distinct[k : k + MOST_WORDS // 5])]
+            sizes = np.array([len(u) // 2 if u else -1 for u in units])
+            unknown, empty = sizes < 0, np.array([w == "\n" for w in distinct])[at]
+            sizes[unknown] = 0
+            lengths, odd = sizes[at], unknown[at]
+            odd[1:] |= empty[1:] & empty[:-1]  # line ends in a row
+            odd[bounds[:-1]] = False  # what is before a text's first word: nothing
+            ends = np.cumsum(lengths)
+            first = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
+            ids = np.frombuffer(b"".join(filter(None, units)), IDS)[np.repeat(first, lengths) + np.arange(ends[-1])].tobytes()
+            upto = (2 * ends[bounds[1:] - 1]).tolist()
+            for i, other, s, e in zip(rows.tolist(), np.logical_or.reduceat(odd, bounds[:-1]).tolist(), [0, *upto[:-1]], upto, strict=True):
+                if not other:
+                    out[i] = ids[s + len(self.line) : e]
+        return [self._whole(texts[i].as_py()) if x is None else x for i, x in enumerate(out)]
+
 
 def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:
     """A file: magic; documents, ids, blocks, bytes of the next two (u64 each); zstandard of doc_ids, null flags and lengths, and of
@@ -99,8 +166,8 @@ def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:
     sizes = np.array([len(d) // 2 for d in docs], "<u8")
     ids = np.frombuffer(b"".join(docs), IDS)
     tables, blocks = encode_blocks(ids)
-    known = np.array([x.is_valid for x in doc_ids], np.uint8)
-    keys = np.array([x.as_py() or 0 for x in doc_ids], "<i8")
+    known = doc_ids.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)
+    keys = pc.fill_null(doc_ids, 0).to_numpy(zero_copy_only=False).astype("<i8")
     head, table = (zstandard.ZstdCompressor(level=3).compress(x) for x in (keys.tobytes() + known.tobytes() + sizes.tobytes(), tables.to_bytes()))
     rows = np.array([(n, len(b), crc) for n, crc, b in blocks], "<u4").reshape(-1, 3)
     return b"".join([MAGIC, struct.pack("<5Q", len(docs), ids.size, len(blocks), len(head), len(table)), head, table, rows.tobytes(), *[b for _, _, b in blocks]])
@@ -164,10 +231,10 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str | None = None
             fs.move(part, path)
             return pa.RecordBatch.from_pydict({"part": [context.partitionId()], "number": [number], "docs": [len(rows)], "tokens": [held]})
 
-        for batch in batches:
-            for i, x in enumerate(batch.column(2)):
+        for batch in slices(batches, 2, AT_ONCE):
+            for i, x in enumerate(coder.encode_all(batch.column(2))):
                 keys.append(batch.column(0).slice(i, 1))
-                rows.append(coder.encode(x.as_py()) + end)
+                rows.append(x + end)
                 held += len(rows[-1]) // 2
                 if held >= FILE_TOKENS:
                     yield write()

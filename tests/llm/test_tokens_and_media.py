@@ -412,6 +412,49 @@ def test_range_coder_is_below_order_0_and_zstandard(spark):
     assert len(whole) < 0.9 * len(zstandard.ZstdCompressor(level=3).compress(b"".join(docs)))
 
 
+def test_order_2_costs_nothing_beside_the_tables(spark):
+    """Blocks of real token ids take fewer bits than the tables alone would."""
+    coder = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    ids = np.frombuffer(b"".join(coder.encode(t) for t in texts), "<u2")
+    tables, entries = rangecoder.tables_of(ids, rangecoder.BLOCK)
+    alone = (rangecoder.PRIOR_BITS - np.log2(tables.size.astype(float)))[entries].sum()
+    assert 8 * sum(len(b) for _, _, b in rangecoder.encode_blocks(ids)[1]) < alone
+
+
+def test_places_are_found_by_buckets():
+    rng = np.random.default_rng(3)
+    ids = (rng.pareto(0.7, 40_000) * 5).astype(np.int64) % 3000
+    tables, _ = rangecoder.tables_of(ids, 1000)
+    base, shift, bucket = tables.buckets()
+    table, v = rng.integers(0, base.size, 20_000), rng.integers(0, 1 << rangecoder.PRIOR_BITS, 20_000)
+    found = bucket[base[table] + (v >> shift[table].astype(np.int64))]
+    want = tables.places.searchsorted((table << rangecoder.PRIOR_BITS) + v, side="right") - 1
+    assert (found[found >= 0] == want[found >= 0]).all() and (found >= 0).mean() > 0.5
+
+
+def test_new_words_go_to_the_model_together(library):
+    """A batch's words are looked up once each, and those of letters reach the model many at a time."""
+    import itertools
+
+    import pyarrow as pa
+
+    own = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    words = ["".join(w) + ("é" if i % 3 == 0 else "") + "x" for i, w in enumerate(itertools.islice(itertools.product("qzjkvw", repeat=4), 800))]
+    texts = [" ".join(words), "\n".join(words[:50]) + "\n", " ".join(w + "###," for w in words) + "\n\n" + words[0], None, "", "a\n\n\nb c", "\n\nx  y ", "<|endoftext|> a", "it's o'clock 3rd x2\n"]
+    calls = []
+
+    class Counting:
+        def tokenize(self, cut, model=own.model):
+            calls.append(cut)
+            return model.tokenize(cut)
+
+    own.model = Counting()
+    got = own.encode_all(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(calls) < 120
+
+
 @pytest.fixture(scope="module")
 def library():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
