@@ -66,10 +66,12 @@ class TextCoder:
         self.line = self._merged("\n")
         space, known = self.letters[ord(" ")], json.loads(tokenizer)["model"]
         self.begins = np.zeros(1 << 16, bool)  # ids that begin with a space
-        self.begins[[i for w, i in known["vocab"].items() if w[0] == space]] = True
+        self.begins[[i for w, i in known["vocab"].items() if w[:1] == space]] = True
         # where nothing merges a letter with a space after it, words with the space before them merge alike beside each other
         merges = (m.split(" ") if isinstance(m, str) else m for m in known["merges"])
-        self.apart = not any(b[0] == space and a[-1] in string.ascii_letters for a, b in merges)
+        self.apart = not any(b[:1] == space and a[-1:] in string.ascii_letters for a, b in merges)
+        # nor may the model take a whole cut otherwise than by its merges
+        self.apart &= not any(known.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
 
     def _merged(self, cut: str) -> bytes:
         written = codecs.charmap_decode(cut.encode("utf-8", "replace"), "strict", self.letters)[0]
