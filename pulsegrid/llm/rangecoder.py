@@ -26,7 +26,7 @@ STATES, _EMPTY = 8, ((MOST_ID - 1) << 3) + 7
 #: Steps for which the encoder works out intervals at once.
 _AHEAD = 32
 #: A table has 2**_FINE buckets or more for each entry, by which the decoder looks places up.
-_FINE = 3
+_FINE = 1
 _HALF = np.uint64(1 << 32)
 _HASH = np.uint32(40503)
 _U = np.uint64
@@ -66,10 +66,12 @@ class Tables:
         log = np.minimum(np.ceil(np.log2(np.maximum(self.lengths, 1))).astype(np.int64) + _FINE, PRIOR_BITS)
         shift, many = PRIOR_BITS - log, 1 << log
         base = np.cumsum(many) - many
-        table = np.repeat(np.arange(log.size), many)
-        start = (table << PRIOR_BITS) + ((np.arange(table.size) - base[table]) << shift[table])
-        low, high = (self.places.searchsorted(x, side="right") - 1 for x in (start, start + (1 << shift[table]) - 1))
-        return base, shift.astype(_U), np.where(low == high, low, -1)
+        table, out = np.repeat(np.arange(log.size), self.lengths), np.zeros(many.sum(), np.int32)
+        own = base[table] + (self.start.astype(np.int64) >> shift[table])
+        out[own] = np.arange(own.size)
+        np.maximum.accumulate(out, out=out)
+        out[own[self.start.astype(np.int64) & (1 << shift[table]) - 1 > 0]] = -1
+        return base, shift.astype(_U), out
 
     @classmethod
     def from_bytes(cls, data: bytes) -> Tables:
@@ -217,7 +219,8 @@ def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.nd
     table, at, entries, places, own_ids = np.zeros(n, np.int64), slot.copy(), np.empty(n, np.int64), np.empty(n, np.int64), tables.ids.astype(np.uint32)
     state, known, fresh, hashed, before = np.empty(n, np.int64), np.empty(n, np.uint32), np.empty(n, np.uint32), np.empty(n, np.uint32), np.zeros(n, np.uint32)
     ids, v, unit, top, both, hit, flags = np.empty((steps, n), np.uint32), np.empty(n, _U), np.empty(n, _U), np.empty(n, _U), np.empty(n, _U), np.empty(n, bool), np.empty(n, bool)
-    (base, shift, bucket), search = tables.buckets(), tables.places.searchsorted
+    (base, shift, bucket), search, found = tables.buckets(), tables.places.searchsorted, np.empty(n, np.int32)
+    follows = np.minimum(np.arange(STATES, dtype=np.uint32), 5) + np.uint32(1)  # the state after a success
     for t in range(steps):
         now = ids[t]
         np.take(memory, at, out=known, mode="clip")
@@ -235,8 +238,9 @@ def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.nd
         np.right_shift(v, both, out=both)
         np.take(base, table, out=places, mode="clip")
         places += both.view(np.int64)
-        np.take(bucket, places, out=entries, mode="clip")
-        np.less(entries, 0, out=flags)
+        np.take(bucket, places, out=found, mode="clip")
+        np.less(found, 0, out=flags)
+        np.copyto(entries, found)
         i = flags.nonzero()[0]
         if i.size:
             entries[i] = search((table[i] << PRIOR_BITS) + v[i].view(np.int64), side="right") - 1
@@ -260,9 +264,7 @@ def _decode_lanes(blobs: list[bytes], sizes: list[int], tables: Tables) -> np.nd
             to += 1
             used[i] = to
             size[i] = np.maximum(size[i], _U(1)) << _WORD
-        np.bitwise_and(known, 7, out=known)
-        np.minimum(known, 5, out=known)
-        known += 1
+        np.take(follows, state, out=known, mode="clip")
         known *= hit
         np.left_shift(now, 3, out=fresh)
         known += fresh

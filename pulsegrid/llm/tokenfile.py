@@ -5,10 +5,8 @@ from __future__ import annotations
 import codecs
 import itertools
 import json
-import string
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +27,14 @@ from pulsegrid.llm.rangecoder import MOST_ID, Tables, decode_blocks, encode_bloc
 #: The id that ends a document, and how ids are held before they are coded.
 END, IDS = 2, "<u2"
 MAGIC = b"PGTOKEN4"
-#: Fixed value: how the byte-level model cuts text before it merges; merges never cross a cut.
-CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: ASCII signs that are one cut together after a word of letters, whatever stands before; an apostrophe may begin a cut with letters.
-_SIGNS = "".join(c for c in string.punctuation if c != "'")
-#: Up to here Unicode's letters are the same for Python, the pattern and the library.
-_LATIN = "\u024f"
+#: Classes of characters, by which the byte-level model cuts text before it merges: a space, other white space, a letter, a number, a sign.
+_SPACE, _WHITE, _LETTER, _NUMBER, _SIGN = range(5)
+_BLANK, _LINE = b" \n"
 #: Ids of a file, about: what a task holds before it writes.
 FILE_TOKENS = 8_000_000
-#: Distinct words that a worker remembers, in each of two generations, at some 200 bytes each; of parts of words, a fifth.
+#: Distinct cuts that a worker remembers, in each of two generations, at some 200 bytes each.
 MOST_WORDS = 500_000
-#: Bytes of texts whose words are looked up at once, and new words that the model gets at once.
+#: Bytes of texts whose cuts are looked up at once, and new cuts that the model gets at once.
 AT_ONCE, TOGETHER = 8 << 20, 500
 
 
@@ -50,116 +45,150 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
 
 
+def classes() -> np.ndarray:
+    """The class of each code point."""
+    every, out = np.delete(np.arange(0x110000), slice(0xD800, 0xE000)).astype("<u4").tobytes().decode("utf-32-le"), np.full(0x110000, _SIGN, np.uint8)
+    for found in regex.finditer(r"(\s+)|(\p{L}+)|(\p{N}+)", every):
+        out[ord(every[found.start()]) : ord(every[found.end() - 1]) + 1] = found.lastindex
+    out[ord(" ")] = _SPACE
+    return out
+
+
 class TextCoder:
     """ids of texts, as the tokenizers library has them; the library's model merges each distinct cut once.
 
-    No cut goes past a space or a single line end that stands between other characters, so texts whose white space is
-    only such are looked up word by word, with the space or line end before; other texts are cut by the model's own pattern.
+    Before it merges, the byte-level model cuts a text by
+
+        's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+
+    and merges never cross a cut. Where a cut begins follows from the classes of two or three characters beside each other.
     """
 
     def __init__(self, tokenizer: str):
         self.library, letters = Tokenizer.from_str(tokenizer), byte_letters()
         self.model, self.letters = self.library.model, "".join(chr(letters[b]) for b in range(256))
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.cuts = regex.compile(CUTS).findall
-        self.memo, self.words, self.older = Memo(self._merged, MOST_WORDS // 5), {}, {}
-        self.line = self._merged("\n")
-        space, known = self.letters[ord(" ")], json.loads(tokenizer)["model"]
-        self.begins = np.zeros(1 << 16, bool)  # ids that begin with a space
-        self.begins[[i for w, i in known["vocab"].items() if w[:1] == space]] = True
-        # where nothing merges a letter with a space after it, words with the space before them merge alike beside each other
-        merges = (m.split(" ") if isinstance(m, str) else m for m in known["merges"])
-        self.apart = not any(b[:1] == space and a[-1:] in string.ascii_letters for a, b in merges)
-        # nor may the model take a whole cut otherwise than by its merges
-        self.apart &= not any(known.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-
-    def _merged(self, cut: str) -> bytes:
-        written = codecs.charmap_decode(cut.encode("utf-8", "replace"), "strict", self.letters)[0]
-        return array("H", [t.id for t in self.model.tokenize(written)]).tobytes()
-
-    def _unit(self, word: str) -> bytes | bool:
-        """The ids of a word and of the space before it, or of the line end that it begins with; False where white space stands
-        at its ends, and may be part of a longer run."""
-        line = word[:1] == "\n"
-        own = word[1:] if line else word
-        if not own and line:
-            return self.line
-        if not own or own[0].isspace() or own[-1].isspace():
-            return False
-        return self.line * line + b"".join(map(self.memo.__getitem__, self.cuts(own if line else " " + own)))
-
-    def _together(self, words: list[str]) -> list[bytes]:
-        """The ids of words of letters that end in an ASCII one, each with a space before it."""
-        ids = np.frombuffer(self._merged(" " + " ".join(words)), IDS)
-        first = np.flatnonzero(self.begins[ids])
-        if not self.apart or first.size != len(words):
-            return [self._merged(" " + w) for w in words]
-        packed, bounds = ids.tobytes(), [*(2 * first).tolist(), 2 * ids.size]
-        return [packed[s:e] for s, e in itertools.pairwise(bounds)]
-
-    def _look_up(self, words: list[str]) -> list[bytes | bool]:
-        """_unit() of each; those of up to Memo.LONGEST characters are remembered, in two generations."""
-        found = list(map(self.words.get, words))
+        self.classes, self.words, self.older = classes(), {}, {}
+        self.ascii = bytes([*self.classes[:128].tolist(), *[_SIGN] * 128])
+        known, byte = json.loads(tokenizer)["model"], {chr(c): b for b, c in letters.items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in known["merges"]]
+        # of a space and a line end: the ids that begin with it, the bytes that it may merge with before it, and after it
+        self.begins, self.before, self.after = {}, {}, {}
+        for sign in (_BLANK, _LINE):
+            letter, self.begins[sign] = self.letters[sign], np.zeros(1 << 16, bool)
+            self.begins[sign][[i for w, i in known["vocab"].items() if w[:1] == letter]] = True
+            self.before[sign] = {byte.get(a[-1:]) for a, b in merges if b[:1] == letter}
+            self.after[sign] = {byte.get(b[:1]) for a, b in merges if a[-1:] == letter}
+        # a model that may take a whole cut otherwise than by its merges gets cuts one by one
+        self.apart = not any(known.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+
+    def _merged(self, cut: bytes) -> np.ndarray:
+        return np.array([t.id for t in self.model.tokenize(codecs.charmap_decode(cut, "strict", self.letters)[0])], IDS)
+
+    def _together(self, cuts: list[bytes], sign: int) -> list[bytes]:
+        """The ids of cuts that all begin with a space, or that have a line end put before them, which merge with nothing beside them."""
+        line = sign == _LINE
+        ids = self._merged(b"\n" * line + (b"\n" if line else b"").join(cuts))
+        first = np.flatnonzero(self.begins[sign][ids])
+        if first.size != len(cuts):
+            return [self._merged(c).tobytes() for c in cuts]
+        packed, first = ids.tobytes(), (2 * first).tolist()
+        return [packed[s + 2 * line : e] for s, e in itertools.pairwise([*first, 2 * ids.size])]
+
+    def _look_up(self, cuts: list[bytes]) -> list[bytes]:
+        """The ids of each; those of up to Memo.LONGEST bytes are remembered, in two generations."""
+        found = list(map(self.words.get, cuts))
         missing = [i for i, u in enumerate(found) if u is None]
-        plain, signs = [], []
+        spaced, others, older = [], [], self.older.get
         for i in missing:
-            w = words[i]
-            u = self.older.get(w)
+            c = cuts[i]
+            found[i] = u = older(c)
             if u is None:
-                stem = w.rstrip(_SIGNS)
-                if stem.isalpha() and stem[-1] <= "z" and (stem.isascii() or max(stem) <= _LATIN):
-                    plain.append(stem)
-                    signs.append((i, w[len(stem) :]))
-                    continue
-                u = self._unit(w)
-            found[i] = u
-        for k in range(0, len(plain), TOGETHER):
-            for (i, after), ids in zip(signs[k : k + TOGETHER], self._together(plain[k : k + TOGETHER]), strict=True):
-                found[i] = ids + self.memo[after] if after else ids
+                if not self.apart or c.isspace():
+                    found[i] = self._merged(c).tobytes()
+                elif c[0] == _BLANK and c[-1] not in self.before[_BLANK]:
+                    spaced.append(i)
+                elif c[0] not in self.after[_LINE] and c[-1] not in self.before[_LINE]:
+                    others.append(i)
+                else:
+                    found[i] = self._merged(c).tobytes()
+        for sign, rows in ((_BLANK, spaced), (_LINE, others)):
+            for k in range(0, len(rows), TOGETHER):
+                part = rows[k : k + TOGETHER]
+                for i, ids in zip(part, self._together([cuts[i] for i in part], sign), strict=True):
+                    found[i] = ids
         if len(self.words) + len(missing) > MOST_WORDS:
             self.words, self.older = {}, self.words
-        self.words.update((words[i], found[i]) for i in missing if len(words[i]) <= Memo.LONGEST)
+        self.words.update((cuts[i], found[i]) for i in missing if len(cuts[i]) <= Memo.LONGEST)
         return found
 
-    def _whole(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, IDS).tobytes()
-        return b"".join(map(self.memo.__getitem__, self.cuts(text)))
+    def _starts(self, data: bytes, bounds: np.ndarray) -> np.ndarray:
+        """Where cuts begin in UTF-8 texts that stand one after another; bounds: of the texts, with the end."""
+        data += bytes(4)
+        text, kinds = np.frombuffer(data, np.uint8), np.frombuffer(bytearray(data.translate(self.ascii)), np.uint8)
+        leads = np.flatnonzero(text >= 0xC0)
+        size = 2 + (text[leads] >= 0xE0) + (text[leads] >= 0xF0)
+        wide = []
+        for n in (2, 3, 4):
+            at = leads[size == n]
+            point = text[at].astype(np.int32) & ((1 << 7 - n) - 1)
+            for k in range(1, n):
+                point = point << 6 | text[at + k] & 0x3F
+            kind = np.take(self.classes, point, mode="clip")
+            for k in range(n):
+                kinds[at + k] = kind
+            wide += [(n, at[kind == _WHITE])]
+        starts = np.zeros(text.size, bool)
+        np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+        starts[1:] &= kinds[:-1] != _SPACE
+
+        def last(at: np.ndarray) -> np.ndarray:
+            """Whether what comes before `at` is a text's last, or has white space after it."""
+            return (kinds[at] <= _WHITE) | (bounds[np.searchsorted(bounds, at)] == at)
+
+        # of white space in a row before something else, the last one is its own
+        white = kinds <= _WHITE
+        at = np.flatnonzero(white[1 : bounds[-1]] & white[: bounds[-1] - 1]) + 1
+        starts[at] = ~last(at + 1)
+        for n, at in wide:
+            starts[at] = (kinds[at - 1] > _WHITE) | ~last(at + n)
+            for k in range(1, n):
+                starts[at + k] = False
+        starts[bounds] = True
+        at = np.flatnonzero(text == ord("'"))
+        at = at[starts[at]]
+        one, two = text[at + 1], text[at + 2]
+        size = 2 * np.isin(one, list(b"stmd")) + 3 * (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        keeps = (size > 0) & (at + size <= bounds[np.searchsorted(bounds, at, side="right")])
+        starts[at[keeps] + 1] = False
+        starts[(at + size)[keeps]] = True
+        return np.flatnonzero(starts[: bounds[-1]])
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all(pa.array([None if text is None else text.encode("utf-8", "replace").decode()], pa.string()))[0]
 
     def encode_all(self, texts: pa.Array) -> list[bytes]:
         """Packed IDS of each text; null is empty. A text with the string of a special token goes to the library whole."""
-        out: list[bytes | None] = [None] * len(texts)
-        line = pa.scalar("\n", pa.large_string())
-        other = texts.is_null()
+        out = [b""] * len(texts)
+        special = pa.array(np.zeros(len(texts), bool))
         for s in self.special:
-            other = pc.or_(other, pc.match_substring(texts, s))
-        rows = np.flatnonzero(~pc.fill_null(other, True).to_numpy(zero_copy_only=False))
-        if rows.size:
-            # a word stands after a space, and begins with the line's end where that is before it; so does the first word of a text
-            begun = pc.binary_join_element_wise(line, texts.take(pa.array(rows)).cast(line.type), pa.scalar("", line.type))
-            words = pc.split_pattern(pc.replace_substring(begun, "\n", " \n"), " ")
-            bounds, coded = words.offsets.to_numpy(), words.values.dictionary_encode()
-            distinct, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-            units = [u for k in range(0, len(distinct), MOST_WORDS // 5) for u in self._look_up(distinct[k : k + MOST_WORDS // 5])]
-            sizes = np.array([len(u) // 2 if u else -1 for u in units])
-            unknown, empty = sizes < 0, np.array([w == "\n" for w in distinct])[at]
-            sizes[unknown] = 0
-            lengths, odd = sizes[at], unknown[at]
-            odd[1:] |= empty[1:] & empty[:-1]  # line ends in a row
-            odd[bounds[:-1]] = False  # what is before a text's first word: nothing
-            ends = np.cumsum(lengths)
-            first = (np.cumsum(sizes) - sizes)[at] - (ends - lengths)
-            ids = np.frombuffer(b"".join(filter(None, units)), IDS)[np.repeat(first, lengths) + np.arange(ends[-1])].tobytes()
-            upto = (2 * ends[bounds[1:] - 1]).tolist()
-            for i, other, s, e in zip(rows.tolist(), np.logical_or.reduceat(odd, bounds[:-1]).tolist(), [0, *upto[:-1]], upto, strict=True):
-                if not other:
-                    out[i] = ids[s + len(self.line) : e]
-        return [self._whole(texts[i].as_py()) if x is None else x for i, x in enumerate(out)]
+            special = pc.or_(special, pc.fill_null(pc.match_substring(texts, s), False))
+        for i in np.flatnonzero(special).tolist():
+            out[i] = np.array(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, IDS).tobytes()
+        rows = np.flatnonzero(pc.and_(pc.invert(special), pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)))
+        if not rows.size:
+            return out
+        _, bounds, data = texts.take(pa.array(rows)).cast(pa.large_string()).buffers()
+        bounds = np.frombuffer(bounds, "<i8", rows.size + 1)
+        starts = self._starts(data.to_pybytes()[: bounds[-1]], bounds)
+        cuts = pa.Array.from_buffers(pa.large_binary(), starts.size, [None, pa.py_buffer(np.append(starts, bounds[-1])), data]).dictionary_encode()
+        distinct = cuts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        units = [u for k in range(0, len(distinct), MOST_WORDS // 5) for u in self._look_up(distinct[k : k + MOST_WORDS // 5])]
+        _, ends, ids = pa.array(units, pa.large_binary()).take(cuts.indices).buffers()
+        ids, ends = ids.to_pybytes(), np.frombuffer(ends, "<i8")[np.searchsorted(starts, bounds)].tolist()
+        for i, (s, e) in zip(rows.tolist(), itertools.pairwise(ends), strict=True):
+            out[i] = ids[s:e]
+        return out
 
 
 def pack(doc_ids: pa.Array, docs: list[bytes]) -> bytes:

@@ -502,6 +502,43 @@ def test_text_coder_is_the_library_on_white_space(own_coder, library, t):
     assert np.frombuffer(own_coder.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="as'tmdrevl'  \n\t\u00a0\u3000\x1c.!1²Ⅷéß日Ж\u0301\U0001f600", min_size=1, max_size=12), min_size=1, max_size=8))
+def test_cuts_are_those_of_the_pattern(own_coder, texts):
+    """Cuts from the classes of bytes, of texts that stand one after another, are those of the byte-level model's pattern."""
+    import regex
+
+    data = "".join(texts).encode()
+    starts = own_coder._starts(data, np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    got = [data[s:e].decode() for s, e in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert got == [c for t in texts for c in regex.findall(CUTS, t)]
+
+
+def test_a_stem_reaches_the_model_once(library):
+    """Words that differ in the signs after them only, and words that begin a line or end in any letter, don't reach the model one by one."""
+    import itertools
+
+    import pyarrow as pa
+
+    own = tokenfile.TextCoder(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read())
+    words = ["".join(w) + "é" for w in itertools.islice(itertools.product("qzjkvw", repeat=4), 400)]
+    texts = [" ".join(w + after for w in words for after in ("", ",", ".!!", "###")), "\n".join(words), "x" + "\n".join(w + "%" for w in words), "d'été, à\u00a0la \u00e0 b\n\u00a0c\n\n\u00a0 d"]
+    letters = []
+
+    class Counting:
+        def tokenize(self, cut, model=own.model):
+            letters.append(len(cut))
+            return model.tokenize(cut)
+
+    own.model = Counting()
+    got = own.encode_all(pa.array(texts, pa.string()))
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(letters) < 50 and sum(letters) < 3 * 7 * len(words)
+
+
 @pytest.fixture(scope="module")
 def own_coder():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
